@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import chat, mixing, url_rules
+from lexiloom.llm import chat, language_id, mixing, url_rules, warc
 
 QUERIES = {
+    "op2_warc_captures": warc.op2_warc_captures,
     "op3_systematic_mix": mixing.op3_systematic_mix,
+    "op4_language_id": language_id.op4_language_id,
     "op7_chat_format": chat.op7_chat_format,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLE_SQL = {
+    "op2_warc_captures": warc.OP2_SQL,
     "op3_systematic_mix": mixing.OP3_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op10_url_rules": url_rules.OP10_SQL,
