@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import chat, language_id, mixing, url_rules, warc
+from lexiloom.llm import chat, language_id, minhash, mixing, url_rules, warc
 
 QUERIES = {
+    "op1_probminhash_dedup": minhash.op1_probminhash_dedup,
     "op2_warc_captures": warc.op2_warc_captures,
     "op3_systematic_mix": mixing.op3_systematic_mix,
     "op4_language_id": language_id.op4_language_id,
