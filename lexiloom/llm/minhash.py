@@ -1,7 +1,7 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the multiset of its five-word shingles (words between ASCII white space, A-Z lower-cased; fewer than
-five words make one shingle); a shingle's weight is how often it occurs. Similarity is the probability Jaccard index
+A document is the multiset of its five-word shingles (words are runs of ASCII letters and digits and of non-ASCII
+characters, A-Z lower-cased; fewer than five words make one shingle); a shingle's weight is how often it occurs. Similarity is the probability Jaccard index
 of those weights, which is the Jaccard index where all weights agree. Each shingle is a Poisson process whose rate is
 its weight; an arrival falls on one of REGISTERS registers at random, and a register keeps the shingle that arrives
 first. Arrivals come in increasing order, so a shingle stops once it is later than every register of its document.
@@ -16,7 +16,7 @@ link between components is lost.
 
 Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8.
 
-Defined cases: null, empty and blank texts have no shingles and are classes by themselves; null ids get a null class;
+Defined cases: null and empty texts, and those without a word, have no shingles and are classes by themselves; null ids get a null class;
 rows that repeat an id are one document with the texts of all; very long texts are shingled in whole; other columns
 are ignored.
 """
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
 
         from lexiloom.llm import textvec as tv
 
-        alphabet = tv.spaced()
+        alphabet = tv.lettered()
         for b in batches:
             for i, j, h, first in tv.hashed(b.column(1), alphabet):
                 doc, s, w = weighted_shingles(h, first, k)
@@ -127,7 +127,7 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
         from lexiloom.llm import textvec as tv
 
-        alphabet = tv.spaced()
+        alphabet = tv.lettered()
         for b in batches:
             for i, j, h, first in tv.hashed(b.column(1), alphabet):
                 doc, s, w = weighted_shingles(h, first, k)
