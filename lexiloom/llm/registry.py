@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import chat, language_id, minhash, mixing, url_rules, warc
+from lexiloom.llm import chat, embedding_dedup, language_id, minhash, mixing, url_rules, warc
 
 QUERIES = {
     "op1_probminhash_dedup": minhash.op1_probminhash_dedup,
     "op2_warc_captures": warc.op2_warc_captures,
     "op3_systematic_mix": mixing.op3_systematic_mix,
     "op4_language_id": language_id.op4_language_id,
+    "op5_sorted_projections": embedding_dedup.op5_sorted_projections,
     "op7_chat_format": chat.op7_chat_format,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLE_SQL = {
     "op2_warc_captures": warc.OP2_SQL,
     "op3_systematic_mix": mixing.OP3_SQL,
+    "op5_sorted_projections": embedding_dedup.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op10_url_rules": url_rules.OP10_SQL,
 }
