@@ -251,7 +251,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 
 def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = write_captures(table(spark, sf_dir, "pages"))
-    records = read_records(spark, folder, manifest, payload=False).drop("payload", "target_uri", "date")
+    # Staged, so that the archives are read once, and the joins see the true size of the records.
+    records = staged(read_records(spark, folder, manifest, payload=False).drop("payload", "target_uri", "date"), "warc-records")
     return resolve_revisits(assemble(records)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
