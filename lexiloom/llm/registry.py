@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import chat, decontaminate, embedding_dedup, language_id, minhash, mixing, url_rules, warc
+from lexiloom.llm import chat, decontaminate, embedding_dedup, language_id, minhash, mixing, token_files, url_rules, warc
 
 QUERIES = {
     "op1_probminhash_dedup": minhash.op1_probminhash_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_systematic_mix": mixing.op3_systematic_mix,
     "op4_language_id": language_id.op4_language_id,
     "op5_sorted_projections": embedding_dedup.op5_sorted_projections,
+    "op6_range_coded_tokens": token_files.op6_range_coded_tokens,
     "op7_chat_format": chat.op7_chat_format,
     "op8_cgk_decontaminate": decontaminate.op8_cgk_decontaminate,
     "op10_url_rules": url_rules.op10_url_rules,
