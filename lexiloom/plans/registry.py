@@ -1,2 +1,301 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the driver's tables, and the SQL that gives the same rows.
+
+All value-checked queries split sentences by the rule that SQL can express (after . ! or ? before white space);
+those named _jdk use the JDK's sentence rules, as the public API does."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.functions import text as X
+from lexiloom.operators import counts, generate, lookups, model
+
+PROBE, STOP = "the", "of"
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _sents(spark, sf, part: int | None = None):
+    docs = _table(spark, sf, "documents")
+    return X.regex_sentence_tokens(docs if part is None else docs.filter(F.pmod("doc_id", F.lit(2)) == part))
+
+
+def _words(spark, sf, part=None):
+    return counts.word_counts(_sents(spark, sf, part))
+
+
+def _grams(spark, sf, n, part=None):
+    return counts.ngram_counts(_sents(spark, sf, part), n)
+
+
+def _dict(spark, sf):
+    return model.dictionary(_words(spark, sf))
+
+
+def _seeds(spark, sf):
+    """The words of each benchmark text, as seeds."""
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("seed_id"), F.posexplode(X.seed_words(F.col("text"))).alias("pos", "word"))
+
+
+def _pairs_of_seeds(spark, sf):
+    at = lambda i: F.max(F.when(F.col("pos") == i, F.col("word")))
+    return _seeds(spark, sf).groupBy("seed_id").agg(at(0).alias("w1"), at(1).alias("w2"))
+
+
+def _sentences(walks: DataFrame) -> DataFrame:
+    return walks.select(F.col("seed_id").alias("seed"), X.rendered(F.col("words")).alias("sentence"), F.size("words").cast("long").alias("n_words"))
+
+
+def _file_stats(spark, sf):
+    return counts.document_stats(_sents(spark, sf))
+
+
+def _import_history(spark, sf):
+    """The manifest that importing every document would leave, latest first, with its rank."""
+    files = counts.document_stats(_sents(spark, sf)).select("doc_id", F.col("n_tokens").alias("word_count"))
+    return files.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "word_count", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("doc_id")).cast("string").alias("imported"))
+
+
+def _new_files(spark, sf):
+    from lexiloom.sources.text_files import documents_as_files
+
+    files = documents_as_files(_table(spark, sf, "documents"))
+    known = documents_as_files(_table(spark, sf, "documents").filter(F.pmod("doc_id", F.lit(2)) == 0))
+    return lookups.new_files(files, known).select("file_name", F.length("text").cast("long").alias("n_chars"))
+
+
+def _lookup(spark, sf):
+    d = _dict(spark, sf)
+    wanted = _seeds(spark, sf).select(F.col("word").alias("word_value"))
+    return lookups.word_ids(d, wanted).select("word_id", "word_value", "total_occurrences", "start_sentence_count", "end_sequence_count")
+
+
+def _lookup_one(spark, sf):
+    d = _dict(spark, sf)
+    hit = lookups.by_value(d, PROBE).select(F.lit("value").alias("by"), "word_id", "word_value")
+    ident = lookups.by_id(d, 1).select(F.lit("id").alias("by"), "word_id", "word_value")
+    none = lookups.word_id(d, "no such word").select(F.lit("missing").alias("by"), "word_id", F.lit("").alias("word_value"))
+    return hit.unionByName(ident).unionByName(none)
+
+
+def _cumulative(spark, sf):
+    return model.cumulative(_grams(spark, sf, 2), ["w1"], "w2")
+
+
+def _lookup_tri_start(spark, sf):
+    return lookups.trigram_start(_pairs_of_seeds(spark, sf), _grams(spark, sf, 3))
+
+
+def _merge(spark, sf, n):
+    make = (lambda p: _words(spark, sf, p)) if n == 1 else (lambda p: _grams(spark, sf, n, p))
+    return counts.merged(make(0), make(1), ["word"] if n == 1 else [f"w{i + 1}" for i in range(n)])
+
+
+def _upsert_one(spark, sf):
+    row = {"w1": PROBE, "w2": "lexiloom", "cnt": 0, "ends": 2}
+    return counts.upserted_one(_grams(spark, sf, 2), row, ["w1", "w2"]).filter(F.col("w1") == PROBE)
+
+
+def _report(spark, sf):
+    w, b, t = _words(spark, sf), _grams(spark, sf, 2), _grams(spark, sf, 3)
+    one = lambda name, df, c: df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.sum(c).alias("total"))
+    return one("words", w, "total").unionByName(one("pairs", b, "cnt")).unionByName(one("triplets", t, "cnt"))
+
+
+def _bi(step, **kw):
+    def query(spark, sf):
+        words, grams = _words(spark, sf), _grams(spark, sf, 2)
+        return _sentences(step(generate.start_rows(words), grams, **kw))
+
+    return query
+
+
+def _tri(step, **kw):
+    def query(spark, sf):
+        words, grams = _words(spark, sf), _grams(spark, sf, 3)
+        return _sentences(step(generate.start_rows(words, grams), grams, **kw))
+
+    return query
+
+
+def _jdk(spark, sf):
+    return X.jdk_sentence_tokens(_table(spark, sf, "documents"))
+
+
+def _packed(spark, sf):
+    p = model.word_pairs(_grams(spark, sf, 2), _dict(spark, sf))
+    return p.select("preceding_word_id", "following_word_id", X.packed_key(F.col("preceding_word_id"), F.col("following_word_id")).alias("packed"))
+
+
+QUERIES = {
+    "word_counts_regex": _words,
+    "bigram_counts": lambda s, d: _grams(s, d, 2),
+    "trigram_counts": lambda s, d: _grams(s, d, 3),
+    "sentence_length_hist": lambda s, d: counts.sentence_lengths(_sents(s, d)),
+    "file_token_stats": _file_stats,
+    "token_stream": lambda s, d: counts.token_stream(_sents(s, d)).withColumns({"n": F.col("n").cast("long"), "pos": F.col("pos").cast("long"), "sent": F.col("sent").cast("long")}),
+    "unigram_map": lambda s, d: _words(s, d).select("word", "total"),
+    "top_words": lambda s, d: model.top_k(_words(s, d).select("word", "total"), "word", "total", 10),
+    "top_followers_of_probe": lambda s, d: model.top_k(_grams(s, d, 2).filter(F.col("w1") == PROBE).select("w2", "cnt"), "w2", "cnt", 10),
+    "word_dictionary": _dict,
+    "word_pairs": lambda s, d: model.word_pairs(_grams(s, d, 2), _dict(s, d)),
+    "trigram_sequence": lambda s, d: model.trigram_sequence(_grams(s, d, 3), _dict(s, d)),
+    "packed_pair_key": _packed,
+    "bigram_followers_ranked": lambda s, d: model.ranked_followers(_grams(s, d, 2), ["w1"], "w2"),
+    "trigram_followers_ranked": lambda s, d: model.ranked_followers(_grams(s, d, 3), ["w1", "w2"], "w3"),
+    "start_candidates": lambda s, d: model.start_candidates(_words(s, d)),
+    "best_start": lambda s, d: model.top_k(_words(s, d).select("word", "starts"), "word", "starts", 1),
+    "second_word_totals": lambda s, d: model.second_word_totals(_grams(s, d, 3)),
+    "best_second_word": lambda s, d: model.best_second_words(_grams(s, d, 3)),
+    "follower_cumulative": _cumulative,
+    "word_lookup": _lookup,
+    "word_lookup_one": _lookup_one,
+    "seed_first_known": lambda s, d: lookups.first_known(_seeds(s, d), _dict(s, d)),
+    "seed_top_up": lambda s, d: lookups.topped_up(_seeds(s, d), _dict(s, d), 5),
+    "trigram_seed_resolution": _lookup_tri_start,
+    "weighted_start": lambda s, d: generate.weighted_start(_words(s, d), "7"),
+    "new_files_anti": _new_files,
+    "merge_words": lambda s, d: _merge(s, d, 1),
+    "merge_pairs": lambda s, d: _merge(s, d, 2),
+    "merge_triplets": lambda s, d: _merge(s, d, 3),
+    "upsert_one_pair": _upsert_one,
+    "import_history": _import_history,
+    "import_report": _report,
+    "generate_bi_greedy": _bi(generate.bi_greedy),
+    "generate_bi_greedy_stop": _bi(generate.bi_greedy, stop=STOP),
+    "generate_tri_greedy": _tri(generate.tri_greedy),
+    "generate_bi_weighted": _bi(generate.bi_weighted),
+    "generate_tri_weighted": _tri(generate.tri_weighted),
+    "sentences_jdk": lambda s, d: _jdk(s, d).select("doc_id", F.col("sent").cast("long").alias("sent"), X.rendered(F.col("toks")).alias("sentence")),
+    "word_counts_jdk": lambda s, d: counts.word_counts(_jdk(s, d)),
+}
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return model.top_k(counts.word_counts(_jdk(spark, sf)), "word", "total", 100)
+
+
+# The same in SQL. The token rules, as above.
+_WS = r"[ \t\n\x0B\f\r]"
+_SENT = rf"""
+s as (select doc_id, i - 1 as sent, list_filter(list_transform(regexp_split_to_array(p[i], '{_WS}+'),
+        lambda t: lower(regexp_replace(t, '^[^\p{{L}}\p{{Nd}}'']+|[^\p{{L}}\p{{Nd}}'']+$', '', 'g'))), lambda t: t <> '') as toks
+      from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from
+            (select doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null))),
+t as (select doc_id, sent, len(toks) as n, unnest(range(len(toks))) as pos, unnest(toks) as word from s where len(toks) > 0)"""
+_W = _SENT + """,
+w as (select word, count(*)::bigint as total, count(*) filter (pos = 0)::bigint as starts, count(*) filter (pos = n - 1)::bigint as ends from t group by 1)"""
+_B = _W + """,
+g2 as (select toks[i] as w1, toks[i + 1] as w2, count(*)::bigint as cnt, count(*) filter (i + 1 = len(toks))::bigint as ends
+       from (select toks, unnest(range(1, len(toks))) as i from s) group by 1, 2)"""
+_T = _B + """,
+g3 as (select toks[i] as w1, toks[i + 1] as w2, toks[i + 2] as w3, count(*)::bigint as cnt, count(*) filter (i + 2 = len(toks))::bigint as ends
+       from (select toks, unnest(range(1, len(toks) - 1)) as i from s where len(toks) > 2) group by 1, 2, 3)"""
+_D = ",\nd as (select (row_number() over (order by word))::int as word_id, word as word_value, total as total_occurrences, starts as start_sentence_count, ends as end_sequence_count from w)"
+_SEEDS = rf""",
+seeds as (select item_id as seed_id, unnest(range(len(q))) as pos, unnest(q) as word from
+  (select item_id, list_filter(list_transform(regexp_split_to_array(trim(text), '{_WS}+'), lambda t: lower(t)), lambda t: t <> '') as q from benchmark))"""
+_SECOND = ",\nsec as (select w1, w2, sum(cnt)::bigint as total from g3 group by 1, 2), best as (select w1, arg_min(w2, (-total, w2)) as w2, max(total) as total from sec group by 1)"
+
+
+def _part(sql: str, part: int, tag: str) -> str:
+    """The counts of half of the documents, under other names."""
+    body = sql.replace("from documents where", f"from documents where doc_id % 2 = {part} and")
+    for name in ("s", "t", "w", "g2", "g3"):
+        body = body.replace(f"\n{name} as (", f"\n{name}{tag} as (").replace(f"from {name} ", f"from {name}{tag} ").replace(f"from {name})", f"from {name}{tag})")
+    return body
+
+
+def _merge_sql(n: int) -> str:
+    base, name = ((_W, "w"), (_B, "g2"), (_T, "g3"))[n - 1]
+    keys = "word" if n == 1 else ", ".join(f"w{i + 1}" for i in range(n))
+    sums = ", ".join(f"sum({c})::bigint as {c}" for c in (("total", "starts", "ends") if n == 1 else ("cnt", "ends")))
+    return f"with {_part(base, 0, 'x')}, {_part(base, 1, 'y')} select {keys}, {sums} from (from {name}x union all from {name}y) group by {keys}"
+
+
+def _walk_sql(order: int, weighted: bool, stop: str | None = None) -> str:
+    bi = order == 2
+    grams, ctx, nxt = ("g2", "w1", "w2") if bi else ("g3", "w1, w2", "w3")
+    if weighted:
+        lists = f"""r as (select *, sum(cnt) over (partition by {ctx} order by cnt desc, {nxt} rows unbounded preceding)::bigint as cum, sum(cnt) over (partition by {ctx})::bigint as total from {grams}),
+l as (select {ctx}, any_value(total) as total, list({{'cum': cum, 'w': {nxt}}} order by cum) as cands from r group by {ctx})"""
+        tries = 0 if bi else 9
+        roll = "(('0x' || substr(md5(concat_ws('|', w.seed_id, '0', w.step::varchar, k::varchar)), 1, 8))::bigint % l.total)"
+        draws = f"list_transform(range(0, {tries + 1}), lambda k: list_filter(l.cands, lambda c: {roll} < c.cum)[1].w)"
+        ok = "not list_contains(w.words, x)" if bi else "x <> w.a and x <> w.b and not list_contains(w.used, concat_ws(' ', w.b, w.a, x))"
+        pick = f"list_filter({draws}, lambda x: {ok})[1]"
+    else:
+        top = 21 if bi else 22
+        lists = f"""r as (select {ctx}, {nxt}, row_number() over (partition by {ctx} order by cnt desc, {nxt}) as rank from {grams}),
+l as (select {ctx}, list({nxt} order by rank) as cands from r where rank <= {top} group by {ctx})"""
+        avoid = "w.b is not null and x = w.b" if bi else "x = w.a or x = w.b"
+        gram = "concat_ws(' ', w.a, x)" if bi else "concat_ws(' ', w.b, w.a, x)"
+        pick = f"list_filter(l.cands, lambda x: not coalesce({avoid}, false) and not list_contains(w.used, {gram}))[1]"
+    seeds = "select word as seed_id, word as a, null::varchar as b, [word] as words from w where starts > 0" if bi else "select w.word as seed_id, best.w2 as a, w.word as b, [w.word, best.w2] as words from w join best on w.word = best.w1 where starts > 0"
+    join = "w.a = l.w1" if bi else "w.b = l.w1 and w.a = l.w2"
+    on = "" if stop is None else f" and (w.step = 0 or w.a <> '{stop}')"
+    here = " and nxt <> w1" if bi and not weighted else ""
+    base = _B if bi else _T + _SECOND
+    gram = "concat_ws(' ', w1, nxt)" if bi else "concat_ws(' ', w0, w1, nxt)"
+    return f"""with recursive {base}, {lists},
+walk(seed_id, step, a, b, words, used) as (
+  select seed_id, 0, a, b, words, []::varchar[] from ({seeds})
+  union all
+  select seed_id, step + 1, nxt, w1, list_append(words, nxt), list_append(used, {gram})
+  from (select w.seed_id, w.step, w.b as w0, w.a as w1, w.words, w.used, {pick} as nxt from walk w join l on {join} where len(w.words) < 20{on}) where nxt is not null{here})
+select seed_id as seed, array_to_string(arg_max(words, step), ' ') as sentence, len(arg_max(words, step))::bigint as n_words from walk group by 1"""
+
+
+_ROLL7 = "(('0x' || substr(md5('7'), 1, 8))::bigint % total)"
+ORACLE_SQL = {
+    "word_counts_regex": f"with {_W} select * from w",
+    "bigram_counts": f"with {_B} select * from g2",
+    "trigram_counts": f"with {_T} select * from g3",
+    "sentence_length_hist": f"with {_SENT} select len(toks)::bigint as n_tokens, count(*)::bigint as n_sentences from s where len(toks) > 0 group by 1",
+    "file_token_stats": f"with {_SENT} select doc_id, count(*)::bigint as n_tokens, count(distinct word)::bigint as n_words, count(distinct sent)::bigint as n_sentences from t group by 1",
+    "token_stream": f"with {_SENT} select doc_id, sent::bigint as sent, n::bigint as n, pos::bigint as pos, word from t",
+    "unigram_map": f"with {_W} select word, total from w",
+    "top_words": f"with {_W} select word, total from w order by total desc, word limit 10",
+    "top_followers_of_probe": f"with {_B} select w2, cnt from g2 where w1 = '{PROBE}' order by cnt desc, w2 limit 10",
+    "word_dictionary": f"with {_W}{_D} select * from d",
+    "word_pairs": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, cnt as occurrence_count, g2.ends as bi_end_frequency from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
+    "trigram_sequence": f"with {_T}{_D} select a.word_id as first_word_id, b.word_id as second_word_id, c.word_id as third_word_id, cnt as follows_count, g3.ends as tri_end_frequency from g3 join d a on w1 = a.word_value join d b on w2 = b.word_value join d c on w3 = c.word_value",
+    "packed_pair_key": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, (a.word_id::bigint << 32) | b.word_id::bigint as packed from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
+    "bigram_followers_ranked": f"with {_B} select w1, w2, cnt, row_number() over (partition by w1 order by cnt desc, w2)::bigint as rank from g2",
+    "trigram_followers_ranked": f"with {_T} select w1, w2, w3, cnt, row_number() over (partition by w1, w2 order by cnt desc, w3)::bigint as rank from g3",
+    "start_candidates": f"with {_W} select word, starts, row_number() over (order by starts desc, word)::bigint as rank from w where starts > 0",
+    "best_start": f"with {_W} select word, starts from w order by starts desc, word limit 1",
+    "second_word_totals": f"with {_T}{_SECOND} select * from sec",
+    "best_second_word": f"with {_T}{_SECOND} select * from best",
+    "follower_cumulative": f"with {_B} select w1, w2, cnt, sum(cnt) over (partition by w1 order by cnt desc, w2 rows unbounded preceding)::bigint as cum, sum(cnt) over (partition by w1)::bigint as total from g2",
+    "word_lookup": f"with {_W}{_D}{_SEEDS} select * from d where word_value in (select word from seeds)",
+    "word_lookup_one": f"with {_W}{_D} select 'value' as by, word_id, word_value from d where word_value = '{PROBE}' union all select 'id', word_id, word_value from d where word_id = 1 union all select 'missing', -1::int, ''",
+    "seed_first_known": f"with {_W}{_D}{_SEEDS} select seed_id, arg_min(word, pos) as word, arg_min(word_id, pos) as word_id from seeds join d on word = word_value group by 1",
+    "seed_top_up": f"""with {_W}{_D}{_SEEDS},
+e as (select seed_id, 0 as kind, min(pos)::bigint as k1, '' as k2, word_id from seeds join d on word = word_value group by seed_id, word_id
+  union all select seed_id, 1, -start_sentence_count, word_value, word_id from (select distinct seed_id from seeds), (select * from d where start_sentence_count > 0 order by start_sentence_count desc, word_value limit 5)
+  union all select seed_id, 2, 0, word_value, word_id from (select distinct seed_id from seeds), (select * from d order by word_value limit 10)),
+f as (select seed_id, word_id, min((kind, k1, k2)) as k from e group by 1, 2)
+select seed_id, array_to_string(list(word_id order by k)[1:5], ' ') as ids from f group by 1""",
+    "trigram_seed_resolution": f"""with {_T}{_SECOND}{_SEEDS},
+p as (select seed_id, max(word) filter (pos = 0) as w1, max(word) filter (pos = 1) as w2 from seeds group by 1), f as (select min((w1, w2)) as f from sec)
+select seed_id, case when sec.w1 is not null or best.w1 is not null then p.w1 else f.f[1] end as start1,
+       case when sec.w1 is not null then p.w2 when best.w1 is not null then best.w2 else f.f[2] end as start2
+from p left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join best on p.w1 = best.w1, f""",
+    "weighted_start": f"with {_W}, c as (select word, starts, sum(starts) over (order by starts desc, word rows unbounded preceding) as cum, sum(starts) over ()::bigint as total from w where starts > 0) select arg_min(word, cum) as word from c where {_ROLL7} < cum",
+    "new_files_anti": "select 'doc_' || doc_id || '.txt' as file_name, length(coalesce(text, ''))::bigint as n_chars from documents where doc_id % 2 = 1",
+    "merge_words": _merge_sql(1),
+    "merge_pairs": _merge_sql(2),
+    "merge_triplets": _merge_sql(3),
+    "upsert_one_pair": f"with {_B} select * from g2 where w1 = '{PROBE}' union all select '{PROBE}', 'lexiloom', 1, 2",
+    "import_history": f"with {_SENT} select 'doc_' || doc_id || '.txt' as file_name, count(*)::bigint as word_count, (timestamp '2020-01-01 00:00:00' + to_seconds(doc_id))::varchar as imported from t group by doc_id",
+    "import_report": f"with {_T} select 'words' as name, count(*)::bigint as n_rows, sum(total)::bigint as total from w union all select 'pairs', count(*), sum(cnt)::bigint from g2 union all select 'triplets', count(*), sum(cnt)::bigint from g3",
+    "generate_bi_greedy": _walk_sql(2, False),
+    "generate_bi_greedy_stop": _walk_sql(2, False, STOP),
+    "generate_tri_greedy": _walk_sql(3, False),
+    "generate_bi_weighted": _walk_sql(2, True),
+    "generate_tri_weighted": _walk_sql(3, True),
+}
