@@ -8,11 +8,11 @@ first. Arrivals come in increasing order, so a shingle stops once it is later th
 Two documents agree in a register with probability equal to their similarity; BANDS bands of ROWS registers propose
 candidates, and candidates are verified exactly.
 
-Groups. Documents of equal shingle multisets are one class from the start. In a bucket only pairs with one centre are
-verified, in turn for the bucket's smallest document and for random ones, each time only across what is not yet
-connected; then every pair left across components of a bucket is verified, but for those that the triangle inequality
-(1 - probability Jaccard is a metric) excludes. So a group of copies costs a few comparisons per document and no
-link between components is lost.
+Groups. Documents of equal shingle multisets are one class from the start. Then, for CENTRE_ROUNDS rounds, each
+document is verified against the centre of one of its buckets (the smallest document, then random ones), only across
+what is not yet connected. What is left, all pairs across components within a bucket, is compared in full: in small
+buckets pair by pair, in large ones by tiles with an inverted index, from which only links come out. So a group of
+copies costs a few comparisons per document, and no link between components of a bucket is lost.
 
 Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8.
 
@@ -32,8 +32,10 @@ from lexiloom.llm.graph import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Rounds with one random centre a bucket, before all that is left is compared.
-CENTRE_ROUNDS = 2
+#: Rounds of one comparison per document with a bucket's centre, before all that is left is compared.
+CENTRE_ROUNDS = 3
+#: Buckets of up to so many documents are then compared pair by pair, larger ones by tiles of TILE documents.
+SMALL, TILE = 8, 1024
 
 
 def weighted_shingles(h, first, k: int = WORDS):
@@ -191,6 +193,59 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
+def tile_links(open_members: DataFrame, sets: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """open_members (key, doc_id, label, n), n being the size of the bucket. Compares, in each bucket, all documents of
+    different labels, tile by tile, and returns links (a, b): enough of them to join all labels that are linked. An
+    inverted index of a tile gives every overlap at once; only what an upper bound lets through is computed in full."""
+    ship(open_members.sparkSession)
+    tiles = F.ceil(F.col("n") / F.lit(float(tile))).cast("int")
+    placed = open_members.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label")
+
+    def compare(t):
+        import numpy as np
+        import pyarrow as pa
+
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        own, ids, label = (t.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        hs = [np.frombuffer(x, np.uint64) for x in t.column("hs").to_pylist()]
+        ws = [np.frombuffer(x, np.uint32) if x else np.ones(len(h), np.uint32) for x, h in zip(t.column("ws").to_pylist(), hs)]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        size = np.array([len(h) for h in hs])
+        share = [w / w.sum() for w in ws]
+        flat = np.concatenate([hs[x] for x in right])
+        doc = np.repeat(np.arange(len(right)), size[right])
+        part = np.concatenate([share[x] for x in right])
+        order = np.argsort(flat, kind="stable")
+        flat, doc, part = flat[order], doc[order], part[order]
+        parent = {int(x): int(x) for x in label}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x in left:
+            if all(root(int(v)) == root(int(label[x])) for v in np.unique(label[right])):
+                continue
+            a, b = np.searchsorted(flat, hs[x], "left"), np.searchsorted(flat, hs[x], "right")
+            c = b - a
+            at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a, c)
+            # probability Jaccard is at most the share of either that is common
+            theirs = np.bincount(doc[at], weights=part[at], minlength=len(right))
+            mine = np.bincount(doc[at], weights=np.repeat(share[x], c), minlength=len(right))
+            for y in np.flatnonzero((theirs >= threshold - 1e-9) & (mine >= threshold - 1e-9)):
+                z = right[y]
+                if root(int(label[z])) != root(int(label[x])) and probability_jaccard(hs[x], ws[x], hs[z], ws[z]) >= threshold:
+                    parent[max(root(int(label[z])), root(int(label[x])))] = min(root(int(label[z])), root(int(label[x])))
+                    out.append((int(ids[x]), int(ids[z])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return dealt.join(sets, "doc_id").select("key", "lo", "hi", "own", "doc_id", "label", "hs", "ws").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with doc_id and text. Returns one row per distinct id that is not null: doc_id, class_id, the smallest id
     of the documents connected with it by similarity of at least threshold."""
@@ -201,34 +256,38 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands
     same = sig.select("doc_id", "digest").join(copies, "digest").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     # A copy is represented by its class; only firsts go on.
     reps = sig.join(copies, "digest", "left").filter("first is null or first = doc_id").select("doc_id", F.explode("keys").alias("key")).distinct()
-    buckets = reps.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, centre)
+    buckets = reps.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, n)
     wanted = members.select("doc_id").distinct()
     sets = staged(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
-    pairs = members.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = staged(verified(pairs, sets), "minhash-tested")
     good = lambda t: t.filter(F.col("sim") >= threshold).select("a", "b")
-    first_sims, links = tested, good(tested)
+    tested, links, unsettled = None, None, members.withColumn("label", F.col("doc_id"))
     for turn in range(CENTRE_ROUNDS + 1):
-        label = components(links)
-        m = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", "centre", F.coalesce("component", "doc_id").alias("label"))
-        # Buckets where documents other than the centre are of several components.
-        rest = m.filter("doc_id <> centre").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        m = staged(m.filter("doc_id <> centre").join(rest, "key"), "minhash-open")
-        if m.isEmpty():
+        if turn:
+            label = components(links)
+            now = unsettled.drop("label").join(label, unsettled.doc_id == label.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+            # Buckets that are still of several components.
+            rest = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+            unsettled = staged(now.join(rest, "key"), "minhash-open")
+            if unsettled.isEmpty():
+                break
+        if turn == CENTRE_ROUNDS:
+            x = unsettled.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
+            y = x.select("key", F.col("a").alias("b"), F.col("la").alias("lb"))
+            few = x.join(y, "key").filter("a < b and la <> lb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            many = tile_links(unsettled.filter(F.col("n") > SMALL), sets, threshold)
+            links = links.unionByName(staged(good(verified(few, sets)).unionByName(many), "minhash-links"))
             break
-        if turn < CENTRE_ROUNDS:
-            h = F.xxhash64("doc_id", F.lit(turn))
-            c = m.groupBy("key").agg(F.min(F.struct(h.alias("h"), F.col("doc_id").alias("c"), F.col("label").alias("l"))).alias("m")).select("key", "m.c", "m.l")
-            more = m.join(c, "key").filter("label <> l").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
-        else:
-            # 1 - similarity is a metric: documents whose distances to the centre differ by more than 1 - threshold are apart.
-            s = m.join(first_sims.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), F.col("sim").alias("s")), ["centre", "doc_id"])
-            x, y = s.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("s").alias("sa")), s.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("s").alias("sb"))
-            more = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9)).select("a", "b")
-        more = more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = staged(verified(more, sets), "minhash-tested")
-        tested, links = tested.unionByName(new), links.unionByName(good(new))
+        # One centre a bucket, and for each document one of its buckets' centres: a pair a document at most.
+        h = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+        centre = unsettled.groupBy("key").agg(F.min(F.struct(h.alias("h"), F.col("doc_id").alias("c"), F.col("label").alias("l"))).alias("m")).select("key", "m.h", "m.c", "m.l")
+        one = unsettled.join(centre, "key").filter("label <> l").groupBy("doc_id").agg(F.min(F.struct("h", "c")).alias("m"))
+        pairs = one.select(F.least("m.c", "doc_id").alias("a"), F.greatest("m.c", "doc_id").alias("b")).distinct()
+        if turn:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = staged(verified(pairs, sets), "minhash-tested")
+        tested = new if tested is None else tested.unionByName(new)
+        links = good(tested)
     found = components(links.unionByName(same))
     ids = texts.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
