@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators import model
+from lexiloom.sources.scratch import staged
 
 MAX_TOKENS = 20
 ATTEMPTS = 10
@@ -24,8 +25,9 @@ def _walk(seeds: DataFrame, lists: DataFrame, order: int, weighted: bool, most:
     """seeds (seed_id, w1[, w2]); lists (w1[, w2], cands[, total])."""
     spark, tag = seeds.sparkSession, uuid.uuid4().hex[:8]
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    seeds.createOrReplaceTempView(f"seeds_{tag}")
-    lists.createOrReplaceTempView(f"lists_{tag}")
+    # Staged, as each step of the recursion would count the corpus anew.
+    staged(seeds, "seeds").createOrReplaceTempView(f"seeds_{tag}")
+    staged(lists, "followers").createOrReplaceTempView(f"lists_{tag}")
     bi = order == 2
     most = max(1 if bi else 2, most)
     gram = "concat_ws(' ', w.a, x)" if bi else "concat_ws(' ', w.b, w.a, x)"
