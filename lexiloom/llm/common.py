@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -12,6 +11,10 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.sources.scratch import scratch_path, shared_dir, staged
+
+__all__ = ["scratch_path", "shared_dir", "staged"]
+
 #: The code points that part words in every word count of this subpackage.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
@@ -21,31 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(sc, "_lexiloom_scratch", None)
-        if base is None:  # a local session, as in tests
-            base = Path(tempfile.mkdtemp(prefix="lexiloom-")).as_uri()
-            sc._lexiloom_scratch = base
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, on storage that outlives executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each SparkContext."""
     sc = spark.sparkContext
