@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import chat, decontaminate, embedding_dedup, language_id, minhash, mixing, token_files, url_rules, warc
+from lexiloom.llm import chat, decontaminate, embedding_dedup, katz, language_id, minhash, mixing, token_files, url_rules, warc
 
 QUERIES = {
     "op1_probminhash_dedup": minhash.op1_probminhash_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_range_coded_tokens": token_files.op6_range_coded_tokens,
     "op7_chat_format": chat.op7_chat_format,
     "op8_cgk_decontaminate": decontaminate.op8_cgk_decontaminate,
+    "op9_katz_backoff": katz.op9_katz_backoff,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLE_SQL = {
