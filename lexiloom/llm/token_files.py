@@ -6,8 +6,8 @@ are named by a fresh token; the manifest that Spark commits says which ones coun
 Reading yields every document's ids, or a digest of them.
 
 A text's ids are those of the tokenizers library for the whole text. The tokenizer here drops white space before it
-splits, so a text's ids are the ids of its parts between ASCII white space, one after another; parts are looked up in
-a per-worker table, and new ones go through the library. `exact=False` turns that off for tokenizers without the
+splits, so a text's ids are the ids of its parts between ASCII white space (and before a closing mark), one after
+another; parts are looked up in a per-worker table, and new ones go through the library. `exact=False` turns that off for tokenizers without the
 property: then each text goes through the library as a whole.
 
 Defined cases: null and empty texts have the end id alone; null ids come first; rows that repeat an id are documents
@@ -27,13 +27,34 @@ from lexiloom.llm.common import filesystem, parts_for, scratch_path, ship, stage
 END_ID = 2
 BLOCK = 1 << 20
 #: Texts are cut into parts of so many bytes together at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Words a worker keeps with their ids.
-KEPT_WORDS = 3_000_000
+KEPT_WORDS = 2_000_000
+#: Texts that go through the library at a time.
+CALL = 4096
 MAGIC = b"LXTOKEN1"
 INDEX = struct.Struct("<II")
 
 
+def split_marks(data, s, e):
+    """Words that end in a letter and one of .,;:!? become two; the tokenizer splits there too, as no part of its
+    pattern spans a letter and such a mark. Letters here are ASCII ones and the Latin ones of two bytes."""
+    import numpy as np
+
+    size = e - s
+    at = np.flatnonzero((size >= 2) & np.isin(data[e - 1], np.frombuffer(b".,;:!?", np.uint8)))
+    if not len(at):
+        return s, e
+    one = data[e[at] - 2]
+    ascii_letter = ((one | 32) >= 97) & ((one | 32) <= 122)
+    two = data[np.maximum(e[at] - 3, 0)]
+    latin = (size[at] >= 3) & (two >= 0xC3) & (two <= 0xC9) & (one >= 0x80) & (one < 0xC0) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7)))
+    at = at[ascii_letter | latin]
+    stop = e.copy()
+    stop[at] -= 1
+    return np.insert(s, at + 1, e[at] - 1), np.insert(stop, at + 1, e[at])
+
+
 class WordTokenizer:
     """ids of many texts at once, by way of a table of words."""
 
@@ -45,7 +66,7 @@ class WordTokenizer:
 
         self.tok, self.by_words, self.keep = Tokenizer.from_file(path), by_words, keep
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
-        self.alphabet = tv.spaced(lower=False)
+        self.exact, self.folded = tv.spaced(lower=False), tv.spaced()
         self._forget(np)
 
     def _forget(self, np):
@@ -60,8 +81,8 @@ class WordTokenizer:
         if len(self.words) + len(new) > self.keep:
             self._forget(np)
         got = []
-        for i in range(0, len(new), 50_000):
-            got += self.library([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s[i : i + 50_000].tolist(), e[i : i + 50_000].tolist())])
+        for i in range(0, len(new), CALL):
+            got += self.library([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s[i : i + CALL].tolist(), e[i : i + CALL].tolist())])
         count = np.array([len(x) for x in got], np.int64)
         first = len(self.flat)
         self.flat = np.concatenate([self.flat, np.array([i for x in got for i in x], np.uint32)])
@@ -87,8 +108,11 @@ class WordTokenizer:
         hs, ss, es, firsts, base = [], [], [], [np.zeros(1, np.int64)], 0
         for i, j in tv.blocks(offs):
             part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            s, e, first = tv.words(part, o, self.alphabet)
-            hs.append(tv.word_hashes(part, s, e, self.alphabet))
+            s, e, _ = tv.words(part, o, self.exact)
+            s, e = split_marks(part, s, e)
+            first = np.searchsorted(s, o)
+            # Case is folded by the tokenizer, but not in its special strings, which begin with <.
+            hs.append(tv.word_hashes(part, s, e, self.exact if (part == 60).any() else self.folded))
             ss.append(s + offs[i])
             es.append(e + offs[i])
             firsts.append(first[1:] + base)
