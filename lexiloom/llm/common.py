@@ -65,3 +65,16 @@ def parts_for(spark: SparkSession, least: int = 1) -> int:
 
 def env_cores(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
+
+
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -31,10 +31,10 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc_mod, parts_for, ship, staged, table
+from lexiloom.llm.common import crc_mod, parts_for, ship, staged, table, trim
 
 CUT = 5
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 #: The hash that stands for the end of a text.
 END = 0x5A17E0FD2B3C4D91
 _COLUMNS = "batch long, doc_ids binary, doc_null binary, held binary, n_tokens binary, vocab binary, learned binary, tokens binary"
@@ -108,14 +108,14 @@ def batches(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
             hashes = []
             code, uniq = pd.factorize(np.insert(flat, np.cumsum(n), np.uint64(END)))
             uniq = np.asarray(uniq, np.uint64)
-            order = np.argsort(uniq)
-            rank = np.empty(len(uniq), np.int64)
-            rank[order] = np.arange(len(uniq))
-            tokens, on = rank[code], np.repeat(np.concatenate(train), n + 1)
+            # Words in the order in which they first occur: frequent ones have small numbers, which pack well.
+            tokens, on = code, np.repeat(np.concatenate(train), n + 1)
             learned = np.bincount(tokens[on], minlength=len(uniq))
-            out = [(task << 32) + seq, pack(np.concatenate([i.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in ids])), pack(np.concatenate([i.is_null().to_numpy(zero_copy_only=False) for i in ids]).astype(np.uint8)), pack(np.concatenate(held).astype(np.uint8)), pack(slim(n + 1)), pack(uniq[order]), pack(slim(learned)), pack(slim(tokens))]
+            out = [(task << 32) + seq, pack(np.concatenate([i.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in ids])), pack(np.concatenate([i.is_null().to_numpy(zero_copy_only=False) for i in ids]).astype(np.uint8)), pack(np.concatenate(held).astype(np.uint8)), pack(slim(n + 1)), pack(uniq), pack(slim(learned)), pack(slim(tokens))]
             seq += 1
             ids, train, held, counts, have = [], [], [], [], 0
+            del code, tokens, flat, on
+            trim()
             kinds = [pa.int64()] + [pa.binary()] * 7
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
@@ -147,6 +147,8 @@ def word_totals(base: DataFrame, parts: int, cut: int = CUT) -> DataFrame:
         for b in rows:
             for r in range(b.num_rows):
                 (vocab,), (learned,) = unpack(b.column(1)[r].as_py()), unpack(b.column(2)[r].as_py())
+                order = np.argsort(vocab)
+                vocab, learned = vocab[order], learned[order]
                 part = vocab >> np.uint64(64 - bits) if bits else np.zeros(len(vocab), np.uint64)
                 cut_at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([b.column(0)[r].as_py()] * parts, pa.int64()), pa.array([pack(vocab[x:y], slim(learned[x:y])) for x, y in zip(cut_at, cut_at[1:])], pa.binary())], names=["part", "batch", "data"])
@@ -206,21 +208,25 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
                 (held,), (sizes,), (vocab,), (tokens,) = unpack(held_raw), unpack(sizes_raw), unpack(vocab_raw), unpack(tokens_raw)
                 train = unpack(null_raw)[0] == 0
                 train &= held == 0
-                total = np.concatenate([unpack(g["totals"])[0] for g in sorted(got, key=lambda g: g["part"])]).astype(np.int64)
+                total = np.empty(len(vocab), np.int64)
+                total[np.argsort(vocab)] = np.concatenate([unpack(g["totals"])[0] for g in sorted(got, key=lambda g: g["part"])])
                 sizes, tokens = sizes.astype(np.int64), tokens.astype(np.int64)
                 first = np.cumsum(sizes) - sizes
                 log = np.log10((total + 1.0) / (n + v + 1.0))
                 base_score = np.add.reduceat(log[tokens], first)
                 known = np.add.reduceat((total > 0)[tokens].astype(np.int64), first)
                 yield emit([-1], [batch], [pack(base_score, known, sizes, held, unpack(ids_raw)[0], unpack(null_raw)[0])])
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                end = int(np.searchsorted(vocab, np.uint64(END)))
+                doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+                end = int(np.flatnonzero(vocab == np.uint64(END))[0])
                 before = np.empty_like(tokens)
                 before[1:] = tokens[:-1]
                 before[first] = end
-                key = before * len(vocab) + tokens
-                order = np.argsort(key, kind="stable")
-                key, doc = key[order], doc[order]
+                before *= len(vocab)
+                before += tokens
+                del tokens
+                order = np.argsort(before, kind="stable")
+                key, doc = before[order], doc[order]
+                del before, order
                 at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 times = np.diff(np.append(at, len(key)))
                 learned = np.add.reduceat(train[doc].astype(np.int64), at)
@@ -240,6 +246,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
                     t = times[x]
                     spots = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(at[x], t)
                     yield emit([p], [batch], [pack(vocab[hu], slim(total[hu]), slim(hi), vocab[wu], slim(total[wu]), slim(wi), slim(learned[x]), slim(t), slim(doc[spots]))])
+                trim()
 
     def merge(t):
         """A part: per history statistics; per batch what its texts need. One row a batch, one of batch -1 for the part."""
@@ -298,6 +305,8 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
             odd_key, odd_n = np.unique(hi[odd] * docs_n + doc[odd], return_counts=True)
             split_keys = lambda key: (slim(key // docs_n), slim(key % docs_n))
             out.append(pack(plain, *[slim(y) for y in by_count], *split_keys(back_key), slim(back_n), *split_keys(odd_key), slim(odd_n)))
+        del h, ch, w, cw, learned, order, sh, sw, per, of
+        trim()
         return pa.table({"batch": pa.array([*names, -1], pa.int64()), "part": pa.array([part] * (len(out) + 1), pa.int32()), "data": pa.array([*out, stats], pa.binary())})
 
     lists = totals.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("part", "totals")).alias("got"))  # a row a part

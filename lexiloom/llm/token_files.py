@@ -22,7 +22,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import filesystem, parts_for, scratch_path, ship, staged, table
+from lexiloom.llm.common import filesystem, parts_for, scratch_path, ship, staged, table, trim
 
 END_ID = 2
 BLOCK = 1 << 20
@@ -265,6 +265,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = END_ID, to: str | N
                 ids, counts = model.encode(part.column(1), end)
                 writer.add(part.column(0).to_pylist(), ids, counts)
                 docs_in += part.num_rows
+                del ids, counts
+                trim()
         if writer is not None:
             writer.finish()
             shard = TaskContext.get().partitionId()
