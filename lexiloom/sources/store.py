@@ -20,6 +20,7 @@ SCHEMAS = {
     "words": "word_id int, word_value string, total_occurrences bigint, start_sentence_count bigint, end_sequence_count bigint",
     "bigrams": "w1 string, w2 string, cnt bigint, ends bigint",
     "trigrams": "w1 string, w2 string, w3 string, cnt bigint, ends bigint",
+    "words_only": "file_name string",  # files whose n-grams are still to be counted
 }
 
 
@@ -64,14 +65,17 @@ class Store:
         fs.rename(tmp, p)
 
     def import_files(self, files: DataFrame, words_only: bool = False, split=jdk_sentence_tokens) -> int:
-        """files (file_name, text). Adds what the manifest doesn't have, by name; returns how many files were new."""
-        fresh = lookups.new_files(files, self.table("source_file")).persist()
+        """files (file_name, text). Adds what the manifest doesn't have, by name; returns how many files were new. A file
+        that came as words only gets its n-grams when it comes again without that."""
+        old = {n: self.table(n) for n in SCHEMAS}
+        fresh = lookups.new_files(files, old["source_file"]).persist()
+        late = files.join(old["words_only"], "file_name", "left_semi").groupBy("file_name").agg(F.min("text").alias("text"))
         try:
             n = fresh.count()
-            if not n:
+            if not n and (words_only or late.isEmpty()):
                 return 0
             sents = split(fresh, "file_name", "text").persist()
-            old = {n: self.table(n) for n in SCHEMAS}
+            grams = sents if words_only else sents.unionByName(split(late, "file_name", "text"))
             sizes = sents.groupBy("file_name").agg(F.sum(F.size("toks")).cast("bigint").alias("word_count"))
             top = old["source_file"].agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))
             from pyspark.sql import Window
@@ -87,8 +91,9 @@ class Store:
             out = {"source_file": old["source_file"].unionByName(added), "words": now.select(*old["words"].columns)}
             for name, k in (("bigrams", 2), ("trigrams", 3)):
                 keys = [f"w{i + 1}" for i in range(k)]
-                out[name] = old[name] if words_only else counts.merged(old[name], counts.ngram_counts(sents, k), keys)
-            self._commit(out)
+                out[name] = old[name] if words_only else counts.merged(old[name], counts.ngram_counts(grams, k), keys)
+            waiting = old["words_only"].unionByName(fresh.select("file_name")) if words_only else old["words_only"].join(files.select("file_name").distinct(), "file_name", "left_anti")
+            self._commit(out | {"words_only": waiting})
             sents.unpersist()
             return n
         finally:
