@@ -97,6 +97,10 @@ def _role(role: Column, layout: Layout) -> Column:
     return F.coalesce(F.element_at(named, role), role, F.lit(""))
 
 
+def _turn_of(layout: Layout):
+    return lambda t: F.struct(_role(t[layout.role], layout).alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text"))
+
+
 def canonical_json(df: DataFrame, column: str, layouts=LAYOUTS) -> DataFrame:
     """Adds fingerprint, layout and turns for the JSON texts of a column; records of no known layout, and texts that
     are no JSON, get a null layout and null turns."""
@@ -111,7 +115,7 @@ def canonical_json(df: DataFrame, column: str, layouts=LAYOUTS) -> DataFrame:
             made = F.filter(made, lambda t: (t.role != "system") | (t.text != ""))
         else:
             items = F.try_variant_get(F.col("_v"), f"$.{x.items}" if x.items else "$", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
-            made = F.transform(items, lambda t, x=x: F.struct(_role(t[x.role], x).alias("role"), F.coalesce(t[x.text], F.lit("")).alias("text")))
+            made = F.transform(items, _turn_of(x))
         hit = F.col("fingerprint") == fingerprint(x.paths)
         turns, name = F.when(hit, made).otherwise(turns), F.when(hit, F.lit(x.name)).otherwise(name)
     return out.withColumn("turns", turns).withColumn("layout", name).drop("_v")

@@ -67,6 +67,14 @@ def env_cores(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def trim() -> None:
     """Gives memory that a worker no longer uses back to the system, where the C library can."""
     import ctypes

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.common import ship, table
+from lexiloom.llm.common import fresh, ship, table
 
 EDIT_SHARE = 0.2
 MIN_WORDS = 5
@@ -286,7 +286,7 @@ def clean(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(rows)) for c in range(len(names))], names=names)
 
     for block in item_blocks(items):
-        out = _scan(out.select("*", F.col("text").cast("string").alias("_scanned")), block, schema, emit, share)
+        out = _scan(out.select("*", F.col("text").cast("string").alias(fresh(out, "_scanned"))), block, schema, emit, share)
     return out
 
 

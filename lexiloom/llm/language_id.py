@@ -132,6 +132,26 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows of docs (text among its columns) whose language isn't rejected."""
+    spark = docs.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = Classifier(held.value)
+        for b in batches:
+            got = [model.predict(x.as_py()) for x in b.column(at)]
+            keep = [i for i, g in enumerate(got) if g[0] != UNKNOWN and g[2] >= margin]
+            if keep:
+                yield b.take(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Labelled documents whose crc32 of the id is not 2 modulo 4."""
     return docs.filter(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))

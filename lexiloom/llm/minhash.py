@@ -8,11 +8,11 @@ first. Arrivals come in increasing order, so a shingle stops once it is later th
 Two documents agree in a register with probability equal to their similarity; BANDS bands of ROWS registers propose
 candidates, and candidates are verified exactly.
 
-Groups. Documents of equal shingle multisets are one class from the start. Then, for CENTRE_ROUNDS rounds, each
-document is verified against the centre of one of its buckets (the smallest document, then random ones), only across
-what is not yet connected. What is left, all pairs across components within a bucket, is compared in full: in small
-buckets pair by pair, in large ones by tiles with an inverted index, from which only links come out. So a group of
-copies costs a few comparisons per document, and no link between components of a bucket is lost.
+Groups. Documents of equal shingle multisets are one class from the start. Then each document is verified against the
+smallest centre of its buckets (a bucket's centre is its smallest document). What is left, all pairs across components
+within a bucket, is compared in full: in small buckets pair by pair, in large ones by tiles with an inverted index, and
+only links come out. So a group of copies costs about a comparison per document, and no link between components of a
+bucket is lost.
 
 Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8.
 
@@ -26,15 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import ship, staged, table
+from lexiloom.llm.common import fresh, ship, staged, table
 from lexiloom.llm.graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Rounds of one comparison per document with a bucket's centre, before all that is left is compared.
-CENTRE_ROUNDS = 3
-#: Buckets of up to so many documents are then compared pair by pair, larger ones by tiles of TILE documents.
+#: Buckets of up to SMALL documents are compared pair by pair, others with an inverted index, in tiles of TILE documents.
 SMALL, TILE = 8, 1024
 
 
@@ -193,32 +191,32 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
-def tile_links(open_members: DataFrame, sets: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """open_members (key, doc_id, label, n), n being the size of the bucket. Compares, in each bucket, all documents of
-    different labels, tile by tile, and returns links (a, b): enough of them to join all labels that are linked. An
-    inverted index of a tile gives every overlap at once; only what an upper bound lets through is computed in full."""
-    ship(open_members.sparkSession)
-    tiles = F.ceil(F.col("n") / F.lit(float(tile))).cast("int")
-    placed = open_members.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label")
+def bucket_links(unsettled: DataFrame, sets: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """unsettled (key, doc_id, label, n), n being the size of the bucket. Compares, in each bucket, all documents of
+    different labels and returns links (a, b): enough of them to join all labels that are linked. Buckets of up to tile
+    documents are dealt to tasks many at a time; larger ones are cut into tiles, and pairs of tiles compared."""
+    ship(unsettled.sparkSession)
+    chunks = unsettled.count() // 2000 + 1
+    big = F.col("n") > tile
+    placed = unsettled.withColumn("tiles", F.when(big, F.ceil(F.col("n") / F.lit(float(tile)))).otherwise(1).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        F.when(big, F.col("key")).alias("bucket"), F.when(~big, F.pmod(F.xxhash64("key"), F.lit(chunks))).alias("chunk"),
+        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "doc_id", "label",
+    )
 
     def compare(t):
         import numpy as np
         import pyarrow as pa
 
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        own, ids, label = (t.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        key, own, ids, label = (t.column(c).to_numpy() for c in ("key", "own", "doc_id", "label"))
         hs = [np.frombuffer(x, np.uint64) for x in t.column("hs").to_pylist()]
         ws = [np.frombuffer(x, np.uint32) if x else np.ones(len(h), np.uint32) for x, h in zip(t.column("ws").to_pylist(), hs)]
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         size = np.array([len(h) for h in hs])
-        share = [w / w.sum() for w in ws]
-        flat = np.concatenate([hs[x] for x in right])
-        doc = np.repeat(np.arange(len(right)), size[right])
-        part = np.concatenate([share[x] for x in right])
-        order = np.argsort(flat, kind="stable")
-        flat, doc, part = flat[order], doc[order], part[order]
         parent = {int(x): int(x) for x in label}
+        label = label.tolist()
+        known: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
 
         def root(x):
             while parent[x] != x:
@@ -226,24 +224,54 @@ def tile_links(open_members: DataFrame, sets: DataFrame, threshold: float, tile:
                 x = parent[x]
             return x
 
-        out = []
-        for x in left:
-            if all(root(int(v)) == root(int(label[x])) for v in np.unique(label[right])):
-                continue
-            a, b = np.searchsorted(flat, hs[x], "left"), np.searchsorted(flat, hs[x], "right")
-            c = b - a
-            at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a, c)
-            # probability Jaccard is at most the share of either that is common
-            theirs = np.bincount(doc[at], weights=part[at], minlength=len(right))
-            mine = np.bincount(doc[at], weights=np.repeat(share[x], c), minlength=len(right))
-            for y in np.flatnonzero((theirs >= threshold - 1e-9) & (mine >= threshold - 1e-9)):
-                z = right[y]
-                if root(int(label[z])) != root(int(label[x])) and probability_jaccard(hs[x], ws[x], hs[z], ws[z]) >= threshold:
-                    parent[max(root(int(label[z])), root(int(label[x])))] = min(root(int(label[z])), root(int(label[x])))
-                    out.append((int(ids[x]), int(ids[z])))
+        def test(x, y):
+            a, b = root(label[x]), root(label[y])
+            pair = (min(ids[x], ids[y]), max(ids[x], ids[y]))
+            if a == b or pair in known:
+                return
+            known.add(pair)
+            # the similarity is at most the smaller set's share of the larger where no weight is above one
+            if ws[x].max() == 1 == ws[y].max() and min(size[x], size[y]) < threshold * max(size[x], size[y]):
+                return
+            if probability_jaccard(hs[x], ws[x], hs[y], ws[y]) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[y])))
+
+        def large(left, right):
+            """An inverted index gives the overlaps of a document with all of right at once."""
+            share = {int(z): ws[z] / ws[z].sum() for z in {*left.tolist(), *right.tolist()}}
+            flat, doc = np.concatenate([hs[z] for z in right]), np.repeat(np.arange(len(right)), size[right])
+            part = np.concatenate([share[int(z)] for z in right])
+            order = np.argsort(flat, kind="stable")
+            flat, doc, part = flat[order], doc[order], part[order]
+            names = sorted({label[z] for z in right.tolist()})
+            for x in left.tolist():
+                mine = root(label[x])
+                if all(root(v) == mine for v in names):
+                    continue
+                a, b = np.searchsorted(flat, hs[x], "left"), np.searchsorted(flat, hs[x], "right")
+                c = b - a
+                at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a, c)
+                # probability Jaccard is at most the share of either that is common
+                of_them = np.bincount(doc[at], weights=part[at], minlength=len(right))
+                of_x = np.bincount(doc[at], weights=np.repeat(share[x], c), minlength=len(right))
+                for y in np.flatnonzero((of_them >= threshold - 1e-9) & (of_x >= threshold - 1e-9)).tolist():
+                    test(x, int(right[y]))
+
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        for i, j in zip(cuts, cuts[1:]):
+            rows = order[i:j]
+            if len(rows) <= SMALL:
+                for m, x in enumerate(rows.tolist()):
+                    for y in rows[m + 1 :].tolist():
+                        if {own[x], own[y]} == {lo, hi}:
+                            test(x, y)
+            else:
+                large(rows[own[rows] == lo], rows[own[rows] == hi])
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return dealt.join(sets, "doc_id").select("key", "lo", "hi", "own", "doc_id", "label", "hs", "ws").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return dealt.join(sets, "doc_id").select("bucket", "chunk", "lo", "hi", "own", "key", "doc_id", "label", "hs", "ws").groupBy("bucket", "chunk", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -256,52 +284,34 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands
     same = sig.select("doc_id", "digest").join(copies, "digest").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     # A copy is represented by its class; only firsts go on.
     reps = sig.join(copies, "digest", "left").filter("first is null or first = doc_id").select("doc_id", F.explode("keys").alias("key")).distinct()
-    buckets = reps.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, n)
+    buckets = reps.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, centre, n)
     wanted = members.select("doc_id").distinct()
     sets = staged(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
-    good = lambda t: t.filter(F.col("sim") >= threshold).select("a", "b")
-    tested, links, unsettled = None, None, members.withColumn("label", F.col("doc_id"))
-    for turn in range(CENTRE_ROUNDS + 1):
-        if turn:
-            label = components(links)
-            now = unsettled.drop("label").join(label, unsettled.doc_id == label.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-            # Buckets that are still of several components.
-            rest = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            unsettled = staged(now.join(rest, "key"), "minhash-open")
-            if unsettled.isEmpty():
-                break
-        if turn == CENTRE_ROUNDS:
-            x = unsettled.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-            y = x.select("key", F.col("a").alias("b"), F.col("la").alias("lb"))
-            few = x.join(y, "key").filter("a < b and la <> lb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            many = tile_links(unsettled.filter(F.col("n") > SMALL), sets, threshold)
-            links = links.unionByName(staged(good(verified(few, sets)).unionByName(many), "minhash-links"))
-            break
-        # One centre a bucket, and for each document one of its buckets' centres: a pair a document at most.
-        h = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        centre = unsettled.groupBy("key").agg(F.min(F.struct(h.alias("h"), F.col("doc_id").alias("c"), F.col("label").alias("l"))).alias("m")).select("key", "m.h", "m.c", "m.l")
-        one = unsettled.join(centre, "key").filter("label <> l").groupBy("doc_id").agg(F.min(F.struct("h", "c")).alias("m"))
-        pairs = one.select(F.least("m.c", "doc_id").alias("a"), F.greatest("m.c", "doc_id").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = staged(verified(pairs, sets), "minhash-tested")
-        tested = new if tested is None else tested.unionByName(new)
-        links = good(tested)
-    found = components(links.unionByName(same))
+    # One comparison per document, with the smallest centre of its buckets, joins most of each group.
+    pairs = members.groupBy("doc_id").agg(F.min("centre").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    links = staged(verified(pairs, sets).filter(F.col("sim") >= threshold).select("a", "b"), "minhash-links")
+    label = components(links)
+    now = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    # Buckets that are still of several components are compared in full.
+    rest = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    unsettled = staged(now.join(rest, "key"), "minhash-open")
+    more = bucket_links(unsettled, sets, threshold)
+    found = components(links.unionByName(more).unionByName(same))
     ids = texts.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs of one document of each class, that with the smallest id; of rows that repeat an id and agree
-    in all columns one stays; rows with a null id stay."""
-    by_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    marks = classes(docs, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("_id")).join(by_id, F.col("_id") == by_id.doc_id).select("_id", "n")
-    kept = docs.join(marks, docs.doc_id == F.col("_id"))
-    once = kept.filter("n = 1").select(*[kept[c] for c in docs.columns])
-    again = kept.filter("n > 1").select(*[kept[c] for c in docs.columns]).distinct()
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    """The rows of docs of one document of each class, that with the smallest id. Of rows that repeat this id one stays
+    (the smallest by a hash of its text). Rows with a null id stay."""
+    ident, many = fresh(docs, "_id"), fresh(docs, "_n")
+    rows = docs.groupBy("doc_id").agg(F.count("*").alias(many))
+    marks = classes(docs, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("k")).join(rows, F.col("k") == F.col("doc_id")).select(F.col("k").alias(ident), many)
+    kept = docs.join(marks, docs.doc_id == marks[ident])
+    once = kept.filter(marks[many] == 1).select(*[docs[c] for c in docs.columns])
+    again = kept.filter(marks[many] > 1).groupBy(marks[ident]).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(docs.text)).alias("r"))
+    return once.unionByName(again.select(*[F.col("r")[c].alias(c) for c in docs.columns])).unionByName(docs.filter("doc_id is null"))
 
 
 def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import staged, table, word_count
+from lexiloom.llm.common import fresh, staged, table, word_count
 
 #: Source weights, by the code-point order of the names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -87,10 +87,11 @@ def sampled(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
     taken = sampled(docs, weights, most, seed).filter("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # Rows that repeat an id share its copies: each takes the same, the first of them the remainder.
-    t = taken.select(F.col("doc_id").alias("_id"), "copies", "rows")
-    joined = docs.join(t, docs.doc_id.eqNullSafe(t._id))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies") / F.col("rows")).cast("int")))).select(*[joined[c] for c in docs.columns])
+    # Rows that repeat an id share its copies evenly, one each at least.
+    joined = docs.join(taken, docs.doc_id.eqNullSafe(taken.doc_id))
+    times = F.greatest(F.lit(1), taken.copies / taken.rows).cast("int")
+    turn = fresh(docs, "_turn")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias(turn)).drop(turn)
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
