@@ -4,13 +4,12 @@ Every stage is (spark, docs, sf_dir) -> DataFrame. All but the last return rows
 stage's result is written as Parquet and reread as the next one's docs. Every stage calls an operator of lexiloom.llm;
 nothing is sampled or capped but by the mixing, whose purpose that is.
 
-Null or empty texts have no language and go in the first stage; rows that repeat one another in all columns are one
-row from the second stage on; a mix may repeat rows again."""
+Null or empty texts have no language and go in the first stage; of rows that repeat an id one is left
+from the second stage on; a mix may repeat rows again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexiloom.llm import decontaminate, language_id, minhash, mixing, token_files
 from lexiloom.llm.common import staged, table
@@ -19,7 +18,7 @@ from lexiloom.llm.common import staged, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out what language identification rejects."""
     model = language_id.learned_dictionaries(language_id.training_rows(docs))
-    return language_id.identified(docs, model, keep=tuple(docs.columns)).filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
