@@ -8,11 +8,10 @@ first. Arrivals come in increasing order, so a shingle stops once it is later th
 Two documents agree in a register with probability equal to their similarity; BANDS bands of ROWS registers propose
 candidates, and candidates are verified exactly.
 
-Groups. Documents of equal shingle multisets are one class from the start. Then each document is verified against the
-smallest centre of its buckets (a bucket's centre is its smallest document). What is left, all pairs across components
-within a bucket, is compared in full: in small buckets pair by pair, in large ones by tiles with an inverted index, and
-only links come out. So a group of copies costs about a comparison per document, and no link between components of a
-bucket is lost.
+Groups. Documents of equal shingle multisets are one class from the start. Documents that buckets connect meet in tasks
+(`dealt_out`: small families many to a task, large ones by pairs of tiles), where all pairs of a bucket are verified
+but for those already connected; large buckets use an inverted index. Only links that join something come out, so a
+group of n copies makes about n rows, and no link between components of a bucket is lost.
 
 Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8.
 
@@ -34,6 +33,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Buckets of up to SMALL documents are compared pair by pair, others with an inverted index, in tiles of TILE documents.
 SMALL, TILE = 8, 1024
+#: Families of more tiles than this are compared bucket by bucket.
+MOST_TILES = 8
 
 
 def weighted_shingles(h, first, k: int = WORDS):
@@ -166,55 +167,50 @@ def probability_jaccard(ha, wa, hb, wb) -> float:
     return float((x[ia] / (below[at] + above[at] / rho)).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b), sets of shingle_sets. Returns (a, b, sim) with the exact similarity."""
-    ship(pairs.sparkSession)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def weights(raw, n):
-            return np.frombuffer(raw, np.uint32) if raw else np.ones(n, np.uint32)
-
-        for b in batches:
-            sims = []
-            for i in range(b.num_rows):
-                ha, wa, hb, wb = (b.column(c)[i].as_py() for c in (2, 3, 4, 5))
-                ha, hb = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
-                sims.append(probability_jaccard(ha, weights(wa, len(ha)), hb, weights(wb, len(hb))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
-
-    one = sets.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha"), F.col("ws").alias("wa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
-    # b first: each b has few pairs, while a centre a may have very many; that join is spread by skew handling.
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a long, b long, sim double")
-
-
-def bucket_links(unsettled: DataFrame, sets: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """unsettled (key, doc_id, label, n), n being the size of the bucket. Compares, in each bucket, all documents of
-    different labels and returns links (a, b): enough of them to join all labels that are linked. Buckets of up to tile
-    documents are dealt to tasks many at a time; larger ones are cut into tiles, and pairs of tiles compared."""
-    ship(unsettled.sparkSession)
-    chunks = unsettled.count() // 2000 + 1
-    big = F.col("n") > tile
-    placed = unsettled.withColumn("tiles", F.when(big, F.ceil(F.col("n") / F.lit(float(tile)))).otherwise(1).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        F.when(big, F.col("key")).alias("bucket"), F.when(~big, F.pmod(F.xxhash64("key"), F.lit(chunks))).alias("chunk"),
-        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "doc_id", "label",
-    )
+def dealt_out(members: DataFrame, tile: int = TILE, most_tiles: int = MOST_TILES) -> DataFrame:
+    """members (key, doc_id, centre, n), a row per document and bucket. Deals documents to tasks so that every two of a
+    bucket meet: (grp, lo, hi, own, doc_id, keys), a group being (grp, lo, hi). Documents that buckets connect are a
+    family. Small families go many to a task, and each of their documents once; families of up to most_tiles tiles go by
+    pairs of tiles; the buckets of larger families go by themselves, cut into tiles if they are large."""
+    family = components(members.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
+    docs = members.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # a key per band at most
+    docs = docs.join(family, docs.doc_id == family.node).select("doc_id", "keys", F.col("component").alias("family"))
+    sizes = docs.groupBy("family").agg(F.count("*").alias("size"))
+    docs = staged(docs.join(sizes, "family"), "minhash-families")
+    chunks = docs.count() // 2000 + 1
+    wide = F.col("size") > most_tiles * tile
+
+    def tiled(df: DataFrame, size: str, whole, part) -> DataFrame:
+        tiles = F.ceil(F.col(size) / F.lit(float(tile))).cast("int")
+        placed = df.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        return spread.select(F.when(F.col("tiles") == 1, whole).otherwise(part).alias("grp"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "keys")
+
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("string")
+    by_family = tiled(docs.filter(~wide), "size", F.concat(F.lit("c"), chunk("family")), F.concat(F.lit("f"), F.col("family").cast("string")))
+    lone = members.join(docs.filter(wide).select("doc_id"), "doc_id").select("doc_id", "key", "n", F.array("key").alias("keys"))
+    by_bucket = tiled(lone, "n", F.concat(F.lit("k"), chunk("key")), F.concat(F.lit("b"), F.col("key").cast("string")))
+    return by_family.unionByName(by_bucket)
+
+
+def bucket_links(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """dealt of dealt_out. Compares all documents of a bucket that aren't connected yet in the task and returns the links
+    (a, b) found: a spanning forest of them in each task."""
+    ship(dealt.sparkSession)
 
     def compare(t):
         import numpy as np
         import pyarrow as pa
 
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        key, own, ids, label = (t.column(c).to_numpy() for c in ("key", "own", "doc_id", "label"))
+        own, ids = t.column("own").to_numpy(), t.column("doc_id").to_numpy()
+        keys = t.column("keys").combine_chunks()
+        key, holder = keys.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(keys.offsets.to_numpy()))
         hs = [np.frombuffer(x, np.uint64) for x in t.column("hs").to_pylist()]
         ws = [np.frombuffer(x, np.uint32) if x else np.ones(len(h), np.uint32) for x, h in zip(t.column("ws").to_pylist(), hs)]
         size = np.array([len(h) for h in hs])
-        parent = {int(x): int(x) for x in label}
-        label = label.tolist()
+        label = ids.tolist()  # rows that repeat a document share a node
+        parent = {x: x for x in label}
         known: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
 
@@ -244,10 +240,13 @@ def bucket_links(unsettled: DataFrame, sets: DataFrame, threshold: float, tile:
             part = np.concatenate([share[int(z)] for z in right])
             order = np.argsort(flat, kind="stable")
             flat, doc, part = flat[order], doc[order], part[order]
-            names = sorted({label[z] for z in right.tolist()})
+            names, joined = sorted({label[z] for z in right.tolist()}), None
             for x in left.tolist():
                 mine = root(label[x])
+                if joined == (len(out), mine):
+                    continue
                 if all(root(v) == mine for v in names):
+                    joined = (len(out), mine)  # holds until something else is joined
                     continue
                 a, b = np.searchsorted(flat, hs[x], "left"), np.searchsorted(flat, hs[x], "right")
                 c = b - a
@@ -259,19 +258,20 @@ def bucket_links(unsettled: DataFrame, sets: DataFrame, threshold: float, tile:
                     test(x, int(right[y]))
 
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        key, holder = key[order], holder[order]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         for i, j in zip(cuts, cuts[1:]):
-            rows = order[i:j]
+            rows = holder[i:j]
             if len(rows) <= SMALL:
                 for m, x in enumerate(rows.tolist()):
                     for y in rows[m + 1 :].tolist():
-                        if {own[x], own[y]} == {lo, hi}:
+                        if {int(own[x]), int(own[y])} == {lo, hi}:
                             test(x, y)
             else:
                 large(rows[own[rows] == lo], rows[own[rows] == hi])
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return dealt.join(sets, "doc_id").select("bucket", "chunk", "lo", "hi", "own", "key", "doc_id", "label", "hs", "ws").groupBy("bucket", "chunk", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return dealt.join(sets, "doc_id").select("grp", "lo", "hi", "own", "doc_id", "keys", "hs", "ws").groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -288,16 +288,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands
     members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, centre, n)
     wanted = members.select("doc_id").distinct()
     sets = staged(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
-    # One comparison per document, with the smallest centre of its buckets, joins most of each group.
-    pairs = members.groupBy("doc_id").agg(F.min("centre").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    links = staged(verified(pairs, sets).filter(F.col("sim") >= threshold).select("a", "b"), "minhash-links")
-    label = components(links)
-    now = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-    # Buckets that are still of several components are compared in full.
-    rest = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    unsettled = staged(now.join(rest, "key"), "minhash-open")
-    more = bucket_links(unsettled, sets, threshold)
-    found = components(links.unionByName(more).unionByName(same))
+    links = bucket_links(dealt_out(members), sets, threshold)
+    found = components(links.unionByName(same))
     ids = texts.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
