@@ -120,21 +120,17 @@ def planned(pages: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("digest", F.sha2(text.cast("binary"), 256)).withColumn("bytes", F.octet_length(text))
-    # Rows that repeat an id: told apart by their content; equal rows are numbered where they meet.
-    small = base.select("page_id", "url", "digest", "bytes")
-    firsts = small.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("id"), F.xxhash64("url").alias("u"))).alias("first"), F.count("*").alias("rows")
-    ).filter("rows > 1")
-    per_page = (
-        small.filter(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest").distinct()
-        .join(firsts, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first.id").alias("first_id"), F.col("first.u").alias("first_u"))
-    )
-    full = base.join(per_page, base.page_id.eqNullSafe(per_page.p) & (base.digest == per_page.d), "left")
-    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy(F.xxhash64("url")))
-    key = lambda page, digest, n: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("null")), digest, n.cast("string"))
-    out = full.withColumn("n", number).withColumn("key", key(F.col("page_id"), F.col("digest"), F.col("n")))
-    is_first = F.col("d").isNull() | (F.col("first_id").eqNullSafe(F.col("page_id")) & (F.col("n") == 1))
-    return out.withColumn("refers_key", F.when(~is_first, key(F.col("first_id"), F.col("digest"), F.lit(1)))).select(
+    # One key for the join and the numbering of repeated rows, so that html moves once.
+    pair = lambda page, digest: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("null")), digest)
+    base = base.withColumn("pair", pair(F.col("page_id"), F.col("digest")))
+    small = base.filter(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest", "pair")
+    firsts = small.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("id"))).alias("first"), F.count("*").alias("rows"))
+    per_page = small.distinct().join(firsts.filter("rows > 1"), "digest").select("pair", pair(F.col("first.id"), F.col("digest")).alias("first_pair"))
+    full = base.join(per_page, "pair", "left")
+    number = F.row_number().over(Window.partitionBy("pair").orderBy(F.xxhash64("url")))
+    out = full.withColumn("n", number).withColumn("key", F.concat_ws("|", "pair", F.col("n").cast("string")))
+    is_first = F.col("first_pair").isNull() | ((F.col("first_pair") == F.col("pair")) & (F.col("n") == 1))
+    return out.withColumn("refers_key", F.when(~is_first, F.concat_ws("|", "first_pair", F.lit("1")))).select(
         "page_id", "url", F.when(is_first, F.col("html")).alias("html"), "digest", "key", "refers_key"
     )
 
