@@ -118,9 +118,24 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
     return rows_in.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """docs (doc_id, text). Per document: doc_id, hashes and weights as packed bytes, sorted by hash."""
-    ship(docs.sparkSession)
+def packed_hashes(h) -> bytes:
+    """Sorted 64-bit hashes by their upper 40 bits, which tell the shingles of two documents apart well enough."""
+    import numpy as np
+
+    return np.ascontiguousarray((h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked_hashes(raw: bytes):
+    import numpy as np
+
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def shingle_sets(dealt: DataFrame, k: int = WORDS) -> DataFrame:
+    """dealt of dealt_out, with text. In its place: hashes and weights of the shingles as packed bytes, sorted by hash."""
+    ship(dealt.sparkSession)
 
     def run(batches):
         import numpy as np
@@ -130,14 +145,15 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
         alphabet = tv.lettered()
         for b in batches:
-            for i, j, h, first in tv.hashed(b.column(1), alphabet):
+            for i, j, h, first in tv.hashed(b.column(6), alphabet):
                 doc, s, w = weighted_shingles(h, first, k)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                hs = [s[cut[x] : cut[x + 1]].tobytes() for x in range(j - i)]
+                hs = [packed_hashes(s[cut[x] : cut[x + 1]]) for x in range(j - i)]
                 ws = [b"" if (part := w[cut[x] : cut[x + 1]]).max(initial=1) == 1 else part.astype(np.uint32).tobytes() for x in range(j - i)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["doc_id", "hs", "ws"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(6)), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["grp", "lo", "hi", "own", "doc_id", "keys", "hs", "ws"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hs binary, ws binary")
+    kinds = "grp string, lo int, hi int, own int, doc_id long, keys array<long>, hs binary, ws binary"
+    return dealt.select("grp", "lo", "hi", "own", "doc_id", "keys", "text").mapInArrow(run, kinds)
 
 
 def probability_jaccard(ha, wa, hb, wb) -> float:
@@ -193,10 +209,10 @@ def dealt_out(members: DataFrame, tile: int = TILE, most_tiles: int = MOST_TILES
     return by_family.unionByName(by_bucket)
 
 
-def bucket_links(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """dealt of dealt_out. Compares all documents of a bucket that aren't connected yet in the task and returns the links
+def bucket_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """sets of shingle_sets. Compares all documents of a bucket that aren't connected yet in the task and returns the links
     (a, b) found: a spanning forest of them in each task."""
-    ship(dealt.sparkSession)
+    ship(sets.sparkSession)
 
     def compare(t):
         import numpy as np
@@ -206,7 +222,7 @@ def bucket_links(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFra
         own, ids = t.column("own").to_numpy(), t.column("doc_id").to_numpy()
         keys = t.column("keys").combine_chunks()
         key, holder = keys.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(keys.offsets.to_numpy()))
-        hs = [np.frombuffer(x, np.uint64) for x in t.column("hs").to_pylist()]
+        hs = [unpacked_hashes(x) for x in t.column("hs").to_pylist()]
         ws = [np.frombuffer(x, np.uint32) if x else np.ones(len(h), np.uint32) for x, h in zip(t.column("ws").to_pylist(), hs)]
         size = np.array([len(h) for h in hs])
         label = ids.tolist()  # rows that repeat a document share a node
@@ -235,6 +251,8 @@ def bucket_links(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
         def large(left, right):
             """An inverted index gives the overlaps of a document with all of right at once."""
+            if not len(left) or not len(right):
+                return
             share = {int(z): ws[z] / ws[z].sum() for z in {*left.tolist(), *right.tolist()}}
             flat, doc = np.concatenate([hs[z] for z in right]), np.repeat(np.arange(len(right)), size[right])
             part = np.concatenate([share[int(z)] for z in right])
@@ -271,7 +289,7 @@ def bucket_links(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFra
                 large(rows[own[rows] == lo], rows[own[rows] == hi])
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return dealt.join(sets, "doc_id").select("grp", "lo", "hi", "own", "doc_id", "keys", "hs", "ws").groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return sets.groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -286,9 +304,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands
     reps = sig.join(copies, "digest", "left").filter("first is null or first = doc_id").select("doc_id", F.explode("keys").alias("key")).distinct()
     buckets = reps.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, centre, n)
-    wanted = members.select("doc_id").distinct()
-    sets = staged(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
-    links = bucket_links(dealt_out(members), sets, threshold)
+    # Texts are read again, for candidates only, and go to their tasks as shingles: those are moved once.
+    links = bucket_links(shingle_sets(texts.join(dealt_out(members), "doc_id"), k), threshold)
     found = components(links.unionByName(same))
     ids = texts.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
