@@ -31,7 +31,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc_mod, parts_for, ship, staged, table, trim
+from lexiloom.llm.common import crc_mod, filesystem, parts_for, scratch_path, ship, staged, table, trim
 
 CUT = 5
 BATCH_BYTES = 12 << 20
@@ -180,7 +180,7 @@ def _unigram(c, n: int, d: list[float], unknown: float):
 def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     """docs (doc_id, train, held_out, text). Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    parts = 1 << int(math.log2(max(4, parts_for(spark))))
+    parts = 1 << math.ceil(math.log2(max(4, parts_for(spark))))
     base = batches(docs)
     totals = word_totals(base, parts, cut)
     sums = [0] * (cut + 3)
@@ -193,23 +193,33 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     unknown = unknown if unknown > 0 else 1.0 / (n + 1)
     split = max(1, n // (4 * parts))  # a history with more tokens goes to several parts
 
+    # A batch's totals lie in its slot, a folder that one task writes; the batch reads them there, so that the batches,
+    # which are large, aren't shuffled for a join.
+    slots, looked_up = parts_for(spark), scratch_path(spark, "katz-totals")
+    slot_of = lambda batch: F.pmod(F.xxhash64(batch), F.lit(slots)).cast("int")
+    totals.filter("batch >= 0").withColumn("slot", slot_of(F.col("batch"))).repartition(slots, "slot").write.partitionBy("slot").parquet(looked_up)
+
     def pairs(rows):
         """To parts: the pairs of a batch. To part -1: what needs no pair, per text."""
         import numpy as np
         import pyarrow as pa
+        import pyarrow.dataset as ds
 
         from lexiloom.llm import textvec as tv
 
         bits = int(math.log2(parts))
+        fs, folder = filesystem(looked_up)
         emit = lambda part, batch, data: pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(batch, pa.int64()), pa.array(data, pa.binary())], names=["part", "batch", "data"])
         for b in rows:
             for r in range(b.num_rows):
-                batch, held_raw, sizes_raw, vocab_raw, tokens_raw, ids_raw, null_raw, got = (b.column(x)[r].as_py() for x in range(8))
+                batch, held_raw, sizes_raw, vocab_raw, tokens_raw, ids_raw, null_raw, slot = (b.column(x)[r].as_py() for x in range(8))
+                mine = ds.dataset(f"{folder}/slot={slot}", filesystem=fs, format="parquet").to_table(columns=["part", "totals"], filter=ds.field("batch") == batch)
+                got = sorted(mine.to_pylist(), key=lambda g: g["part"])
                 (held,), (sizes,), (vocab,), (tokens,) = unpack(held_raw), unpack(sizes_raw), unpack(vocab_raw), unpack(tokens_raw)
                 train = unpack(null_raw)[0] == 0
                 train &= held == 0
                 total = np.empty(len(vocab), np.int64)
-                total[np.argsort(vocab)] = np.concatenate([unpack(g["totals"])[0] for g in sorted(got, key=lambda g: g["part"])])
+                total[np.argsort(vocab)] = np.concatenate([unpack(g["totals"])[0] for g in got])
                 sizes, tokens = sizes.astype(np.int64), tokens.astype(np.int64)
                 first = np.cumsum(sizes) - sizes
                 log = np.log10((total + 1.0) / (n + v + 1.0))
@@ -309,9 +319,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
         trim()
         return pa.table({"batch": pa.array([*names, -1], pa.int64()), "part": pa.array([part] * (len(out) + 1), pa.int32()), "data": pa.array([*out, stats], pa.binary())})
 
-    lists = totals.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("part", "totals")).alias("got"))  # a row a part
-    joined = base.select("batch", "held", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null").join(lists, "batch")
-    sent = joined.mapInArrow(pairs, "part int, batch long, data binary")
+    sent = base.select("batch", "held", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null", slot_of(F.col("batch")).alias("slot")).mapInArrow(pairs, "part int, batch long, data binary")
     # Rows of part -1 are per batch: they go by batch, so that no task gets all of them.
     plain = staged(sent.withColumn("turn", F.when(F.col("part") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("part", "turn").applyInArrow(merge, "batch long, part int, data binary"), "katz-parts")
     n_pairs, wide = [0] * (cut + 1), {}
