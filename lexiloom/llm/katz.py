@@ -3,10 +3,12 @@
 *Model.* Tokens are words (between ASCII white space, A-Z lower-cased) and one end a text; a text's first token has the
 end as its history. P(w | h) = d(c) c(h, w) / c(h) if the pair was learned, else alpha(h) P(w); P(w) = d1(c) c(w) / N if the
 word was learned, else the whole of what that leaves, for the one class of unknown words. d and d1 are Good-Turing
-discounts of counts up to CUT, with Katz's correction; larger counts aren't discounted. alpha(h) is exact: what the
-learned pairs of h leave, over what their words leave of P. A history none of whose pairs is discounted counts once
-more in its denominator, so that something is left. Where the counts of counts give no usable discounts (small
-corpora), (c - 1/2) / c stands in.
+discounts of counts up to CUT, with Katz's correction; larger counts aren't discounted. From the first count whose
+discount is not between 0 and 1 (copies in the corpus bend the counts of counts), the counts of counts are smoothed as
+in Simple Good-Turing: a line through the logarithms of Z_r, r up to FIT. alpha(h) is exact: what the learned pairs of h
+leave, over what their words leave of P. A history none of whose pairs is discounted counts once more in its
+denominator, so that something is left. Where the line does not fall faster than 1 / r either (a handful of texts),
+Good-Turing has no discounts; (c - 1/2) / c stands in, and a warning is logged.
 
 *Distribution.* The corpus is cut into batches of texts; a batch row holds its words' 64-bit hashes, and its tokens as
 indices into them, packed. (1) Each batch sends its word counts, a slice for each of P parts of the hash range; a part adds
@@ -25,6 +27,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import math
 import struct
 
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import crc_mod, filesystem, parts_for, scratch_path, ship, staged, table, trim
 
 CUT = 5
+#: Counts of counts that the line is laid through.
+FIT = 20
 BATCH_BYTES = 12 << 20
 #: The hash that stands for the end of a text.
 END = 0x5A17E0FD2B3C4D91
@@ -76,14 +81,36 @@ def slim(a):
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def discounts(n: list[int], cut: int = CUT) -> list[float]:
-    """d for counts 1 .. cut, of counts of counts n[r - 1] = how many types occur r times, r up to cut + 1."""
-    plain = [(r - 0.5) / r for r in range(1, cut + 1)]
-    if min(n[: cut + 1], default=0) <= 0:
-        return plain
-    common = (cut + 1) * n[cut] / n[0]
-    got = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) if common < 1 else -1.0 for r in range(1, cut + 1)]
-    return got if all(0 < d < 1 for d in got) else plain
+def slope(n: list[int]) -> float | None:
+    """Of the least-squares line through log Z_r over log r; Z_r spreads n[r - 1] over the gaps about it."""
+    at = [r for r, x in enumerate(n, 1) if x > 0]
+    if len(at) < 2:
+        return None
+    ends = zip([0, *at], at, [*at[1:], 2 * at[-1] - at[-2]])
+    z = [(math.log(r), math.log(2 * n[r - 1] / (after - before))) for before, r, after in ends]
+    mx, my = sum(x for x, _ in z) / len(z), sum(y for _, y in z) / len(z)
+    return sum((x - mx) * (y - my) for x, y in z) / sum((x - mx) ** 2 for x, _ in z)
+
+
+def discounts(n: list[int], cut: int = CUT, of: str = "counts") -> list[float]:
+    """d for counts 1 .. cut, of counts of counts n[r - 1] = how many types occur r times, r up to cut + 1 at least."""
+    common = (cut + 1) * n[cut] / n[0] if n[0] else 1.0
+    got = []
+    for r in range(1, cut + 1):
+        d = ((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) if common < 1 and min(n[r - 1], n[r], n[cut]) > 0 else -1.0
+        if not 0 < d < 1:
+            break
+        got.append(d)
+    if len(got) == cut:
+        return got
+    b = slope(n)
+    if b is None or b >= -1:
+        if any(n):
+            logging.getLogger(__name__).warning("%s: no Good-Turing discounts, (c - 1/2) / c is used", of)
+        return [(r - 0.5) / r for r in range(1, cut + 1)]
+    logging.getLogger(__name__).info("%s: Good-Turing discounts, smoothed from count %d on", of, len(got) + 1)
+    common = (cut + 1) ** (b + 1)
+    return got + [((1 + 1 / r) ** (b + 1) - common) / (1 - common) for r in range(len(got) + 1, cut + 1)]
 
 
 def batches(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
@@ -137,8 +164,8 @@ def batches(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
 
 def word_totals(base: DataFrame, parts: int, cut: int = CUT) -> DataFrame:
     """Rows (batch, part, totals): totals of a batch's words of the part, packed in the order of their hashes; and for each
-    part a row of batch -1: N, V and the counts of counts 1 .. cut + 1."""
-    bits = int(math.log2(parts))
+    part a row of batch -1: N, V and the counts of counts 1 .. reach."""
+    bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
 
     def send(rows):
         import numpy as np
@@ -162,7 +189,7 @@ def word_totals(base: DataFrame, parts: int, cut: int = CUT) -> DataFrame:
         total = np.bincount(inverse, weights=np.concatenate([g[1] for g in got]).astype(np.float64), minlength=len(words)).astype(np.int64)
         at = np.cumsum([0] + [len(g[0]) for g in got])
         part = t.column("part")[0].as_py()
-        stat = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, cut + 2), minlength=cut + 3)[1 : cut + 2]])
+        stat = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, reach + 1), minlength=reach + 2)[1 : reach + 1]])
         out = [pack(slim(total[inverse[x:y]])) for x, y in zip(at, at[1:])]
         return pa.table({"batch": pa.array([*t.column("batch").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(out) + 1), pa.int32()), "totals": pa.array([*out, pack(stat.astype(np.int64))], pa.binary())})
 
@@ -183,11 +210,12 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     parts = 1 << math.ceil(math.log2(max(4, parts_for(spark))))
     base = batches(docs)
     totals = word_totals(base, parts, cut)
-    sums = [0] * (cut + 3)
+    reach = max(FIT, cut + 1)
+    sums = [0] * (reach + 2)
     for r in totals.filter("batch = -1").select("totals").toLocalIterator():  # a row a part
         sums = [a + int(b) for a, b in zip(sums, unpack(r.totals)[0])]
     n, v, counts = sums[0], sums[1], sums[2:]
-    d1 = discounts(counts, cut)
+    d1 = discounts(counts, cut, "words")
     # What learned words leave: the discounted share of words of each small count.
     unknown = sum((1 - d) * r * counts[r - 1] for r, d in enumerate(d1, 1)) / n if n else 1.0
     unknown = unknown if unknown > 0 else 1.0 / (n + 1)
@@ -295,7 +323,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
         big = np.add.reduceat(np.where(count > cut, count, 0), hnew)
         share = np.add.reduceat(np.where(count > 0, _unigram(pw, n, d1, unknown), 0.0), hnew)
         none_small = small.sum(0) == 0
-        stats = pack(hist, hcount, *small, big, share, np.bincount(np.minimum(count, cut + 2), minlength=cut + 3)[1 : cut + 2])
+        stats = pack(hist, hcount, *small, big, share, np.bincount(np.minimum(count, reach + 1), minlength=reach + 2)[1 : reach + 1])
         of = np.searchsorted(hist, h)
         out = []
         for i in range(len(data)):
@@ -322,13 +350,13 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     sent = base.select("batch", "held", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null", slot_of(F.col("batch")).alias("slot")).mapInArrow(pairs, "part int, batch long, data binary")
     # Rows of part -1 are per batch: they go by batch, so that no task gets all of them.
     plain = staged(sent.withColumn("turn", F.when(F.col("part") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("part", "turn").applyInArrow(merge, "batch long, part int, data binary"), "katz-parts")
-    n_pairs, wide = [0] * (cut + 1), {}
+    n_pairs, wide = [0] * reach, {}
     for r in plain.filter("batch = -1").mapInArrow(_counts_and_wide(cut, split), "n binary, wide binary").toLocalIterator():  # a row a part
         n_pairs = [a + int(b) for a, b in zip(n_pairs, unpack(r.n)[0])]
         for x in unpack_rows(r.wide):  # frequent histories only, 4 * parts at most
             old = wide.get(int(x[0]), [0.0] * (len(x) - 2))
             wide[int(x[0])] = [a + float(b) for a, b in zip(old, x[2:])]
-    d2 = discounts(n_pairs, cut)
+    d2 = discounts(n_pairs, cut, "pairs")
 
     def sums_of(t):
         """Of a part, with the discounts known: per batch the sum for each text."""
