@@ -269,7 +269,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
                 times = np.diff(np.append(at, len(key)))
                 learned = np.add.reduceat(train[doc].astype(np.int64), at)
                 h, w = np.divmod(key[at], len(vocab))
-                salts = total[h] // split + 1
+                salts = np.maximum(total[h] - 1, 0) // split + 1
                 salt = tv.mix(vocab[w] ^ np.uint64(0x1F83D9ABFB41BD6B)) % salts.astype(np.uint64)
                 to = (tv.mix(vocab[h] + salt * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
                 # Pairs by part; their texts in the same order.
@@ -332,7 +332,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
             docs_n = int(doc.max()) + 1
             c, hi = np.repeat(k, reps), np.repeat(of[x], reps)
             seen = c > 0
-            plain = np.bincount(doc[seen], weights=np.log10(c[seen] / hcount[hi[seen]]), minlength=docs_n)
+            plain = np.bincount(doc[seen], weights=np.log10(c[seen] / hcount[hi[seen]]), minlength=docs_n).astype(np.float64)  # integers where nothing is seen
             by_count = [np.bincount(doc[seen & (c == r)], minlength=docs_n) for r in range(1, cut + 1)]
             left = ~seen
             plain += np.bincount(doc[left], weights=np.log10(_unigram(np.repeat(cw[x], reps)[left], n, d1, unknown)), minlength=docs_n)
@@ -366,7 +366,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
         names, data = t.column("batch").to_pylist(), t.column("data").to_pylist()
         where = names.index(-1)
         hist, hcount, *rest = unpack(data[where])
-        small, big, share = rest[:cut], rest[cut], rest[cut + 1]
+        small, big, share = rest[:cut], rest[cut], rest[cut + 1].copy()  # what unpack gives may be read-only
         mass = sum(d * r * s for (r, d), s in zip(enumerate(d2, 1), small)) + big
         some = sum(small) > 0
         for i in np.flatnonzero(hcount > split):  # of these the part has a share only

@@ -27,3 +27,49 @@ def test_discounts_stay_good_turing_on_corpora_with_copies():
 def test_fallback_is_logged(caplog):
     assert katz.discounts([3, 0, 0, 0, 0, 0]) == [(r - 0.5) / r for r in range(1, 6)]
     assert "(c - 1/2) / c" in caplog.text
+
+
+def brute(texts, learned):
+    """Scores by dictionaries, from the definition in the docstring."""
+    rows = [[*t.split(), None] for t in texts]
+    uni, pair = collections.Counter(), collections.Counter()
+    for row, on in zip(rows, learned):
+        if on:
+            uni.update(row)
+            pair.update(zip([None, *row], row))
+    n, count = sum(uni.values()), lambda c: [sum(x == r for x in c.values()) for r in range(1, 21)]
+    d1, d2 = katz.discounts(count(uni)), katz.discounts(count(pair))
+    left = sum((1 - d1[c - 1]) * c for c in uni.values() if c <= 5) / n
+    assert left > 0
+    p = lambda w: uni[w] * (d1[uni[w] - 1] if uni[w] <= 5 else 1) / n if uni[w] else left
+    after = collections.defaultdict(dict)
+    for (h, w), c in pair.items():
+        after[h][w] = c
+
+    def score(h, w):
+        if not uni[h]:
+            return p(w)
+        below = uni[h] + (0 if any(c <= 5 for c in after[h].values()) else 1)
+        part = {x: c * (d2[c - 1] if c <= 5 else 1) / below for x, c in after[h].items()}
+        return part[w] if w in part else p(w) * (1 - sum(part.values())) / (1 - sum(p(x) for x in part))
+
+    return [sum(math.log10(score(h, w)) for h, w in zip([None, *row], row)) for row in rows]
+
+
+@pytest.mark.parametrize("parts", ["4", "64"])
+def test_scores_equal_brute_force(spark, parts):
+    """Also with so many parts that a history of one token is as many as a part should hold."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(360)]
+    texts = [" ".join(words[i : i + 12]) for i in range(0, 360, 12)] + ["w1 new w2 w1 w3", "", "w2 w2 w7 other w1"]
+    learned = [i % 5 > 0 and i < 30 for i in range(33)]
+    docs = spark.createDataFrame([(i, on, not on, t) for i, (t, on) in enumerate(zip(texts, learned))], "doc_id long, train boolean, held_out boolean, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.doc_id: r.score for r in katz.scored(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[i] for i in range(33)] == pytest.approx(brute(texts, learned))
