@@ -10,7 +10,10 @@ their embeddings differ in O(k * k) places. *LSH.* Each of REPETITIONS walks sam
 its key; a window whose key equals an item's is a candidate. *Windows.* A window starts at every word and is as long
 as the item. Windows that hold too few words of every item are not embedded; the test is lossless: of an item with q
 rare words (rare in the benchmark), a passage within k edits keeps at least q - k. *Verification.* The least edit
-distance between the item and any passage about its candidate windows, by dynamic programming.
+distance between the item and any passage about its candidate windows, by dynamic programming. *Rest.* Keys can miss a
+leak, more so the longer the item and the more words were dropped. So the same test is made once more, for the edits
+that a passage may have to be as near as what a document's candidates gave (or within the limit, where they gave
+nothing), and what passes it is verified too. Leaks, edits and ends are therefore exact; good candidates save work.
 
 Items are held by every task; they are taken in blocks of at most ITEM_WORDS words, one pass over the documents a
 block. Texts are read in whole, whatever their length.
@@ -39,6 +42,18 @@ RARE_SHARE = 0.02
 SEED = 0x5DEECE66D
 
 
+def _merged(doc, item, lo, hi):
+    """Overlapping ranges of the same document and item as one."""
+    import numpy as np
+
+    order = np.lexsort((lo, item, doc))
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], item[at], lo[at], np.maximum.reduceat(hi, at)
+
+
 class Finder:
     """Finds leaks of a block of items; built once in each worker."""
 
@@ -117,8 +132,8 @@ class Finder:
             key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + out[place, r, c] + np.uint64(b + 1))
         return tv.mix(key + n.astype(np.uint64)[None, :])
 
-    def windows(self, h, first):
-        """(start, end, n): the windows to embed. Every start is taken from which some item could be within its edits."""
+    def _events(self, h, first):
+        """(position, item, document) of words that count for an item, by item and position."""
         import numpy as np
 
         at = np.flatnonzero(self.bloom[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
@@ -128,15 +143,27 @@ class Finder:
         item = self.ev_item[np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)] if len(pos) else np.zeros(0, np.int64)
         order = np.lexsort((pos, item))
         pos, item = pos[order], item[order]
-        need, span = self.need[item], (self.len + self.k)[item]
+        return pos, item, np.searchsorted(first, pos, "right") - 1
+
+    def _passing(self, events, bound):
+        """(position, last position, span, item, document) of events that begin as many as a passage within bound edits
+        keeps, in no more words than it has; bound: for each event."""
+        import numpy as np
+
+        pos, item, doc = events
+        need, span = self.need[item] + self.k[item] - bound, self.len[item] + bound
         to = np.arange(len(pos)) + need - 1
         ok = to < len(pos)
         to = np.where(ok, to, 0)
-        ok &= (item[to] == item) & (pos[to] - pos < span)
-        doc = np.searchsorted(first, pos, "right") - 1
-        ok &= doc == np.searchsorted(first, pos[to], "right") - 1
-        pos, to, item, doc = pos[ok], pos[to[ok]], item[ok], doc[ok]
-        a = np.maximum(first[doc], to - span[ok] + 1)
+        ok &= (item[to] == item) & (pos[to] - pos < span) & (doc == doc[to])
+        return pos[ok], pos[to[ok]], span[ok], item[ok], doc[ok]
+
+    def windows(self, events, first):
+        """(start, end, n): the windows to embed. Every start is taken from which some item could be within its edits."""
+        import numpy as np
+
+        pos, to, span, item, doc = self._passing(events, self.k[events[1]])
+        a = np.maximum(first[doc], to - span + 1)
         per = pos - a + 1
         start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(a, per)
         n = np.repeat(self.len[item], per)
@@ -145,11 +172,35 @@ class Finder:
         doc = np.searchsorted(first, start, "right") - 1
         return start, np.minimum(start + n, first[doc + 1]), n, doc
 
-    def candidates(self, h, first, most: int = 512):
+    def rest(self, events, first, found):
+        """(document, item, lo, hi): where passages as near as found, {(document, item): (edits, end)}, or within the
+        limit may be; in pieces, so that a long stretch doesn't hold up the others."""
+        import numpy as np
+
+        pos, item, doc = events
+        bound = self.k[item]
+        if found:
+            known = np.array(sorted(d * len(self.ids) + i for d, i in found), np.int64)
+            least = np.array([found[divmod(x, len(self.ids))][0] for x in known.tolist()], np.int64)
+            key = doc * len(self.ids) + item
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            bound = np.where(known[at] == key, least[at], bound)
+        pos, to, span, item, doc = self._passing(events, bound)
+        if not len(pos):
+            return (np.zeros(0, np.int64),) * 4
+        doc, item, lo, hi = _merged(doc, item, np.maximum(first[doc], to - span + 1), np.minimum(first[doc + 1], pos + span))
+        most = (self.len + self.k)[item]  # no passage is longer
+        pieces = np.maximum(1, -((most - (hi - lo)) // (3 * most)))
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        doc, item, lo, hi, most = (np.repeat(x, pieces) for x in (doc, item, lo, hi, most))
+        lo = lo + nth * 3 * most
+        return doc, item, lo, np.minimum(hi, lo + 4 * most)
+
+    def candidates(self, h, first, events, most: int = 512):
         """(document, item, first start, last start) of windows that share a key with an item."""
         import numpy as np
 
-        start, end, n, doc = self.windows(h, first)
+        start, end, n, doc = self.windows(events, first)
         order = np.argsort(n, kind="stable")  # windows of like length walk together
         start, end, n, doc = start[order], end[order], n[order], doc[order]
         got = []
@@ -175,6 +226,7 @@ class Finder:
         padded = np.append(h, np.uint64(0))
         for n in np.unique(self.len[item]):
             rows = np.flatnonzero(self.len[item] == n)
+            rows = rows[np.argsort((hi - lo)[rows], kind="stable")]  # passages of like length together
             for part in np.array_split(rows, max(1, len(rows) // 512)):
                 pat = np.stack([self.seqs[x] for x in item[part]])
                 steps = np.arange(n + 1)
@@ -200,23 +252,20 @@ class Finder:
 
         if not self.ids or not len(h):
             return []
-        doc, item, start = self.candidates(h, first)
-        if not len(doc):
-            return []
-        order = np.lexsort((start, item, doc))
-        doc, item, start = doc[order], item[order], start[order]
-        k, n = self.k[item], self.len[item]
-        lo, hi = np.maximum(start - k, first[doc]), np.minimum(start + n + 2 * k, first[doc + 1])
-        # Overlapping candidates of the same document and item are verified together.
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
-        at = np.flatnonzero(new)
-        doc, item, lo, hi = doc[at], item[at], lo[at], np.maximum.reduceat(hi, at)
-        best, stop = self.distances(h, lo, hi, item)
+        events = self._events(h, first)
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for x in np.flatnonzero(best <= self.k[item]).tolist():
-            key, value = (int(doc[x]), int(item[x])), (int(best[x]), int(stop[x] - first[doc[x]]))
-            found[key] = min(found.get(key, value), value)
+
+        def verify(doc, item, lo, hi):
+            best, stop = self.distances(h, lo, hi, item)
+            for x in np.flatnonzero(best <= self.k[item]).tolist():
+                key, value = (int(doc[x]), int(item[x])), (int(best[x]), int(stop[x] - first[doc[x]]))
+                found[key] = min(found.get(key, value), value)
+
+        doc, item, start = self.candidates(h, first, events)
+        if len(doc):
+            k, n = self.k[item], self.len[item]
+            verify(*_merged(doc, item, np.maximum(start - k, first[doc]), np.minimum(start + n + 2 * k, first[doc + 1])))
+        verify(*self.rest(events, first, found))
         return [(d, i, dist, end) for (d, i), (dist, end) in sorted(found.items())]
 
 
