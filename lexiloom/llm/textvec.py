@@ -39,6 +39,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _fold() -> np.ndarray:
+    f = np.arange(256, dtype=np.uint8)
+    f[65:91] += 32
+    return f
+
+
+#: For each byte the one it counts as where A-Z count as a-z.
+FOLD = _fold()
+
+
 class Alphabet:
     """word: for each byte, whether it belongs to words; fold: the byte each counts as."""
 
@@ -46,24 +56,18 @@ class Alphabet:
         self.word, self.values = word, _values()[fold]
 
 
-def _fold() -> np.ndarray:
-    f = np.arange(256, dtype=np.uint8)
-    f[65:91] += 32
-    return f
-
-
 def spaced(lower: bool = True) -> Alphabet:
     """Words are what stands between ASCII white space; lower: A-Z count as a-z."""
     word = np.ones(256, dtype=bool)
     word[[9, 10, 11, 12, 13, 32]] = False
-    return Alphabet(word, _fold() if lower else np.arange(256, dtype=np.uint8))
+    return Alphabet(word, FOLD if lower else np.arange(256, dtype=np.uint8))
 
 
 def lettered() -> Alphabet:
     """Words are runs of ASCII letters and digits and of bytes from 128 on; A-Z count as a-z."""
     word = np.zeros(256, dtype=bool)
     word[48:58] = word[65:91] = word[97:123] = word[128:] = True
-    return Alphabet(word, _fold())
+    return Alphabet(word, FOLD)
 
 
 _POW: dict[str, np.ndarray] = {}

@@ -7,8 +7,9 @@ Reading yields every document's ids, or a digest of them.
 
 A text's ids are those of the tokenizers library for the whole text. The tokenizer here drops white space before it
 splits, so a text's ids are the ids of its parts between ASCII white space (and before a closing mark), one after
-another; parts are looked up in a per-worker table, and new ones go through the library. `exact=False` turns that off for tokenizers without the
-property: then each text goes through the library as a whole.
+another; parts are looked up in a per-worker table, by their hash and then byte for byte, and new ones go through the
+library. `by_words=False` turns that off for tokenizers without the property: then each text goes through the library
+as a whole. The tokenizer's file is named on the driver and opened by the workers, so it must lie at the same path there.
 
 Defined cases: null and empty texts have the end id alone; null ids come first; rows that repeat an id are documents
 one after another, ordered by a hash of the text; very long texts span blocks; an empty table gives no shard and no
@@ -38,7 +39,8 @@ INDEX = struct.Struct("<II")
 
 def split_marks(data, s, e):
     """Words that end in a letter and one of .,;:!? become two; the tokenizer splits there too, as no part of its
-    pattern spans a letter and such a mark. Letters here are ASCII ones and the Latin ones of two bytes."""
+    pattern spans a letter and such a mark. Letters here are ASCII ones and the Latin ones of two bytes, but for U+0130,
+    whose lower case ends in a combining dot, which goes with the mark."""
     import numpy as np
 
     size = e - s
@@ -48,13 +50,30 @@ def split_marks(data, s, e):
     one = data[e[at] - 2]
     ascii_letter = ((one | 32) >= 97) & ((one | 32) <= 122)
     two = data[np.maximum(e[at] - 3, 0)]
-    latin = (size[at] >= 3) & (two >= 0xC3) & (two <= 0xC9) & (one >= 0x80) & (one < 0xC0) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7)))
+    latin = (size[at] >= 3) & (two >= 0xC3) & (two <= 0xC9) & (one >= 0x80) & (one < 0xC0) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))) & ~((two == 0xC4) & (one == 0xB0))
     at = at[ascii_letter | latin]
     stop = e.copy()
     stop[at] -= 1
     return np.insert(s, at + 1, e[at] - 1), np.insert(stop, at + 1, e[at])
 
 
+def same_words(a, at_a, size_a, b, at_b, size_b) -> bool:
+    """Whether all words of a (at, size) equal those of b, byte for byte; both buffers end in eight spare bytes."""
+    import numpy as np
+
+    if not np.array_equal(size_a, size_b):
+        return False
+    left, right = (np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (a, b))  # eight bytes from each place on
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    size = size_a
+    while len(size):
+        if ((left[at_a] ^ right[at_b]) & masks[np.minimum(size, 8)]).any():
+            return False
+        on = np.flatnonzero(size > 8)
+        at_a, at_b, size = at_a[on] + 8, at_b[on] + 8, size[on] - 8
+    return True
+
+
 class WordTokenizer:
     """ids of many texts at once, by way of a table of words."""
 
@@ -66,32 +85,54 @@ class WordTokenizer:
 
         self.tok, self.by_words, self.keep = Tokenizer.from_file(path), by_words, keep
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
+        # A special string, cut out of a text before anything else is done to it, parts the words of one call.
+        special = [(i, t.content) for i, t in sorted(self.tok.get_added_tokens_decoder().items()) if not t.normalized and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = special[0] if special else (None, None)
         self.exact, self.folded = tv.spaced(lower=False), tv.spaced()
         self._forget(np)
 
     def _forget(self, np):
         self.words, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.text, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int64)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _library_words(self, np, words: list[bytes]):
+        """(ids, how many each word has) of words, many of them in a text."""
+        if self.mark is None or b"<|" in b" ".join(words):
+            got = self.library([w.decode("utf-8", "replace") for w in words])
+            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+        mark = self.mark.encode()
+        joined = [mark.join(words[i : i + 64]).decode("utf-8", "replace") for i in range(0, len(words), 64)]
+        flat = np.concatenate([np.array([*x, self.mark_id], np.uint32) for x in self.library(joined)])
+        ends = np.flatnonzero(flat == self.mark_id)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer gave more special ids than its text had")
+        return flat[flat != self.mark_id], np.diff(ends, prepend=-1) - 1
+
     def _learn(self, np, new, data, s, e):
         """Adds words (their hashes, and where they stand in data)."""
         if len(self.words) + len(new) > self.keep:
             self._forget(np)
-        got = []
+        ids, counts = [], []
         for i in range(0, len(new), CALL):
-            got += self.library([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s[i : i + CALL].tolist(), e[i : i + CALL].tolist())])
-        count = np.array([len(x) for x in got], np.int64)
-        first = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.array([i for x in got for i in x], np.uint32)])
-        start = first + np.cumsum(count) - count
+            got, n = self._library_words(np, [data[a:b].tobytes() for a, b in zip(s[i : i + CALL].tolist(), e[i : i + CALL].tolist())])
+            ids.append(got)
+            counts.append(n)
+        count = np.concatenate(counts)
+        start = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, *ids])
+        size = e - s
+        at = len(self.text) - 8 + np.cumsum(size) - size
+        own = data[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s, size)]
+        self.text = np.concatenate([self.text[:-8], own, np.zeros(8, np.uint8)])
         order = np.argsort(new, kind="stable")
         to = np.searchsorted(self.words, new[order])
         self.words = np.insert(self.words, to, new[order])
-        self.start = np.insert(self.start, to, start[order])
-        self.count = np.insert(self.count, to, count[order])
+        for name, value in (("start", start), ("count", count), ("at", at), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), to, value[order]))
 
     def encode(self, texts, end: int | None = None):
         """(ids, counts): of an Arrow array of strings; counts per text, with the end id."""
@@ -101,18 +142,24 @@ class WordTokenizer:
         from lexiloom.llm import textvec as tv
 
         tail = [] if end is None else [end]
-        if not self.by_words:
+
+        def whole():
             got = [x + tail for x in self.library([t or "" for t in texts.to_pylist()])]
             return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+        if not self.by_words:
+            return whole()
         data, offs = tv.buffers(texts)
+        # Case is folded by the tokenizer, but not in its special strings, which begin with <.
+        alphabet = self.exact if (data == 60).any() else self.folded
+        data = np.concatenate([data if alphabet is self.exact else tv.FOLD[data], np.zeros(8, np.uint8)])
         hs, ss, es, firsts, base = [], [], [], [np.zeros(1, np.int64)], 0
         for i, j in tv.blocks(offs):
             part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            s, e, _ = tv.words(part, o, self.exact)
+            s, e, _ = tv.words(part, o, alphabet)
             s, e = split_marks(part, s, e)
             first = np.searchsorted(s, o)
-            # Case is folded by the tokenizer, but not in its special strings, which begin with <.
-            hs.append(tv.word_hashes(part, s, e, self.exact if (part == 60).any() else self.folded))
+            hs.append(tv.word_hashes(part, s, e, alphabet))
             ss.append(s + offs[i])
             es.append(e + offs[i])
             firsts.append(first[1:] + base)
@@ -134,7 +181,10 @@ class WordTokenizer:
                     self.keep = max(self.keep, len(uniq) + 1)
                     self._learn(np, uniq[gone], data, s[where[gone]], e[where[gone]])
             known = np.searchsorted(self.words, uniq)
-        start, count = self.start[known][code], self.count[known][code]
+        row = known[code]
+        if not same_words(data, s, e - s, self.text, self.at[row], self.size[row]):
+            return whole()  # two words share a hash
+        start, count = self.start[row], self.count[row]
         total = np.concatenate([[0], np.cumsum(count)])
         per_text = np.diff(total[first])
         n = int(total[-1])
