@@ -11,8 +11,8 @@ cell. No task sees a source's rows: the first window holds a source's distinct s
 key, the third a 256th of one source's documents of one size.
 
 Defined cases: null text has size 0 and is sampled like any other row but adds no words; a null source is a source,
-the last in order; a null id sorts first (digest of the empty text); rows that repeat an id are separate documents
-(which of them gets the odd copy is open, their rows being alike in what counts); an empty table gives an empty
+the last in order; a null id sorts first (digest of the empty text); rows that repeat an id, null ones too, are separate documents
+(which of several with one text gets the odd copy is open, their rows being alike in what counts); an empty table gives an empty
 result; sources of size 0 have target 0 and no copies.
 """
 
@@ -64,7 +64,12 @@ def id_byte(doc_id: Column) -> Column:
 
 def sampled(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
     """docs: (doc_id, source, text). Returns doc_id, source, size, source_size, target, copies; a row per row of docs."""
-    base = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_byte(F.col("doc_id")).alias("cell")), "mix-sizes")
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_byte(F.col("doc_id")).alias("cell"))
+    return _dealt(staged(base, "mix-sizes"), weights, most, seed).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def _dealt(base: DataFrame, weights, most: int, seed: str) -> DataFrame:
+    """base (doc_id, source, size, cell, others), with source_size, target and copies."""
     cells = base.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
     levels = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = levels.groupBy("source").agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)).alias("source_size"))
@@ -81,17 +86,27 @@ def sampled(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at, u = F.col("b1") + F.col("b2") + F.col("b3"), offset(F.col("source"), seed)
     copies = F.floor(at.cast("double") * rate + u) - F.floor((at - 1).cast("double") * rate + u)
-    return row.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    return row.select(*base.columns, "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    taken = sampled(docs, weights, most, seed).filter("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # Rows that repeat an id share its copies evenly, one each at least.
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(taken.doc_id))
-    times = F.greatest(F.lit(1), taken.copies / taken.rows).cast("int")
-    turn = fresh(docs, "_turn")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias(turn)).drop(turn)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    Rows of one id, source and text (told by two hashes) are interchangeable: their copies are added up and handed out
+    again by number among them. All other rows, those with null or repeated ids too, get what was sampled for them."""
+    # One string is the key of the join and of the numbering, so that texts move once; null ids are spread by their texts.
+    text = F.col("text").cast("string")
+    said = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
+    key = F.md5(F.concat_ws("|", said("doc_id"), F.xxhash64(text).cast("string"), F.crc32(text.cast("binary")).cast("string"), said("source")).cast("binary"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_byte(F.col("doc_id")).alias("cell"), key.alias("key"))
+    dealt = _dealt(staged(base, "mix-sizes"), weights, most, seed)
+    taken = dealt.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    mark, turn = fresh(docs, "_mark"), fresh(docs, "_turn")
+    joined = docs.withColumn(mark, key).join(taken, F.col(mark) == taken.key)
+    nth = F.when(taken.rows == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
+    own = (F.floor(taken.copies / taken.rows) + (nth <= taken.copies % taken.rows).cast("long")).cast("int")
+    per = joined.select(*[docs[c] for c in docs.columns], own.alias(turn))
+    return per.filter(F.col(turn) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turn)))).drop(turn)
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
