@@ -7,8 +7,8 @@ delete, substitute) of the item's n words.
 *CGK embedding.* A walk reads a sequence with a pointer that a random bit of (step, word) moves on or holds at each
 step; what the walk reads is the embedding. Two sequences at edit distance k walk apart and fall in step again, so
 their embeddings differ in O(k * k) places. *LSH.* Each of REPETITIONS walks samples BITS places of the embedding as
-its key; a window whose key equals an item's is a candidate. *Windows.* A window starts at every word and is as long
-as the item. Windows that hold too few words of every item are not embedded; the test is lossless: of an item with q
+its key; a window whose key equals an item's is a candidate. *Windows.* A window starts at every word (long
+items: at every few words, see THIN) and is as long as the item. Windows that hold too few words of every item are not embedded; the test is lossless: of an item with q
 rare words (rare in the benchmark), a passage within k edits keeps at least q - k. *Verification.* The least edit
 distance between the item and any passage about its candidate windows, by dynamic programming. *Rest.* Keys can miss a
 leak, more so the longer the item and the more words were dropped. So the same test is made once more, for the edits
@@ -18,8 +18,9 @@ nothing), and what passes it is verified too. Leaks, edits and ends are therefor
 Items are held by every task; they are taken in blocks of at most ITEM_WORDS words, one pass over the documents a
 block. Texts are read in whole, whatever their length.
 
-Defined cases: null and empty texts leak nothing; items that are null or of fewer than MIN_WORDS words are no
-evidence and are left out; repeated items each count; a null id is reported as null (and such a row is dropped by
+Defined cases: null and empty texts leak nothing; items without a word are no evidence; so are, by default, items of
+fewer than MIN_WORDS words (min_words=1 takes them all, which the query and the pipeline do: for fewer than five words
+the limit is no edit, so such items are matched exactly); repeated items each count; a null id is reported as null (and such a row is dropped by
 `clean` like any other); repeated rows each count; other columns are ignored by `leaks` and kept by `clean`.
 """
 
@@ -37,6 +38,10 @@ REPETITIONS = 32
 BITS = 3
 #: Words of items that a task holds at once.
 ITEM_WORDS = 2_000_000
+#: Windows of THIN words or more start at every (words / THIN)-th word only.
+THIN = 150
+#: Cells of the tables of edit distances that are worked on at once.
+CELLS = 2_000_000
 #: A word is rare in the benchmark if at most this share of items (but two at least) hold it.
 RARE_SHARE = 0.02
 SEED = 0x5DEECE66D
@@ -57,7 +62,7 @@ def _merged(doc, item, lo, hi):
 class Finder:
     """Finds leaks of a block of items; built once in each worker."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, repetitions: int = REPETITIONS, bits: int = BITS):
+    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, repetitions: int = REPETITIONS, bits: int = BITS, min_words: int = MIN_WORDS):
         import numpy as np
         import pyarrow as pa
 
@@ -67,7 +72,7 @@ class Finder:
         ids, seqs = [], []
         for i, j, h, first in tv.hashed(pa.array([t for _, t in items], pa.string()), self.alphabet):
             for x in range(j - i):
-                if first[x + 1] - first[x] >= MIN_WORDS:
+                if first[x + 1] - first[x] >= max(1, min_words):
                     ids.append(items[i + x][0])
                     seqs.append(h[first[x] : first[x + 1]])
         self.ids, self.seqs, self.rep, self.bits = ids, seqs, repetitions, bits
@@ -76,13 +81,15 @@ class Finder:
         if not seqs:
             return
         rng = np.random.Generator(np.random.PCG64(SEED))
-        self.steps = 2 * int(self.len.max())
-        self.move = rng.integers(0, 1 << 63, size=(self.steps, repetitions, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.at = rng.random((repetitions, bits))  # sampled places, as shares of twice the length
         self._count_filter()
         n = self.len
         flat, start = np.concatenate(seqs), np.concatenate([[0], np.cumsum(n)[:-1]])
-        keys = self.keys(flat, start, start + n, n)
+        keys = np.empty((repetitions, len(n)), np.uint64)
+        by = np.argsort(n, kind="stable")
+        for part in self._slices(n[by]):
+            at = by[part]
+            keys[:, at] = self.keys(flat, start[at], start[at] + n[at], n[at])
         self.tables = []
         for r in range(repetitions):
             order = np.argsort(keys[r], kind="stable")
@@ -109,27 +116,48 @@ class Finder:
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.ev_word & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
+    def _slices(self, n, most: int = 512):
+        """Slices of windows, ordered by length, that walk together."""
+        for lo in range(0, len(n), most):
+            yield slice(lo, lo + most)
+
+    def moves(self, step: int, count: int):
+        """The multipliers of the walks at steps step .. step + count - 1, steps x repetitions x 1."""
+        import numpy as np
+
+        from lexiloom.llm import textvec as tv
+
+        at = np.arange(step * self.rep, (step + count) * self.rep, dtype=np.uint64)
+        return (tv.mix(at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)) | np.uint64(1)).reshape(count, self.rep, 1)
+
     def keys(self, words, start, end, n):
-        """LSH keys, repetitions x windows, of the windows [start, end) of words; n: the length that places refer to."""
+        """LSH keys, repetitions x windows, of the windows [start, end) of words; n: the length that places refer to.
+        Only the sampled places of an embedding are kept, so memory doesn't grow with the length."""
         import numpy as np
 
         from lexiloom.llm import textvec as tv
 
         padded = np.append(words, np.uint64(0))
-        m = len(start)
+        m, last = len(start), len(words)
         steps = 2 * int(n.max())
-        out = np.empty((steps, self.rep, m), np.uint64)
+        place = (self.at[:, :, None] * (2 * n)[None, None, :]).astype(np.int64)  # repetitions x bits x windows
+        order = np.argsort(place, axis=None, kind="stable")
+        cuts = np.searchsorted(place.ravel()[order], np.arange(steps + 1))
+        of = order // (self.bits * m) * m + order % m  # repetition and window of each
+        seen = np.empty(place.size, np.uint64)
         i = np.broadcast_to(start, (self.rep, m)).copy()
-        last = len(words)
         for step in range(steps):
+            if step % 256 == 0:
+                move = self.moves(step, min(256, steps - step))
             x = padded[np.where(i < end, i, last)]
-            out[step] = x
-            i += ((x * self.move[step] >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+            lo, hi = cuts[step], cuts[step + 1]
+            if hi > lo:
+                seen[order[lo:hi]] = x.ravel()[of[lo:hi]]
+            i += ((x * move[step % 256] >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+        seen = seen.reshape(place.shape)
         key = np.zeros((self.rep, m), np.uint64)
-        r, c = np.arange(self.rep)[:, None], np.arange(m)[None, :]
         for b in range(self.bits):
-            place = (self.at[:, b][:, None] * (2 * n)[None, :]).astype(np.int64)
-            key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + out[place, r, c] + np.uint64(b + 1))
+            key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, b] + np.uint64(b + 1))
         return tv.mix(key + n.astype(np.uint64)[None, :])
 
     def _events(self, h, first):
@@ -167,6 +195,9 @@ class Finder:
         per = pos - a + 1
         start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(a, per)
         n = np.repeat(self.len[item], per)
+        # A shift of few words keeps most of a long window's embedding: starts are thinned by length; `rest` misses none.
+        on = start % np.maximum(1, n // THIN) == 0
+        start, n = start[on], n[on]
         both = np.unique(np.stack([start, n]), axis=1)
         start, n = both[0], both[1]
         doc = np.searchsorted(first, start, "right") - 1
@@ -196,7 +227,7 @@ class Finder:
         lo = lo + nth * 3 * most
         return doc, item, lo, np.minimum(hi, lo + 4 * most)
 
-    def candidates(self, h, first, events, most: int = 512):
+    def candidates(self, h, first, events):
         """(document, item, first start, last start) of windows that share a key with an item."""
         import numpy as np
 
@@ -204,8 +235,8 @@ class Finder:
         order = np.argsort(n, kind="stable")  # windows of like length walk together
         start, end, n, doc = start[order], end[order], n[order], doc[order]
         got = []
-        for lo in range(0, len(start), most):
-            s, e, m = start[lo : lo + most], end[lo : lo + most], n[lo : lo + most]
+        for part in self._slices(n):
+            lo, s, e, m = part.start, start[part], end[part], n[part]
             keys = self.keys(h, s, e, m)
             for r, (known, rank) in enumerate(self.tables):
                 a, b = np.searchsorted(known, keys[r], "left"), np.searchsorted(known, keys[r], "right")
@@ -227,7 +258,7 @@ class Finder:
         for n in np.unique(self.len[item]):
             rows = np.flatnonzero(self.len[item] == n)
             rows = rows[np.argsort((hi - lo)[rows], kind="stable")]  # passages of like length together
-            for part in np.array_split(rows, max(1, len(rows) // 512)):
+            for part in np.array_split(rows, max(1, len(rows) // max(1, min(512, CELLS // int(n + 1))))):
                 pat = np.stack([self.seqs[x] for x in item[part]])
                 steps = np.arange(n + 1)
                 d = np.broadcast_to(steps, (len(part), n + 1)).copy()
@@ -284,16 +315,29 @@ def item_blocks(items: DataFrame, most_words: int = ITEM_WORDS):
         yield block
 
 
-def _scan(docs: DataFrame, block, schema: T.StructType, emit, share: float):
+_FINDERS: dict[str, Finder] = {}
+
+
+def _finder(name: str, block, share: float, min_words: int) -> Finder:
+    """The index of a block, made once in a worker process; the last one is kept."""
+    if name not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[name] = Finder(block(), share, min_words=min_words)
+    return _FINDERS[name]
+
+
+def _scan(docs: DataFrame, block, schema: T.StructType, emit, share: float, min_words: int):
     """mapInArrow over docs, whose last column is the text; emit(batch, i, j, leaks) makes the record batches."""
+    import uuid
+
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(block)  # at most ITEM_WORDS words
+    held, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex  # at most ITEM_WORDS words
 
     def run(batches):
         from lexiloom.llm import textvec as tv
 
-        finder = Finder(held.value, share)
+        finder = _finder(name, lambda: held.value, share, min_words)
         for b in batches:
             for i, j, h, first in tv.hashed(b.column(b.num_columns - 1), finder.alphabet):
                 yield from emit(finder, b, i, j, finder.leaks(h, first))
@@ -301,7 +345,7 @@ def _scan(docs: DataFrame, block, schema: T.StructType, emit, share: float):
     return docs.mapInArrow(run, schema)
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text), items (item_id, text). One row per document and item that it leaks: doc_id, item_id, edits
     (the least word edits) and end_word (where the passage ends)."""
     schema = "doc_id long, item_id long, edits long, end_word long"
@@ -316,12 +360,12 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for n, block in enumerate(item_blocks(items)):
-        got = _scan(rows, block, schema, emit, share)
+        got = _scan(rows, block, schema, emit, share, min_words)
         out = out.unionByName(got) if n else got
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs that leak no item, in one pass a block of items."""
     names, schema = docs.columns, docs.schema
     out = docs
@@ -335,9 +379,9 @@ def clean(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(rows)) for c in range(len(names))], names=names)
 
     for block in item_blocks(items):
-        out = _scan(out.select("*", F.col("text").cast("string").alias(fresh(out, "_scanned"))), block, schema, emit, share)
+        out = _scan(out.select("*", F.col("text").cast("string").alias(fresh(out, "_scanned"))), block, schema, emit, share, min_words)
     return out
 
 
 def op8_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1)

@@ -53,3 +53,29 @@ def test_leaks_equal_brute_force_at_the_limit():
             if best[0] <= len(item.split()) // 5:
                 want[d, i] = best
     assert len(want) >= 4 * len(items) and got == want
+
+
+def test_short_items_are_matched_exactly(spark):
+    docs = spark.createDataFrame([(1, "say Yes and No, then"), (2, "yes. and no"), (3, "yes and, so no"), (4, "maybe"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes and no"), (2, "Maybe!"), (3, ""), (4, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(docs, items, min_words=1).collect()} == {(1, 1, 0), (2, 1, 0), (4, 2, 0)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items, min_words=1).collect()) == [3, 5]
+
+
+def test_long_items_take_bounded_memory():
+    """500 items of 20 words and one of 30,000."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    text = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    items = [(i, " ".join(text(20))) for i in range(500)]
+    long = text(30_000)
+    near = [w for i, w in enumerate(long) if i % 997]  # 31 words are left out
+    docs = [" ".join(text(40) + near + text(40)), " ".join(text(30)) + " " + items[7][1]]
+    tracemalloc.start()
+    finder = decontaminate.Finder([*items, (500, " ".join(long))])
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    found = [x for _, _, h, first in tv.hashed(pa.array(docs), finder.alphabet) for x in finder.leaks(h, first)]
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert {(d, i) for d, i, _, _ in found} == {(0, 500), (1, 7)} and min(e for _, i, e, _ in found if i == 500) == 31
