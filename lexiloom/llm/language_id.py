@@ -4,8 +4,9 @@ For each language a zstandard raw-content dictionary is cut from a bounded sampl
 encoded, in whole, block by block against every language's dictionary; the language with the fewest bytes wins. A
 text is rejected where the runner-up comes within `margin` of the winner, or where there is nothing to go by.
 
-The sample is the only bound: SAMPLE_TEXTS texts a language, those with the smallest MD5 of their id, of each at most
-SAMPLE_BYTES bytes, up to DICT_BYTES a language. Every text is classified in whole, in blocks of BLOCK_BYTES, so that
+The sample is the only bound: SAMPLE_TEXTS texts a language, those with the smallest MD5 of their id; of texts longer
+than SAMPLE_CHARS characters SAMPLE_PIECES pieces, spread evenly from the first to the last character, that make
+SAMPLE_CHARS together; texts are taken up in that order while a language's dictionary stays within DICT_BYTES. Every text is classified in whole, in blocks of BLOCK_BYTES, so that
 a long text's own history doesn't take the dictionary's place.
 
 Defined cases: text null, empty or without any letter gives `und`, score 0, rejected; so does everything if no
@@ -20,11 +21,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc_mod, ship, table
+from lexiloom.llm.common import crc_mod, ship, staged, table
 
 SAMPLE_TEXTS = 128
-SAMPLE_BYTES = 2048
+SAMPLE_CHARS, SAMPLE_PIECES = 768, 3
 DICT_BYTES = 96 * 1024
+#: Ids of the sample up to which it is broadcast.
+BROADCAST_IDS = 100_000
 BLOCK_BYTES = 4096
 LEVEL = 5
 #: The runner-up must need so much more than the winner, else the text is rejected.
@@ -40,25 +43,36 @@ def folded(text: str) -> bytes:
     return _NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
-def learned_dictionaries(train: DataFrame, texts: int = SAMPLE_TEXTS, each: int = SAMPLE_BYTES, most: int = DICT_BYTES) -> dict[str, bytes]:
+def spread(text, chars: int = SAMPLE_CHARS, pieces: int = SAMPLE_PIECES):
+    """A column: the whole text if it is short, else pieces from all over it, chars characters in all."""
+    each, n = chars // pieces, F.length(text)
+    at = lambda i: (F.floor((n - each) * F.lit(i) / F.lit(max(pieces - 1, 1))) + 1).cast("int")
+    return F.when(n <= chars, text).otherwise(F.concat_ws(" ", *[F.substring(text, at(i), F.lit(each)) for i in range(pieces)]))
+
+
+def learned_dictionaries(train: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, most: int = DICT_BYTES) -> dict[str, bytes]:
     """train: (doc_id, text, lang). The languages' dictionaries; what comes to the driver is bounded by the number of
     languages times DICT_BYTES. Ids are picked first, without their texts; the limit per language is applied before
     the shuffle as well as after it."""
     rank = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = train.filter("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    ids = ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= texts).select("lang", "doc_id", "h").distinct()
-    picked = {}
-    for r in ids.collect():  # at most texts rows a language
-        picked.setdefault((r.lang, r.doc_id), r.h)
-    if not picked:
-        return {}
-    some = train.filter(F.col("doc_id").isin([i for _, i in picked])).filter("lang is not null and text is not null")
-    some = some.select("lang", "doc_id", F.substring("text", 1, each).alias("text"))
+    usable = train.filter("lang is not null and text is not null and doc_id is not null")
+    ids = usable.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    picked = staged(ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= texts).select("lang", "doc_id", "h").distinct(), "language-sample")
+    # The ids are joined, not listed; they are broadcast where they are known to be few.
+    few = picked.count() <= BROADCAST_IDS
+    some = usable.select("lang", "doc_id", "text").join(F.broadcast(picked) if few else picked, ["lang", "doc_id"])
     samples: dict[str, set[tuple[str, str]]] = {}
-    for r in some.collect():
-        if h := picked.get((r.lang, r.doc_id)):
-            samples.setdefault(r.lang, set()).add((h, r.text))
-    return {lang: folded(" ".join(t for _, t in sorted(rows)))[:most] for lang, rows in sorted(samples.items())}
+    for r in some.select("lang", "h", spread(F.col("text"), chars).alias("text")).toLocalIterator():
+        samples.setdefault(r.lang, set()).add((r.h, r.text))
+    out = {}
+    for lang, rows in sorted(samples.items()):
+        parts, size = [], 0
+        for part in (folded(t) for _, t in sorted(rows)):
+            if size + len(part) + 1 <= most:
+                parts.append(part)
+                size += len(part) + 1
+        out[lang] = b" ".join(parts)
+    return out
 
 
 class Classifier:
@@ -67,6 +81,7 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK_BYTES, level: int = LEVEL):
         import zstandard as z
 
+        dictionaries = {x: d or b" " for x, d in dictionaries.items()}
         self.langs, self.block, self.dictionaries = sorted(dictionaries), block, dictionaries
         self.fine = None
         self.params = params = z.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=DICT_BYTES, write_checksum=0, write_content_size=0, write_dict_id=0)
