@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-LANES = 4096
+LANES = 8192
 LEAST_STEPS = 128
 HEAD = struct.Struct("<4sIIIII")
 MAGIC = b"LXR1"

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import filesystem, parts_for, scratch_path, ship, staged, table, trim
 
 END_ID = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Texts are cut into parts of so many bytes together at a time.
 BATCH_BYTES = 8 << 20
 #: Words a worker keeps with their ids.
@@ -78,11 +78,14 @@ class WordTokenizer:
     """ids of many texts at once, by way of a table of words."""
 
     def __init__(self, path: str, by_words: bool = True, keep: int = KEPT_WORDS):
+        import os
+
         import numpy as np
         from tokenizers import Tokenizer
 
         from lexiloom.llm import textvec as tv
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; waiting threads cost time
         self.tok, self.by_words, self.keep = Tokenizer.from_file(path), by_words, keep
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         # A special string, cut out of a text before anything else is done to it, parts the words of one call.
