@@ -1,32 +1,42 @@
-"""A Katz backoff language model of order 2, learned from a corpus and applied to every text of it.
-
-*Model.* Tokens are words (between ASCII white space, A-Z lower-cased) and one end a text; a text's first token has the
-end as its history. P(w | h) = d(c) c(h, w) / c(h) if the pair was learned, else alpha(h) P(w); P(w) = d1(c) c(w) / N if the
-word was learned, else the whole of what that leaves, for the one class of unknown words. d and d1 are Good-Turing
-discounts of counts up to CUT, with Katz's correction; larger counts aren't discounted. From the first count whose
-discount is not between 0 and 1 (copies in the corpus bend the counts of counts), the counts of counts are smoothed as
-in Simple Good-Turing: a line through the logarithms of Z_r, r up to FIT. alpha(h) is exact: what the learned pairs of h
-leave, over what their words leave of P. A history none of whose pairs is discounted counts once more in its
-denominator, so that something is left. Where the line does not fall faster than 1 / r either (a handful of texts),
-Good-Turing has no discounts; (c - 1/2) / c stands in, and a warning is logged.
+"""A Katz backoff language model, learned from a corpus and applied to every text of it, or of another.
+
+*Model.* Tokens are words (between ASCII white space, A-Z lower-cased) and one end a text; before a text stand two ends.
+Of order 3, P(w | u v) = d3(c) c(u v w) / c(u v) if the triple was learned, else alpha(u v) P(w | v), or P(w | v) where
+u v was never learned as a history; P(w | v) likewise from pairs and P(w); P(w) = d1(c) c(w) / N if the word was
+learned, else the whole of what that leaves, for the one class of unknown words. Of order 2 the recursion begins with
+P(w | v). d are Good-Turing discounts of counts up to CUT, with Katz's correction, of each order's own; larger counts
+aren't discounted. From the first count whose discount is not between 0 and 1 (copies in the corpus bend the counts of
+counts), the counts of counts are smoothed as in Simple Good-Turing: a line through the logarithms of Z_r, r up to FIT.
+alpha is exact: what the learned followers of a history leave, over what the lower order leaves of them, so that the
+probabilities of all words and the unknown class add up to 1. Not Katz's: a history none of whose counts is discounted
+(all above CUT) counts once more in its denominator, so that something is left. Where the line does not fall faster than
+1 / r either (a handful of texts), Good-Turing has no discounts; (c - 1/2) / c stands in, and a warning is logged.
 
 *Distribution.* The corpus is cut into batches of texts; a batch row holds its words' 64-bit hashes, and its tokens as
-indices into them, packed. (1) Each batch sends its word counts, a slice for each of P parts of the hash range; a part adds
-up and returns the totals, so that each batch knows c(w) for its words. (2) Each batch sends its distinct pairs, with
-counts, c(h), c(w) and the texts they occur in, to the part of the history; a part merges them, and keeps, packed, the
-statistics of its histories and what each text needs: how often pairs of each small count occur in it, the sum of the
-logarithms that need no discount, and which histories it leaves by backing off. (3) With the counts of counts of all
-parts the discounts are known, parts turn these into sums per text, and batches add them up. A frequent history is
-dealt to several parts by its next word; all its statistics are sums, and there are at most 4 P such histories.
-Everything a task holds is a batch or a part; parts grow in number with the data (P follows the shuffle partitions).
-
-Defined cases: null and empty texts are an end alone; a null id is scored, never learned from, and not held out;
-repeated rows each count and are scored; very long texts make a batch of their own; an empty table gives no rows;
-other columns are ignored.
+indices into them, packed. P parts, a number that follows the tokens (TOKENS a part), hold the model. (1) Each batch asks
+the parts of its words; a part adds up, numbers the words and answers. (2) Each batch sends its distinct pairs to the part
+of their first word; a part merges them into its table of pairs and, the discounts being known, answers with counts and
+alpha. (3) Each batch sends its distinct triples, with what it knows of their pairs and the texts they occur in, to the
+part of the middle word. A part merges them into its table, walks the recursion for every token, and keeps sums per text:
+how often triples of each small count occur in it, the sum of the logarithms that need no discount, and which histories
+it leaves by backing off. With the counts of counts of all parts the discounts are known, parts turn these into sums
+per text, and batches add them up. A frequent word's histories are dealt to several parts, and so are the followers of a
+frequent history; statistics of these are sums, and there are at most 4 P such histories. Everything a task holds is a
+batch or a part. A batch sends at most a row a part, none that is empty, so rows never exceed tokens.
+
+*Stored model.* `learned` writes a folder of tables: words, pairs and triples, each a Parquet table partitioned by part,
+with counts and alpha, and the discounts. `scored` applies it to any corpus: its tables join the batches as one more
+sender, so texts are scored by the same code. `probabilities` reads the tables as rows of history, word, count,
+probability and backoff weight.
+
+Defined cases: null and empty texts are an end alone; a null id is scored, never learned from by `training_view`, and not
+held out; repeated rows each count and are scored; very long texts make a batch of their own; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 import struct
@@ -40,9 +50,14 @@ CUT = 5
 #: Counts of counts that the line is laid through.
 FIT = 20
 BATCH_BYTES = 12 << 20
+#: Tokens a part, at most (the number of parts is a power of two).
+TOKENS = 1_500_000
+ORDER = 3
 #: The hash that stands for the end of a text.
 END = 0x5A17E0FD2B3C4D91
-_COLUMNS = "batch long, doc_ids binary, doc_null binary, held binary, n_tokens binary, vocab binary, learned binary, tokens binary"
+#: The sender of what a stored model holds, and rows that are of a part, not of a batch.
+STORED, OF_PART = -2, -1
+_COLUMNS = "batch long, n long, doc_ids binary, doc_null binary, train binary, held binary, n_tokens binary, vocab binary, learned binary, tokens binary"
 
 
 def pack(*arrays) -> bytes:
@@ -138,12 +153,12 @@ def batches(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
             # Words in the order in which they first occur: frequent ones have small numbers, which pack well.
             tokens, on = code, np.repeat(np.concatenate(train), n + 1)
             learned = np.bincount(tokens[on], minlength=len(uniq))
-            out = [(task << 32) + seq, pack(np.concatenate([i.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in ids])), pack(np.concatenate([i.is_null().to_numpy(zero_copy_only=False) for i in ids]).astype(np.uint8)), pack(np.concatenate(held).astype(np.uint8)), pack(slim(n + 1)), pack(uniq), pack(slim(learned)), pack(slim(tokens))]
+            out = [(task << 32) + seq, len(tokens), pack(np.concatenate([i.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in ids])), pack(np.concatenate([i.is_null().to_numpy(zero_copy_only=False) for i in ids]).astype(np.uint8)), pack(np.concatenate(train).astype(np.uint8)), pack(np.concatenate(held).astype(np.uint8)), pack(slim(n + 1)), pack(uniq), pack(slim(learned)), pack(slim(tokens))]
             seq += 1
             ids, train, held, counts, have = [], [], [], [], 0
             del code, tokens, flat, on
             trim()
-            kinds = [pa.int64()] + [pa.binary()] * 7
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 8
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
         for b in parts:
@@ -162,14 +177,110 @@ def batches(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
     return staged(docs.select("doc_id", "train", "held_out", "text").mapInArrow(run, _COLUMNS), "katz-batches")
 
 
-def word_totals(base: DataFrame, parts: int, cut: int = CUT) -> DataFrame:
-    """Rows (batch, part, totals): totals of a batch's words of the part, packed in the order of their hashes; and for each
-    part a row of batch -1: N, V and the counts of counts 1 .. reach."""
+def gaps(a):
+    """Ascending integers as slim differences."""
+    import numpy as np
+
+    return slim(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def rising(a):
+    import numpy as np
+
+    return np.cumsum(a.astype(np.int64))
+
+
+def listed(a):
+    """(values, index) of integers, the values ascending and packed as gaps."""
+    import numpy as np
+
+    u, i = np.unique(a, return_inverse=True)
+    return u, i
+
+
+def part_of(first, bits: int, *salts):
+    """The part of a word's number, and of numbers that deal a frequent word to several."""
+    import numpy as np
+
+    from lexiloom.llm import textvec as tv
+
+    x = first.astype(np.uint64)
+    for s in salts:
+        x = x + tv.mix(s.astype(np.uint64) + np.uint64(1)) * (s > 0)
+    return (tv.mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+
+
+def dealt(number, of, split: int):
+    """Which of the shares of something that occurs `of` times a number is dealt to."""
+    import numpy as np
+
+    from lexiloom.llm import textvec as tv
+
+    shares = np.maximum(of - 1, 0) // split + 1
+    return (tv.mix(number.astype(np.uint64) ^ np.uint64(0x1F83D9ABFB41BD6B)) % shares.astype(np.uint64)).astype(np.int64)
+
+
+def level_sums(count, starts, lower, cut: int, reach: int):
+    """Of histories that begin at starts: how many counts are r, r up to cut; the sum of larger ones; the lower order's
+    probability of what was learned. And the counts of counts."""
+    import numpy as np
+
+    level = np.minimum(count, cut + 1)
+    small = [np.add.reduceat((level == r).astype(np.int64), starts) for r in range(1, cut + 1)] if len(starts) else [np.zeros(0, np.int64)] * cut
+    total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
+    of = np.bincount(np.minimum(count, reach + 1), minlength=reach + 2)[1 : reach + 1].astype(np.int64)
+    return small, total(np.where(count > cut, count, 0)), total(np.where(count > 0, lower, 0.0)), of
+
+
+def backoff(hcount, small, big, share, d: list[float]):
+    """(alpha, below): the weight of the lower order, and the denominator of a history."""
+    import numpy as np
+
+    mass = sum(x * r * s for (r, x), s in zip(enumerate(d, 1), small)) + big
+    below = np.where(sum(small) > 0, hcount, hcount + 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(hcount > 0, (1 - mass / below) / (1 - share), 1.0), below
+
+
+def katz_probability(c, below, alpha, lower, d: list[float]):
+    """P of words with counts c after histories."""
+    import numpy as np
+
+    return np.where(c > 0, c * np.concatenate([[0.0], d, [1.0]])[np.minimum(c, len(d) + 1)] / np.maximum(below, 1), alpha * lower)
+
+
+def _unigram(c, n: int, d: list[float], unknown: float):
+    """P(w) of words with totals c."""
+    import numpy as np
+
+    return np.where(c > 0, c * np.concatenate([[0.0], d, [1.0]])[np.minimum(c, len(d) + 1)] / max(n, 1), unknown)
+
+
+def _row(names: str, *values):
+    """A record batch of a row."""
+    import pyarrow as pa
+
+    kinds = {"batch": pa.int64(), "part": pa.int32()}
+    cols = names.split()
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(c, pa.binary())) for c, v in zip(cols, values)], names=cols)
+
+
+def _table_of(part: int, rows: list[tuple[int, bytes]]):
+    import pyarrow as pa
+
+    return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+
+_KINDS = "batch long, part int, data binary"
+
+
+def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cut: int = CUT) -> DataFrame:
+    """Rows (batch, part, data): totals and numbers of a batch's words of the part, in the order of their hashes; for each
+    part its table of words (STORED) and N, V and the counts of counts 1 .. reach (OF_PART)."""
     bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
 
     def send(rows):
         import numpy as np
-        import pyarrow as pa
 
         for b in rows:
             for r in range(b.num_rows):
@@ -178,218 +289,441 @@ def word_totals(base: DataFrame, parts: int, cut: int = CUT) -> DataFrame:
                 vocab, learned = vocab[order], learned[order]
                 part = vocab >> np.uint64(64 - bits) if bits else np.zeros(len(vocab), np.uint64)
                 cut_at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([b.column(0)[r].as_py()] * parts, pa.int64()), pa.array([pack(vocab[x:y], slim(learned[x:y])) for x, y in zip(cut_at, cut_at[1:])], pa.binary())], names=["part", "batch", "data"])
+                for p in np.flatnonzero(np.diff(cut_at)).tolist():
+                    x, y = cut_at[p], cut_at[p + 1]
+                    yield _row("batch part data", b.column(0)[r].as_py(), p, pack(vocab[x:y], slim(learned[x:y])))
 
     def add(t):
         import numpy as np
-        import pyarrow as pa
 
-        got = [unpack(x) for x in t.column("data").to_pylist()]
-        words, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([g[1] for g in got]).astype(np.float64), minlength=len(words)).astype(np.int64)
-        at = np.cumsum([0] + [len(g[0]) for g in got])
-        part = t.column("part")[0].as_py()
+        part, batch = t.column("part")[0].as_py(), t.column("batch").to_pylist()
+        got = {b: unpack(x) for b, x in zip(batch, t.column("data").to_pylist())}
+        old = got.get(STORED, [np.zeros(0, np.uint64)])[0]
+        # Words of a stored model keep their numbers, their places in it; others follow.
+        fresh = np.unique(np.concatenate([g[0] for g in got.values()]))
+        words = np.concatenate([old, fresh[~np.isin(fresh, old)]])
+        order = np.argsort(words)
+        at = {b: order[np.searchsorted(words[order], g[0])] for b, g in got.items()}
+        total = np.zeros(len(words), np.int64)
+        for b, g in got.items():
+            total[at[b]] += g[1].astype(np.int64)
         stat = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, reach + 1), minlength=reach + 2)[1 : reach + 1]])
-        out = [pack(slim(total[inverse[x:y]])) for x, y in zip(at, at[1:])]
-        return pa.table({"batch": pa.array([*t.column("batch").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(out) + 1), pa.int32()), "totals": pa.array([*out, pack(stat.astype(np.int64))], pa.binary())})
+        rows = [(b, pack(slim(total[at[b]]), slim(at[b]))) for b in got if b != STORED]
+        return _table_of(part, [*rows, (STORED, pack(words, slim(total))), (OF_PART, pack(stat.astype(np.int64)))])
 
-    sent = base.select("batch", "vocab", "learned").mapInArrow(send, "part int, batch long, data binary")
-    return staged(sent.groupBy("part").applyInArrow(add, "batch long, part int, totals binary"), "katz-words")
+    sent = base.select("batch", "vocab", "learned").mapInArrow(send, _KINDS)
+    sent = sent if stored is None else sent.unionByName(stored.select("batch", "part", "data"))
+    return staged(sent.groupBy("part").applyInArrow(add, _KINDS), "katz-words")
 
 
-def _unigram(c, n: int, d: list[float], unknown: float):
-    """P(w) of words with totals c."""
+class _Slots:
+    """Answers to batches, in folders that a batch finds by its number; so batches, which are large, aren't shuffled."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.n, self.path = max(4, parts_for(spark)), scratch_path(spark, name)
+
+    def of(self, batch):
+        return F.pmod(F.xxhash64(batch), F.lit(self.n)).cast("int")
+
+    def write(self, answers: DataFrame) -> None:
+        answers.filter("batch >= 0").withColumn("slot", self.of(F.col("batch"))).repartition(self.n, "slot").write.partitionBy("slot").parquet(self.path)
+
+    def read(self, batch: int, slot: int) -> list[tuple[int, list]]:
+        """(part, what it answered), by part."""
+        import pyarrow.dataset as ds
+
+        fs, folder = filesystem(self.path)
+        got = ds.dataset(f"{folder}/slot={slot}", filesystem=fs, format="parquet").to_table(columns=["part", "data"], filter=ds.field("batch") == batch)
+        return sorted(((r["part"], unpack(r["data"])) for r in got.to_pylist()), key=lambda r: r[0])
+
+
+class _Batch:
+    """A batch with what the parts of its words answered; words are renumbered so that their order is that of the numbers."""
+
+    def __init__(self, b, r: int, slots: _Slots, parts: int):
+        import numpy as np
+
+        get = lambda name: b.column(b.schema.get_field_index(name))[r].as_py()
+        (held,), (train,), (sizes,), (vocab,), (tokens,) = (unpack(get(n)) for n in ("held", "train", "n_tokens", "vocab", "tokens"))
+        got = slots.read(get("batch"), get("slot"))
+        total, number = np.empty(len(vocab), np.int64), np.empty(len(vocab), np.int64)
+        order = np.argsort(vocab)
+        total[order] = np.concatenate([x[0] for _, x in got])
+        number[order] = np.concatenate([x[1].astype(np.int64) * parts + p for p, x in got])
+        by = np.argsort(number)
+        self.number, self.total = number[by], total[by]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.end = int(rank[np.flatnonzero(vocab == np.uint64(END))[0]])
+        self.batch, self.held, self.train, self.sizes = get("batch"), held, train.astype(bool), sizes.astype(np.int64)
+        self.w = rank[tokens]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
+        self.v = np.empty_like(self.w)
+        self.v[1:] = self.w[:-1]
+        self.v[self.first] = self.end
+
+    def pairs(self, bits: int, split: int):
+        """(v, w, of, part, order): distinct pairs by part, v and w; for each token its pair's place in that order."""
+        import numpy as np
+
+        key = self.v * len(self.number) + self.w
+        u, of = np.unique(key, return_inverse=True)
+        v, w = np.divmod(u, len(self.number))
+        part = part_of(self.number[v], bits, dealt(self.number[w], self.total[v], split))
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return v[order], w[order], place[of], part[order]
+
+
+def pair_parts(base: DataFrame, slots: _Slots, parts: int, split: int, unigram, stored: DataFrame | None, cut: int) -> DataFrame:
+    """Rows (batch, part, data): of a batch, its first words of the part and the counts of its pairs; of each part its table
+    (STORED) and its statistics (OF_PART)."""
+    bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
+
+    def send(rows):
+        import numpy as np
+
+        for b in rows:
+            for r in range(b.num_rows):
+                x = _Batch(b, r, slots, parts)
+                v, w, of, part = x.pairs(bits, split)
+                learned = np.bincount(of[x.train[x.doc]], minlength=len(v))
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    on = slice(cuts[p], cuts[p + 1])
+                    yield _row("batch part data", x.batch, p, pair_slice(x.number[v[on]], x.total[v[on]], x.number[w[on]], x.total[w[on]], learned[on]))
+                del x, v, w, of, part, learned
+                trim()
+
+    def merge(t):
+        import numpy as np
+
+        part, batch = t.column("part")[0].as_py(), t.column("batch").to_pylist()
+        got = [read_pairs(x) for x in t.column("data").to_pylist()]
+        v, cv, w, cw, learned = (np.concatenate(x) for x in zip(*got))
+        at = np.cumsum([0] + [len(g[0]) for g in got])
+        order = np.lexsort((w, v))
+        sv, sw = v[order], w[order]
+        new = np.concatenate([[True], (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])])
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(learned[order], first)
+        per = np.empty(len(v), np.int64)
+        per[order] = count[np.cumsum(new) - 1]
+        hv, one = sv[first], order[first]
+        starts = np.flatnonzero(np.concatenate([[True], hv[1:] != hv[:-1]]))
+        small, big, share, of = level_sums(count, starts, unigram(cw[one]), cut, reach)
+        rows = [(b, pack(gaps(np.unique(g[0])), slim(per[x:y]))) for b, g, x, y in zip(batch, got, at, at[1:]) if b != STORED]
+        on = count > 0
+        kept = pair_slice(hv[on], cv[one][on], sw[first][on], cw[one][on], count[on])
+        stats = pack(hv[starts], slim(cv[one][starts]), *[slim(x) for x in small], slim(big), share, of)
+        del v, cv, w, cw, learned, order, sv, sw, per, got
+        trim()
+        return _table_of(part, [*rows, (STORED, kept), (OF_PART, stats)])
+
+    cols = ["batch", "held", "train", "n_tokens", "vocab", "tokens"]
+    sent = base.select(*cols, slots.of(F.col("batch")).alias("slot")).mapInArrow(send, _KINDS)
+    sent = sent if stored is None else sent.unionByName(stored.select("batch", "part", "data"))
+    return staged(sent.groupBy("part").applyInArrow(merge, _KINDS), "katz-pairs")
+
+
+def pair_slice(v, cv, w, cw, learned) -> bytes:
+    """Pairs in the order of v and w, with the totals of both words."""
     import numpy as np
 
-    return np.where(c > 0, c * np.concatenate([[0.0], d, [1.0]])[np.minimum(c, len(d) + 1)] / max(n, 1), unknown)
+    new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    wu, wi = listed(w)
+    of = np.zeros(len(wu), np.int64)
+    of[wi] = cw
+    return pack(gaps(v[new]), slim(cv[new]), slim(np.diff(np.append(new, len(v)))), gaps(wu), slim(of), slim(wi), slim(learned))
 
 
-def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
-    """docs (doc_id, train, held_out, text). Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    parts = 1 << math.ceil(math.log2(max(4, parts_for(spark))))
-    base = batches(docs)
-    totals = word_totals(base, parts, cut)
-    reach = max(FIT, cut + 1)
-    sums = [0] * (reach + 2)
-    for r in totals.filter("batch = -1").select("totals").toLocalIterator():  # a row a part
-        sums = [a + int(b) for a, b in zip(sums, unpack(r.totals)[0])]
-    n, v, counts = sums[0], sums[1], sums[2:]
-    d1 = discounts(counts, cut, "words")
-    # What learned words leave: the discounted share of words of each small count.
-    unknown = sum((1 - d) * r * counts[r - 1] for r, d in enumerate(d1, 1)) / n if n else 1.0
-    unknown = unknown if unknown > 0 else 1.0 / (n + 1)
-    split = max(1, n // (4 * parts))  # a history with more tokens goes to several parts
+def read_pairs(raw: bytes):
+    import numpy as np
+
+    v, cv, n, wu, cw, wi, learned = unpack(raw)
+    n = n.astype(np.int64)
+    return np.repeat(rising(v), n), np.repeat(cv.astype(np.int64), n), rising(wu)[wi], cw.astype(np.int64)[wi], learned.astype(np.int64)
+
 
-    # A batch's totals lie in its slot, a folder that one task writes; the batch reads them there, so that the batches,
-    # which are large, aren't shuffled for a join.
-    slots, looked_up = parts_for(spark), scratch_path(spark, "katz-totals")
-    slot_of = lambda batch: F.pmod(F.xxhash64(batch), F.lit(slots)).cast("int")
-    totals.filter("batch >= 0").withColumn("slot", slot_of(F.col("batch"))).repartition(slots, "slot").write.partitionBy("slot").parquet(looked_up)
+def wide_stats(rows: DataFrame, cut: int, split: int):
+    """(counts of counts, {history: summed statistics}) of parts' OF_PART rows; of histories of more than split tokens
+    only, 4 P at most."""
+    total, wide = [0] * max(FIT, cut + 1), {}
+    for r in rows.filter(F.col("batch") == OF_PART).mapInArrow(_counts_and_wide(cut, split), "n binary, wide binary").toLocalIterator():  # a row a part
+        total = [a + int(b) for a, b in zip(total, unpack(r.n)[0])]
+        for x in zip(*unpack(r.wide)):
+            old = wide.get(int(x[0]), [0.0] * (len(x) - 1))
+            wide[int(x[0])] = [a + float(b) for a, b in zip(old, x[1:])]
+    return total, wide
 
-    def pairs(rows):
-        """To parts: the pairs of a batch. To part -1: what needs no pair, per text."""
+
+def _counts_and_wide(cut: int, split: int):
+    def run(rows):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.dataset as ds
 
-        from lexiloom.llm import textvec as tv
+        for b in rows:
+            out, wide = [], []
+            for raw in b.column(b.schema.get_field_index("data")).to_pylist():
+                hist, hcount, *rest = unpack(raw)
+                big = np.flatnonzero(hcount > split)
+                out.append(pack(rest[cut + 2]))
+                wide.append(pack(hist[big], *[x[big].astype(np.float64) for x in rest[: cut + 2]]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(wide, pa.binary())], names=["n", "wide"])
+
+    return run
+
+
+def weights_of(raw: bytes, cut: int, split: int, wide: dict, d: list[float]):
+    """(histories, their tokens, alpha, below) from a part's statistics and those of histories that lie in several."""
+    import numpy as np
+
+    hist, hcount, *rest = unpack(raw)
+    hcount = hcount.astype(np.int64)
+    small, big, share = [x.astype(np.float64) for x in rest[:cut]], rest[cut].astype(np.float64), rest[cut + 1].copy()
+    for i in np.flatnonzero(hcount > split).tolist():  # of these the part has a share only
+        x = wide[int(hist[i])]
+        for r in range(cut):
+            small[r][i] = x[r]
+        big[i], share[i] = x[cut], x[cut + 1]
+    return hist, hcount, *backoff(hcount, small, big, share, d)
+
+
+def pair_answers(found: DataFrame, cut: int, split: int, wide: dict, d: list[float]) -> DataFrame:
+    """To batches: counts of their pairs, alpha and denominators of their first words; and per part its alphas (STORED)."""
+
+    def answer(t):
+        import numpy as np
+
+        part, batch, data = t.column("part")[0].as_py(), t.column("batch").to_pylist(), t.column("data").to_pylist()
+        hist, hcount, alpha, below = weights_of(data[batch.index(OF_PART)], cut, split, wide, d)
+        rows = [(STORED, pack(hist, alpha, below))]
+        for b, raw in zip(batch, data):
+            if b >= 0:
+                v, counts = unpack(raw)
+                at = np.searchsorted(hist, rising(v))
+                rows.append((b, pack(counts, alpha[at], (below > hcount)[at].astype(np.uint8))))
+        return _table_of(part, rows)
+
+    return found.filter(F.col("batch") != STORED).groupBy("part").applyInArrow(answer, _KINDS)
+
+
+def top_slice(v, u, w, of_v, of_h, of_w, cvw, learned, times, docs) -> bytes:
+    """Triples in the order of v, u and w. of_v: columns of v; of_h: tokens of the history; of_w: totals of w."""
+    import numpy as np
+
+    start = lambda *cols: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])) if len(v) else np.zeros(0, np.int64)
+    nv, nh = start(v), start(v, u)
+    uu, ui = listed(u[nh])
+    wu, wi = listed(w)
+    cw = np.zeros(len(wu), np.int64)
+    cw[wi] = of_w
+    n = len(v)
+    return pack(
+        gaps(v[nv]), *[x[nv] if x.dtype == np.float64 else slim(x[nv]) for x in of_v], slim(np.diff(np.append(np.searchsorted(nh, nv), len(nh)))),
+        gaps(uu), slim(ui), slim(of_h[nh]), slim(np.diff(np.append(nh, n))), gaps(wu), slim(cw), slim(wi), slim(cvw), slim(learned), slim(times), slim(docs),
+    )
+
+
+def read_top(raw: bytes):
+    """(v, u, w, total of v, alpha of v, once more in v's denominator, tokens of the history, total of w, c(v w), learned, times, docs)."""
+    import numpy as np
+
+    v, cv, alpha, more, nh, uu, ui, ch, nw, wu, cw, wi, cvw, learned, times, docs = unpack(raw)
+    nh, nw = nh.astype(np.int64), nw.astype(np.int64)
+    of_v = np.repeat(np.repeat(np.arange(len(v)), nh), nw)
+    per = lambda x: np.repeat(x, nw)
+    return rising(v)[of_v], per(rising(uu)[ui]), rising(wu)[wi], cv.astype(np.int64)[of_v], alpha[of_v], more[of_v], per(ch.astype(np.int64)), cw.astype(np.int64)[wi], cvw.astype(np.int64), learned.astype(np.int64), times.astype(np.int64), docs
+
+
+def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts: int, split: int, n: int, v_count: int, unigram, d2: list[float], stored: DataFrame | None, cut: int) -> DataFrame:
+    """The highest order. Rows (batch, part, data): what texts of a batch need of the part; of each part its table (STORED)
+    and its statistics (OF_PART); and of part -1 what needs no history, per batch."""
+    bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
+
+    def send(rows):
+        import numpy as np
 
-        bits = int(math.log2(parts))
-        fs, folder = filesystem(looked_up)
-        emit = lambda part, batch, data: pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(batch, pa.int64()), pa.array(data, pa.binary())], names=["part", "batch", "data"])
         for b in rows:
             for r in range(b.num_rows):
-                batch, held_raw, sizes_raw, vocab_raw, tokens_raw, ids_raw, null_raw, slot = (b.column(x)[r].as_py() for x in range(8))
-                mine = ds.dataset(f"{folder}/slot={slot}", filesystem=fs, format="parquet").to_table(columns=["part", "totals"], filter=ds.field("batch") == batch)
-                got = sorted(mine.to_pylist(), key=lambda g: g["part"])
-                (held,), (sizes,), (vocab,), (tokens,) = unpack(held_raw), unpack(sizes_raw), unpack(vocab_raw), unpack(tokens_raw)
-                train = unpack(null_raw)[0] == 0
-                train &= held == 0
-                total = np.empty(len(vocab), np.int64)
-                total[np.argsort(vocab)] = np.concatenate([unpack(g["totals"])[0] for g in got])
-                sizes, tokens = sizes.astype(np.int64), tokens.astype(np.int64)
-                first = np.cumsum(sizes) - sizes
-                log = np.log10((total + 1.0) / (n + v + 1.0))
-                base_score = np.add.reduceat(log[tokens], first)
-                known = np.add.reduceat((total > 0)[tokens].astype(np.int64), first)
-                yield emit([-1], [batch], [pack(base_score, known, sizes, held, unpack(ids_raw)[0], unpack(null_raw)[0])])
-                doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-                end = int(np.flatnonzero(vocab == np.uint64(END))[0])
-                before = np.empty_like(tokens)
-                before[1:] = tokens[:-1]
-                before[first] = end
-                before *= len(vocab)
-                before += tokens
-                del tokens
-                order = np.argsort(before, kind="stable")
-                key, doc = before[order], doc[order]
-                del before, order
-                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                times = np.diff(np.append(at, len(key)))
-                learned = np.add.reduceat(train[doc].astype(np.int64), at)
-                h, w = np.divmod(key[at], len(vocab))
-                salts = np.maximum(total[h] - 1, 0) // split + 1
-                salt = tv.mix(vocab[w] ^ np.uint64(0x1F83D9ABFB41BD6B)) % salts.astype(np.uint64)
-                to = (tv.mix(vocab[h] + salt * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                # Pairs by part; their texts in the same order.
+                x = _Batch(b, r, slots, parts)
+                ids, null = (b.column(b.schema.get_field_index(c))[r].as_py() for c in ("doc_ids", "doc_null"))
+                log = np.log10((x.total + 1.0) / (n + v_count + 1.0))
+                known = np.add.reduceat((x.total > 0)[x.w].astype(np.int64), x.first)
+                yield _row("batch part data", x.batch, -1, pack(np.add.reduceat(log[x.w], x.first), known, x.sizes, x.held, unpack(ids)[0], unpack(null)[0]))
+                size = len(x.number)
+                if pair_slots is None:
+                    u, ch, cvw = np.zeros(len(x.w), np.int64), x.total[x.v], np.zeros(len(x.w), np.int64)
+                    alpha, more, u_number = np.ones(size), np.zeros(size, np.uint8), np.zeros(1, np.int64)
+                else:
+                    got = pair_slots.read(x.batch, b.column(b.schema.get_field_index("pair_slot"))[r].as_py())
+                    pv, _, of, part = x.pairs(bits, split)
+                    count = np.concatenate([g[0].astype(np.int64) for _, g in got])
+                    alpha, more = np.ones(size), np.zeros(size, np.uint8)
+                    for p, g in got:  # a part answers for its first words in their order
+                        on = np.unique(pv[np.searchsorted(part, p) : np.searchsorted(part, p, "right")])
+                        alpha[on], more[on] = g[1], g[2]
+                    cvw = count[of]
+                    u, ch = np.empty_like(x.v), np.empty_like(cvw)
+                    u[1:], ch[1:] = x.v[:-1], cvw[:-1]
+                    u[x.first], ch[x.first] = x.end, x.total[x.end]  # before a text stand two ends
+                    u_number = x.number
+                    del pv, of, part, count
+                if size < 1 << 21:
+                    order = np.argsort((x.v * len(u_number) + u) * size + x.w, kind="stable")
+                else:  # a batch of a very long text
+                    order = np.lexsort((x.w, u, x.v))
+                at = np.flatnonzero(np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (x.v, u, x.w)], axis=0)]))
+                one = order[at]
+                times = np.diff(np.append(at, len(order)))
+                docs = x.doc[order]
+                learned = np.add.reduceat(x.train[docs].astype(np.int64), at)
+                v, w, u, ch, cvw = x.v[one], x.w[one], u[one], ch[one], cvw[one]
+                by_u = dealt(u_number[u], x.total[v], split) if pair_slots is not None else np.zeros(len(v), np.int64)
+                to = part_of(x.number[v], bits, by_u, dealt(x.number[w], ch, split))
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(parts + 1))
-                for p in range(parts):
-                    x = by[cuts[p] : cuts[p + 1]]
-                    if not len(x):
-                        continue
-                    hu, hi = np.unique(h[x], return_inverse=True)
-                    wu, wi = np.unique(w[x], return_inverse=True)
-                    t = times[x]
-                    spots = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(at[x], t)
-                    yield emit([p], [batch], [pack(vocab[hu], slim(total[hu]), slim(hi), vocab[wu], slim(total[wu]), slim(wi), slim(learned[x]), slim(t), slim(doc[spots]))])
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    on = by[cuts[p] : cuts[p + 1]]
+                    t = times[on]
+                    spots = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(at[on], t)
+                    vv = v[on]
+                    yield _row("batch part data", x.batch, p, top_slice(x.number[vv], u_number[u[on]], x.number[w[on]], (x.total[vv], alpha[vv], more[vv]), ch[on], x.total[w[on]], cvw[on], learned[on], t, docs[spots]))
+                del x, order, docs
                 trim()
 
     def merge(t):
-        """A part: per history statistics; per batch what its texts need. One row a batch, one of batch -1 for the part."""
+        """A part: its table and statistics, and per batch what its texts need."""
         import numpy as np
-        import pyarrow as pa
 
-        part = t.column("part")[0].as_py()
-        names, data = t.column("batch").to_pylist(), t.column("data").to_pylist()
+        from lexiloom.llm import textvec as tv
+
+        part, names, data = t.column("part")[0].as_py(), t.column("batch").to_pylist(), t.column("data").to_pylist()
         if part < 0:
-            return pa.table({"batch": pa.array(names, pa.int64()), "part": pa.array([-1] * len(names), pa.int32()), "data": pa.array(data, pa.binary())})
-        hs, cs, ws, us, ls, ts, ds = [], [], [], [], [], [], []
-        for raw in data:
-            hu, hc, hi, wu, wc, wi, learned, times, doc = unpack(raw)
-            hs.append(hu[hi])
-            cs.append(hc[hi])
-            ws.append(wu[wi])
-            us.append(wc[wi])
-            ls.append(learned)
-            ts.append(times)
-            ds.append(doc)
-        at = np.cumsum([0] + [len(x) for x in hs])
-        h, ch, w, cw, learned = (np.concatenate([y.astype(k) for y in x]) for x, k in ((hs, np.uint64), (cs, np.int64), (ws, np.uint64), (us, np.int64), (ls, np.int64)))
-        order = np.lexsort((w, h))
-        sh, sw = h[order], w[order]
-        new = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sw[1:] != sw[:-1])])
+            return _table_of(-1, list(zip(names, data)))
+        got = [read_top(x) for x in data]
+        v, u, w, cv, alpha, more, ch, cw, cvw, learned = (np.concatenate([g[i] for g in got]) for i in range(10))
+        tails = [(g[10], g[11]) for g in got]
+        at = np.cumsum([0] + [len(g[0]) for g in got])
+        del got
+        # The next lower order of each follower, by the same recursion.
+        lower = unigram(cw)
+        if pair_slots is not None:
+            lower = katz_probability(cvw, cv + more, alpha, lower, d2)
+        order = np.lexsort((w, u, v))
+        apart = lambda *cols: np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        sv, su = v[order], u[order]
+        new = apart(sv, su, w[order])
         first = np.flatnonzero(new)
         count = np.add.reduceat(learned[order], first)
-        per = np.empty(len(h), np.int64)  # of each batch's pair: the pair's count in all
+        per = np.empty(len(v), np.int64)
         per[order] = count[np.cumsum(new) - 1]
-        # histories
-        ph, pw = sh[first], cw[order][first]
-        hnew = np.flatnonzero(np.concatenate([[True], ph[1:] != ph[:-1]]))
-        hist, hcount = ph[hnew], ch[order][first][hnew]
-        level = np.minimum(count, cut + 1)
-        small = np.stack([np.add.reduceat((level == r).astype(np.int64), hnew) for r in range(1, cut + 1)])
-        big = np.add.reduceat(np.where(count > cut, count, 0), hnew)
-        share = np.add.reduceat(np.where(count > 0, _unigram(pw, n, d1, unknown), 0.0), hnew)
-        none_small = small.sum(0) == 0
-        stats = pack(hist, hcount, *small, big, share, np.bincount(np.minimum(count, reach + 1), minlength=reach + 2)[1 : reach + 1])
-        of = np.searchsorted(hist, h)
+        one = order[first]
+        starts = np.flatnonzero(apart(sv[first], su[first]))
+        of = np.empty(len(v), np.int64)  # history of each
+        of[order] = (np.cumsum(apart(sv, su)) - 1)
+        hcount = ch[one][starts]
+        small, big, share, counts = level_sums(count, starts, lower[one], cut, reach)
+        none_small = sum(small) == 0
+        hist = tv.mix(u[one][starts].astype(np.uint64) + np.uint64(1)) ^ v[one][starts].astype(np.uint64)
+        stats = pack(hist, slim(hcount), *[slim(x) for x in small], slim(big), share, counts)
+        on = one[count > 0]
+        kept = top_slice(v[on], u[on], w[on], (cv[on], alpha[on], more[on]), ch[on], cw[on], cvw[on], count[count > 0], np.zeros(len(on), np.int64), np.zeros(0, np.int64))
+        del order, sv, su, new, u, w, cv, alpha, more, cw, cvw, learned
+        trim()
         out = []
-        for i in range(len(data)):
-            x = slice(at[i], at[i + 1])
-            k, reps, doc = per[x], ts[i].astype(np.int64), ds[i].astype(np.int64)
+        for i, name in enumerate(names):
+            if name == STORED:
+                continue
+            x, (reps, doc) = slice(at[i], at[i + 1]), tails[i]
+            doc = doc.astype(np.int64)
             docs_n = int(doc.max()) + 1
-            c, hi = np.repeat(k, reps), np.repeat(of[x], reps)
+            c, hi = np.repeat(per[x], reps), np.repeat(of[x], reps)
             seen = c > 0
             plain = np.bincount(doc[seen], weights=np.log10(c[seen] / hcount[hi[seen]]), minlength=docs_n).astype(np.float64)  # integers where nothing is seen
             by_count = [np.bincount(doc[seen & (c == r)], minlength=docs_n) for r in range(1, cut + 1)]
             left = ~seen
-            plain += np.bincount(doc[left], weights=np.log10(_unigram(np.repeat(cw[x], reps)[left], n, d1, unknown)), minlength=docs_n)
+            plain += np.bincount(doc[left], weights=np.log10(np.repeat(lower[x], reps)[left]), minlength=docs_n)
             off = left & (hcount[hi] > 0)  # a history never learned backs off wholly: alpha is 1
-            # Pairs seen after a history without discounted pairs here: their denominator may be one more.
+            # Seen after a history that has no discounted count here: the denominator may be one more.
             odd = seen & none_small[hi]
             back_key, back_n = np.unique(hi[off] * docs_n + doc[off], return_counts=True)
             odd_key, odd_n = np.unique(hi[odd] * docs_n + doc[odd], return_counts=True)
-            split_keys = lambda key: (slim(key // docs_n), slim(key % docs_n))
-            out.append(pack(plain, *[slim(y) for y in by_count], *split_keys(back_key), slim(back_n), *split_keys(odd_key), slim(odd_n)))
-        del h, ch, w, cw, learned, order, sh, sw, per, of
+            split_keys = lambda key: (gaps(key // docs_n), slim(key % docs_n))
+            out.append((name, pack(plain, *[slim(y) for y in by_count], *split_keys(back_key), slim(back_n), *split_keys(odd_key), slim(odd_n))))
+        del per, of, tails, lower
         trim()
-        return pa.table({"batch": pa.array([*names, -1], pa.int64()), "part": pa.array([part] * (len(out) + 1), pa.int32()), "data": pa.array([*out, stats], pa.binary())})
+        return _table_of(part, [*out, (STORED, kept), (OF_PART, stats)])
 
-    sent = base.select("batch", "held", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null", slot_of(F.col("batch")).alias("slot")).mapInArrow(pairs, "part int, batch long, data binary")
+    cols = ["batch", "held", "train", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null"]
+    asked = base.select(*cols, slots.of(F.col("batch")).alias("slot"), *([pair_slots.of(F.col("batch")).alias("pair_slot")] if pair_slots else []))
+    sent = asked.mapInArrow(send, _KINDS)
+    sent = sent if stored is None else sent.unionByName(stored.select("batch", "part", "data"))
     # Rows of part -1 are per batch: they go by batch, so that no task gets all of them.
-    plain = staged(sent.withColumn("turn", F.when(F.col("part") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("part", "turn").applyInArrow(merge, "batch long, part int, data binary"), "katz-parts")
-    n_pairs, wide = [0] * reach, {}
-    for r in plain.filter("batch = -1").mapInArrow(_counts_and_wide(cut, split), "n binary, wide binary").toLocalIterator():  # a row a part
-        n_pairs = [a + int(b) for a, b in zip(n_pairs, unpack(r.n)[0])]
-        for x in unpack_rows(r.wide):  # frequent histories only, 4 * parts at most
-            old = wide.get(int(x[0]), [0.0] * (len(x) - 2))
-            wide[int(x[0])] = [a + float(b) for a, b in zip(old, x[2:])]
-    d2 = discounts(n_pairs, cut, "pairs")
+    turn = F.when(F.col("part") < 0, F.col("batch")).otherwise(F.lit(0))
+    return staged(sent.withColumn("turn", turn).groupBy("part", "turn").applyInArrow(merge, _KINDS), "katz-parts")
+
+
+def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str | None) -> dict:
+    """Everything but the scores: the tables of a model of base's learned texts and of the stored model, and the discounts."""
+    spark = base.sparkSession
+    meta = json.loads(spark.read.text(f"{model}/meta").first()[0]) if model else {}
+    order = meta.get("order", order)
+    tokens = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = meta.get("parts") or parts or 1 << max(2, math.ceil(math.log2(max(1, tokens / TOKENS))))
+    stored = lambda name: spark.read.schema(_KINDS).parquet(f"{model}/{name}") if model else None
+    totals = word_totals(base, parts, stored("words"), cut)
+    sums = [0] * (max(FIT, cut + 1) + 2)
+    for r in totals.filter(F.col("batch") == OF_PART).select("data").toLocalIterator():  # a row a part
+        sums = [a + int(b) for a, b in zip(sums, unpack(r.data)[0])]
+    n, v, counts = sums[0], sums[1], sums[2:]
+    d1 = discounts(counts, cut, "words")
+    # What learned words leave: the discounted share of words of each small count.
+    unknown = sum((1 - d) * r * counts[r - 1] for r, d in enumerate(d1, 1)) / n if n else 1.0
+    unknown = unknown if unknown > 0 else 1.0 / (n + 1)
+    split = meta.get("split") or max(1, n // (4 * parts))  # what has more tokens is dealt to several parts
+    unigram = lambda c: _unigram(c, n, d1, unknown)
+    slots, pair_slots, d2, pairs = _Slots(spark, "katz-word-answers"), None, [], None
+    slots.write(totals)
+    if order == 3:
+        pairs = pair_parts(base, slots, parts, split, unigram, stored("pairs"), cut)
+        pair_counts, wide = wide_stats(pairs, cut, split)
+        d2 = discounts(pair_counts, cut, "pairs")
+        pair_slots = _Slots(spark, "katz-pair-answers")
+        pair_slots.write(pair_answers(pairs, cut, split, wide, d2))
+    tops = top_parts(base, slots, pair_slots, parts, split, n, v, unigram, d2, stored("tops"), cut)
+    top_counts, wide = wide_stats(tops, cut, split)
+    d = discounts(top_counts, cut, "triples" if order == 3 else "pairs")
+    return {"order": order, "cut": cut, "parts": parts, "split": split, "n": n, "v": v, "d1": d1, "d2": d2, "d": d, "unknown": unknown, "wide": wide, "words": totals, "pairs": pairs, "tops": tops}
+
+
+def scored(docs: DataFrame, cut: int = CUT, order: int = 2, parts: int | None = None, model: str | None = None) -> DataFrame:
+    """docs (doc_id, train, held_out, text). Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    The model is learned from the rows that train marks or, if model names one, is the one stored there."""
+    fit = _fit(batches(docs.withColumn("train", F.lit(False)) if model else docs), order, cut, parts, model)
+    n, d, split, wide, tops = fit["n"], fit["d"], fit["split"], fit["wide"], fit["tops"]
 
     def sums_of(t):
         """Of a part, with the discounts known: per batch the sum for each text."""
         import numpy as np
-        import pyarrow as pa
 
         names, data = t.column("batch").to_pylist(), t.column("data").to_pylist()
-        where = names.index(-1)
-        hist, hcount, *rest = unpack(data[where])
-        small, big, share = rest[:cut], rest[cut], rest[cut + 1].copy()  # what unpack gives may be read-only
-        mass = sum(d * r * s for (r, d), s in zip(enumerate(d2, 1), small)) + big
-        some = sum(small) > 0
-        for i in np.flatnonzero(hcount > split):  # of these the part has a share only
-            if int(hist[i]) in wide:
-                x = wide[int(hist[i])]
-                mass[i] = sum(d * r * s for (r, d), s in zip(enumerate(d2, 1), x[:cut])) + x[cut]
-                share[i], some[i] = x[cut + 1], sum(x[:cut]) > 0
-        below = np.where(some, hcount, hcount + 1.0)
+        _, hcount, alpha, below = weights_of(data[names.index(OF_PART)], cut, split, wide, d)
         with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.log10(np.where(hcount > 0, (1 - mass / below) / (1 - share), 1.0))
-            more = np.where(some, 0.0, np.log10(hcount / below))
-        out, ids = [], []
+            back, more = np.log10(alpha), np.log10(np.where(hcount > 0, hcount / below, 1.0))
+        rows = []
         for name, raw in zip(names, data):
-            if name == -1:
+            if name < 0:
                 continue
             plain, *rest = unpack(raw)
             by_count, (bh, bd, bn, oh, od, on) = rest[:cut], rest[cut:]
-            total = plain + sum(math.log10(d) * k for d, k in zip(d2, by_count))
-            total += np.bincount(bd.astype(np.int64), weights=alpha[bh.astype(np.int64)] * bn, minlength=len(total))
-            total += np.bincount(od.astype(np.int64), weights=more[oh.astype(np.int64)] * on, minlength=len(total))
-            ids.append(name)
-            out.append(pack(total))
-        return pa.table({"batch": pa.array(ids, pa.int64()), "part": pa.array([0] * len(ids), pa.int32()), "data": pa.array(out, pa.binary())})
+            total = plain + sum(math.log10(x) * k for x, k in zip(d, by_count))
+            total += np.bincount(bd.astype(np.int64), weights=back[rising(bh)] * bn, minlength=len(total))
+            total += np.bincount(od.astype(np.int64), weights=more[rising(oh)] * on, minlength=len(total))
+            rows.append((name, pack(total)))
+        return _table_of(0, rows)
 
     def finish(t):
         import numpy as np
@@ -404,32 +738,51 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
                 score[: len(x)] += x
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held == 1), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(sizes), n, np.int64)), "base_score": base_score, "score": score})
 
-    texts = plain.filter("part >= 0").groupBy("part").applyInArrow(sums_of, "batch long, part int, data binary")
-    every = texts.unionByName(plain.filter("part < 0"))
+    texts = tops.filter((F.col("part") >= 0) & (F.col("batch") != STORED)).groupBy("part").applyInArrow(sums_of, _KINDS)
+    every = texts.unionByName(tops.filter("part < 0"))
     return every.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _counts_and_wide(cut: int, split: int):
-    """For a part's statistics: its counts of counts, and the rows of histories of more than split tokens."""
-
-    def run(rows):
+def learned(docs: DataFrame, to: str, order: int = ORDER, cut: int = CUT, parts: int | None = None) -> str:
+    """Learns from the rows of docs (doc_id, train, held_out, text) that train marks and writes the model's tables to a folder."""
+    spark = docs.sparkSession
+    fit = _fit(batches(docs.filter("train")), order, cut, parts, None)
+    for name in ("words", "pairs", "tops"):
+        if fit[name] is not None:
+            kept = fit[name].filter((F.col("batch") == STORED) & (F.col("part") >= 0)).select("batch", "part", "data")
+            kept.withColumn("p", F.col("part")).repartition(F.col("part")).write.partitionBy("p").parquet(f"{to}/{name}")
+    meta = {k: fit[k] for k in ("order", "cut", "parts", "split", "n", "v", "d1", "d2", "d", "unknown")}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{to}/meta")
+    return to
+
+
+def probabilities(spark: SparkSession, model: str) -> DataFrame:
+    """A stored model's highest order as rows: part, u, v, w (numbers of words), count, probability, and backoff, the
+    weight of the lower order after u v. Only histories that lie in one part."""
+    meta = json.loads(spark.read.text(f"{model}/meta").first()[0])
+    cut, d, split, order = meta["cut"], meta["d"], meta["split"], meta["order"]
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for b in rows:
-            out, wide = [], []
-            for raw in b.column(b.schema.get_field_index("data")).to_pylist():
-                hist, hcount, *rest = unpack(raw)
-                big = np.flatnonzero(hcount > split)
-                out.append(pack(rest[cut + 2].astype(np.int64)))
-                wide.append(pack(hist[big], hcount[big].astype(np.int64), *[x[big] for x in rest[: cut + 2]]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(wide, pa.binary())], names=["n", "wide"])
-
-    return run
-
-
-def unpack_rows(raw: bytes):
-    return list(zip(*unpack(raw)))
+        for b in batches:
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v, u, w, cv, alpha, more, ch, cw, cvw, count, _, _ = read_top(raw)
+                if not len(v):
+                    continue
+                lower = _unigram(cw, meta["n"], meta["d1"], meta["unknown"])
+                if order == 3:
+                    lower = katz_probability(cvw, cv + more, alpha, lower, meta["d2"])
+                starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]))
+                small, big, share, _ = level_sums(count, starts, lower, cut, max(FIT, cut + 1))
+                weight, below = backoff(ch[starts], small, big, share, d)
+                n = np.diff(np.append(starts, len(v)))
+                p = katz_probability(count, np.repeat(below, n), 0.0, 0.0, d)
+                on = ch <= split
+                yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (np.full(len(v), part, np.int32), u, v, w, count, p, np.repeat(weight, n))], names=["part", "u", "v", "w", "count", "probability", "backoff"])
+
+    return spark.read.schema(_KINDS).parquet(f"{model}/tops").select("part", "data").mapInArrow(run, "part int, u long, v long, w long, count long, probability double, backoff double")
 
 
 def training_view(docs: DataFrame) -> DataFrame:
@@ -439,4 +792,4 @@ def training_view(docs: DataFrame) -> DataFrame:
 
 
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(training_view(table(spark, sf_dir, "documents")))
+    return scored(training_view(table(spark, sf_dir, "documents")), order=ORDER)

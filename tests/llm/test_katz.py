@@ -73,3 +73,84 @@ def test_scores_equal_brute_force(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [got[i] for i in range(33)] == pytest.approx(brute(texts, learned))
+
+
+def brute3(texts, learned):
+    """The model of order 3 by dictionaries: (score of each text, P of a token after two, learned words)."""
+    rows = [[*t.split(), None] for t in texts]
+    uni, pair, triple = collections.Counter(), collections.Counter(), collections.Counter()
+    for row, on in zip(rows, learned):
+        if on:
+            before = [None, None, *row]
+            uni.update(row)
+            pair.update(zip(before[1:], row))
+            triple.update(zip(before, before[1:], row))
+    n, count = sum(uni.values()), lambda c: [sum(x == r for x in c.values()) for r in range(1, 21)]
+    d1, d2, d3 = (katz.discounts(count(c)) for c in (uni, pair, triple))
+    left = sum((1 - d1[c - 1]) * c for c in uni.values() if c <= 5) / n
+    p1 = lambda w: uni[w] * (d1[uni[w] - 1] if uni[w] <= 5 else 1) / n if uni[w] else left
+
+    def level(grams, d, lower):
+        after = collections.defaultdict(dict)
+        for g, c in grams.items():
+            after[g[:-1]][g[-1]] = c
+        memo = {}
+
+        def of(h):
+            if h not in memo:
+                below = sum(after[h].values()) + (0 if any(c <= 5 for c in after[h].values()) else 1)
+                part = {w: c * (d[c - 1] if c <= 5 else 1) / below for w, c in after[h].items()}
+                memo[h] = part, (1 - sum(part.values())) / (1 - sum(lower(h, w) for w in part))
+            return memo[h]
+
+        def p(h, w):
+            if h not in after:
+                return lower(h, w)
+            part, alpha = of(h)
+            return part[w] if w in part else alpha * lower(h, w)
+
+        return p
+
+    p2 = level(pair, d2, lambda h, w: p1(w))
+    p3 = level(triple, d3, lambda h, w: p2(h[1:], w))
+    score = [sum(math.log10(p3((a, b), w)) for a, b, w in zip([None, None, *row], [None, *row], row)) for row in rows]
+    return score, p3, list(uni)
+
+
+def corpus():
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(900)]
+    texts = [" ".join(words[i : i + 15]) for i in range(0, 900, 15)] + ["w1 new w2 w1 w3", "", "w2 w2 w7 other w1", "w1 w1 w1 w1 w1 w1 w1 w1 w1"] * 2
+    return texts, [i % 5 > 0 for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("parts", [1, 8, 128])
+def test_order_three_equals_brute_force(spark, parts):
+    """With so many parts that histories lie in several, too."""
+    texts, learned = corpus()
+    want, p, words = brute3(texts, learned)
+    docs = spark.createDataFrame([(i, on, False, t) for i, (t, on) in enumerate(zip(texts, learned))], "doc_id long, train boolean, held_out boolean, text string")
+    got = {r.doc_id: r for r in katz.scored(docs, order=3, parts=parts).collect()}
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+    assert all(r.score < 0 and r.base_score < 0 for r in got.values())
+    for h in ((None, None), ("w1", "w1"), ("w1", "w2"), (None, "w1"), ("no", "w1"), ("w9", "such")):
+        assert sum(p(h, w) for w in words) + p(h, "a word never seen") == pytest.approx(1)
+
+
+def test_stored_model_scores_another_corpus(spark, tmp_path):
+    texts, learned = corpus()
+    want, p, _ = brute3(texts, learned)
+    docs = spark.createDataFrame([(i, on, False, t) for i, (t, on) in enumerate(zip(texts, learned))], "doc_id long, train boolean, held_out boolean, text string")
+    model = katz.learned(docs, (tmp_path / "model").as_uri(), parts=4)
+    new = docs.filter(~docs.train).union(spark.createDataFrame([(900, True, True, "w1 w2 never w1 w1")], docs.schema))
+    got = {r.doc_id: r.score for r in katz.scored(new, model=model).collect()}
+    assert len(got) == learned.count(False) + 1 and all(got[i] == pytest.approx(want[i]) for i in got if i < 900)
+    row = ["w1", "w2", "never", "w1", "w1", None]
+    assert got[900] == pytest.approx(sum(math.log10(p((a, b), w)) for a, b, w in zip([None, None, *row], [None, *row], row)))
+    rows = katz.probabilities(spark, model).collect()
+    per = collections.defaultdict(float)
+    for r in rows:
+        per[r.u, r.v] += r.probability
+    assert len(per) > 50 and all(0 < x < 1 for x in per.values()) and all(r.backoff > 0 for r in rows)
