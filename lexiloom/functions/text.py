@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space of a token split, and what may stand at a token's edge.
@@ -69,21 +69,43 @@ def jdk_sentence_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, sent, toks) by the JDK's sentence rules for US English, which the built-in `sentences` applies.
 
     `sentences` drops punctuation and can't return positions, so it reads a mask of the text; the letters and digits of
-    each of its sentences are counted, and the running sums cut the token list, itself counted the same way. Both are
-    done within the row, so a text is never exploded and joined."""
+    each of its sentences are counted, and so are those of the text's chunks. A chunk's sentence is the number of ends at
+    or before it. Running sums over arrays would be quadratic as column expressions, so only these two lists of numbers
+    and the tokens pass through Arrow, a batch at a time. There is no shuffle, and rows that repeat stay apart."""
     mask = F.col(text)
     for pattern, by in MASK:
         mask = F.regexp_replace(mask, pattern, by)
-    counts = F.transform(F.sentences(mask, F.lit("en"), F.lit("US")), lambda s: F.length(F.regexp_replace(F.array_join(s, ""), "[^aA1]", "")))
+    letters = F.transform(F.sentences(mask, F.lit("en"), F.lit("US")), lambda s: F.length(F.regexp_replace(F.array_join(s, ""), "[^aA1]", "")))
     apart = F.regexp_replace(F.col(text), r"""([!?。！？][!?。！？.．\p{Pe}\p{Pf}"']*)(?=\S)""", "$1 ")
-    chunks = F.posexplode(F.split(apart, f"{SPACE}+", -1)).alias("p", "chunk")
-    size = F.length(F.regexp_replace("chunk", r"[^\p{L}\p{N}]", ""))
-    order = Window.partitionBy(key, "_doc").orderBy("o", "type", "p")
-    base = docs.select(key, text, F.xxhash64(text).alias("_doc"))
-    cuts = base.select(key, "_doc", F.posexplode(counts).alias("p", "c")).filter("c > 0")
-    cuts = cuts.withColumn("o", F.sum("c").over(Window.partitionBy(key, "_doc").orderBy("p"))).select(key, "_doc", "p", "o", F.lit(0).alias("type"), F.lit(None).cast("string").alias("chunk"))
-    parts = base.select(key, "_doc", chunks).withColumn("c", size)
-    parts = parts.withColumn("o", F.sum("c").over(Window.partitionBy(key, "_doc").orderBy("p")) - F.col("c")).select(key, "_doc", "p", "o", F.lit(1).alias("type"), "chunk")
-    placed = cuts.unionByName(parts).withColumn("sent", F.sum((F.col("type") == 0).cast("int")).over(order))
-    words = placed.filter("type = 1").withColumn("w", F.lower(F.regexp_replace("chunk", EDGE, ""))).filter("w <> ''")
-    return words.groupBy(key, "_doc", "sent").agg(F.array_sort(F.collect_list(F.struct("p", "w"))).alias("t")).select(key, "sent", F.transform("t", lambda x: x.w).alias("toks"))
+    rows = docs.select(key, F.filter(letters, lambda c: c > 0).alias("ends"), F.split(apart, f"{SPACE}+", -1).alias("chunks"))
+    rows = rows.select(
+        key, "ends", F.transform("chunks", lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))).alias("sizes"),
+        F.transform("chunks", lambda c: F.lower(F.regexp_replace(c, EDGE, ""))).alias("words"),
+    ).filter("words is not null and ends is not null")
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            ends, sizes, words = (b.column(i) for i in (1, 2, 3))
+            rows_of = lambda x: np.diff(x.offsets.to_numpy())
+            end_row, chunk_row = (np.repeat(np.arange(b.num_rows), rows_of(x)) for x in (ends, sizes))
+            count, size = ends.flatten().to_numpy().astype(np.int64), sizes.flatten().to_numpy().astype(np.int64)
+            # Each row gets a range of positions of its own, so that one search places all chunks.
+            most = np.maximum(np.bincount(end_row, count, b.num_rows), np.bincount(chunk_row, size, b.num_rows)).astype(np.int64) + 1
+            base = np.cumsum(most) - most
+            within = lambda x, row: np.cumsum(x) - np.repeat(np.cumsum(n := np.bincount(row, x, b.num_rows).astype(np.int64)) - n, np.bincount(row, minlength=b.num_rows))
+            stop = within(count, end_row) + base[end_row]
+            start = within(size, chunk_row) - size + base[chunk_row]
+            sent = np.searchsorted(stop, start, "right") - np.searchsorted(end_row, chunk_row, "left")
+            flat = words.flatten()
+            on = np.flatnonzero(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))
+            row, sent = chunk_row[on], sent[on]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (sent[1:] != sent[:-1])])) if len(on) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(on)).astype(np.int32)), flat.take(pa.array(on)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(sent[first].astype(np.int32)), lists], names=[key, "sent", "toks"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(cut, f"`{key}` {kind}, sent int, toks array<string>")

@@ -24,12 +24,14 @@ def _roll(total: str, *parts: str) -> str:
 def _walk(seeds: DataFrame, lists: DataFrame, order: int, weighted: bool, most: int, stop: str | None, run: str) -> DataFrame:
     """seeds (seed_id, w1[, w2]); lists (w1[, w2], cands[, total])."""
     spark, tag = seeds.sparkSession, uuid.uuid4().hex[:8]
+    most = max(1 if order == 2 else 2, most)
+    # The engine's own bounds on recursion are for runaway queries; a walk ends after `most` words.
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(int(spark.conf.get("spark.sql.cteRecursionLevelLimit")), most + 2)))
     # Staged, as each step of the recursion would count the corpus anew.
     staged(seeds, "seeds").createOrReplaceTempView(f"seeds_{tag}")
     staged(lists, "followers").createOrReplaceTempView(f"lists_{tag}")
     bi = order == 2
-    most = max(1 if bi else 2, most)
     gram = "concat_ws(' ', w.a, x)" if bi else "concat_ws(' ', w.b, w.a, x)"
     if not weighted:
         avoid = "w.b is not null and x = w.b" if bi else "x = w.a or x = w.b"
@@ -44,7 +46,7 @@ def _walk(seeds: DataFrame, lists: DataFrame, order: int, weighted: bool, most:
     here = "nxt <> w1" if bi and not weighted else "true"
     first = "w1 as a, cast(null as string) as b, array(w1) as words" if bi else "w2 as a, w1 as b, array(w1, w2) as words"
     join = "w.a = l.w1" if bi else "w.b = l.w1 and w.a = l.w2"
-    return spark.sql(f"""
+    got = spark.sql(f"""
         with recursive walk(seed_id, step, a, b, words, used) as (
           select seed_id, 0, a, b, words, cast(array() as array<string>) from (select seed_id, {first} from seeds_{tag})
           union all
@@ -52,6 +54,9 @@ def _walk(seeds: DataFrame, lists: DataFrame, order: int, weighted: bool, most:
           from (select w.seed_id, w.step, w.b as w0, w.a as w1, w.words, w.used, {pick} as nxt
                 from walk w join lists_{tag} l on {join} where size(w.words) < {most}{gone_on}) where nxt is not null and {here})
         select seed_id, max_by(words, step) as words from walk group by seed_id""")
+    for name in ("seeds", "lists"):  # resolved by now
+        spark.catalog.dropTempView(f"{name}_{tag}")
+    return got
 
 
 def bi_greedy(seeds: DataFrame, bigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0") -> DataFrame:
@@ -84,13 +89,27 @@ def algorithm(name: str):
     return ALGORITHMS.get((name or "").strip().lower().replace("-", "_"), tri_greedy)
 
 
-def start_rows(words: DataFrame, trigrams: DataFrame | None = None) -> DataFrame:
-    """(seed_id, w1[, w2]): a walk from each word that begins a sentence; for trigrams with its best second word."""
+def start_rows(words: DataFrame, trigrams: DataFrame | None = None, weighted: bool = False, run: str = "0") -> DataFrame:
+    """(seed_id, w1[, w2]): a walk from each word that begins a sentence; for trigrams with its best second word, or one
+    drawn in proportion to its total."""
     seeds = words.filter("starts > 0").select(F.col("word").alias("seed_id"), F.col("word").alias("w1"))
-    return seeds if trigrams is None else seeds.join(model.best_second_words(trigrams).select("w1", "w2"), "w1").select("seed_id", "w1", "w2")
+    if trigrams is None:
+        return seeds
+    second = weighted_second_words(trigrams, run) if weighted else model.best_second_words(trigrams).select("w1", "w2")
+    return seeds.join(second, "w1").select("seed_id", "w1", "w2")
 
 
 def weighted_start(words: DataFrame, run: str = "0") -> DataFrame:
-    """One row: a start word drawn in proportion to its starts; the roll comes from run."""
-    c = model.cumulative(words.filter("starts > 0").select(F.lit(0).alias("all"), F.col("word").alias("w"), F.col("starts").alias("cnt")), ["all"], "w")
-    return c.filter(F.expr(f"{_roll('total', repr(run))} < cum")).agg(F.min_by("w", "cum").alias("word"))
+    """One row: a start word drawn in proportion to its starts; the roll comes from run. Running sums are made in blocks, so
+    no task meets all start words."""
+    some = words.filter("starts > 0").select("word", "starts")
+    total = some.agg(F.sum("starts").alias("total"))
+    c = model.ordered_blocks(some, "starts", "starts").crossJoin(F.broadcast(total))  # one row
+    return c.filter(F.expr(f"{_roll('total', repr(run))} < cum")).agg(F.min_by("word", "cum").alias("word"))
+
+
+def weighted_second_words(trigrams: DataFrame, run: str = "0") -> DataFrame:
+    """(w1, w2): for each first word a second, drawn in proportion to how often triplets begin with both."""
+    totals = model.second_word_totals(trigrams).withColumnRenamed("total", "cnt")
+    c = model.cumulative(totals, ["w1"], "w2")
+    return c.filter(F.expr(f"{_roll('total', 'w1', repr(run))} < cum")).groupBy("w1").agg(F.min_by("w2", "cum").alias("w2"))

@@ -51,12 +51,15 @@ def topped_up(seeds: DataFrame, words: DataFrame, needed: int, key: str = "seed_
     return every.select(key, F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids"))
 
 
-def trigram_start(seeds: DataFrame, trigrams: DataFrame, key: str = "seed_id") -> DataFrame:
+def trigram_start(seeds: DataFrame, trigrams: DataFrame, key: str = "seed_id", second: DataFrame | None = None, run: str | None = None) -> DataFrame:
     """seeds (key, w1, w2): their first two words or null. Per key the start pair: (w1, w2) if it is a context, else w1
-    with its best second word, else the first context of all."""
+    with its second word (second (w1, w2), by default the best), else the first context of all, or one drawn by run."""
     contexts = trigrams.select("w1", "w2").distinct().withColumn("ok", F.lit(True))
-    best = best_second_words(trigrams).select("w1", F.col("w2").alias("best"))
-    first = trigrams.agg(F.min(F.struct("w1", "w2")).alias("f"))
+    second = best_second_words(trigrams) if second is None else second
+    best = second.select("w1", F.col("w2").alias("best"))
+    pair_of = F.struct("w1", "w2")
+    drawn = F.min(pair_of) if run is None else F.min(F.struct(F.md5(F.concat_ws("|", F.lit(run), "w1", "w2").cast("binary")).alias("h"), "w1", "w2"))
+    first = trigrams.agg(drawn.alias("d")).select(F.struct("d.w1", "d.w2").alias("f"))
     got = seeds.join(contexts, ["w1", "w2"], "left").join(best, "w1", "left").crossJoin(F.broadcast(first))  # first is one row
     pair: Column = F.when(F.col("ok"), F.struct("w1", "w2")).when(F.col("best").isNotNull(), F.struct("w1", F.col("best").alias("w2"))).otherwise(F.col("f"))
     return got.select(key, pair.alias("p")).select(key, F.col("p.w1").alias("start1"), F.col("p.w2").alias("start2"))

@@ -69,14 +69,27 @@ def weighted_lists(grams: DataFrame, context: list[str], word: str) -> DataFrame
     return c.groupBy(*context, "total").agg(F.array_sort(F.collect_list(F.struct("cum", F.col(word).alias("w")))).alias("cands"))
 
 
+def ordered_blocks(words: DataFrame, count: str, value: str, prefix: int = PREFIX) -> DataFrame:
+    """words (word, count, ..). Adds, in the order of count descending and word: nth and cum, the row number and the running
+    sum of value. Ranked apart are words of the same count and first characters, as very many share a small count; what
+    comes before such a block is summed over blocks, a count at a time."""
+    rows = words.withColumn("prefix", F.substring("word", 1, prefix))
+    blocks = rows.groupBy(F.col(count).alias("c"), "prefix").agg(F.count("*").alias("n"), F.sum(value).alias("v"))
+    counts = blocks.groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    down, across = Window.orderBy(F.col("c").desc()), Window.partitionBy("c").orderBy("prefix")
+    counts = counts.select(F.col("c").alias("c0"), before("n", down).alias("n0"), before("v", down).alias("v0"))
+    shift = blocks.select("c", "prefix", before("n", across).alias("n1"), before("v", across).alias("v1")).join(counts, F.col("c") == F.col("c0"))
+    shift = shift.select(F.col("c").alias("_c"), F.col("prefix").alias("_p"), (F.col("n0") + F.col("n1")).alias("_n"), (F.col("v0") + F.col("v1")).alias("_v"))
+    own = Window.partitionBy(count, "prefix").orderBy("word").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(count, "prefix").orderBy("word"))).withColumn("cum", F.sum(value).over(own))
+    got = rows.join(shift, (rows[count] == shift._c) & (rows.prefix == shift._p))
+    return got.select(*words.columns, (F.col("nth") + F.col("_n")).cast("long").alias("nth"), (F.col("cum") + F.col("_v")).cast("long").alias("cum"))
+
+
 def start_candidates(words: DataFrame) -> DataFrame:
     """word, starts, rank of the words that begin a sentence."""
-    some = words.filter("starts > 0")
-    # Ranks within one count are taken apart, as there may be very many words of the same small count.
-    sizes = some.groupBy("starts").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("starts").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = some.select("word", "starts", F.row_number().over(Window.partitionBy("starts").orderBy("word")).alias("r"))
-    return own.join(sizes.select("starts", before.alias("b")), "starts").select("word", "starts", (F.col("b") + F.col("r")).cast("long").alias("rank"))
+    return ordered_blocks(words.filter("starts > 0").select("word", "starts"), "starts", "starts").select("word", "starts", F.col("nth").alias("rank"))
 
 
 def second_word_totals(trigrams: DataFrame) -> DataFrame:

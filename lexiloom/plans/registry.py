@@ -54,7 +54,7 @@ def _file_stats(spark, sf):
 
 
 def _import_history(spark, sf):
-    """The manifest that importing every document would leave, latest first, with its rank."""
+    """The rows of the manifest that importing every document would leave, at made-up times."""
     files = counts.document_stats(_sents(spark, sf)).select("doc_id", F.col("n_tokens").alias("word_count"))
     return files.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "word_count", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("doc_id")).cast("string").alias("imported"))
 
@@ -130,6 +130,106 @@ def _packed(spark, sf):
     return p.select("preceding_word_id", "following_word_id", X.packed_key(F.col("preceding_word_id"), F.col("following_word_id")).alias("packed"))
 
 
+_STORES: dict[tuple[str, str], object] = {}
+
+
+def _store(spark, sf):
+    """A store that got the even documents, then the odd ones, then the even ones once more; made once a session."""
+    from lexiloom.sources.scratch import scratch_path
+    from lexiloom.sources.store import Store
+    from lexiloom.sources.text_files import documents_as_files
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store = Store(spark, scratch_path(spark, "store"))
+        store.build()
+        files = lambda part: documents_as_files(_table(spark, sf, "documents").filter(F.pmod("doc_id", F.lit(2)) == part))
+        for part in (0, 1, 0):
+            store.import_files(files(part), split=X.regex_sentence_tokens)
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _store_history(spark, sf):
+    from pyspark.sql import Window
+
+    rows = _store(spark, sf).history().select("file_name", "word_count", "import_timestamp", "file_id")
+    # A rank over the manifest, which has a row a file.
+    rank = F.row_number().over(Window.orderBy(F.col("import_timestamp").desc(), "file_id"))
+    return rows.select("file_name", "word_count", "file_id", rank.cast("long").alias("nth"))
+
+
+def _landing(spark, sf):
+    """Benchmark texts as files: uploaded reversed, then as they are, and listed with what is in them."""
+    from lexiloom.sources.scratch import scratch_path
+    from lexiloom.sources.text_files import text_files, upload
+
+    files = _table(spark, sf, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string"), F.lit(".TXT")).alias("file_name"), "text")
+    folder = scratch_path(spark, "landing")
+    for text in (F.reverse("text"), F.col("text")):
+        upload(files.select("file_name", text.alias("text")), folder).write.format("noop").mode("overwrite").save()
+    return text_files(spark, folder).select("file_name", "text")
+
+
+def _rendered(spark, sf):
+    """How long each sentence is when rendered; those without a word too."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.posexplode(X.regex_sentences(F.col("text"))).alias("sent", "s"))
+    text = X.rendered(X.tokens(F.col("s")))
+    return rows.select("doc_id", F.col("sent").cast("long").alias("sent"), X.rendered_length(text).alias("n_words"))
+
+
+def _upsert_word(spark, sf):
+    row = {"word": PROBE, "total": 0, "starts": 3, "ends": 2}
+    return counts.upserted_one(_words(spark, sf), row, ["word"]).filter(F.col("word") == PROBE)
+
+
+def _plain_texts(spark, sf):
+    """Each document's ASCII words, a sentence for each of its sentences: `X` and the words, lower-cased, then a full stop.
+    On such texts the JDK's rules break where the pattern does."""
+    words = F.transform(X.regex_sentences(F.col("text")), lambda s: F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0)))
+    return _table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(words, lambda w: F.concat(F.lit("X "), F.array_join(w, " "), F.lit("."))), " ").alias("text"))
+
+
+def _jdk_plain(spark, sf):
+    from pyspark.sql import Window
+
+    rows = X.jdk_sentence_tokens(_plain_texts(spark, sf))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent"))
+    return rows.select("doc_id", nth.cast("long").alias("nth"), X.rendered(F.col("toks")).alias("sentence"))
+
+
+def _seeded(algo):
+    def query(spark, sf):
+        from lexiloom.plans.generator import generate_sentences
+
+        seeds = _table(spark, sf, "benchmark").select(F.col("item_id").alias("seed_id"), F.col("text").alias("seed"))
+        return generate_sentences(_store(spark, sf), algo, seeds)
+
+    return query
+
+
+def _unseeded(spark, sf):
+    from lexiloom.plans.generator import generate_sentences
+
+    every = [generate_sentences(_store(spark, sf), a).select(F.lit(a).alias("algo"), "sentence", "n_words") for a in generate.ALGORITHMS]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+def _by_ids(spark, sf):
+    """From ids that there are and that there aren't, greedy, by pairs and triplets."""
+    from lexiloom.plans.generator import generate_from_ids
+
+    got = [generate_from_ids(_store(spark, sf), a, ids).select(F.lit(f"{a} {ids}").alias("asked"), "sentence") for a, ids in ID_SEEDS]
+    out = got[0]
+    for g in got[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+#: What `generate_by_ids` asks for.
+ID_SEEDS = (("bi_greedy", [1]), ("bi_greedy", [2, 1]), ("bi_greedy", [2_000_000_000]), ("tri_greedy", [1]), ("tri_greedy", [3, 1]), ("tri_greedy", [2_000_000_000]))
+
+
 QUERIES = {
     "word_counts_regex": _words,
     "bigram_counts": lambda s, d: _grams(s, d, 2),
@@ -171,6 +271,21 @@ QUERIES = {
     "generate_tri_weighted": _tri(generate.tri_weighted),
     "sentences_jdk": lambda s, d: _jdk(s, d).select("doc_id", F.col("sent").cast("long").alias("sent"), X.rendered(F.col("toks")).alias("sentence")),
     "word_counts_jdk": lambda s, d: counts.word_counts(_jdk(s, d)),
+    "sentences_jdk_plain": _jdk_plain,
+    "word_counts_jdk_plain": lambda s, d: counts.word_counts(X.jdk_sentence_tokens(_plain_texts(s, d))),
+    "rendered_lengths": _rendered,
+    "upsert_one_word": _upsert_word,
+    "landing_files": _landing,
+    "store_words": lambda s, d: _store(s, d).table("words"),
+    "store_history": _store_history,
+    "store_report": lambda s, d: __import__("lexiloom.plans.generator", fromlist=["report"]).report(_store(s, d)),
+    "weighted_second_word": lambda s, d: generate.weighted_second_words(_grams(s, d, 3), "7"),
+    "generate_seeded_bi_greedy": _seeded("bi-greedy"),
+    "generate_seeded_bi_weighted": _seeded("bi_weighted"),
+    "generate_seeded_tri_greedy": _seeded("no such name"),
+    "generate_seeded_tri_weighted": _seeded("TRI_WEIGHTED"),
+    "generate_unseeded": _unseeded,
+    "generate_by_ids": _by_ids,
 }
 
 
@@ -181,20 +296,20 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 # The same in SQL. The token rules, as above.
 _WS = r"[ \t\n\x0B\f\r]"
 _SENT = rf"""
-s as (select doc_id, i - 1 as sent, list_filter(list_transform(regexp_split_to_array(p[i], '{_WS}+'),
+s as materialized (select doc_id, i - 1 as sent, list_filter(list_transform(regexp_split_to_array(p[i], '{_WS}+'),
         lambda t: lower(regexp_replace(t, '^[^\p{{L}}\p{{Nd}}'']+|[^\p{{L}}\p{{Nd}}'']+$', '', 'g'))), lambda t: t <> '') as toks
       from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from
             (select doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null))),
 t as (select doc_id, sent, len(toks) as n, unnest(range(len(toks))) as pos, unnest(toks) as word from s where len(toks) > 0)"""
 _W = _SENT + """,
-w as (select word, count(*)::bigint as total, count(*) filter (pos = 0)::bigint as starts, count(*) filter (pos = n - 1)::bigint as ends from t group by 1)"""
+w as materialized (select word, count(*)::bigint as total, count(*) filter (pos = 0)::bigint as starts, count(*) filter (pos = n - 1)::bigint as ends from t group by 1)"""
 _B = _W + """,
-g2 as (select toks[i] as w1, toks[i + 1] as w2, count(*)::bigint as cnt, count(*) filter (i + 1 = len(toks))::bigint as ends
+g2 as materialized (select toks[i] as w1, toks[i + 1] as w2, count(*)::bigint as cnt, count(*) filter (i + 1 = len(toks))::bigint as ends
        from (select toks, unnest(range(1, len(toks))) as i from s) group by 1, 2)"""
 _T = _B + """,
-g3 as (select toks[i] as w1, toks[i + 1] as w2, toks[i + 2] as w3, count(*)::bigint as cnt, count(*) filter (i + 2 = len(toks))::bigint as ends
+g3 as materialized (select toks[i] as w1, toks[i + 1] as w2, toks[i + 2] as w3, count(*)::bigint as cnt, count(*) filter (i + 2 = len(toks))::bigint as ends
        from (select toks, unnest(range(1, len(toks) - 1)) as i from s where len(toks) > 2) group by 1, 2, 3)"""
-_D = ",\nd as (select (row_number() over (order by word))::int as word_id, word as word_value, total as total_occurrences, starts as start_sentence_count, ends as end_sequence_count from w)"
+_D = ",\nd as materialized (select (row_number() over (order by word))::int as word_id, word as word_value, total as total_occurrences, starts as start_sentence_count, ends as end_sequence_count from w)"
 _SEEDS = rf""",
 seeds as (select item_id as seed_id, unnest(range(len(q))) as pos, unnest(q) as word from
   (select item_id, list_filter(list_transform(regexp_split_to_array(trim(text), '{_WS}+'), lambda t: lower(t)), lambda t: t <> '') as q from benchmark))"""
@@ -205,7 +320,7 @@ def _part(sql: str, part: int, tag: str) -> str:
     """The counts of half of the documents, under other names."""
     body = sql.replace("from documents where", f"from documents where doc_id % 2 = {part} and")
     for name in ("s", "t", "w", "g2", "g3"):
-        body = body.replace(f"\n{name} as (", f"\n{name}{tag} as (").replace(f"from {name} ", f"from {name}{tag} ").replace(f"from {name})", f"from {name}{tag})")
+        body = body.replace(f"\n{name} as ", f"\n{name}{tag} as ").replace(f"from {name} ", f"from {name}{tag} ").replace(f"from {name})", f"from {name}{tag})")
     return body
 
 
@@ -216,7 +331,8 @@ def _merge_sql(n: int) -> str:
     return f"with {_part(base, 0, 'x')}, {_part(base, 1, 'y')} select {keys}, {sums} from (from {name}x union all from {name}y) group by {keys}"
 
 
-def _walk_sql(order: int, weighted: bool, stop: str | None = None) -> str:
+def _walk_sql(order: int, weighted: bool, stop: str | None = None, seeds: str | None = None, more: str = "") -> str:
+    """seeds: SQL of (seed_id, a, b, words), by default a walk from each start; more: what it needs first."""
     bi = order == 2
     grams, ctx, nxt = ("g2", "w1", "w2") if bi else ("g3", "w1, w2", "w3")
     if weighted:
@@ -234,13 +350,13 @@ l as (select {ctx}, list({nxt} order by rank) as cands from r where rank <= {top
         avoid = "w.b is not null and x = w.b" if bi else "x = w.a or x = w.b"
         gram = "concat_ws(' ', w.a, x)" if bi else "concat_ws(' ', w.b, w.a, x)"
         pick = f"list_filter(l.cands, lambda x: not coalesce({avoid}, false) and not list_contains(w.used, {gram}))[1]"
-    seeds = "select word as seed_id, word as a, null::varchar as b, [word] as words from w where starts > 0" if bi else "select w.word as seed_id, best.w2 as a, w.word as b, [w.word, best.w2] as words from w join best on w.word = best.w1 where starts > 0"
+    seeds = seeds or ("select word as seed_id, word as a, null::varchar as b, [word] as words from w where starts > 0" if bi else "select w.word as seed_id, best.w2 as a, w.word as b, [w.word, best.w2] as words from w join best on w.word = best.w1 where starts > 0")
     join = "w.a = l.w1" if bi else "w.b = l.w1 and w.a = l.w2"
     on = "" if stop is None else f" and (w.step = 0 or w.a <> '{stop}')"
     here = " and nxt <> w1" if bi and not weighted else ""
     base = _B if bi else _T + _SECOND
     gram = "concat_ws(' ', w1, nxt)" if bi else "concat_ws(' ', w0, w1, nxt)"
-    return f"""with recursive {base}, {lists},
+    return f"""with recursive {base}{more}, {lists},
 walk(seed_id, step, a, b, words, used) as (
   select seed_id, 0, a, b, words, []::varchar[] from ({seeds})
   union all
@@ -249,6 +365,61 @@ walk(seed_id, step, a, b, words, used) as (
 select seed_id as seed, array_to_string(arg_max(words, step), ' ') as sentence, len(arg_max(words, step))::bigint as n_words from walk group by 1"""
 
 
+_PACK = "case when len(toks) = 0 then 1 else len(toks) end"
+_HEX = "('0x' || substr(md5(concat_ws('|', {})), 1, 8))::bigint"
+_WSEC = (
+    ",\nc2 as (select w1, w2, sum(total) over (partition by w1 order by total desc, w2 rows unbounded preceding) as cum, sum(total) over (partition by w1) as every from sec)"
+    ",\nwsec as (select w1, arg_min(w2, cum) as w2 from c2 where (" + _HEX.format("w1, '{run}'") + " % every)::bigint < cum group by w1)"
+)
+_START = {
+    False: ",\nst as (select word from w order by starts desc, word limit 1)",
+    True: ",\nsc as (select word, sum(starts) over (order by starts desc, word rows unbounded preceding) as cum, sum(starts) over ()::bigint as total from w where starts > 0)"
+    ",\nst as (select arg_min(word, cum) as word from sc where (" + _HEX.format("'0'") + " % total) < cum)",
+}
+_FIRST = {False: ",\nf as (select min((w1, w2)) as f from sec)", True: ",\nf as (select arg_min((w1, w2), md5(concat_ws('|', '0', w1, w2))) as f from sec)"}
+
+
+def _seeded_sql(order: int, weighted: bool, texts: bool = True) -> str:
+    """Walks from the benchmark's texts, or one from nothing (seed 0)."""
+    ids = "select item_id as seed_id from benchmark" if texts else "select 0 as seed_id"
+    known = _SEEDS if texts else ",\nseeds as (select 0 as seed_id, 0 as pos, ''::varchar as word where false)"
+    if order == 2:
+        more = known + _START[weighted] + ",\nk as (select seed_id, arg_min(seeds.word, pos) as w1 from seeds join w on seeds.word = w.word group by 1)"
+        start = f"select i.seed_id, coalesce(k.w1, st.word) as a, null::varchar as b, [coalesce(k.w1, st.word)] as words from ({ids}) i left join k on i.seed_id = k.seed_id, st"
+    else:
+        second = "wsec" if weighted else "best"
+        more = known + _SECOND * 0 + (_WSEC.replace("{run}", "0") if weighted else "") + _FIRST[weighted]
+        more += ",\np as (select seed_id, max(word) filter (pos = 0) as w1, max(word) filter (pos = 1) as w2 from seeds group by 1)"
+        more += f""",\nq as (select i.seed_id, case when sec.w1 is not null or {second}.w1 is not null then p.w1 else f.f[1] end as x,
+          case when sec.w1 is not null then p.w2 when {second}.w1 is not null then {second}.w2 else f.f[2] end as y
+          from ({ids}) i left join p on i.seed_id = p.seed_id left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join {second} on p.w1 = {second}.w1, f)"""
+        start = "select seed_id, y as a, x as b, [x, y] as words from q"
+    walk = _walk_sql(order, weighted, None, start, more)
+    return f"select seed as seed_id, sentence, n_words from ({walk})"
+
+
+def _by_ids_sql() -> str:
+    """Ids as the store gives them: words of even documents first."""
+    out = []
+    for algo, ids in ID_SEEDS:
+        bi = algo == "bi_greedy"
+        named = lambda i: f"coalesce((select word_value from sd where word_id = {i}), '?')"
+        more = "," + _part(_W, 0, "e") + ",\nsd as (" + _STORE_WORDS + ")"
+        if bi:
+            start = f"select 0 as seed_id, {named(ids[0])} as a, null::varchar as b, [{named(ids[0])}] as words"
+        else:
+            more += _FIRST[False] + f",\np as (select {named(ids[0])} as w1, {named(ids[1]) if len(ids) > 1 else 'null::varchar'} as w2)"
+            more += """,\nq as (select case when sec.w1 is not null or best.w1 is not null then p.w1 else f.f[1] end as x,
+              case when sec.w1 is not null then p.w2 when best.w1 is not null then best.w2 else f.f[2] end as y
+              from p left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join best on p.w1 = best.w1, f)"""
+            start = "select 0 as seed_id, y as a, x as b, [x, y] as words from q"
+        out.append(f"select '{algo} {ids}' as asked, sentence from ({_walk_sql(2 if bi else 3, False, None, start, more)})")
+    return " union all ".join(out)
+
+
+_STORE_WORDS = """select (case when we.word is not null then row_number() over (partition by we.word is null order by w.word)
+  else (select count(*) from we) + row_number() over (partition by we.word is null order by w.word) end)::int as word_id,
+  w.word as word_value, w.total as total_occurrences, w.starts as start_sentence_count, w.ends as end_sequence_count from w left join we on w.word = we.word"""
 _ROLL7 = "(('0x' || substr(md5('7'), 1, 8))::bigint % total)"
 ORACLE_SQL = {
     "word_counts_regex": f"with {_W} select * from w",
@@ -263,7 +434,7 @@ ORACLE_SQL = {
     "word_dictionary": f"with {_W}{_D} select * from d",
     "word_pairs": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, cnt as occurrence_count, g2.ends as bi_end_frequency from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
     "trigram_sequence": f"with {_T}{_D} select a.word_id as first_word_id, b.word_id as second_word_id, c.word_id as third_word_id, cnt as follows_count, g3.ends as tri_end_frequency from g3 join d a on w1 = a.word_value join d b on w2 = b.word_value join d c on w3 = c.word_value",
-    "packed_pair_key": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, (a.word_id::bigint << 32) | b.word_id::bigint as packed from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
+    "packed_pair_key": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, a.word_id::bigint * 4294967296 + b.word_id as packed from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
     "bigram_followers_ranked": f"with {_B} select w1, w2, cnt, row_number() over (partition by w1 order by cnt desc, w2)::bigint as rank from g2",
     "trigram_followers_ranked": f"with {_T} select w1, w2, w3, cnt, row_number() over (partition by w1, w2 order by cnt desc, w3)::bigint as rank from g3",
     "start_candidates": f"with {_W} select word, starts, row_number() over (order by starts desc, word)::bigint as rank from w where starts > 0",
@@ -298,4 +469,19 @@ from p left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join best on p.w1 =
     "generate_tri_greedy": _walk_sql(3, False),
     "generate_bi_weighted": _walk_sql(2, True),
     "generate_tri_weighted": _walk_sql(3, True),
+    "sentences_jdk_plain": f"with {_SENT}, x as (select doc_id, i, list_prepend('x', regexp_extract_all(lower(p[i]), '[a-z]+')) as toks from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null))) select doc_id, row_number() over (partition by doc_id order by i)::bigint as nth, array_to_string(toks, ' ') as sentence from x",
+    "word_counts_jdk_plain": f"with x as (select doc_id, list_prepend('x', regexp_extract_all(lower(p[i]), '[a-z]+')) as toks from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null))), t as (select len(toks) as n, unnest(range(len(toks))) as pos, unnest(toks) as word from x) select word, count(*)::bigint as total, count(*) filter (pos = 0)::bigint as starts, count(*) filter (pos = n - 1)::bigint as ends from t group by 1",
+    "rendered_lengths": f"with {_SENT} select doc_id, sent::bigint as sent, ({_PACK})::bigint as n_words from s",
+    "upsert_one_word": f"with {_W} select word, total + 1 as total, starts + 3 as starts, ends + 2 as ends from w where word = '{PROBE}'",
+    "landing_files": "select 'item_' || item_id || '.TXT' as file_name, coalesce(text, '') as text from benchmark",
+    "store_words": f"with {_W},{_part(_W, 0, 'e')} {_STORE_WORDS}",
+    "store_history": f"with {_SENT}, m as (select 'doc_' || d.doc_id || '.txt' as file_name, d.doc_id % 2 as half, coalesce(c.n, 0)::bigint as word_count from documents d left join (select doc_id, count(*) as n from t group by 1) c on d.doc_id = c.doc_id) select file_name, word_count, row_number() over (order by half, file_name)::int as file_id, row_number() over (order by half desc, file_name)::bigint as nth from m",
+    "store_report": f"""with {_T} select 'words' as "table", count(*)::bigint as "rows", sum(total)::bigint as total from w union all select 'bigrams', count(*), sum(cnt)::bigint from g2 union all select 'trigrams', count(*), sum(cnt)::bigint from g3 union all select 'source_file', (select count(*) from documents), sum(total)::bigint from w""",
+    "weighted_second_word": f"with {_T}{_SECOND}{_WSEC.replace('{run}', '7')} select w1, w2 from wsec",
+    "generate_seeded_bi_greedy": _seeded_sql(2, False),
+    "generate_seeded_bi_weighted": _seeded_sql(2, True),
+    "generate_seeded_tri_greedy": _seeded_sql(3, False),
+    "generate_seeded_tri_weighted": _seeded_sql(3, True),
+    "generate_unseeded": " union all ".join(f"select '{n}_{k}' as algo, sentence, n_words from ({_seeded_sql(o, k == 'weighted', False)})" for o, n in ((2, "bi"), (3, "tri")) for k in ("greedy", "weighted")),
+    "generate_by_ids": _by_ids_sql(),
 }

@@ -1,4 +1,5 @@
-"""Scratch tables in the folder that all executors share: lineage ends there, on storage that outlives executors."""
+"""Scratch tables in the folder that all executors share: lineage ends there, on storage that outlives executors. What an
+application leaves there goes when it ends."""
 
 from __future__ import annotations
 
@@ -10,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may go without: it gets a
+    temporary folder."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(sc, "_lexiloom_scratch", None)
-        if base is None:  # a local session, as in tests
+        if base is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = Path(tempfile.mkdtemp(prefix="lexiloom-")).as_uri()
             sc._lexiloom_scratch = base
     if sc.getCheckpointDir() is None:
@@ -24,7 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own scratch folder, which goes when the application ends."""
+    sc, base = spark.sparkContext, shared_dir(spark)
+    own = getattr(sc, "_lexiloom_session", None)
+    if own is None or not own.startswith(base):
+        own = f"{base}/lexiloom/{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        p = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._lexiloom_session = own
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -38,9 +38,15 @@ class Store:
             return None
         return self.spark.read.text(str(p)).first()[0]
 
+    def _versions(self) -> list[str]:
+        fs, p = self._file("")
+        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("v-")) if fs.exists(p) else []
+
     def build(self) -> None:
-        """Empty tables, if there are none."""
+        """Empty tables, if there are none. Versions without a pointer are no empty store, and are left alone."""
         if self.version() is None:
+            if left := self._versions():
+                raise ValueError(f"{self.path} has versions ({', '.join(left)}) but no CURRENT that names one; write one of them there")
             self.clear()
 
     def clear(self) -> None:
@@ -52,17 +58,22 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{v}/{name}")
 
     def _commit(self, tables: dict[str, DataFrame]) -> None:
-        v = f"v-{uuid.uuid4().hex}"
+        """Writes a version and moves the pointer in one step, by a rename that replaces. The version before stays for its
+        readers; older ones, and what failed imports left, go."""
+        before, v = self.version(), f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{v}/{name}")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
         fs, p = self._file("CURRENT")
-        fs2, tmp = self._file(f"CURRENT.{v}")
+        _, tmp = self._file(f"CURRENT.{v}")
         out = fs.create(tmp, True)
         out.write(bytearray(v.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        how = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+        how[0] = jvm.Options.Rename.OVERWRITE
+        jvm.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
+        for old in set(self._versions()) - {v, before}:
+            fs.delete(self._file(old)[1], True)
 
     def import_files(self, files: DataFrame, words_only: bool = False, split=jdk_sentence_tokens) -> int:
         """files (file_name, text). Adds what the manifest doesn't have, by name; returns how many files were new. A file
@@ -78,11 +89,10 @@ class Store:
             grams = sents if words_only else sents.unionByName(split(late, "file_name", "text"))
             sizes = sents.groupBy("file_name").agg(F.sum(F.size("toks")).cast("bigint").alias("word_count"))
             top = old["source_file"].agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))
-            from pyspark.sql import Window
-
-            rank = F.row_number().over(Window.orderBy("file_name"))
-            added = fresh.select("file_name").join(sizes, "file_name", "left").withColumn("r", rank).crossJoin(F.broadcast(top))
-            added = added.select((F.col("r") + F.col("top")).cast("int").alias("file_id"), "file_name", F.coalesce("word_count", F.lit(0)).cast("bigint").alias("word_count"), F.current_timestamp().alias("import_timestamp"))
+            # Numbers in the order of the names, made in blocks as those of words are.
+            named = model.ordered_blocks(fresh.select(F.col("file_name").alias("word"), F.lit(1).alias("one")), "one", "one", prefix=8)
+            added = named.select(F.col("word").alias("file_name"), "nth").join(sizes, "file_name", "left").crossJoin(F.broadcast(top))  # top is one row
+            added = added.select((F.col("nth") + F.col("top")).cast("int").alias("file_id"), "file_name", F.coalesce("word_count", F.lit(0)).cast("bigint").alias("word_count"), F.current_timestamp().alias("import_timestamp"))
             new = counts.word_counts(sents)
             ids = model.extended_dictionary(old["words"], new)
             now = ids.select("word_id", "word_value").join(
@@ -100,6 +110,7 @@ class Store:
             fresh.unpersist()
 
     def history(self) -> DataFrame:
+        """The manifest, latest import first."""
         return self.table("source_file").orderBy(F.col("import_timestamp").desc(), "file_id")
 
     def word_pairs(self) -> DataFrame:

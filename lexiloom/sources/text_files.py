@@ -22,6 +22,37 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def upload(files: DataFrame, folder: str) -> DataFrame:
+    """Copies files (file_name, text) to a landing folder, replacing those of the same names; (file_name, bytes) as written.
+    Each is written beside its place and moved there, so a reader never sees half a file. Of equal names the last text in
+    binary order stays. The folder must be one that executors reach by pyarrow's file systems."""
+    from pyspark.sql import functions as F
+
+    def write(batches):
+        import uuid
+        from urllib.parse import unquote, urlparse
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        if "://" in folder and not folder.startswith("file:"):
+            system, base = fs.FileSystem.from_uri(folder)
+        else:
+            system, base = fs.LocalFileSystem(), unquote(urlparse(folder).path)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for name, text in zip(names, texts):
+                tmp = f"{base}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(tmp, compression=None) as out:
+                    out.write(text.encode("utf-8", "replace"))
+                system.move(tmp, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64())], names=["file_name", "bytes"])
+
+    one = files.groupBy("file_name").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    return one.mapInArrow(write, "file_name string, bytes long")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A stored table of a relational database; give partitionColumn, lowerBound, upperBound, numPartitions to read it in parallel."""
     return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
