@@ -1,7 +1,8 @@
 """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
-Nothing is gathered on the driver but two numbers a round. Every step groups by a vertex with map-side minima and
-joins the minima back, so a vertex with very many neighbours is spread by the join, not met in one task."""
+Nothing is gathered on the driver but two numbers a round. Every step groups by a vertex with map-side minima and joins
+the minima back. Edges meet them by vertex and by one of SALTS shares of their other end, so that the edges of a vertex
+with very many neighbours are spread over as many tasks."""
 
 from __future__ import annotations
 
@@ -11,16 +12,26 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import staged
 
 
+SALTS = 16
+
+
+def _with_minima(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of least (k, m), k = u."""
+    salted = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    share = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    return edges.withColumn("e", share).join(salted, (F.col("u") == F.col("k")) & (F.col("e") == F.col("s")))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) with u > v. Large star: of both directions, every larger neighbour of u goes to u's minimum.
     Small star: every smaller neighbour of u, and u itself, goes to the smallest of them."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        moved = both.join(least, both.u == least.k).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _with_minima(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        moved = edges.join(least, edges.u == least.k).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _with_minima(edges, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
     return moved.filter("u <> v").distinct()
 

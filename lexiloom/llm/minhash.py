@@ -8,16 +8,21 @@ first. Arrivals come in increasing order, so a shingle stops once it is later th
 Two documents agree in a register with probability equal to their similarity; BANDS bands of ROWS registers propose
 candidates, and candidates are verified exactly.
 
-Groups. Documents of equal shingle multisets are one class from the start. Documents that buckets connect meet in tasks
-(`dealt_out`: small families many to a task, large ones by pairs of tiles), where all pairs of a bucket are verified
-but for those already connected; large buckets use an inverted index. Only links that join something come out, so a
-group of n copies makes about n rows, and no link between components of a bucket is lost.
-
-Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8.
-
-Defined cases: null and empty texts, and those without a word, have no shingles and are classes by themselves; null ids get a null class;
-rows that repeat an id are one document with the texts of all; very long texts are shingled in whole; other columns
-are ignored.
+*Groups.* Texts of equal shingle multisets are one node from the start. Nodes that buckets connect are a family. Small
+families go many to a task, each node once, and all pairs of a bucket are verified there but for those already connected.
+In families of more than TILE nodes, each node goes once to its largest bucket: whole buckets meet in one task, those of
+more than TILE nodes in shares, each with the bucket's centre. That joins groups of near copies at the cost of a move a
+node. What is left are buckets whose nodes aren't all connected: there the nodes of the commonest component are dealt out
+in tiles and the others meet every tile, so no link between components is lost. Only links that join something come out of
+a task, so a group of n copies makes about n rows.
+
+Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8. Five-word shingles at 0.8 mean few edits: a word changed in
+every w words breaks 5 / w of the shingles or so, and 0.8 is reached at about one changed word in 45.
+
+Defined cases: null and empty texts, and those without a word, have no shingles and are classes by themselves; null ids
+get a null class (`op1_probminhash_dedup`) and stay (`deduplicated`); in `classes` rows that repeat an id are one document
+with the texts of all, while `deduplicated` judges each text of an id by itself, so that a different text under the same
+id isn't lost; very long texts are shingled in whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +36,8 @@ from lexiloom.llm.graph import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Buckets of up to SMALL documents are compared pair by pair, others with an inverted index, in tiles of TILE documents.
+#: Buckets of up to SMALL nodes are compared pair by pair, others with an inverted index, in tiles of TILE nodes.
 SMALL, TILE = 8, 1024
-#: Families of more tiles than this are compared bucket by bucket.
-MOST_TILES = 8
 
 
 def weighted_shingles(h, first, k: int = WORDS):
@@ -89,13 +92,20 @@ def band_keys(sig, bands: int, rows: int):
     return out.view(np.int64)
 
 
+def shingle_digest(s, w) -> bytes:
+    import hashlib
+
+    import numpy as np
+
+    return hashlib.blake2b(np.stack([s, w.astype(np.uint64)], axis=1).tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs (doc_id, text). Per document with a word: doc_id, digest of its shingle multiset, keys (a long per band)."""
+    """docs (doc_id, text). Per row with an id and a word: doc_id, h (hash of the text), digest of its shingle multiset, keys
+    (a long per band)."""
     ship(docs.sparkSession)
 
     def run(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
@@ -103,38 +113,24 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
 
         alphabet = tv.lettered()
         for b in batches:
-            for i, j, h, first in tv.hashed(b.column(1), alphabet):
+            for i, j, h, first in tv.hashed(b.column(2), alphabet):
                 doc, s, w = weighted_shingles(h, first, k)
                 keys = band_keys(probminhash(doc, s, w, j - i, bands * rows), bands, rows)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 some = np.flatnonzero(np.diff(cut))
-                both = np.stack([s, w.astype(np.uint64)], axis=1)
-                digest = [hashlib.blake2b(both[cut[x] : cut[x + 1]].tobytes(), digest_size=16).digest() for x in some]
+                digest = [shingle_digest(s[cut[x] : cut[x + 1]], w[cut[x] : cut[x + 1]]) for x in some]
                 flat = keys[some].ravel()
                 lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * bands, pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(some)), pa.array(digest, pa.binary()), lists], names=["doc_id", "digest", "keys"])
+                own = [b.column(c).slice(i, j - i).take(pa.array(some)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digest, pa.binary()), lists], names=["doc_id", "h", "digest", "keys"])
 
-    rows_in = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
-
-
-def packed_hashes(h) -> bytes:
-    """Sorted 64-bit hashes by their upper 40 bits, which tell the shingles of two documents apart well enough."""
-    import numpy as np
-
-    return np.ascontiguousarray((h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpacked_hashes(raw: bytes):
-    import numpy as np
-
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    rows_in = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    return rows_in.mapInArrow(run, "doc_id long, h long, digest binary, keys array<long>")
 
 
 def shingle_sets(dealt: DataFrame, k: int = WORDS) -> DataFrame:
-    """dealt of dealt_out, with text. In its place: hashes and weights of the shingles as packed bytes, sorted by hash."""
+    """dealt (grp, lo, hi, own, node, label, keys, digest) with text. In place of digest and text: hashes and weights of the
+    shingles as bytes, sorted by hash. Rows whose text isn't the node's (an id may have several) are left out."""
     ship(dealt.sparkSession)
 
     def run(batches):
@@ -145,15 +141,18 @@ def shingle_sets(dealt: DataFrame, k: int = WORDS) -> DataFrame:
 
         alphabet = tv.lettered()
         for b in batches:
-            for i, j, h, first in tv.hashed(b.column(6), alphabet):
+            for i, j, h, first in tv.hashed(b.column(8), alphabet):
                 doc, s, w = weighted_shingles(h, first, k)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                hs = [packed_hashes(s[cut[x] : cut[x + 1]]) for x in range(j - i)]
-                ws = [b"" if (part := w[cut[x] : cut[x + 1]]).max(initial=1) == 1 else part.astype(np.uint32).tobytes() for x in range(j - i)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(6)), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["grp", "lo", "hi", "own", "doc_id", "keys", "hs", "ws"])
+                want = b.column(7).slice(i, j - i).to_pylist()
+                parts = [(s[cut[x] : cut[x + 1]], w[cut[x] : cut[x + 1]]) for x in range(j - i)]
+                on = [x for x in range(j - i) if shingle_digest(*parts[x]) == want[x]]
+                hs = [parts[x][0].astype("<u8").tobytes() for x in on]
+                ws = [b"" if parts[x][1].max(initial=1) == 1 else parts[x][1].astype("<u4").tobytes() for x in on]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i).take(pa.array(on, pa.int64())) for c in range(7)), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["grp", "lo", "hi", "own", "node", "label", "keys", "hs", "ws"])
 
-    kinds = "grp string, lo int, hi int, own int, doc_id long, keys array<long>, hs binary, ws binary"
-    return dealt.select("grp", "lo", "hi", "own", "doc_id", "keys", "text").mapInArrow(run, kinds)
+    kinds = "grp string, lo int, hi int, own int, node long, label long, keys array<long>, hs binary, ws binary"
+    return dealt.select("grp", "lo", "hi", "own", "node", "label", "keys", "digest", "text").mapInArrow(run, kinds)
 
 
 def probability_jaccard(ha, wa, hb, wb) -> float:
@@ -183,34 +182,49 @@ def probability_jaccard(ha, wa, hb, wb) -> float:
     return float((x[ia] / (below[at] + above[at] / rho)).sum())
 
 
-def dealt_out(members: DataFrame, tile: int = TILE, most_tiles: int = MOST_TILES) -> DataFrame:
-    """members (key, doc_id, centre, n), a row per document and bucket. Deals documents to tasks so that every two of a
-    bucket meet: (grp, lo, hi, own, doc_id, keys), a group being (grp, lo, hi). Documents that buckets connect are a
-    family. Small families go many to a task, and each of their documents once; families of up to most_tiles tiles go by
-    pairs of tiles; the buckets of larger families go by themselves, cut into tiles if they are large."""
-    family = components(members.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
-    docs = members.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # a key per band at most
-    docs = docs.join(family, docs.doc_id == family.node).select("doc_id", "keys", F.col("component").alias("family"))
-    sizes = docs.groupBy("family").agg(F.count("*").alias("size"))
-    docs = staged(docs.join(sizes, "family"), "minhash-families")
-    chunks = docs.count() // 2000 + 1
-    wide = F.col("size") > most_tiles * tile
+def _share(column: str, of, salt: int = 0):
+    """Which of `of` shares a node is in."""
+    return F.pmod(F.xxhash64(column, F.lit(salt)), of).cast("int")
+
+
+def dealt_small(docs: DataFrame, chunks: int) -> DataFrame:
+    """docs (node, keys, family) of small families, to tasks of whole families."""
+    zero = F.lit(0).cast("int")
+    return docs.select(F.concat(F.lit("c"), F.pmod(F.xxhash64("family"), F.lit(chunks)).cast("string")).alias("grp"), zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "node", F.col("node").alias("label"), "keys")
+
+
+def dealt_by_bucket(docs: DataFrame, members: DataFrame, chunks: int, tile: int) -> DataFrame:
+    """docs (node, keys) of large families; members (node, key, centre, n) of them. Each node once to its largest bucket,
+    and a bucket's centre to all of its shares."""
+    top = members.groupBy("node").agg(F.max(F.struct("n", "key", "centre")).alias("m")).select("node", "m.*")
+    shares = F.ceil(F.col("n") / F.lit(float(tile))).cast("int")
+    at = docs.join(top, "node").withColumn("own", F.when(F.col("n") > tile, _share("node", shares)).otherwise(F.lit(0)).cast("int"))
+    grp = F.when(F.col("n") > tile, F.concat(F.lit("b"), F.col("key").cast("string"))).otherwise(F.concat(F.lit("k"), F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("string")))
+    large = at.filter(F.col("n") > tile).groupBy("key", "centre").agg(F.max("own").alias("last"), F.max("n").alias("n"))
+    centres = large.join(docs.withColumnRenamed("node", "centre"), "centre").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("node", F.col("centre"))
+    out = lambda df: df.select(grp.alias("grp"), F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "node", F.col("node").alias("label"), "keys")
+    return out(at).unionByName(out(centres))
 
-    def tiled(df: DataFrame, size: str, whole, part) -> DataFrame:
-        tiles = F.ceil(F.col(size) / F.lit(float(tile))).cast("int")
-        placed = df.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        return spread.select(F.when(F.col("tiles") == 1, whole).otherwise(part).alias("grp"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "keys")
 
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("string")
-    by_family = tiled(docs.filter(~wide), "size", F.concat(F.lit("c"), chunk("family")), F.concat(F.lit("f"), F.col("family").cast("string")))
-    lone = members.join(docs.filter(wide).select("doc_id"), "doc_id").select("doc_id", "key", "n", F.array("key").alias("keys"))
-    by_bucket = tiled(lone, "n", F.concat(F.lit("k"), chunk("key")), F.concat(F.lit("b"), F.col("key").cast("string")))
-    return by_family.unionByName(by_bucket)
+def dealt_rest(members: DataFrame, labels: DataFrame, chunks: int, tile: int) -> DataFrame:
+    """members (node, key) of large families, labels (node, label): the buckets that hold several labels. The commonest
+    label's nodes are tiles that needn't meet each other; the others meet every tile."""
+    rows = members.select("node", "key").join(labels, "node")
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = staged(mixed.select("key", F.col("m.label").alias("major"), F.col("m.c").alias("most"), "n"), "minhash-mixed")
+    tiles = lambda x: F.ceil(x / F.lit(float(tile))).cast("int")
+    at = rows.join(mixed, "key").withColumn("k", tiles(F.col("most"))).withColumn("r", tiles(F.col("n") - F.col("most")))
+    whole, major = F.col("n") <= tile, F.col("label") == F.col("major")
+    at = at.withColumn("own", F.when(whole, F.lit(0)).when(major, _share("node", F.col("k"), 1)).otherwise(F.col("k") + _share("node", F.col("r"), 2)).cast("int"))
+    others = F.when(whole, F.array(F.lit(0))).when(major, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
+    at = at.withColumn("other", F.explode(others))
+    grp = F.when(whole, F.concat(F.lit("m"), F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("string"))).otherwise(F.concat(F.lit("t"), F.col("key").cast("string")))
+    return at.select(grp.alias("grp"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", F.array("key").alias("keys"))
 
 
 def bucket_links(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets of shingle_sets. Compares all documents of a bucket that aren't connected yet in the task and returns the links
+    """sets of shingle_sets. Compares all nodes of a bucket that aren't connected yet (labels are) and returns the links
     (a, b) found: a spanning forest of them in each task."""
     ship(sets.sparkSession)
 
@@ -219,67 +233,55 @@ def bucket_links(sets: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
 
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        own, ids = t.column("own").to_numpy(), t.column("doc_id").to_numpy()
+        own, ids = t.column("own").to_numpy(), t.column("node").to_numpy()
         keys = t.column("keys").combine_chunks()
         key, holder = keys.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(keys.offsets.to_numpy()))
-        hs = [unpacked_hashes(x) for x in t.column("hs").to_pylist()]
-        ws = [np.frombuffer(x, np.uint32) if x else np.ones(len(h), np.uint32) for x, h in zip(t.column("ws").to_pylist(), hs)]
+        hs = [np.frombuffer(x, "<u8") for x in t.column("hs").to_pylist()]
+        ws = [np.frombuffer(x, "<u4") if x else np.ones(len(h), np.uint32) for x, h in zip(t.column("ws").to_pylist(), hs)]
         size = np.array([len(h) for h in hs])
-        label = ids.tolist()  # rows that repeat a document share a node
-        parent = {x: x for x in label}
+        label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
         known: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
 
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def test(x, y):
-            a, b = root(label[x]), root(label[y])
-            pair = (min(ids[x], ids[y]), max(ids[x], ids[y]))
-            if a == b or pair in known:
+        def test(x: int, y: int):
+            pair = (x, y) if x < y else (y, x)
+            if label[x] == label[y] or pair in known:
                 return
             known.add(pair)
             # the similarity is at most the smaller set's share of the larger where no weight is above one
             if ws[x].max() == 1 == ws[y].max() and min(size[x], size[y]) < threshold * max(size[x], size[y]):
                 return
             if probability_jaccard(hs[x], ws[x], hs[y], ws[y]) >= threshold:
-                parent[max(a, b)] = min(a, b)
+                label[label == label[y]] = label[x]
                 out.append((int(ids[x]), int(ids[y])))
 
         def large(left, right):
-            """An inverted index gives the overlaps of a document with all of right at once."""
-            if not len(left) or not len(right):
+            """An inverted index gives the overlaps of a node with all of right at once."""
+            if not len(left) or not len(right) or (label[right] == label[left[0]]).all() and (label[left] == label[left[0]]).all():
                 return
-            share = {int(z): ws[z] / ws[z].sum() for z in {*left.tolist(), *right.tolist()}}
             flat, doc = np.concatenate([hs[z] for z in right]), np.repeat(np.arange(len(right)), size[right])
-            part = np.concatenate([share[int(z)] for z in right])
+            part = np.concatenate([ws[z] / ws[z].sum() for z in right])
             order = np.argsort(flat, kind="stable")
             flat, doc, part = flat[order], doc[order], part[order]
-            names, joined = sorted({label[z] for z in right.tolist()}), None
             for x in left.tolist():
-                mine = root(label[x])
-                if joined == (len(out), mine):
-                    continue
-                if all(root(v) == mine for v in names):
-                    joined = (len(out), mine)  # holds until something else is joined
+                if (label[right] == label[x]).all():
                     continue
                 a, b = np.searchsorted(flat, hs[x], "left"), np.searchsorted(flat, hs[x], "right")
                 c = b - a
                 at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a, c)
                 # probability Jaccard is at most the share of either that is common
                 of_them = np.bincount(doc[at], weights=part[at], minlength=len(right))
-                of_x = np.bincount(doc[at], weights=np.repeat(share[x], c), minlength=len(right))
-                for y in np.flatnonzero((of_them >= threshold - 1e-9) & (of_x >= threshold - 1e-9)).tolist():
-                    test(x, int(right[y]))
+                of_x = np.bincount(doc[at], weights=np.repeat(ws[x] / ws[x].sum(), c), minlength=len(right))
+                for y in right[(of_them >= threshold - 1e-9) & (of_x >= threshold - 1e-9) & (label[right] != label[x])].tolist():
+                    test(x, y)
 
         order = np.argsort(key, kind="stable")
         key, holder = key[order], holder[order]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         for i, j in zip(cuts, cuts[1:]):
             rows = holder[i:j]
+            if (label[rows] == label[rows[0]]).all():
+                continue
             if len(rows) <= SMALL:
                 for m, x in enumerate(rows.tolist()):
                     for y in rows[m + 1 :].tolist():
@@ -292,38 +294,81 @@ def bucket_links(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
+def node_links(nodes: DataFrame, texts: DataFrame, threshold: float, k: int, tile: int = TILE) -> DataFrame:
+    """nodes (node, first, digest, keys), texts (doc_id, text). Links (a, b) between nodes."""
+    exploded = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    buckets = exploded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    members = staged(exploded.join(buckets, "key"), "minhash-members")  # (key, node, centre, n)
+    family = components(members.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    docs = members.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a key a band at most
+    docs = docs.join(family, docs.node == family.node).select(docs.node, "keys", F.col("component").alias("family"))
+    sizes = docs.groupBy("family").agg(F.count("*").alias("size"))
+    docs = staged(docs.join(sizes, "family"), "minhash-families")
+    n, wide = docs.agg(F.count("*"), F.count_if(F.col("size") > tile)).first()
+    chunks = n // 2000 + 1
+    own = nodes.select("node", F.col("first").alias("doc_id"), "digest")
+    # Texts are read again, for candidates only, and go to their tasks as shingles: those are moved once.
+    met = lambda dealt: bucket_links(shingle_sets(texts.join(dealt.join(own, "node"), "doc_id"), k), threshold)
+    first = dealt_small(docs.filter(F.col("size") <= tile), chunks)
+    if not wide:
+        return met(first)
+    large = docs.filter(F.col("size") > tile).select("node", "keys")
+    of_large = members.join(large.select("node"), "node")
+    links = staged(met(first.unionByName(dealt_by_bucket(large, of_large, chunks, tile))), "minhash-links")
+    joined = components(links).withColumnRenamed("node", "v")
+    labels = large.select("node").join(joined, F.col("node") == F.col("v"), "left").select("node", F.coalesce("component", "node").alias("label"))
+    return links.unionByName(met(dealt_rest(of_large, staged(labels, "minhash-labels"), chunks, tile)))
+
+
+def _judged(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows (doc_id, h, digest) with a word and an id; groups (digest, c, class_id), c being the component and
+    class_id its smallest id. by_id: whether texts of one id are connected."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    sig = staged(signatures(texts, k, bands, rows), "minhash-signatures")
+    nodes = sig.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id())
+    nodes = staged(nodes, "minhash-nodes")  # written, so that the numbers stay
+    links = node_links(nodes, texts, threshold, k)
+    number = nodes.select("digest", "node", "first")
+    if by_id:
+        several = sig.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("doc_id")
+        held = sig.select("doc_id", "digest").join(several, "doc_id").distinct().join(number, "digest")
+        least = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+        links = links.unionByName(held.join(least, "doc_id").select(F.col("node").alias("a"), "b"))
+    found = components(links).withColumnRenamed("node", "v")
+    grouped = staged(number.join(found, F.col("node") == F.col("v"), "left").select("digest", "first", F.coalesce("component", "node").alias("c")), "minhash-groups")
+    least = grouped.groupBy("c").agg(F.min("first").alias("class_id"))
+    return sig.select("doc_id", "h", "digest"), grouped.join(least, "c").select("digest", "c", "class_id")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with doc_id and text. Returns one row per distinct id that is not null: doc_id, class_id, the smallest id
     of the documents connected with it by similarity of at least threshold."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    sig = staged(signatures(texts, k, bands, rows), "minhash-signatures")
-    firsts = sig.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = staged(firsts.filter("n > 1"), "minhash-copies")
-    same = sig.select("doc_id", "digest").join(copies, "digest").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
-    # A copy is represented by its class; only firsts go on.
-    reps = sig.join(copies, "digest", "left").filter("first is null or first = doc_id").select("doc_id", F.explode("keys").alias("key")).distinct()
-    buckets = reps.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    members = staged(reps.join(buckets, "key"), "minhash-members")  # (key, doc_id, centre, n)
-    # Texts are read again, for candidates only, and go to their tasks as shingles: those are moved once.
-    links = bucket_links(shingle_sets(texts.join(dealt_out(members), "doc_id"), k), threshold)
-    found = components(links.unionByName(same))
-    ids = texts.select("doc_id").distinct()
-    return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    held, groups = _judged(docs, threshold, k, bands, rows, True)
+    of = held.join(groups, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    return ids.join(of, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs of one document of each class, that with the smallest id. Of rows that repeat this id one stays
-    (the smallest by a hash of its text). Rows with a null id stay."""
-    ident, many = fresh(docs, "_id"), fresh(docs, "_n")
-    rows = docs.groupBy("doc_id").agg(F.count("*").alias(many))
-    marks = classes(docs, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("k")).join(rows, F.col("k") == F.col("doc_id")).select(F.col("k").alias(ident), many)
-    kept = docs.join(marks, docs.doc_id == marks[ident])
-    once = kept.filter(marks[many] == 1).select(*[docs[c] for c in docs.columns])
-    again = kept.filter(marks[many] > 1).groupBy(marks[ident]).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(docs.text)).alias("r"))
+    """A row of docs for each class: one with the smallest id, and of its texts the one with the smallest hash. Each text of
+    an id that repeats is judged by itself. Of rows that repeat both id and text one stays. Texts without a word and
+    rows with a null id stay."""
+    held, groups = _judged(docs, threshold, WORDS, BANDS, ROWS, False)
+    every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    many = every.groupBy("i", "t").agg(F.count("*").alias("n"))
+    stays = held.join(groups, "digest").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("i"), F.col("s.h").alias("t"))
+    wordless = many.select("i", "t").join(held.select(F.col("doc_id").alias("i"), F.col("h").alias("t")), ["i", "t"], "left_anti")
+    mark, text, count = fresh(docs, "_id"), fresh(docs, "_h"), fresh(docs, "_n")
+    marks = stays.unionByName(wordless).join(many, ["i", "t"]).toDF(mark, text, count)
+    kept = docs.join(marks, (docs.doc_id.cast("long") == marks[mark]) & (F.xxhash64(docs.text.cast("string")) == marks[text]))
+    once = kept.filter(marks[count] == 1).select(*[docs[c] for c in docs.columns])
+    again = kept.filter(marks[count] > 1).groupBy(marks[mark], marks[text]).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
     return once.unionByName(again.select(*[F.col("r")[c].alias(c) for c in docs.columns])).unionByName(docs.filter("doc_id is null"))
 
 
 def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of documents: doc_id, class_id, kept (doc_id = class_id)."""
-    got = classes(table(spark, sf_dir, "documents"))
-    return got.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    """All documents: doc_id, class_id, kept (doc_id = class_id); a row with null ids and kept for each row without an id."""
+    docs = table(spark, sf_dir, "documents")
+    got = classes(docs).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    bare = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return got.unionByName(bare)
