@@ -274,9 +274,9 @@ def _table_of(part: int, rows: list[tuple[int, bytes]]):
 _KINDS = "batch long, part int, data binary"
 
 
-def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cut: int = CUT) -> DataFrame:
+def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cut: int = CUT, keep: bool = False) -> DataFrame:
     """Rows (batch, part, data): totals and numbers of a batch's words of the part, in the order of their hashes; for each
-    part its table of words (STORED) and N, V and the counts of counts 1 .. reach (OF_PART)."""
+    part, to keep, its table of words (STORED), and N, V and the counts of counts 1 .. reach (OF_PART)."""
     bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
 
     def send(rows):
@@ -309,7 +309,8 @@ def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cu
             total[at[b]] += g[1].astype(np.int64)
         stat = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, reach + 1), minlength=reach + 2)[1 : reach + 1]])
         rows = [(b, pack(slim(total[at[b]]), slim(at[b]))) for b in got if b != STORED]
-        return _table_of(part, [*rows, (STORED, pack(words, slim(total))), (OF_PART, pack(stat.astype(np.int64)))])
+        rows += [(STORED, pack(words, slim(total)))] if keep else []
+        return _table_of(part, [*rows, (OF_PART, pack(stat.astype(np.int64)))])
 
     sent = base.select("batch", "vocab", "learned").mapInArrow(send, _KINDS)
     sent = sent if stored is None else sent.unionByName(stored.select("batch", "part", "data"))
@@ -377,9 +378,9 @@ class _Batch:
         return v[order], w[order], place[of], part[order]
 
 
-def pair_parts(base: DataFrame, slots: _Slots, parts: int, split: int, unigram, stored: DataFrame | None, cut: int) -> DataFrame:
-    """Rows (batch, part, data): of a batch, its first words of the part and the counts of its pairs; of each part its table
-    (STORED) and its statistics (OF_PART)."""
+def pair_parts(base: DataFrame, slots: _Slots, parts: int, split: int, unigram, stored: DataFrame | None, cut: int, keep: bool) -> DataFrame:
+    """Rows (batch, part, data): of a batch, its first words of the part, which of them have pairs that were never learned,
+    and the counts of its pairs; of each part its statistics (OF_PART) and, to keep, its table (STORED)."""
     bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
 
     def send(rows):
@@ -414,13 +415,22 @@ def pair_parts(base: DataFrame, slots: _Slots, parts: int, split: int, unigram,
         hv, one = sv[first], order[first]
         starts = np.flatnonzero(np.concatenate([[True], hv[1:] != hv[:-1]]))
         small, big, share, of = level_sums(count, starts, unigram(cw[one]), cut, reach)
-        rows = [(b, pack(gaps(np.unique(g[0])), slim(per[x:y]))) for b, g, x, y in zip(batch, got, at, at[1:]) if b != STORED]
-        on = count > 0
-        kept = pair_slice(hv[on], cv[one][on], sw[first][on], cw[one][on], count[on])
-        stats = pack(hv[starts], slim(cv[one][starts]), *[slim(x) for x in small], slim(big), share, of)
+        rows, asked = [], np.zeros(len(starts), bool)
+        for b, g, x, y in zip(batch, got, at, at[1:]):
+            if b != STORED:
+                own = np.flatnonzero(np.concatenate([[True], g[0][1:] != g[0][:-1]]))
+                miss = np.minimum.reduceat(per[x:y], own) == 0
+                asked[np.searchsorted(hv[starts], g[0][own[miss]])] = True
+                rows.append((b, pack(gaps(g[0][own]), miss.astype(np.uint8), slim(per[x:y]))))
+        # Weights are wanted where something was never learned; of histories in several parts others may want them.
+        share[~asked & (cv[one][starts] <= split)] = 0
+        rows.append((OF_PART, pack(hv[starts], slim(cv[one][starts]), *[slim(x) for x in small], slim(big), share, of)))
+        if keep:
+            on = count > 0
+            rows.append((STORED, pair_slice(hv[on], cv[one][on], sw[first][on], cw[one][on], count[on])))
         del v, cv, w, cw, learned, order, sv, sw, per, got
         trim()
-        return _table_of(part, [*rows, (STORED, kept), (OF_PART, stats)])
+        return _table_of(part, rows)
 
     cols = ["batch", "held", "train", "n_tokens", "vocab", "tokens"]
     sent = base.select(*cols, slots.of(F.col("batch")).alias("slot")).mapInArrow(send, _KINDS)
@@ -492,19 +502,19 @@ def weights_of(raw: bytes, cut: int, split: int, wide: dict, d: list[float]):
 
 
 def pair_answers(found: DataFrame, cut: int, split: int, wide: dict, d: list[float]) -> DataFrame:
-    """To batches: counts of their pairs, alpha and denominators of their first words; and per part its alphas (STORED)."""
+    """To batches: counts of their pairs; of their first words alpha, where a pair was never learned, and denominators."""
 
     def answer(t):
         import numpy as np
 
         part, batch, data = t.column("part")[0].as_py(), t.column("batch").to_pylist(), t.column("data").to_pylist()
         hist, hcount, alpha, below = weights_of(data[batch.index(OF_PART)], cut, split, wide, d)
-        rows = [(STORED, pack(hist, alpha, below))]
+        rows = []
         for b, raw in zip(batch, data):
             if b >= 0:
-                v, counts = unpack(raw)
+                v, miss, counts = unpack(raw)
                 at = np.searchsorted(hist, rising(v))
-                rows.append((b, pack(counts, alpha[at], (below > hcount)[at].astype(np.uint8))))
+                rows.append((b, pack(counts, np.where(miss == 1, alpha[at], 1.0), (below > hcount)[at].astype(np.uint8))))
         return _table_of(part, rows)
 
     return found.filter(F.col("batch") != STORED).groupBy("part").applyInArrow(answer, _KINDS)
@@ -538,9 +548,9 @@ def read_top(raw: bytes):
     return rising(v)[of_v], per(rising(uu)[ui]), rising(wu)[wi], cv.astype(np.int64)[of_v], alpha[of_v], more[of_v], per(ch.astype(np.int64)), cw.astype(np.int64)[wi], cvw.astype(np.int64), learned.astype(np.int64), times.astype(np.int64), docs
 
 
-def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts: int, split: int, n: int, v_count: int, unigram, d2: list[float], stored: DataFrame | None, cut: int) -> DataFrame:
-    """The highest order. Rows (batch, part, data): what texts of a batch need of the part; of each part its table (STORED)
-    and its statistics (OF_PART); and of part -1 what needs no history, per batch."""
+def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts: int, split: int, n: int, v_count: int, unigram, d2: list[float], stored: DataFrame | None, cut: int, keep: bool) -> DataFrame:
+    """The highest order. Rows (batch, part, data): what texts of a batch need of the part; of each part its statistics
+    (OF_PART) and, to keep, its table (STORED); and of part -1 what needs no history, per batch."""
     bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
 
     def send(rows):
@@ -564,7 +574,7 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
                     alpha, more = np.ones(size), np.zeros(size, np.uint8)
                     for p, g in got:  # a part answers for its first words in their order
                         on = np.unique(pv[np.searchsorted(part, p) : np.searchsorted(part, p, "right")])
-                        alpha[on], more[on] = g[1], g[2]
+                        alpha[on], more[on] = np.where(g[1] == 1.0, alpha[on], g[1]), g[2]  # of several parts some may not have been asked
                     cvw = count[of]
                     u, ch = np.empty_like(x.v), np.empty_like(cvw)
                     u[1:], ch[1:] = x.v[:-1], cvw[:-1]
@@ -628,12 +638,13 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
         small, big, share, counts = level_sums(count, starts, lower[one], cut, reach)
         none_small = sum(small) == 0
         hist = tv.mix(u[one][starts].astype(np.uint64) + np.uint64(1)) ^ v[one][starts].astype(np.uint64)
-        stats = pack(hist, slim(hcount), *[slim(x) for x in small], slim(big), share, counts)
-        on = one[count > 0]
-        kept = top_slice(v[on], u[on], w[on], (cv[on], alpha[on], more[on]), ch[on], cw[on], cvw[on], count[count > 0], np.zeros(len(on), np.int64), np.zeros(0, np.int64))
+        out = []
+        if keep:
+            on = one[count > 0]
+            out.append((STORED, top_slice(v[on], u[on], w[on], (cv[on], alpha[on], more[on]), ch[on], cw[on], cvw[on], count[count > 0], np.zeros(len(on), np.int64), np.zeros(0, np.int64))))
         del order, sv, su, new, u, w, cv, alpha, more, cw, cvw, learned
         trim()
-        out = []
+        needs, used = [], [np.flatnonzero(hcount > split)]
         for i, name in enumerate(names):
             if name == STORED:
                 continue
@@ -651,11 +662,18 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
             odd = seen & none_small[hi]
             back_key, back_n = np.unique(hi[off] * docs_n + doc[off], return_counts=True)
             odd_key, odd_n = np.unique(hi[odd] * docs_n + doc[odd], return_counts=True)
-            split_keys = lambda key: (gaps(key // docs_n), slim(key % docs_n))
-            out.append((name, pack(plain, *[slim(y) for y in by_count], *split_keys(back_key), slim(back_n), *split_keys(odd_key), slim(odd_n))))
+            by_history = [(key // docs_n, slim(key % docs_n), slim(times)) for key, times in ((back_key, back_n), (odd_key, odd_n))]
+            used += [h for h, _, _ in by_history]
+            needs.append((name, (plain, *[slim(y) for y in by_count]), by_history))
+        # Of histories only those go on that a text needs or that lie in several parts.
+        used = np.unique(np.concatenate(used))
+        for name, sums, by_history in needs:
+            out.append((name, pack(*sums, *(y for h, doc, times in by_history for y in (gaps(np.searchsorted(used, h)), doc, times)))))
+        hist[hcount <= split] = 0
+        out.append((OF_PART, pack(hist[used], slim(hcount[used]), *[slim(x[used]) for x in small], slim(big[used]), share[used], counts)))
         del per, of, tails, lower
         trim()
-        return _table_of(part, [*out, (STORED, kept), (OF_PART, stats)])
+        return _table_of(part, out)
 
     cols = ["batch", "held", "train", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null"]
     asked = base.select(*cols, slots.of(F.col("batch")).alias("slot"), *([pair_slots.of(F.col("batch")).alias("pair_slot")] if pair_slots else []))
@@ -666,7 +684,15 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
     return staged(sent.withColumn("turn", turn).groupBy("part", "turn").applyInArrow(merge, _KINDS), "katz-parts")
 
 
-def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str | None) -> dict:
+def _release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are done, which it does once their plans are collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str | None, keep: bool = False) -> dict:
     """Everything but the scores: the tables of a model of base's learned texts and of the stored model, and the discounts."""
     spark = base.sparkSession
     meta = json.loads(spark.read.text(f"{model}/meta").first()[0]) if model else {}
@@ -674,7 +700,7 @@ def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str |
     tokens = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = meta.get("parts") or parts or 1 << max(2, math.ceil(math.log2(max(1, tokens / TOKENS))))
     stored = lambda name: spark.read.schema(_KINDS).parquet(f"{model}/{name}") if model else None
-    totals = word_totals(base, parts, stored("words"), cut)
+    totals = word_totals(base, parts, stored("words"), cut, keep)
     sums = [0] * (max(FIT, cut + 1) + 2)
     for r in totals.filter(F.col("batch") == OF_PART).select("data").toLocalIterator():  # a row a part
         sums = [a + int(b) for a, b in zip(sums, unpack(r.data)[0])]
@@ -688,12 +714,15 @@ def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str |
     slots, pair_slots, d2, pairs = _Slots(spark, "katz-word-answers"), None, [], None
     slots.write(totals)
     if order == 3:
-        pairs = pair_parts(base, slots, parts, split, unigram, stored("pairs"), cut)
+        pairs = pair_parts(base, slots, parts, split, unigram, stored("pairs"), cut, keep)
         pair_counts, wide = wide_stats(pairs, cut, split)
         d2 = discounts(pair_counts, cut, "pairs")
         pair_slots = _Slots(spark, "katz-pair-answers")
+        _release(spark)
         pair_slots.write(pair_answers(pairs, cut, split, wide, d2))
-    tops = top_parts(base, slots, pair_slots, parts, split, n, v, unigram, d2, stored("tops"), cut)
+    _release(spark)
+    tops = top_parts(base, slots, pair_slots, parts, split, n, v, unigram, d2, stored("tops"), cut, keep)
+    _release(spark)
     top_counts, wide = wide_stats(tops, cut, split)
     d = discounts(top_counts, cut, "triples" if order == 3 else "pairs")
     return {"order": order, "cut": cut, "parts": parts, "split": split, "n": n, "v": v, "d1": d1, "d2": d2, "d": d, "unknown": unknown, "wide": wide, "words": totals, "pairs": pairs, "tops": tops}
@@ -746,7 +775,7 @@ def scored(docs: DataFrame, cut: int = CUT, order: int = 2, parts: int | None =
 def learned(docs: DataFrame, to: str, order: int = ORDER, cut: int = CUT, parts: int | None = None) -> str:
     """Learns from the rows of docs (doc_id, train, held_out, text) that train marks and writes the model's tables to a folder."""
     spark = docs.sparkSession
-    fit = _fit(batches(docs.filter("train")), order, cut, parts, None)
+    fit = _fit(batches(docs.filter("train")), order, cut, parts, None, keep=True)
     for name in ("words", "pairs", "tops"):
         if fit[name] is not None:
             kept = fit[name].filter((F.col("batch") == STORED) & (F.col("part") >= 0)).select("batch", "part", "data")
