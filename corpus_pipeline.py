@@ -4,8 +4,9 @@ Every stage is (spark, docs, sf_dir) -> DataFrame. All but the last return rows
 stage's result is written as Parquet and reread as the next one's docs. Every stage calls an operator of lexiloom.llm;
 nothing is sampled or capped but by the mixing, whose purpose that is.
 
-Null or empty texts have no language and go in the first stage; of rows that repeat an id one is left
-from the second stage on; a mix may repeat rows again."""
+Null or empty texts have no language and go in the first stage. The second judges each text of a repeated id by itself and
+keeps rows without an id; of rows that repeat both id and text one is left. A mix may repeat rows again; every row has the
+copies that were sampled for it. The tables between stages lie in the application's scratch folder and go with it."""
 
 from __future__ import annotations
 

@@ -25,6 +25,8 @@ from lexiloom.llm.common import filesystem, scratch_path, ship, staged, table
 
 ARCHIVE_BYTES = 32 << 20
 REVISIT_BYTES = 100
+#: Shares that pages of one payload are dealt to.
+SALTS = 16
 PRIMARY = ("response", "revisit", "resource", "conversion")
 RECORD = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string,"
@@ -125,7 +127,10 @@ def planned(pages: DataFrame) -> DataFrame:
     base = base.withColumn("pair", pair(F.col("page_id"), F.col("digest")))
     small = base.filter(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest", "pair")
     firsts = small.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("id"))).alias("first"), F.count("*").alias("rows"))
-    per_page = small.distinct().join(firsts.filter("rows > 1"), "digest").select("pair", pair(F.col("first.id"), F.col("digest")).alias("first_pair"))
+    # A payload may be that of very many pages: those are spread over SALTS tasks.
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    shared = firsts.filter("rows > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    per_page = small.distinct().withColumn("salt", share("pair")).join(shared, ["digest", "salt"]).select("pair", pair(F.col("first.id"), F.col("digest")).alias("first_pair"))
     full = base.join(per_page, "pair", "left")
     number = F.row_number().over(Window.partitionBy("pair").orderBy(F.xxhash64("url")))
     out = full.withColumn("n", number).withColumn("key", F.concat_ws("|", "pair", F.col("n").cast("string")))
@@ -237,7 +242,10 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     page = F.element_at(F.col("metadata")[0]["fields"], "page_id").cast("long")
     flat = staged(captures.select("capture_id", page.alias("page_id"), "response.record_type", F.col("response.refers_to").alias("to"), "response.payload_bytes", "response.payload_digest", "response.declared_digest"), "warc-captures")
     stored = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("s_id"), F.col("page_id").alias("s_page"), F.col("payload_bytes").alias("s_bytes"), F.col("payload_digest").alias("s_digest"))
-    revisits = flat.filter("record_type = 'revisit'").join(stored, F.col("to") == F.col("s_id"), "left")
+    # What revisits refer to is looked up in SALTS shares, as very many may refer to one record.
+    asked = flat.filter("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int"))
+    wanted = stored.join(asked.select(F.col("to").alias("s_id")).distinct(), "s_id", "left_semi").withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = asked.join(wanted, (F.col("to") == F.col("s_id")) & (F.col("salt") == F.col("s_salt")), "left")
     plain = flat.filter("record_type <> 'revisit'")
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_id"]
     return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(

@@ -100,3 +100,43 @@ def test_stages(spark, fixture):
         if n < len(corpus_pipeline.STAGES) - 1:
             assert now.columns == docs.columns
     assert {tuple(r) for r in corpus_pipeline.run(spark, fixture).collect()} == last
+
+
+def test_odd_documents(spark, sf, tmp_path):
+    """Null ids in two sources, ids with several texts, a very long text; nothing but what a stage is for goes."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.text and 200 < len(r.text) < 1500][:24]
+    rows = [(None, r.text, r.lang, f"s{i % 2}", i) for i, r in enumerate(docs[:8])] + [(7, r.text, r.lang, "s0", i) for i, r in enumerate(docs[8:16])]
+    rows += [(100 + i, r.text, r.lang, None, i) for i, r in enumerate(docs[16:])] + [(200, " ".join(r.text for r in docs[16:]) * 12, "en", "s1", 0), (None, None, None, None, None), (8, "", None, "s2", 0)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage is in any of these documents at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, sf_dir = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    key = lambda r: (r.doc_id, r.text, r.source)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = collections.Counter(map(key, now.collect()))
+        stage(spark, now, sf_dir).write.parquet(f"{tmp_path}/odd-{n}")
+        now = spark.read.parquet(f"{tmp_path}/odd-{n}")
+        if name == "token_output":
+            assert now.count() == before.total()
+            break
+        after = collections.Counter(map(key, now.collect()))
+        if name == "decontaminate":
+            assert after == before
+        if name == "minhash_dedup":
+            assert set(after) <= set(before) and all(after[k] == c for k, c in before.items() if k[0] is None)
+            texts = [t for i, t, _ in before if i is not None]
+            seen = [shingles(t) for t in texts]
+            alone = [t for t, a in zip(texts, seen) if all(a is b or similarity(a, b) < 0.8 for b in seen if len(a.keys() & b.keys()) > 0.4 * len(a))]
+            assert {t for t in alone} <= {t for i, t, _ in after if i is not None}
+        if name == "mix_sources":
+            goal = {r.source: r.target for r in mixing.sampled(spark.createDataFrame([(*k, None) for k, c in before.items() for _ in range(c)], "doc_id long, text string, source string, x int")).collect()}
+            got, longest = collections.Counter(), max(len(t.split()) for _, t, _ in before)
+            for (_, t, s), c in after.items():
+                assert c <= 3 * before[_, t, s]
+                got[s] += c * len(t.split())
+            assert all(abs(got[s] - t) <= longest + 1 for s, t in goal.items())
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, kinds in (("documents", COLUMNS), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
