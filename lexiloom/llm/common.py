@@ -75,6 +75,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
+    """left join right on a column, right having a row a value: rows of left of a very common value are spread, by another
+    column of theirs, over as many tasks."""
+    salt = fresh(left.select(*left.columns, *[F.lit(0).alias(c) for c in right.columns if c not in left.columns]), "_salt")
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [on, salt]).drop(salt)
+
+
 def trim() -> None:
     """Gives memory that a worker no longer uses back to the system, where the C library can."""
     import ctypes

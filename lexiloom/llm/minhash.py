@@ -12,8 +12,8 @@ candidates, and candidates are verified exactly.
 families go many to a task, each node once, and all pairs of a bucket are verified there but for those already connected.
 In families of more than TILE nodes, each node goes once to its largest bucket: whole buckets meet in one task, those of
 more than TILE nodes in shares, each with the bucket's centre. That joins groups of near copies at the cost of a move a
-node. What is left are buckets whose nodes aren't all connected: there the nodes of the commonest component are dealt out
-in tiles and the others meet every tile, so no link between components is lost. Only links that join something come out of
+node. What is left are buckets whose nodes aren't all connected. Their commonest component is a hub: its nodes are dealt out in
+tiles, once for all of their buckets, and the others meet every tile, so no link between components is lost. Only links that join something come out of
 a task, so a group of n copies makes about n rows.
 
 Miss rate at similarity s: (1 - s**ROWS)**BANDS, 5e-5 at 0.8. Five-word shingles at 0.8 mean few edits: a word changed in
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fresh, ship, staged, table
+from lexiloom.llm.common import fresh, ship, spread_join, staged, table
 from lexiloom.llm.graph import components
 
 WORDS = 5
@@ -187,14 +187,19 @@ def _share(column: str, of, salt: int = 0):
     return F.pmod(F.xxhash64(column, F.lit(salt)), of).cast("int")
 
 
+def _placed(rows: DataFrame, grp, lo, hi) -> DataFrame:
+    return rows.select(grp.alias("grp"), lo.alias("lo"), hi.alias("hi"), "own", "node", "label", "keys", "doc_id", "digest")
+
+
 def dealt_small(docs: DataFrame, chunks: int) -> DataFrame:
-    """docs (node, keys, family) of small families, to tasks of whole families."""
-    zero = F.lit(0).cast("int")
-    return docs.select(F.concat(F.lit("c"), F.pmod(F.xxhash64("family"), F.lit(chunks)).cast("string")).alias("grp"), zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "node", F.col("node").alias("label"), "keys")
+    """docs (node, keys, family, doc_id, digest) of small families, to tasks of whole families."""
+    grp = F.concat(F.lit("c"), F.pmod(F.xxhash64("family"), F.lit(chunks)).cast("string"))
+    own = F.lit(0).cast("int")
+    return _placed(docs.withColumn("own", own).withColumn("label", F.col("node")), grp, own, own)
 
 
 def dealt_by_bucket(docs: DataFrame, members: DataFrame, chunks: int, tile: int) -> DataFrame:
-    """docs (node, keys) of large families; members (node, key, centre, n) of them. Each node once to its largest bucket,
+    """docs (node, keys, doc_id, digest) of large families; members (node, key, centre, n) of them. Each node once to its largest bucket,
     and a bucket's centre to all of its shares."""
     top = members.groupBy("node").agg(F.max(F.struct("n", "key", "centre")).alias("m")).select("node", "m.*")
     shares = F.ceil(F.col("n") / F.lit(float(tile))).cast("int")
@@ -202,25 +207,28 @@ def dealt_by_bucket(docs: DataFrame, members: DataFrame, chunks: int, tile: int)
     grp = F.when(F.col("n") > tile, F.concat(F.lit("b"), F.col("key").cast("string"))).otherwise(F.concat(F.lit("k"), F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("string")))
     large = at.filter(F.col("n") > tile).groupBy("key", "centre").agg(F.max("own").alias("last"), F.max("n").alias("n"))
     centres = large.join(docs.withColumnRenamed("node", "centre"), "centre").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("node", F.col("centre"))
-    out = lambda df: df.select(grp.alias("grp"), F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "node", F.col("node").alias("label"), "keys")
+    out = lambda df: _placed(df.withColumn("label", F.col("node")), grp, F.col("own"), F.col("own"))
     return out(at).unionByName(out(centres))
 
 
 def dealt_rest(members: DataFrame, labels: DataFrame, chunks: int, tile: int) -> DataFrame:
-    """members (node, key) of large families, labels (node, label): the buckets that hold several labels. The commonest
-    label's nodes are tiles that needn't meet each other; the others meet every tile."""
+    """members (node, key) of large families, labels (node, label, doc_id, digest): what is left in buckets of several labels.
+    The commonest label of a bucket is its hub. Nodes meet by hub, once for all of their buckets: the hub's own nodes are
+    tiles that needn't meet each other, and the others meet every tile."""
     rows = members.select("node", "key").join(labels, "node")
     per = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = staged(mixed.select("key", F.col("m.label").alias("major"), F.col("m.c").alias("most"), "n"), "minhash-mixed")
+    mixed = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("m.label").alias("hub"))
+    at = rows.join(mixed, "key").groupBy("node", "hub").agg(*[F.first(c).alias(c) for c in ("label", "doc_id", "digest")], F.collect_list("key").alias("keys"))
+    at = staged(at, "minhash-mixed")  # a key a band at most
+    major = F.col("label") == F.col("hub")
     tiles = lambda x: F.ceil(x / F.lit(float(tile))).cast("int")
-    at = rows.join(mixed, "key").withColumn("k", tiles(F.col("most"))).withColumn("r", tiles(F.col("n") - F.col("most")))
-    whole, major = F.col("n") <= tile, F.col("label") == F.col("major")
+    sizes = at.groupBy("hub").agg(F.count("*").alias("n"), tiles(F.count_if(major)).alias("k"), tiles(F.count_if(~major)).alias("r"))
+    at = spread_join(at, sizes, "hub", "node")
+    whole = F.col("n") <= tile
     at = at.withColumn("own", F.when(whole, F.lit(0)).when(major, _share("node", F.col("k"), 1)).otherwise(F.col("k") + _share("node", F.col("r"), 2)).cast("int"))
     others = F.when(whole, F.array(F.lit(0))).when(major, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
-    at = at.withColumn("other", F.explode(others))
-    grp = F.when(whole, F.concat(F.lit("m"), F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("string"))).otherwise(F.concat(F.lit("t"), F.col("key").cast("string")))
-    return at.select(grp.alias("grp"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", F.array("key").alias("keys"))
+    grp = F.when(whole, F.concat(F.lit("m"), F.pmod(F.xxhash64("hub"), F.lit(chunks)).cast("string"))).otherwise(F.concat(F.lit("t"), F.col("hub").cast("string")))
+    return _placed(at.withColumn("other", F.explode(others)), grp, F.least("own", "other"), F.greatest("own", "other"))
 
 
 def bucket_links(sets: DataFrame, threshold: float) -> DataFrame:
@@ -303,20 +311,20 @@ def node_links(nodes: DataFrame, texts: DataFrame, threshold: float, k: int, til
     docs = members.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a key a band at most
     docs = docs.join(family, docs.node == family.node).select(docs.node, "keys", F.col("component").alias("family"))
     sizes = docs.groupBy("family").agg(F.count("*").alias("size"))
-    docs = staged(docs.join(sizes, "family"), "minhash-families")
+    own = nodes.select("node", F.col("first").alias("doc_id"), "digest")
+    docs = staged(spread_join(docs, sizes, "family", "node").join(own, "node"), "minhash-families")
     n, wide = docs.agg(F.count("*"), F.count_if(F.col("size") > tile)).first()
     chunks = n // 2000 + 1
-    own = nodes.select("node", F.col("first").alias("doc_id"), "digest")
     # Texts are read again, for candidates only, and go to their tasks as shingles: those are moved once.
-    met = lambda dealt: bucket_links(shingle_sets(texts.join(dealt.join(own, "node"), "doc_id"), k), threshold)
+    met = lambda dealt: bucket_links(shingle_sets(texts.join(dealt, "doc_id"), k), threshold)
     first = dealt_small(docs.filter(F.col("size") <= tile), chunks)
     if not wide:
         return met(first)
-    large = docs.filter(F.col("size") > tile).select("node", "keys")
+    large = docs.filter(F.col("size") > tile).select("node", "keys", "doc_id", "digest")
     of_large = members.join(large.select("node"), "node")
     links = staged(met(first.unionByName(dealt_by_bucket(large, of_large, chunks, tile))), "minhash-links")
     joined = components(links).withColumnRenamed("node", "v")
-    labels = large.select("node").join(joined, F.col("node") == F.col("v"), "left").select("node", F.coalesce("component", "node").alias("label"))
+    labels = large.join(joined, F.col("node") == F.col("v"), "left").select("node", F.coalesce("component", "node").alias("label"), "doc_id", "digest")
     return links.unionByName(met(dealt_rest(of_large, staged(labels, "minhash-labels"), chunks, tile)))
 
 
@@ -337,7 +345,7 @@ def _judged(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, by
     found = components(links).withColumnRenamed("node", "v")
     grouped = staged(number.join(found, F.col("node") == F.col("v"), "left").select("digest", "first", F.coalesce("component", "node").alias("c")), "minhash-groups")
     least = grouped.groupBy("c").agg(F.min("first").alias("class_id"))
-    return sig.select("doc_id", "h", "digest"), grouped.join(least, "c").select("digest", "c", "class_id")
+    return sig.select("doc_id", "h", "digest"), spread_join(grouped, least, "c", "digest").select("digest", "c", "class_id")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
