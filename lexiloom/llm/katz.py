@@ -49,7 +49,7 @@ from lexiloom.llm.common import crc_mod, filesystem, parts_for, scratch_path, sh
 CUT = 5
 #: Counts of counts that the line is laid through.
 FIT = 20
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 9 << 20
 #: Tokens a part, at most (the number of parts is a power of two).
 TOKENS = 1_500_000
 ORDER = 3
@@ -184,6 +184,13 @@ def gaps(a):
     return slim(np.diff(a, prepend=a.dtype.type(0)))
 
 
+def narrow(a):
+    """Counts in four bytes, where they fit."""
+    import numpy as np
+
+    return a.astype(np.int32) if not len(a) or a.max() < 1 << 31 else a
+
+
 def rising(a):
     import numpy as np
 
@@ -353,8 +360,8 @@ class _Batch:
         number[order] = np.concatenate([x[1].astype(np.int64) * parts + p for p, x in got])
         by = np.argsort(number)
         self.number, self.total = number[by], total[by]
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
+        rank = np.empty(len(by), np.int32)  # arrays of a batch's tokens are kept narrow
+        rank[by] = np.arange(len(by), dtype=np.int32)
         self.end = int(rank[np.flatnonzero(vocab == np.uint64(END))[0]])
         self.batch, self.held, self.train, self.sizes = get("batch"), held, train.astype(bool), sizes.astype(np.int64)
         self.w = rank[tokens]
@@ -368,13 +375,13 @@ class _Batch:
         """(v, w, of, part, order): distinct pairs by part, v and w; for each token its pair's place in that order."""
         import numpy as np
 
-        key = self.v * len(self.number) + self.w
-        u, of = np.unique(key, return_inverse=True)
+        u, of = np.unique(self.v.astype(np.int64) * len(self.number) + self.w, return_inverse=True)
+        of = of.astype(np.int32)
         v, w = np.divmod(u, len(self.number))
         part = part_of(self.number[v], bits, dealt(self.number[w], self.total[v], split))
         order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         return v[order], w[order], place[of], part[order]
 
 
@@ -565,7 +572,7 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
                 yield _row("batch part data", x.batch, -1, pack(np.add.reduceat(log[x.w], x.first), known, x.sizes, x.held, unpack(ids)[0], unpack(null)[0]))
                 size = len(x.number)
                 if pair_slots is None:
-                    u, ch, cvw = np.zeros(len(x.w), np.int64), x.total[x.v], np.zeros(len(x.w), np.int64)
+                    u, ch, cvw = np.zeros(len(x.w), np.int32), narrow(x.total)[x.v], np.zeros(len(x.w), np.int32)
                     alpha, more, u_number = np.ones(size), np.zeros(size, np.uint8), np.zeros(1, np.int64)
                 else:
                     got = pair_slots.read(x.batch, b.column(b.schema.get_field_index("pair_slot"))[r].as_py())
@@ -575,22 +582,27 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
                     for p, g in got:  # a part answers for its first words in their order
                         on = np.unique(pv[np.searchsorted(part, p) : np.searchsorted(part, p, "right")])
                         alpha[on], more[on] = np.where(g[1] == 1.0, alpha[on], g[1]), g[2]  # of several parts some may not have been asked
-                    cvw = count[of]
-                    u, ch = np.empty_like(x.v), np.empty_like(cvw)
+                    cvw = narrow(count)[of]
+                    u, ch = np.empty_like(x.v), np.empty(len(x.v), np.result_type(cvw.dtype, narrow(x.total).dtype))
                     u[1:], ch[1:] = x.v[:-1], cvw[:-1]
                     u[x.first], ch[x.first] = x.end, x.total[x.end]  # before a text stand two ends
                     u_number = x.number
                     del pv, of, part, count
                 if size < 1 << 21:
-                    order = np.argsort((x.v * len(u_number) + u) * size + x.w, kind="stable")
+                    key = (x.v.astype(np.int64) * len(u_number) + u) * size + x.w
+                    order = np.argsort(key)
+                    key = key[order]
+                    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    del key
                 else:  # a batch of a very long text
                     order = np.lexsort((x.w, u, x.v))
-                at = np.flatnonzero(np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (x.v, u, x.w)], axis=0)]))
+                    at = np.flatnonzero(np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (x.v, u, x.w)], axis=0)]))
                 one = order[at]
                 times = np.diff(np.append(at, len(order)))
                 docs = x.doc[order]
-                learned = np.add.reduceat(x.train[docs].astype(np.int64), at)
-                v, w, u, ch, cvw = x.v[one], x.w[one], u[one], ch[one], cvw[one]
+                learned = np.add.reduceat(x.train[docs].astype(np.int32), at)
+                v, w, u, ch, cvw = (c[one].astype(np.int64) for c in (x.v, x.w, u, ch, cvw))
+                x.v = x.w = x.doc = one = None
                 by_u = dealt(u_number[u], x.total[v], split) if pair_slots is not None else np.zeros(len(v), np.int64)
                 to = part_of(x.number[v], bits, by_u, dealt(x.number[w], ch, split))
                 by = np.argsort(to, kind="stable")
