@@ -26,21 +26,21 @@ def brute(texts):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("tile", [4, 16, 1024])
+@pytest.mark.parametrize("tile", [8, 1024])
 def test_families_of_every_size(spark, monkeypatch, tile):
     """Groups of near copies, and texts near some of a group only, in one and in many tiles."""
     monkeypatch.setattr(minhash.node_links, "__defaults__", (tile,))
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(5000)}"
     texts = []
-    for size, edits in ((60, 2), (40, 6), (25, 9), (10, 14)):
+    for size, edits in ((45, 2), (30, 6), (18, 9), (8, 14)):
         base = [word() for _ in range(120)]
         for _ in range(size):
             t = list(base)
             for _ in range(rng.randrange(edits + 1)):
                 t[rng.randrange(len(t))] = word()
             texts.append(" ".join(t))
-    texts += [" ".join(word() for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    texts += [" ".join(word() for _ in range(rng.randrange(1, 40))) for _ in range(20)]
     rng.shuffle(texts)
     want = brute(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
