@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.common import fresh, ship, table
+from lexiloom.llm.common import fresh, ship, table, trim
 
 EDIT_SHARE = 0.2
 MIN_WORDS = 5
@@ -341,6 +341,7 @@ def _scan(docs: DataFrame, block, schema: T.StructType, emit, share: float, min_
         for b in batches:
             for i, j, h, first in tv.hashed(b.column(b.num_columns - 1), finder.alphabet):
                 yield from emit(finder, b, i, j, finder.leaks(h, first))
+            trim()
 
     return docs.mapInArrow(run, schema)
 

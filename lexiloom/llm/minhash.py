@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fresh, ship, spread_join, staged, table
+from lexiloom.llm.common import fresh, ship, spread_join, staged, table, trim
 from lexiloom.llm.graph import components
 
 WORDS = 5
@@ -123,6 +123,7 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
                 lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * bands, pa.array(flat, pa.int64()))
                 own = [b.column(c).slice(i, j - i).take(pa.array(some)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(digest, pa.binary()), lists], names=["doc_id", "h", "digest", "keys"])
+            trim()
 
     rows_in = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     return rows_in.mapInArrow(run, "doc_id long, h long, digest binary, keys array<long>")
@@ -150,6 +151,7 @@ def shingle_sets(dealt: DataFrame, k: int = WORDS) -> DataFrame:
                 hs = [parts[x][0].astype("<u8").tobytes() for x in on]
                 ws = [b"" if parts[x][1].max(initial=1) == 1 else parts[x][1].astype("<u4").tobytes() for x in on]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i).take(pa.array(on, pa.int64())) for c in range(7)), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["grp", "lo", "hi", "own", "node", "label", "keys", "hs", "ws"])
+            trim()
 
     kinds = "grp string, lo int, hi int, own int, node long, label long, keys array<long>, hs binary, ws binary"
     return dealt.select("grp", "lo", "hi", "own", "node", "label", "keys", "digest", "text").mapInArrow(run, kinds)
@@ -297,6 +299,9 @@ def bucket_links(sets: DataFrame, threshold: float) -> DataFrame:
                             test(x, y)
             else:
                 large(rows[own[rows] == lo], rows[own[rows] == hi])
+        hs = ws = key = holder = None
+        if len(ids) > SMALL:
+            trim()
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return sets.groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")

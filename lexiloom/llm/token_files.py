@@ -96,8 +96,8 @@ class WordTokenizer:
 
     def _forget(self, np):
         self.words, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.text, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int64)
+        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.text, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int32)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -135,7 +135,7 @@ class WordTokenizer:
         to = np.searchsorted(self.words, new[order])
         self.words = np.insert(self.words, to, new[order])
         for name, value in (("start", start), ("count", count), ("at", at), ("size", size)):
-            setattr(self, name, np.insert(getattr(self, name), to, value[order]))
+            setattr(self, name, np.insert(getattr(self, name), to, value[order].astype(getattr(self, name).dtype)))
 
     def encode(self, texts, end: int | None = None):
         """(ids, counts): of an Arrow array of strings; counts per text, with the end id."""
@@ -187,7 +187,7 @@ class WordTokenizer:
         row = known[code]
         if not same_words(data, s, e - s, self.text, self.at[row], self.size[row]):
             return whole()  # two words share a hash
-        start, count = self.start[row], self.count[row]
+        start, count = self.start[row], self.count[row].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         per_text = np.diff(total[first])
         n = int(total[-1])
