@@ -535,8 +535,8 @@ def top_slice(v, u, w, of_v, of_h, of_w, cvw, learned, times, docs) -> bytes:
     nv, nh = start(v), start(v, u)
     uu, ui = listed(u[nh])
     wu, wi = listed(w)
-    cw = np.zeros(len(wu), np.int64)
-    cw[wi] = of_w
+    cw, asked = np.zeros(len(wu), np.int64), cvw == 0
+    cw[wi[asked]] = of_w[asked]  # wanted only where the recursion goes down to single words
     n = len(v)
     return pack(
         gaps(v[nv]), *[x[nv] if x.dtype == np.float64 else slim(x[nv]) for x in of_v], slim(np.diff(np.append(np.searchsorted(nh, nv), len(nh)))),
@@ -704,6 +704,14 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _discard(df: DataFrame) -> None:
+    """Removes a scratch table that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str | None, keep: bool = False) -> dict:
     """Everything but the scores: the tables of a model of base's learned texts and of the stored model, and the discounts."""
     spark = base.sparkSession
@@ -732,6 +740,10 @@ def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str |
         pair_slots = _Slots(spark, "katz-pair-answers")
         _release(spark)
         pair_slots.write(pair_answers(pairs, cut, split, wide, d2))
+    if not keep:
+        for done in (totals, pairs):
+            if done is not None:
+                _discard(done)
     _release(spark)
     tops = top_parts(base, slots, pair_slots, parts, split, n, v, unigram, d2, stored("tops"), cut, keep)
     _release(spark)
