@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import chat, decontaminate, embedding_dedup, katz, language_id, minhash, mixing, token_files, url_rules, warc
+from lexiloom.llm import chat, decontaminate, embedding_dedup, katz, language_id, minhash, mixing, token_alignment, token_files, url_rules, warc
 
 QUERIES = {
     "op1_probminhash_dedup": minhash.op1_probminhash_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cgk_decontaminate": decontaminate.op8_cgk_decontaminate,
     "op9_katz_backoff": katz.op9_katz_backoff,
     "op10_url_rules": url_rules.op10_url_rules,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLE_SQL = {
     "op2_warc_captures": warc.OP2_SQL,
