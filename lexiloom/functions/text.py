@@ -53,59 +53,51 @@ def regex_sentence_tokens(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return rows.select(key, "sent", tokens(F.col("s")).alias("toks")).filter(F.size("toks") > 0)
 
 
-#: What `sentences` reads in place of the text: letters become a or A, digits 1, other signs &, marks go, so that its
-#: sentence breaks stay and every word keeps all of its letters. Fixed values, in the order in which they apply.
-MASK = (
-    (r"[\p{Mn}\p{Me}\p{Cf}]", ""),
-    (r"(?<=[.．])\p{N}", "a"),
-    (r"\p{N}", "1"),
-    (r"\p{Ll}", "a"),
-    (r"[\p{Lu}\p{Lt}\p{Lo}\p{Lm}]", "A"),
-    (r"""[^\p{L}1\p{Pe}\p{Pf}\p{Ps}\p{Pi}\p{Zs}\t\r\n\f  !?。！？.．,"']""", "&"),
-)
+#: Classes of characters in the JDK's sentence rules, as fixed values: spaces, terminators, full stops, closing marks, quotes,
+#: dandas. Combining marks and format characters count with what stands before them. OTHER is what is in none of these and no
+#: letter, digit or comma.
+_SPACES, _TERM, _STOP, _CLOSE, _QUOTE, _DANDA = r"\p{Zs}\t\n\f\r\x{2028}", "!?。！？", ".．", r"\p{Pe}\p{Pf}", "\"'", r"\x{0964}\x{0965}"
+_MARKS = r"\p{Mn}\p{Me}\p{Cf}"
+_NOT_OTHER = rf"\p{{L}}\p{{N}},{_SPACES}\x{{2029}}{_TERM}{_STOP}{_CLOSE}{_MARKS}"
+
+
+def _of(chars: str) -> str:
+    return f"(?:[{chars}][{_MARKS}]*)"
+
+
+def jdk_breaks() -> str:
+    """The JDK's sentence rules for US English as one pattern without look-around, for Java and for RE2: a sentence ends
+    behind groups 1, 2, 4, 6 and 8, and groups 3, 5, 7 and 9 are what had to be seen behind that end.
+
+    A run that begins with a terminator ends a sentence with its closing marks and spaces, and so do a paragraph separator
+    and a danda. A run that begins with a full stop does so by what follows: after spaces a letter that isn't lower case, or
+    any letter behind other signs; after two spaces, or a quote, any letter; with no space, other signs and then a letter.
+    A single other sign or quote behind a quote or two spaces ends one too, whatever comes next."""
+    space, stop, letter = _of(_SPACES), _of(_STOP) + _of(_STOP + _CLOSE + _QUOTE) + "*", _of(r"\p{L}")
+    other, sign = _of(f"^{_NOT_OTHER}{_QUOTE}"), _of(f"^{_NOT_OTHER}")
+    return "|".join(
+        [
+            rf"({_of(_TERM)}{_of(_TERM + _STOP + _CLOSE + _QUOTE)}*{space}*\x{{2029}}?|\x{{2029}}|{_of(_DANDA)}{space}*)",
+            f"({stop}{space}+)({sign}+{letter}|{_of('\\p{Lu}\\p{Lt}\\p{Lo}\\p{Lm}')})",
+            f"({stop}(?:{space}{space}+|{_of(_QUOTE)}))({letter})",
+            f"({stop})({other}{sign}*{letter})",
+            f"({_of(_STOP)})({_of(_STOP + _CLOSE + _QUOTE)}*(?:{_of(_QUOTE)}{other}|{space}{space}+{sign})[{_NOT_OTHER}])",
+        ]
+    )
+
+
+#: What parts sentences while they are cut; in a text itself it counts as the character after it.
+CUT = "\x01"
+
+
+def jdk_sentences(text: Column) -> Column:
+    marked = F.regexp_replace(F.translate(text, CUT, "\x02"), jdk_breaks(), f"$1$2$4$6$8{CUT}$3$5$7$9")
+    return F.split(marked, CUT, -1)
 
 
 def jdk_sentence_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sent, toks) by the JDK's sentence rules for US English, which the built-in `sentences` applies.
-
-    `sentences` drops punctuation and can't return positions, so it reads a mask of the text; the letters and digits of
-    each of its sentences are counted, and so are those of the text's chunks. A chunk's sentence is the number of ends at
-    or before it. Running sums over arrays would be quadratic as column expressions, so only these two lists of numbers
-    and the tokens pass through Arrow, a batch at a time. There is no shuffle, and rows that repeat stay apart."""
-    mask = F.col(text)
-    for pattern, by in MASK:
-        mask = F.regexp_replace(mask, pattern, by)
-    letters = F.transform(F.sentences(mask, F.lit("en"), F.lit("US")), lambda s: F.length(F.regexp_replace(F.array_join(s, ""), "[^aA1]", "")))
-    apart = F.regexp_replace(F.col(text), r"""([!?。！？][!?。！？.．\p{Pe}\p{Pf}"']*)(?=\S)""", "$1 ")
-    rows = docs.select(key, F.filter(letters, lambda c: c > 0).alias("ends"), F.split(apart, f"{SPACE}+", -1).alias("chunks"))
-    rows = rows.select(
-        key, "ends", F.transform("chunks", lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))).alias("sizes"),
-        F.transform("chunks", lambda c: F.lower(F.regexp_replace(c, EDGE, ""))).alias("words"),
-    ).filter("words is not null and ends is not null")
-
-    def cut(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for b in batches:
-            ends, sizes, words = (b.column(i) for i in (1, 2, 3))
-            rows_of = lambda x: np.diff(x.offsets.to_numpy())
-            end_row, chunk_row = (np.repeat(np.arange(b.num_rows), rows_of(x)) for x in (ends, sizes))
-            count, size = ends.flatten().to_numpy().astype(np.int64), sizes.flatten().to_numpy().astype(np.int64)
-            # Each row gets a range of positions of its own, so that one search places all chunks.
-            most = np.maximum(np.bincount(end_row, count, b.num_rows), np.bincount(chunk_row, size, b.num_rows)).astype(np.int64) + 1
-            base = np.cumsum(most) - most
-            within = lambda x, row: np.cumsum(x) - np.repeat(np.cumsum(n := np.bincount(row, x, b.num_rows).astype(np.int64)) - n, np.bincount(row, minlength=b.num_rows))
-            stop = within(count, end_row) + base[end_row]
-            start = within(size, chunk_row) - size + base[chunk_row]
-            sent = np.searchsorted(stop, start, "right") - np.searchsorted(end_row, chunk_row, "left")
-            flat = words.flatten()
-            on = np.flatnonzero(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))
-            row, sent = chunk_row[on], sent[on]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (sent[1:] != sent[:-1])])) if len(on) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(on)).astype(np.int32)), flat.take(pa.array(on)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(sent[first].astype(np.int32)), lists], names=[key, "sent", "toks"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(cut, f"`{key}` {kind}, sent int, toks array<string>")
+    """(key, sent, toks) by the JDK's sentence rules for US English: a row per sentence that has a token; sent counts these
+    from 0. Plain expressions without a shuffle; rows that repeat stay apart. One case differs: a danda in the run behind a
+    full stop ends a sentence even before a digit."""
+    cut = F.filter(F.transform(jdk_sentences(F.col(text)), tokens), lambda t: F.size(t) > 0)
+    return docs.select(key, F.posexplode(cut).alias("sent", "toks"))

@@ -1,84 +1,128 @@
 """Sentence generation for many seeds at once: each walk is a row that a recursive query extends by a word a step.
 
 The four strategies differ in their state (one word or two) and in how the next word is chosen. Weighted choices use
-a roll made from (seed, run, step, attempt), so a walk can be repeated, and checked."""
+a roll made from (seed, run, step, attempt), so a walk can be repeated, and checked. What is looked up lies in buckets of the
+context, so a step moves the walks to it and never the other way; the recursion runs in a session of its own, whose settings
+are the recursion's, and its result is staged."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators import model
-from lexiloom.sources.scratch import staged
+from lexiloom.sources.scratch import bucketed, written
 
 MAX_TOKENS = 20
 ATTEMPTS = 10
+#: Settings that the recursion's session takes over from its caller's.
+KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
 
 
 def _roll(total: str, *parts: str) -> str:
     return f"pmod(cast(conv(substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8), 16, 10) as bigint), {total})"
 
 
-def _walk(seeds: DataFrame, lists: DataFrame, order: int, weighted: bool, most: int, stop: str | None, run: str) -> DataFrame:
-    """seeds (seed_id, w1[, w2]); lists (w1[, w2], cands[, total])."""
-    spark, tag = seeds.sparkSession, uuid.uuid4().hex[:8]
-    most = max(1 if order == 2 else 2, most)
-    # The engine's own bounds on recursion are for runaway queries; a walk ends after `most` words.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(int(spark.conf.get("spark.sql.cteRecursionLevelLimit")), most + 2)))
+def _roll_of(*parts: Column | str) -> Column:
+    """The same roll as a column, below the column total; text among the parts stands for itself."""
+    h = F.md5(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("binary"))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.col("total"))
+
+
+def _session(spark: SparkSession, levels: int) -> SparkSession:
+    """A session for one recursion. The engine's own bounds are for runaway queries; a walk ends after `levels` steps."""
+    own = spark.newSession()
+    for k in KEPT:
+        own.conf.set(k, spark.conf.get(k))
+    own.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    own.conf.set("spark.sql.cteRecursionLevelLimit", str(levels + 2))
+    return own
+
+
+def _walked(seeds: DataFrame, order: int, most: int, stop: str | None, levels: int, tables: dict[str, tuple[DataFrame, list[str]]], step: str, args: dict) -> DataFrame:
+    """seeds (seed_id, w1[, w2]) and what `step` makes of walk: the walks' next rows. Stop word and run are values of the
+    query, never a part of its text. (seed_id, words)"""
+    spark, schema = seeds.sparkSession, seeds.schema
+    own = _session(spark, levels)
     # Staged, as each step of the recursion would count the corpus anew.
-    staged(seeds, "seeds").createOrReplaceTempView(f"seeds_{tag}")
-    staged(lists, "followers").createOrReplaceTempView(f"lists_{tag}")
-    bi = order == 2
-    gram = "concat_ws(' ', w.a, x)" if bi else "concat_ws(' ', w.b, w.a, x)"
-    if not weighted:
-        avoid = "w.b is not null and x = w.b" if bi else "x = w.a or x = w.b"
-        pick = f"get(filter(l.cands, x -> not coalesce({avoid}, false) and not array_contains(w.used, {gram})), 0)"
-    else:
-        tries = 1 if bi else ATTEMPTS
-        roll = _roll("l.total", "cast(w.seed_id as string)", f"'{run}'", "cast(w.step as string)", "cast(t as string)")
-        draws = f"transform(sequence(0, {tries - 1}), t -> get(filter(l.cands, c -> {roll} < c.cum), 0).w)"
-        ok = "not array_contains(w.words, x)" if bi else f"x <> w.a and x <> w.b and not array_contains(w.used, {gram})"
-        pick = f"get(filter({draws}, x -> {ok}), 0)"
-    gone_on = "" if stop is None else f" and (w.step = 0 or w.a <> '{stop.lower()}')"
-    here = "nxt <> w1" if bi and not weighted else "true"
-    first = "w1 as a, cast(null as string) as b, array(w1) as words" if bi else "w2 as a, w1 as b, array(w1, w2) as words"
-    join = "w.a = l.w1" if bi else "w.b = l.w1 and w.a = l.w2"
-    got = spark.sql(f"""
-        with recursive walk(seed_id, step, a, b, words, used) as (
-          select seed_id, 0, a, b, words, cast(array() as array<string>) from (select seed_id, {first} from seeds_{tag})
+    own.read.schema(schema).parquet(written(seeds, "seeds")).createOrReplaceTempView("seeds")
+    buckets = int(own.conf.get("spark.sql.shuffle.partitions"))
+    named = {name: bucketed(df, name, by, own, buckets) for name, (df, by) in tables.items()}
+    first = "w1 as a, cast(null as string) as b, array(w1) as words" if order == 2 else "w2 as a, w1 as b, array(w1, w2) as words"
+    query = f"""
+        with recursive walk(seed_id, step, attempt, a, b, words, used) as (
+          select seed_id, 0, 0, a, b, words, cast(array() as array<string>) from (select seed_id, {first} from seeds)
           union all
-          select seed_id, step + 1, nxt, w1, array_append(words, nxt), array_append(used, {'concat_ws(" ", w1, nxt)' if bi else 'concat_ws(" ", w0, w1, nxt)'})
-          from (select w.seed_id, w.step, w.b as w0, w.a as w1, w.words, w.used, {pick} as nxt
-                from walk w join lists_{tag} l on {join} where size(w.words) < {most}{gone_on}) where nxt is not null and {here})
-        select seed_id, max_by(words, step) as words from walk group by seed_id""")
-    for name in ("seeds", "lists"):  # resolved by now
-        spark.catalog.dropTempView(f"{name}_{tag}")
-    return got
+          {step})
+        select seed_id, max_by(words, step) as words from walk group by seed_id"""
+    going = f"size(w.words) < {most}" + ("" if stop is None else " and (w.step = 0 or w.a <> :stop)")
+    try:
+        got = own.sql(query.format(going=going, **named), args=args | ({} if stop is None else {"stop": stop.lower()}))
+        return spark.read.schema(got.schema).parquet(written(got, "walks"))
+    finally:
+        for table in named.values():
+            own.sql(f"drop table if exists {table}")
+
+
+def _greedy(seeds: DataFrame, lists: DataFrame, order: int, most: int, stop: str | None) -> DataFrame:
+    """lists (w1[, w2], cands): followers in the order of their ranks."""
+    bi, most = order == 2, max(order - 1, most)
+    context = ["w1"] if bi else ["w1", "w2"]
+    gram = "concat_ws(' ', w.a, x)" if bi else "concat_ws(' ', w.b, w.a, x)"
+    avoid = "w.b is not null and x = w.b" if bi else "x = w.a or x = w.b"
+    step = f"""
+        select seed_id, step + 1, 0, nxt, a, array_append(words, nxt), array_append(used, {'concat_ws(" ", a, nxt)' if bi else 'concat_ws(" ", b, a, nxt)'})
+        from (select w.*, get(filter(l.cands, x -> not coalesce({avoid}, false) and not array_contains(w.used, {gram})), 0) as nxt
+              from walk w join {{lists}} l on {'w.a = l.w1' if bi else 'w.b = l.w1 and w.a = l.w2'} where {{going}})
+        where nxt is not null{' and nxt <> a' if bi else ''}"""
+    return _walked(seeds, order, most, stop, most, {"lists": (lists, context)}, step, {})
+
+
+def _weighted(seeds: DataFrame, grams: DataFrame, order: int, most: int, stop: str | None, run: str, block: int) -> DataFrame:
+    """Where a context has one block, all attempts of a step are made at once. Where it has more, a roll picks the block and
+    a row of the recursion is one attempt: a failed one comes again with the next."""
+    bi, most = order == 2, max(order - 1, most)
+    context, word = (["w1"], "w2") if bi else (["w1", "w2"], "w3")
+    tries = 1 if bi else ATTEMPTS
+    tops, blocks = model.weighted_index(grams, context, word, block)
+    on = lambda t: f"w.a = {t}.w1" if bi else f"w.b = {t}.w1 and w.a = {t}.w2"
+    roll = lambda total, t: _roll(total, "cast(w.seed_id as string)", ":run", "cast(w.step as string)", f"cast({t} as string)")
+    # A roll is bound before the search, else it would be made for each candidate.
+    search = lambda cells, r, c, v: f"transform(array({r}), r -> get(filter({cells}, c -> r < c.{c}), 0).{v})[0]"
+    ok = "not array_contains(w.words, x)" if bi else "x <> w.a and x <> w.b and not array_contains(w.used, concat_ws(' ', w.b, w.a, x))"
+    draws = f"transform(sequence(w.attempt, if(w.many, w.attempt, {tries - 1})), t -> {search('l.cands', roll('l.total', 't'), 'cum', 'w')})"
+    gram = 'concat_ws(" ", a, nxt)' if bi else 'concat_ws(" ", b, a, nxt)'
+    placed = f"""select w.*, t.hi is not null as many, coalesce({search('t.parts', roll('t.total', 'w.attempt'), 'hi', 'block')}, 0L) as block
+        from walk w left join {{tops}} t on {on('t')} and {roll('t.total', 'w.attempt')} >= t.lo and {roll('t.total', 'w.attempt')} < t.hi where {{going}}"""
+    step = f"""
+        select seed_id, if(nxt is null, step, step + 1), if(nxt is null, attempt + 1, 0), coalesce(nxt, a), if(nxt is null, b, a),
+               if(nxt is null, words, array_append(words, nxt)), if(nxt is null, used, array_append(used, {gram}))
+        from (select w.*, get(filter({draws}, x -> {ok}), 0) as nxt from ({placed}) w join {{blocks}} l on {on('l')} and w.block = l.block)
+        where nxt is not null or (many and attempt < {tries - 1})"""
+    tables = {"tops": (tops, context), "blocks": (blocks, [*context, "block"])}
+    return _walked(seeds, order, most, stop, most * tries, tables, step, {"run": run})
 
 
 def bi_greedy(seeds: DataFrame, bigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0") -> DataFrame:
     """The most frequent follower that is neither the word before nor a pair already used; a word that follows itself
     first of all ends the sentence. A walk passes over most + 1 followers at most, so longer lists are cut there."""
     lists = model.follower_lists(model.ranked_followers(bigrams, ["w1"], "w2", most + 1), ["w1"], "w2")
-    return _walk(seeds, lists, 2, False, most, stop, run)
+    return _greedy(seeds, lists, 2, most, stop)
 
 
-def bi_weighted(seeds: DataFrame, bigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0") -> DataFrame:
+def bi_weighted(seeds: DataFrame, bigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0", block: int = model.BLOCK) -> DataFrame:
     """A follower drawn in proportion to its count; a word already in the sentence ends it."""
-    return _walk(seeds, model.weighted_lists(bigrams, ["w1"], "w2"), 2, True, most, stop, run)
+    return _weighted(seeds, bigrams, 2, most, stop, run, block)
 
 
 def tri_greedy(seeds: DataFrame, trigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0") -> DataFrame:
     lists = model.follower_lists(model.ranked_followers(trigrams, ["w1", "w2"], "w3", most + 2), ["w1", "w2"], "w3")
-    return _walk(seeds, lists, 3, False, most, stop, run)
+    return _greedy(seeds, lists, 3, most, stop)
 
 
-def tri_weighted(seeds: DataFrame, trigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0") -> DataFrame:
+def tri_weighted(seeds: DataFrame, trigrams: DataFrame, most: int = MAX_TOKENS, stop: str | None = None, run: str = "0", block: int = model.BLOCK) -> DataFrame:
     """Up to ATTEMPTS draws a step, until one is neither of the last two words nor makes a used triplet."""
-    return _walk(seeds, model.weighted_lists(trigrams, ["w1", "w2"], "w3"), 3, True, most, stop, run)
+    return _weighted(seeds, trigrams, 3, most, stop, run, block)
 
 
 ALGORITHMS = {"bi_weighted": bi_weighted, "bi_greedy": bi_greedy, "tri_weighted": tri_weighted, "tri_greedy": tri_greedy}
@@ -105,11 +149,11 @@ def weighted_start(words: DataFrame, run: str = "0") -> DataFrame:
     some = words.filter("starts > 0").select("word", "starts")
     total = some.agg(F.sum("starts").alias("total"))
     c = model.ordered_blocks(some, "starts", "starts").crossJoin(F.broadcast(total))  # one row
-    return c.filter(F.expr(f"{_roll('total', repr(run))} < cum")).agg(F.min_by("word", "cum").alias("word"))
+    return c.filter(_roll_of(run) < F.col("cum")).agg(F.min_by("word", "cum").alias("word"))
 
 
 def weighted_second_words(trigrams: DataFrame, run: str = "0") -> DataFrame:
     """(w1, w2): for each first word a second, drawn in proportion to how often triplets begin with both."""
     totals = model.second_word_totals(trigrams).withColumnRenamed("total", "cnt")
     c = model.cumulative(totals, ["w1"], "w2")
-    return c.filter(F.expr(f"{_roll('total', 'w1', repr(run))} < cum")).groupBy("w1").agg(F.min_by("w2", "cum").alias("w2"))
+    return c.filter(_roll_of(F.col("w1"), run) < F.col("cum")).groupBy("w1").agg(F.min_by("w2", "cum").alias("w2"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.scratch import staged
+
 PREFIX = 3  # characters of a word that choose its block of ids
+MANY = 4096  # followers above which a context's are summed in parts
+BLOCK = 256  # entries of a cell of the index for draws
 
 
 def dictionary(words: DataFrame) -> DataFrame:
@@ -56,17 +60,46 @@ def follower_lists(ranked: DataFrame, context: list[str], word: str) -> DataFram
     return ranked.groupBy(*context).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", word))), lambda x: x[word]).alias("cands"))
 
 
-def cumulative(grams: DataFrame, context: list[str], word: str) -> DataFrame:
-    """context, word, cnt, cum (running sum by rank) and total (of the context)."""
-    w = Window.partitionBy(*context).orderBy(F.col("cnt").desc(), word).rowsBetween(Window.unboundedPreceding, 0)
-    total = grams.groupBy(*context).agg(F.sum("cnt").alias("total"))
-    return grams.select(*context, word, "cnt", F.sum("cnt").over(w).alias("cum")).join(total, context)
-
-
-def weighted_lists(grams: DataFrame, context: list[str], word: str) -> DataFrame:
-    """context, total, cands: array of (cum, word) in the order of cum."""
-    c = cumulative(grams, context, word)
-    return c.groupBy(*context, "total").agg(F.array_sort(F.collect_list(F.struct("cum", F.col(word).alias("w")))).alias("cands"))
+def cumulative(grams: DataFrame, context: list[str], word: str, many: int = MANY) -> DataFrame:
+    """context, word, cnt, cum (running sum by rank), total (of the context) and nth (the rank).
+
+    Contexts of up to `many` followers are summed by a window each. Those of a context with more are parted by count and
+    first characters, numbered within their part, and shifted by what the parts before hold; the parts, not the followers,
+    are what meets in one task."""
+    rows = staged(grams.select(*context, word, "cnt"), "grams")
+    per = rows.groupBy(*context).agg(F.sum("cnt").alias("total"), F.count("*").alias("_n"))
+    head = F.substring(word, 1, PREFIX)
+    split = F.col("_n") > many
+    apart = rows.join(per, context).select(*context, word, "cnt", "total", F.when(split, F.col("cnt")).otherwise(F.lit(0)).alias("_c"), F.when(split, head).otherwise(F.lit("")).alias("_p"))
+    own = Window.partitionBy(*context, "_c", "_p").orderBy(F.col("cnt").desc(), word)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = apart.select(*apart.columns, F.sum("cnt").over(upto).alias("cum"), F.row_number().over(own).alias("nth"))
+    parts = rows.join(per.filter(split).select(*context), context).groupBy(*context, F.col("cnt").alias("_c"), head.alias("_p")).agg(F.count("*").alias("k"))
+    down, across = Window.partitionBy(*context).orderBy(F.col("_c").desc()), Window.partitionBy(*context, "_c").orderBy("_p")
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = parts.groupBy(*context, "_c").agg(F.sum("k").alias("k"))
+    counts = counts.select(*context, "_c", before(F.col("k"), down).alias("_k0"), before(F.col("k") * F.col("_c"), down).alias("_v0"))
+    shift = parts.select(*context, "_c", "_p", before(F.col("k"), across).alias("_k1")).join(counts, [*context, "_c"])
+    got = numbered.join(shift, [*context, "_c", "_p"], "left")
+    more = lambda c: F.coalesce(c, F.lit(0))
+    cum = F.col("cum") + more(F.col("_v0") + F.col("_k1") * F.col("_c"))
+    return got.select(*context, word, "cnt", cum.alias("cum"), "total", (F.col("nth") + more(F.col("_k0") + F.col("_k1"))).cast("long").alias("nth"))
+
+
+def weighted_index(grams: DataFrame, context: list[str], word: str, size: int = BLOCK, many: int = MANY) -> tuple[DataFrame, DataFrame]:
+    """(tops, blocks): what a draw by weight looks up; no cell holds more than `size` entries.
+
+    blocks: context, block, total, cands: the followers ranked block * size + 1 and on, as (cum, w) in that order. tops, only for
+    contexts of more than one block: context, lo, hi, total, parts: (hi, block) of `size` blocks whose sums lie in lo .. hi."""
+    c = cumulative(grams, context, word, many)
+    of = lambda n, k: F.floor(n / F.lit(k)).cast("long")
+    blocks = c.groupBy(*context, of(F.col("nth") - 1, size).alias("block")).agg(
+        F.first("total").alias("total"), F.min(F.col("cum") - F.col("cnt")).alias("lo"), F.max("cum").alias("hi"), F.array_sort(F.collect_list(F.struct("cum", F.col(word).alias("w")))).alias("cands")
+    )
+    blocks = staged(blocks, "blocks")
+    tops = blocks.filter("block > 0 or hi < total").groupBy(*context, of(F.col("block"), size).alias("top"))
+    tops = tops.agg(F.first("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("hi", "block"))).alias("parts")).drop("top")
+    return tops, blocks.select(*context, "block", "total", "cands")
 
 
 def ordered_blocks(words: DataFrame, count: str, value: str, prefix: int = PREFIX) -> DataFrame:

@@ -82,7 +82,7 @@ def _lookup_one(spark, sf):
 
 
 def _cumulative(spark, sf):
-    return model.cumulative(_grams(spark, sf, 2), ["w1"], "w2")
+    return model.cumulative(_grams(spark, sf, 2), ["w1"], "w2").drop("nth")
 
 
 def _lookup_tri_start(spark, sf):
@@ -340,7 +340,7 @@ def _walk_sql(order: int, weighted: bool, stop: str | None = None, seeds: str |
 l as (select {ctx}, any_value(total) as total, list({{'cum': cum, 'w': {nxt}}} order by cum) as cands from r group by {ctx})"""
         tries = 0 if bi else 9
         roll = "(('0x' || substr(md5(concat_ws('|', w.seed_id, '0', w.step::varchar, k::varchar)), 1, 8))::bigint % l.total)"
-        draws = f"list_transform(range(0, {tries + 1}), lambda k: list_filter(l.cands, lambda c: {roll} < c.cum)[1].w)"
+        draws = f"list_transform(list_transform(range(0, {tries + 1}), lambda k: {roll}), lambda r: list_filter(l.cands, lambda c: r < c.cum)[1].w)"
         ok = "not list_contains(w.words, x)" if bi else "x <> w.a and x <> w.b and not list_contains(w.used, concat_ws(' ', w.b, w.a, x))"
         pick = f"list_filter({draws}, lambda x: {ok})[1]"
     else:
@@ -420,6 +420,12 @@ def _by_ids_sql() -> str:
 _STORE_WORDS = """select (case when we.word is not null then row_number() over (partition by we.word is null order by w.word)
   else (select count(*) from we) + row_number() over (partition by we.word is null order by w.word) end)::int as word_id,
   w.word as word_value, w.total as total_occurrences, w.starts as start_sentence_count, w.ends as end_sequence_count from w left join we on w.word = we.word"""
+#: Sentences by the JDK's rules, as its pattern gives them to both engines.
+_JDK = rf"""
+j as materialized (select doc_id, list_filter(list_transform(string_split(regexp_replace(translate(text, chr(1), chr(2)), '{X.jdk_breaks().replace("'", "''")}', '\1\2\4\6\8' || chr(1) || '\3\5\7\9', 'g'), chr(1)),
+      lambda p: list_filter(list_transform(regexp_split_to_array(p, '{_WS}+'), lambda t: lower(regexp_replace(t, '^[^\p{{L}}\p{{Nd}}'']+|[^\p{{L}}\p{{Nd}}'']+$', '', 'g'))), lambda t: t <> '')), lambda s: len(s) > 0) as sents
+      from documents where text is not null),
+js as (select doc_id, unnest(range(len(sents))) as sent, unnest(sents) as toks from j)"""
 _ROLL7 = "(('0x' || substr(md5('7'), 1, 8))::bigint % total)"
 ORACLE_SQL = {
     "word_counts_regex": f"with {_W} select * from w",
@@ -469,6 +475,8 @@ from p left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join best on p.w1 =
     "generate_tri_greedy": _walk_sql(3, False),
     "generate_bi_weighted": _walk_sql(2, True),
     "generate_tri_weighted": _walk_sql(3, True),
+    "sentences_jdk": f"with {_JDK} select doc_id, sent::bigint as sent, array_to_string(toks, ' ') as sentence from js",
+    "word_counts_jdk": f"with {_JDK}, t as (select len(toks) as n, unnest(range(len(toks))) as pos, unnest(toks) as word from js) select word, count(*)::bigint as total, count(*) filter (pos = 0)::bigint as starts, count(*) filter (pos = n - 1)::bigint as ends from t group by 1",
     "sentences_jdk_plain": f"with {_SENT}, x as (select doc_id, i, list_prepend('x', regexp_extract_all(lower(p[i]), '[a-z]+')) as toks from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null))) select doc_id, row_number() over (partition by doc_id order by i)::bigint as nth, array_to_string(toks, ' ') as sentence from x",
     "word_counts_jdk_plain": f"with x as (select doc_id, list_prepend('x', regexp_extract_all(lower(p[i]), '[a-z]+')) as toks from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null))), t as (select len(toks) as n, unnest(range(len(toks))) as pos, unnest(toks) as word from x) select word, count(*)::bigint as total, count(*) filter (pos = 0)::bigint as starts, count(*) filter (pos = n - 1)::bigint as ends from t group by 1",
     "rendered_lengths": f"with {_SENT} select doc_id, sent::bigint as sent, ({_PACK})::bigint as n_words from s",

@@ -41,8 +41,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Writes df to a fresh folder of the shared one and returns its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def bucketed(df: DataFrame, name: str, by: list[str], session: SparkSession, buckets: int) -> str:
+    """Writes df to the shared folder in buckets of `by`, one file each, and returns the name of session's table over them.
+    Joins on `by` in a session of as many shuffle partitions leave the table where it is. Drop the table when done with it;
+    the files go with the application."""
+    path, table = scratch_path(df.sparkSession, name), f"lexiloom_{name}_{uuid.uuid4().hex}"
+    rows = session.read.schema(df.schema).parquet(written(df, f"{name}-rows"))
+    rows.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    return table

@@ -41,28 +41,49 @@ def test_jdk_sentences(spark):
     assert {list(cases)[r.doc_id]: r["count"] for r in got} == cases
 
 
-def test_jdk_sentences_against_the_iterator(spark, sf):
-    """Token lists per sentence, of a part of the documents, against java.text.BreakIterator itself."""
+def by_iterator(spark, texts):
+    """Token lists per sentence by java.text.BreakIterator itself."""
     import re
 
     import regex
 
-    d = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 1500").orderBy("doc_id").limit(60)
     it = spark._jvm.java.text.BreakIterator.getSentenceInstance(spark._jvm.java.util.Locale.US)
-    want = {}
-    for r in d.collect():
-        it.setText(r.text)
+    for text in texts:
+        it.setText(text)
         cuts, at = [], it.first()
         while (nxt := it.next()) != -1:
             cuts.append((at, nxt))
             at = nxt
-        u = r.text.encode("utf-16-le")
-        sents = [[t for c in re.split(r"[ \t\n\x0b\f\r]+", u[2 * a : 2 * b].decode("utf-16-le")) if (t := regex.sub(r"^[^\p{L}\p{Nd}']+|[^\p{L}\p{Nd}']+$", "", c).lower())] for a, b in cuts]
-        want[r.doc_id] = [s for s in sents if s]
+        u = text.encode("utf-16-le")
+        sents = [[t for c in re.split(r"[ \t\n\x0b\f\r]+", u[2 * a : 2 * b].decode("utf-16-le", "replace")) if (t := regex.sub(r"^[^\p{L}\p{Nd}']+|[^\p{L}\p{Nd}']+$", "", c).lower())] for a, b in cuts]
+        yield [s for s in sents if s]
+
+
+def by_pattern(spark, texts):
     got = {}
-    for r in X.jdk_sentence_tokens(d).orderBy("doc_id", "sent").collect():
-        got.setdefault(r.doc_id, []).append(r.toks)
-    assert got == {k: v for k, v in want.items() if v}
+    for r in X.jdk_sentence_tokens(docs(spark, *texts)).collect():
+        got.setdefault(r.doc_id, {})[r.sent] = r.toks
+    return [[got[i][k] for k in sorted(got[i])] if i in got else [] for i in range(len(texts))]
+
+
+def test_jdk_sentences_against_the_iterator(spark, sf):
+    """Every text of three tables, whole."""
+    texts = [r.text for t in ("documents", "benchmark", "conversations") for r in spark.read.parquet(f"{sf}/{t}.parquet").select("text").distinct().collect() if r.text]
+    assert len(texts) > 300 and by_pattern(spark, texts) == list(by_iterator(spark, texts))
+
+
+def test_jdk_sentences_of_random_signs(spark):
+    """Texts made of a character of each class of the rules, mostly full stops, spaces and marks."""
+    import random
+
+    rnd, some = random.Random(7), "..  !?\")(#-,1aBéÉ\u65e5\u0301\n\t|;:&«»“”’…½\u00a0\u2028\u2029\U0001f600\U00010410\u00ad\uff0e\u3002"
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(1, 40))) for _ in range(2500)]
+    assert by_pattern(spark, texts) == list(by_iterator(spark, texts))
+
+
+def test_jdk_plan_has_no_python(spark):
+    plan = X.jdk_sentence_tokens(docs(spark, "a")).toDF("a", "b", "c")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
 
 
 def test_invariants(spark, sf):
