@@ -28,6 +28,35 @@ def ngram_counts(sents: DataFrame, n: int) -> DataFrame:
     return rows.groupBy(*words).agg(F.count("*").alias("cnt"), _flag(F.col("is_end")).alias("ends"))
 
 
+def suffix_counts(sents: DataFrame) -> DataFrame:
+    """w1, w2, w3, cnt, starts, ends: every token with the two that follow it in its sentence, null beyond its end; starts are
+    those that begin a sentence, ends the triplets that end one. Words, pairs and triplets are sums over these, so one
+    exchange of tokens serves all orders; `words_of`, `bigrams_of` and `trigrams_of` exchange only what was counted."""
+    toks, size = F.col("toks"), F.size("toks")
+    at = lambda i: F.struct(*[F.get(toks, i + k).alias(f"w{k + 1}") for k in range(3)], (i == 0).alias("first"), (i + 3 == size).alias("last"))
+    rows = sents.filter(size > 0).select(F.inline(F.transform(F.sequence(F.lit(0), size - 1), at)))
+    return rows.groupBy("w1", "w2", "w3").agg(F.count("*").alias("cnt"), _flag(F.col("first")).alias("starts"), _flag(F.col("last")).alias("ends"))
+
+
+def _without(word: str):
+    return F.sum(F.when(F.col(word).isNull(), F.col("cnt")).otherwise(F.lit(0).cast("long")))
+
+
+def words_of(suffixes: DataFrame) -> DataFrame:
+    """As word_counts."""
+    return suffixes.groupBy(F.col("w1").alias("word")).agg(F.sum("cnt").alias("total"), F.sum("starts").alias("starts"), _without("w2").alias("ends"))
+
+
+def bigrams_of(suffixes: DataFrame) -> DataFrame:
+    """As ngram_counts of two words."""
+    return suffixes.filter("w2 is not null").groupBy("w1", "w2").agg(F.sum("cnt").alias("cnt"), _without("w3").alias("ends"))
+
+
+def trigrams_of(suffixes: DataFrame) -> DataFrame:
+    """As ngram_counts of three words; no exchange."""
+    return suffixes.filter("w3 is not null").select("w1", "w2", "w3", "cnt", "ends")
+
+
 def sentence_lengths(sents: DataFrame) -> DataFrame:
     return sents.groupBy(F.size("toks").cast("long").alias("n_tokens")).agg(F.count("*").alias("n_sentences"))
 

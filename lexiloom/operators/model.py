@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import ngrams, packed_key
 from lexiloom.sources.scratch import staged
 
 PREFIX = 3  # characters of a word that choose its block of ids
 MANY = 4096  # followers above which a context's are summed in parts
+BROADCAST_WORDS = 500_000  # words of a dictionary up to which it is broadcast
 BLOCK = 256  # entries of a cell of the index for draws
 
 
@@ -47,6 +49,55 @@ def trigram_sequence(trigrams: DataFrame, words: DataFrame) -> DataFrame:
     return got.select("first_word_id", "second_word_id", "third_word_id", F.col("cnt").alias("follows_count"), F.coalesce("ends", F.lit(0)).alias("tri_end_frequency"))
 
 
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, at most `most`: all of a count or none. A row a count is what meets in one task."""
+    per = words.groupBy("total_occurrences").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.col("total_occurrences").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    least = per.select("total_occurrences", upto.alias("n")).filter(F.col("n") <= most).agg(F.min("total_occurrences").alias("least"))
+    return words.join(F.broadcast(least), F.col("total_occurrences") >= F.col("least")).drop("least")  # least is one row
+
+
+def coded_counts(sents: DataFrame, words: DataFrame, n: int, most: int = BROADCAST_WORDS) -> DataFrame:
+    """id1 .. idn, cnt, ends of the n-grams of sentences (.., toks); words is a staged dictionary. Tokens get their ids where they are read,
+    and n-grams are counted on ids packed in one or two integers, so no string is exchanged.
+
+    Up to `most` words are broadcast, after they were counted. Where there are more, those most frequent are; an n-gram with another
+    word, of which there are few, is counted by its words and gets its ids afterwards. Words that the dictionary lacks drop
+    their n-grams."""
+    every = words.count() <= most
+    head = (words if every else _frequent(words, most)).select("word_value", "word_id")
+    w, ids = [f"w{k + 1}" for k in range(n)], [f"id{k + 1}" for k in range(n)]
+    rows = sents.select(F.inline(ngrams(F.col("toks"), n)))
+    for a, b in zip(w, ids):
+        rows = rows.join(F.broadcast(head.select(F.col("word_value").alias(a), F.col("word_id").alias(b))), a, "inner" if every else "left")
+    known = F.lit(True)
+    for b in ids:
+        known = known & F.col(b).isNotNull()
+    packs = [packed_key(F.col(ids[0]), F.col(ids[1])).alias("p")] + [F.col(b) for b in ids[2:]]
+    rare = [] if every else [F.when(~known, F.col(a)).alias(a) for a in w]
+    keys = ["p", *ids[2:], *([] if every else w)]
+    if not every:
+        packs = [F.when(known, c).alias(name) for c, name in zip(packs, keys)]
+    got = rows.select(*packs, *rare, "is_end").groupBy(*keys).agg(F.count("*").alias("cnt"), F.sum(F.col("is_end").cast("long")).alias("ends"))
+    unpacked = [F.shiftright("p", 32).cast("int").alias("id1"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("id2"), *ids[2:], "cnt", "ends"]
+    if every:
+        return got.select(*unpacked)
+    got = staged(got, "coded")
+    late = _with_ids(got.filter("p is null").select(*w, "cnt", "ends"), words, dict(zip(w, ids))).select(*ids, "cnt", "ends")
+    return got.filter("p is not null").select(*unpacked).unionByName(late)
+
+
+def coded_pairs(sents: DataFrame, words: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
+    """As word_pairs, from sentences."""
+    return coded_counts(sents, words, 2, most).select(F.col("id1").alias("preceding_word_id"), F.col("id2").alias("following_word_id"), F.col("cnt").alias("occurrence_count"), F.col("ends").alias("bi_end_frequency"))
+
+
+def coded_triplets(sents: DataFrame, words: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
+    """As trigram_sequence, from sentences."""
+    got = coded_counts(sents, words, 3, most)
+    return got.select(F.col("id1").alias("first_word_id"), F.col("id2").alias("second_word_id"), F.col("id3").alias("third_word_id"), F.col("cnt").alias("follows_count"), F.col("ends").alias("tri_end_frequency"))
+
+
 def ranked_followers(grams: DataFrame, context: list[str], word: str, top: int | None = None) -> DataFrame:
     """context, word, cnt, rank: by count, then word. With top, only so many per context; Spark then cuts each map
     side's groups too, so a frequent context doesn't carry all of its followers into one task."""

@@ -12,14 +12,21 @@ from lexiloom.functions import text as X
 from lexiloom.operators import counts, generate, lookups, model
 
 PROBE, STOP = "the", "of"
+QUOTED = "o'clock"  # a stop word with an apostrophe
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _documents(spark, sf):
+    from lexiloom.sources.text_files import spread
+
+    return spread(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _sents(spark, sf, part: int | None = None):
-    docs = _table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     return X.regex_sentence_tokens(docs if part is None else docs.filter(F.pmod("doc_id", F.lit(2)) == part))
 
 
@@ -35,6 +42,25 @@ def _dict(spark, sf):
     return model.dictionary(_words(spark, sf))
 
 
+def _suffixes(spark, sf):
+    """Counts of which those of words, pairs and triplets are sums: one scan for queries that need several."""
+    from lexiloom.sources.scratch import staged
+
+    return staged(counts.suffix_counts(_sents(spark, sf)), "suffixes")
+
+
+def _coded(make):
+    """make(sentences, dictionary), of sentences that are cut once."""
+
+    def query(spark, sf):
+        from lexiloom.sources.scratch import staged
+
+        sents = staged(_sents(spark, sf).select("toks"), "sentences")
+        return make(sents, staged(model.dictionary(counts.word_counts(sents)), "dictionary"))
+
+    return query
+
+
 def _seeds(spark, sf):
     """The words of each benchmark text, as seeds."""
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("seed_id"), F.posexplode(X.seed_words(F.col("text"))).alias("pos", "word"))
@@ -100,14 +126,34 @@ def _upsert_one(spark, sf):
 
 
 def _report(spark, sf):
-    w, b, t = _words(spark, sf), _grams(spark, sf, 2), _grams(spark, sf, 3)
+    s = _suffixes(spark, sf)
+    w, b, t = counts.words_of(s), counts.bigrams_of(s), counts.trigrams_of(s)
     one = lambda name, df, c: df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.sum(c).alias("total"))
     return one("words", w, "total").unionByName(one("pairs", b, "cnt")).unionByName(one("triplets", t, "cnt"))
 
 
+def _quoted(spark, sf):
+    """Walks over pairs in which every `of` is written with an apostrophe, and which stop there."""
+    s = _suffixes(spark, sf)
+    named = lambda c: F.when(F.col(c) == STOP, F.lit(QUOTED)).otherwise(F.col(c)).alias(c)
+    words, pairs = counts.words_of(s), counts.bigrams_of(s)
+    pairs = pairs.select(named("w1"), named("w2"), "cnt", "ends")
+    return _sentences(generate.bi_greedy(generate.start_rows(words.select(named("word"), "total", "starts", "ends")), pairs, stop=QUOTED))
+
+
+def _every_order(spark, sf):
+    """Words, pairs and triplets from one exchange of the tokens."""
+    s = _suffixes(spark, sf)
+    none = F.lit(None).cast("string")
+    w = counts.words_of(s).select(F.lit(1).alias("n"), F.col("word").alias("w1"), none.alias("w2"), none.alias("w3"), F.col("total").alias("cnt"), "ends")
+    b = counts.bigrams_of(s).select(F.lit(2).alias("n"), "w1", "w2", none.alias("w3"), "cnt", "ends")
+    return w.unionByName(b).unionByName(counts.trigrams_of(s).select(F.lit(3).alias("n"), "w1", "w2", "w3", "cnt", "ends"))
+
+
 def _bi(step, **kw):
     def query(spark, sf):
-        words, grams = _words(spark, sf), _grams(spark, sf, 2)
+        s = _suffixes(spark, sf)
+        words, grams = counts.words_of(s), counts.bigrams_of(s)
         return _sentences(step(generate.start_rows(words), grams, **kw))
 
     return query
@@ -115,18 +161,19 @@ def _bi(step, **kw):
 
 def _tri(step, **kw):
     def query(spark, sf):
-        words, grams = _words(spark, sf), _grams(spark, sf, 3)
+        s = _suffixes(spark, sf)
+        words, grams = counts.words_of(s), counts.trigrams_of(s)
         return _sentences(step(generate.start_rows(words, grams), grams, **kw))
 
     return query
 
 
 def _jdk(spark, sf):
-    return X.jdk_sentence_tokens(_table(spark, sf, "documents"))
+    return X.jdk_sentence_tokens(_documents(spark, sf))
 
 
-def _packed(spark, sf):
-    p = model.word_pairs(_grams(spark, sf, 2), _dict(spark, sf))
+def _packed(sents, words):
+    p = model.coded_pairs(sents, words)
     return p.select("preceding_word_id", "following_word_id", X.packed_key(F.col("preceding_word_id"), F.col("following_word_id")).alias("packed"))
 
 
@@ -241,9 +288,9 @@ QUERIES = {
     "top_words": lambda s, d: model.top_k(_words(s, d).select("word", "total"), "word", "total", 10),
     "top_followers_of_probe": lambda s, d: model.top_k(_grams(s, d, 2).filter(F.col("w1") == PROBE).select("w2", "cnt"), "w2", "cnt", 10),
     "word_dictionary": _dict,
-    "word_pairs": lambda s, d: model.word_pairs(_grams(s, d, 2), _dict(s, d)),
-    "trigram_sequence": lambda s, d: model.trigram_sequence(_grams(s, d, 3), _dict(s, d)),
-    "packed_pair_key": _packed,
+    "word_pairs": _coded(model.coded_pairs),
+    "trigram_sequence": _coded(model.coded_triplets),
+    "packed_pair_key": _coded(_packed),
     "bigram_followers_ranked": lambda s, d: model.ranked_followers(_grams(s, d, 2), ["w1"], "w2"),
     "trigram_followers_ranked": lambda s, d: model.ranked_followers(_grams(s, d, 3), ["w1", "w2"], "w3"),
     "start_candidates": lambda s, d: model.start_candidates(_words(s, d)),
@@ -265,7 +312,9 @@ QUERIES = {
     "import_history": _import_history,
     "import_report": _report,
     "generate_bi_greedy": _bi(generate.bi_greedy),
+    "words_pairs_triplets": _every_order,
     "generate_bi_greedy_stop": _bi(generate.bi_greedy, stop=STOP),
+    "generate_bi_greedy_quoted": _quoted,
     "generate_tri_greedy": _tri(generate.tri_greedy),
     "generate_bi_weighted": _bi(generate.bi_weighted),
     "generate_tri_weighted": _tri(generate.tri_weighted),
@@ -331,10 +380,14 @@ def _merge_sql(n: int) -> str:
     return f"with {_part(base, 0, 'x')}, {_part(base, 1, 'y')} select {keys}, {sums} from (from {name}x union all from {name}y) group by {keys}"
 
 
-def _walk_sql(order: int, weighted: bool, stop: str | None = None, seeds: str | None = None, more: str = "") -> str:
+_NAMED = "case when {0} = '" + STOP + "' then '" + QUOTED.replace("'", "''") + "' else {0} end"
+
+
+def _walk_sql(order: int, weighted: bool, stop: str | None = None, seeds: str | None = None, more: str = "", table: str | None = None) -> str:
     """seeds: SQL of (seed_id, a, b, words), by default a walk from each start; more: what it needs first."""
     bi = order == 2
     grams, ctx, nxt = ("g2", "w1", "w2") if bi else ("g3", "w1, w2", "w3")
+    grams = table or grams
     if weighted:
         lists = f"""r as (select *, sum(cnt) over (partition by {ctx} order by cnt desc, {nxt} rows unbounded preceding)::bigint as cum, sum(cnt) over (partition by {ctx})::bigint as total from {grams}),
 l as (select {ctx}, any_value(total) as total, list({{'cum': cum, 'w': {nxt}}} order by cum) as cands from r group by {ctx})"""
@@ -352,7 +405,7 @@ l as (select {ctx}, list({nxt} order by rank) as cands from r where rank <= {top
         pick = f"list_filter(l.cands, lambda x: not coalesce({avoid}, false) and not list_contains(w.used, {gram}))[1]"
     seeds = seeds or ("select word as seed_id, word as a, null::varchar as b, [word] as words from w where starts > 0" if bi else "select w.word as seed_id, best.w2 as a, w.word as b, [w.word, best.w2] as words from w join best on w.word = best.w1 where starts > 0")
     join = "w.a = l.w1" if bi else "w.b = l.w1 and w.a = l.w2"
-    on = "" if stop is None else f" and (w.step = 0 or w.a <> '{stop}')"
+    on = "" if stop is None else f" and (w.step = 0 or w.a <> '{stop.replace("'", "''")}')"
     here = " and nxt <> w1" if bi and not weighted else ""
     base = _B if bi else _T + _SECOND
     gram = "concat_ws(' ', w1, nxt)" if bi else "concat_ws(' ', w0, w1, nxt)"
@@ -440,7 +493,7 @@ ORACLE_SQL = {
     "word_dictionary": f"with {_W}{_D} select * from d",
     "word_pairs": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, cnt as occurrence_count, g2.ends as bi_end_frequency from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
     "trigram_sequence": f"with {_T}{_D} select a.word_id as first_word_id, b.word_id as second_word_id, c.word_id as third_word_id, cnt as follows_count, g3.ends as tri_end_frequency from g3 join d a on w1 = a.word_value join d b on w2 = b.word_value join d c on w3 = c.word_value",
-    "packed_pair_key": f"with {_B}{_D} select a.word_id as preceding_word_id, b.word_id as following_word_id, a.word_id::bigint * 4294967296 + b.word_id as packed from g2 join d a on w1 = a.word_value join d b on w2 = b.word_value",
+    "packed_pair_key": f"with {_B}{_D}, i as materialized (select word_value, word_id from d), p as materialized (select a.word_id as preceding_word_id, b.word_id as following_word_id from g2 join i a on w1 = a.word_value join i b on w2 = b.word_value) select preceding_word_id, following_word_id, preceding_word_id::bigint * 4294967296 + following_word_id as packed from p",
     "bigram_followers_ranked": f"with {_B} select w1, w2, cnt, row_number() over (partition by w1 order by cnt desc, w2)::bigint as rank from g2",
     "trigram_followers_ranked": f"with {_T} select w1, w2, w3, cnt, row_number() over (partition by w1, w2 order by cnt desc, w3)::bigint as rank from g3",
     "start_candidates": f"with {_W} select word, starts, row_number() over (order by starts desc, word)::bigint as rank from w where starts > 0",
@@ -472,7 +525,9 @@ from p left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join best on p.w1 =
     "import_report": f"with {_T} select 'words' as name, count(*)::bigint as n_rows, sum(total)::bigint as total from w union all select 'pairs', count(*), sum(cnt)::bigint from g2 union all select 'triplets', count(*), sum(cnt)::bigint from g3",
     "generate_bi_greedy": _walk_sql(2, False),
     "generate_bi_greedy_stop": _walk_sql(2, False, STOP),
+    "generate_bi_greedy_quoted": _walk_sql(2, False, QUOTED, table="q2", more=f", q2 as (select {_NAMED.format('w1')} as w1, {_NAMED.format('w2')} as w2, cnt, ends from g2)", seeds=f"select {_NAMED.format('word')} as seed_id, {_NAMED.format('word')} as a, null::varchar as b, [{_NAMED.format('word')}] as words from w where starts > 0"),
     "generate_tri_greedy": _walk_sql(3, False),
+    "words_pairs_triplets": f"with {_T} select 1 as n, word as w1, null::varchar as w2, null::varchar as w3, total as cnt, ends from w union all select 2, w1, w2, null, cnt, ends from g2 union all select 3, w1, w2, w3, cnt, ends from g3",
     "generate_bi_weighted": _walk_sql(2, True),
     "generate_tri_weighted": _walk_sql(3, True),
     "sentences_jdk": f"with {_JDK} select doc_id, sent::bigint as sent, array_to_string(toks, ' ') as sentence from js",

@@ -17,6 +17,13 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")).orderBy("p").drop("p")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores, where a table of few splits would leave most of them idle; large
+    tables have more splits than that and stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def documents_as_files(docs: DataFrame) -> DataFrame:
     """(file_name, text): a row of documents stands for the file doc_<id>.txt."""
     return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.coalesce("text", F.lit("")).alias("text"))
