@@ -26,10 +26,19 @@ def by_id(words: DataFrame, ident: int) -> DataFrame:
     return words.filter(F.col("word_id") == ident)
 
 
+def identified(files: DataFrame) -> DataFrame:
+    """file_name, text, path, digest: path is the name where there is none, a null text is empty; digest is the text's SHA-256. Files
+    of one name in different folders are different files, and so are different texts of one path."""
+    text = F.coalesce("text", F.lit(""))
+    path = F.col("path") if "path" in files.columns else F.col("file_name")
+    return files.select("file_name", text.alias("text"), path.alias("path"), F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
 def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files whose name the manifest lacks; of equal names in one run the first by text stays."""
-    fresh = files.join(manifest.select("file_name"), "file_name", "left_anti")
-    return fresh.groupBy("file_name").agg(F.min("text").alias("text"))
+    """Of files (file_name, text[, path]) those that the manifest (path, digest, or files again) lacks; equal ones once."""
+    known = manifest if "digest" in manifest.columns else identified(manifest)
+    key = ["path", "digest"]
+    return identified(files).join(known.select(*key), key, "left_anti").dropDuplicates(key)
 
 
 def first_known(seeds: DataFrame, words: DataFrame, key: str = "seed_id") -> DataFrame:

@@ -1,27 +1,39 @@
-"""The model's tables as versioned Parquet folders behind one pointer file.
+"""The model's tables as sums of deltas: Parquet folders that are only ever added, and numbered version files that name them.
 
-A change writes a whole new version and then moves the pointer, so file manifest and counts change together or not at
-all, and readers of the old version aren't disturbed."""
+An import writes what it adds, so its bytes follow the import and not the store; counts of equal keys add up on reading. Once
+FAN deltas of a level are there they become one of the next, so a row is rewritten a few times at most. A version is one
+small file, which can be made only once: who comes second with a number reads the other's version and imports again on top of
+it, so imports at the same time both count, and a failed one leaves nothing."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import jdk_sentence_tokens
 from lexiloom.operators import counts, lookups, model
 from lexiloom.schema import SOURCE_FILE
+from lexiloom.sources.scratch import staged
 
 #: Counts are stored by word, ids beside them; id-keyed tables are made from these on reading.
 SCHEMAS = {
-    "source_file": SOURCE_FILE.simpleString()[7:-1].replace(":", " "),
-    "words": "word_id int, word_value string, total_occurrences bigint, start_sentence_count bigint, end_sequence_count bigint",
+    "source_file": SOURCE_FILE.simpleString()[7:-1].replace(":", " ") + ", path string, digest string",
+    "ids": "word_id int, word_value string",
+    "counts": "word_value string, total_occurrences bigint, start_sentence_count bigint, end_sequence_count bigint",
     "bigrams": "w1 string, w2 string, cnt bigint, ends bigint",
     "trigrams": "w1 string, w2 string, w3 string, cnt bigint, ends bigint",
-    "words_only": "file_name string",  # files whose n-grams are still to be counted
+    "words_only": "path string, digest string, cnt bigint",  # files whose n-grams are still to be counted: sums above 0
 }
+#: What adds up, by its key; the other tables' rows are there once.
+KEYS = {"counts": ["word_value"], "bigrams": ["w1", "w2"], "trigrams": ["w1", "w2", "w3"], "words_only": ["path", "digest"]}
+FAN = 8
+TRIES = 20
+#: Files up to which their names and digests are broadcast to find their texts.
+BROADCAST_FILES = 100_000
 
 
 class Store:
@@ -32,82 +44,162 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self) -> str | None:
-        fs, p = self._file("CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(str(p)).first()[0]
+    def _numbers(self) -> list[int]:
+        fs, p = self._file("versions")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
 
-    def _versions(self) -> list[str]:
-        fs, p = self._file("")
-        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("v-")) if fs.exists(p) else []
+    def version(self) -> int | None:
+        return max(self._numbers(), default=None)
+
+    def _named(self, number: int) -> dict[str, list]:
+        """Each table's deltas as [folder, level]."""
+        return json.loads(self.spark.read.text(str(self._file(f"versions/{number}")[1]), wholetext=True).first()[0])
+
+    def _now(self) -> tuple[int, dict[str, list]]:
+        if (v := self.version()) is None:
+            raise ValueError("the store has not been built")
+        return v, self._named(v)
 
     def build(self) -> None:
-        """Empty tables, if there are none. Versions without a pointer are no empty store, and are left alone."""
+        """Empty tables, if there are none. Data without a version is no empty store, and is left alone."""
         if self.version() is None:
-            if left := self._versions():
-                raise ValueError(f"{self.path} has versions ({', '.join(left)}) but no CURRENT that names one; write one of them there")
-            self.clear()
+            fs, p = self._file("data")
+            if fs.exists(p):
+                raise ValueError(f"{self.path} has data but no version that names it")
+            self._publish(1, {n: [] for n in SCHEMAS})
 
     def clear(self) -> None:
-        self._commit({n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
+        for _ in range(TRIES):
+            if self._publish((self.version() or 0) + 1, {n: [] for n in SCHEMAS}):
+                return
+        raise RuntimeError("the store changes too often")
+
+    def _publish(self, number: int, named: dict[str, list]) -> bool:
+        """Makes a version of that number, in one step; False if there is one. What the version before the last replaced goes."""
+        jvm = self.spark._jvm
+        fs, p = self._file(f"versions/{number}")
+        _, tmp = self._file(f"tmp-{uuid.uuid4().hex}")
+        fs.mkdirs(p.getParent())
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps(named).encode()))
+        out.close()
+        try:
+            if fs.getUri().getScheme() == "file":  # where a rename would replace, a link doesn't
+                place = lambda x: jvm.java.nio.file.Paths.get(x.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createLink(place(p), place(tmp))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(tmp, False)
+        if {number - 1, number - 2} <= set(self._numbers()):
+            folders = lambda v: {f for deltas in v.values() for f, _ in deltas}
+            for f in folders(self._named(number - 2)) - folders(self._named(number - 1)) - folders(named):
+                fs.delete(self._file(f)[1], True)
+        return True
+
+    def _write(self, df: DataFrame, name: str, level: int = 0) -> list:
+        folder = f"data/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        return [folder, level]
+
+    def _sum(self, name: str, deltas: list) -> DataFrame:
+        if not deltas:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{f}" for f, _ in deltas])
+        if name not in KEYS or len(deltas) == 1:
+            return rows
+        return rows.groupBy(*KEYS[name]).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in KEYS[name]])
+
+    def _merged(self, name: str, deltas: list) -> list:
+        """FAN deltas of one level become one of the next."""
+        for level in range(max((k for _, k in deltas), default=-1) + 1):
+            same = [d for d in deltas if d[1] == level]
+            if len(same) >= FAN:
+                deltas = [d for d in deltas if d[1] != level] + [self._write(self._sum(name, same), name, level + 1)]
+        return deltas
 
     def table(self, name: str) -> DataFrame:
-        if (v := self.version()) is None:
-            raise ValueError("the store has not been built")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{v}/{name}")
-
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes a version and moves the pointer in one step, by a rename that replaces. The version before stays for its
-        readers; older ones, and what failed imports left, go."""
-        before, v = self.version(), f"v-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{v}/{name}")
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        fs, p = self._file("CURRENT")
-        _, tmp = self._file(f"CURRENT.{v}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        how = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
-        how[0] = jvm.Options.Rename.OVERWRITE
-        jvm.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
-        for old in set(self._versions()) - {v, before}:
-            fs.delete(self._file(old)[1], True)
+        """words (with ids), or one of SCHEMAS."""
+        named = self._now()[1]
+        if name == "words":
+            return self._sum("ids", named["ids"]).join(self._sum("counts", named["counts"]), "word_value").select("word_id", *SCHEMAS["counts"].replace(" string", "").replace(" bigint", "").split(", "))
+        return self._sum(name, named[name])
 
     def import_files(self, files: DataFrame, words_only: bool = False, split=jdk_sentence_tokens) -> int:
-        """files (file_name, text). Adds what the manifest doesn't have, by name; returns how many files were new. A file
-        that came as words only gets its n-grams when it comes again without that."""
-        old = {n: self.table(n) for n in SCHEMAS}
-        fresh = lookups.new_files(files, old["source_file"]).persist()
-        late = files.join(old["words_only"], "file_name", "left_semi").groupBy("file_name").agg(F.min("text").alias("text"))
-        try:
-            n = fresh.count()
-            if not n and (words_only or late.isEmpty()):
-                return 0
-            sents = split(fresh, "file_name", "text").persist()
-            grams = sents if words_only else sents.unionByName(split(late, "file_name", "text"))
-            sizes = sents.groupBy("file_name").agg(F.sum(F.size("toks")).cast("bigint").alias("word_count"))
-            top = old["source_file"].agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))
-            # Numbers in the order of the names, made in blocks as those of words are.
-            named = model.ordered_blocks(fresh.select(F.col("file_name").alias("word"), F.lit(1).alias("one")), "one", "one", prefix=8)
-            added = named.select(F.col("word").alias("file_name"), "nth").join(sizes, "file_name", "left").crossJoin(F.broadcast(top))  # top is one row
-            added = added.select((F.col("nth") + F.col("top")).cast("int").alias("file_id"), "file_name", F.coalesce("word_count", F.lit(0)).cast("bigint").alias("word_count"), F.current_timestamp().alias("import_timestamp"))
-            new = counts.word_counts(sents)
-            ids = model.extended_dictionary(old["words"], new)
-            now = ids.select("word_id", "word_value").join(
-                counts.merged(old["words"].drop("word_id"), new.toDF("word_value", "total_occurrences", "start_sentence_count", "end_sequence_count"), ["word_value"]), "word_value"
-            )
-            out = {"source_file": old["source_file"].unionByName(added), "words": now.select(*old["words"].columns)}
-            for name, k in (("bigrams", 2), ("trigrams", 3)):
-                keys = [f"w{i + 1}" for i in range(k)]
-                out[name] = old[name] if words_only else counts.merged(old[name], counts.ngram_counts(grams, k), keys)
-            waiting = old["words_only"].unionByName(fresh.select("file_name")) if words_only else old["words_only"].join(files.select("file_name").distinct(), "file_name", "left_anti")
-            self._commit(out | {"words_only": waiting})
-            sents.unpersist()
-            return n
-        finally:
-            fresh.unpersist()
+        """files (file_name, text[, path]); path is the file's name if not given. Adds the files that the manifest lacks, by
+        path and digest of the text; returns how many. A file that came as words only gets its n-grams when it comes again
+        without that."""
+        for _ in range(TRIES):
+            number, named = self._now()
+            n, added = self._imported(named, lookups.identified(files), words_only, split)
+            if not added:
+                return n
+            if self._publish(number + 1, {t: self._merged(t, named[t] + added.get(t, [])) for t in SCHEMAS}):
+                return n
+            for deltas in added.values():
+                for f, _ in deltas:
+                    fs, p = self._file(f)
+                    fs.delete(p, True)
+        raise RuntimeError("the store changes too often")
+
+    def _imported(self, named: dict, files: DataFrame, words_only: bool, split) -> tuple[int, dict[str, list]]:
+        """(files that are new, deltas). Only names and digests are compared and sorted, never texts."""
+        key = ["path", "digest"]
+        # One row a file, whatever repeats.
+        given = staged(files.groupBy(*key).agg(F.min("file_name").alias("file_name"), F.count("*").alias("times")), "given")
+        fresh = staged(given.join(self._sum("source_file", named["source_file"]).select(*key), key, "left_anti"), "fresh")
+        waiting = self._sum("words_only", named["words_only"]).filter("cnt > 0") if not words_only and named["words_only"] else None
+        late = staged(given.join(waiting.select(*key), key, "left_semi"), "late") if waiting is not None else None
+        n = fresh.count()
+        if not n and (late is None or late.isEmpty()):
+            return 0, {}
+        out = {}
+
+        def suffixes(keys: DataFrame, name: str):
+            few = F.broadcast(keys.select(*key)) if keys.count() <= BROADCAST_FILES else keys.select(*key)
+            texts = files.join(few, key, "left_semi")
+            if keys.filter("times > 1").take(1):
+                texts = texts.dropDuplicates(key)
+            texts = texts.select(F.concat("digest", "path").alias("file"), "text")
+            sents = staged(split(texts, "file", "text"), name)
+            return sents, staged(counts.suffix_counts(sents), f"{name}-counts")
+
+        grams = []
+        if n:
+            sents, every = suffixes(fresh, "sentences")
+            grams.append(every)
+            words = staged(counts.words_of(every), "words")
+            out["counts"] = [self._write(words.toDF("word_value", "total_occurrences", "start_sentence_count", "end_sequence_count"), "counts")]
+            ids = self._sum("ids", named["ids"])
+            top = ids.agg(F.coalesce(F.max("word_id"), F.lit(0)).alias("top"))  # one row
+            new = model.dictionary(words.join(ids.select(F.col("word_value").alias("word")), "word", "left_anti"))
+            out["ids"] = [self._write(new.crossJoin(F.broadcast(top)).select((F.col("word_id") + F.col("top")).cast("int").alias("word_id"), "word_value"), "ids")]
+            out["source_file"] = [self._write(self._numbered(named, fresh, sents), "source_file")]
+            if words_only:
+                out["words_only"] = [self._write(fresh.select(*key, F.lit(1).cast("bigint").alias("cnt")), "words_only")]
+        if late is not None and not late.isEmpty():
+            grams.append(suffixes(late, "late-sentences")[1])
+            out["words_only"] = [self._write(late.select(*key, F.lit(-1).cast("bigint").alias("cnt")), "words_only")]
+        if not words_only:
+            for name, of in (("bigrams", counts.bigrams_of), ("trigrams", counts.trigrams_of)):
+                out[name] = [self._write(of(g), name) for g in grams]
+        return n, out
+
+    def _numbered(self, named: dict, fresh: DataFrame, sents: DataFrame) -> DataFrame:
+        """Manifest rows of new files, numbered in the order of their paths, in blocks as words are."""
+        top = self._sum("source_file", named["source_file"]).agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))  # one row
+        sizes = sents.groupBy("file").agg(F.sum(F.size("toks")).cast("bigint").alias("word_count"))
+        rows = fresh.select("file_name", "path", "digest", F.concat("path", "digest").alias("word"), F.concat("digest", "path").alias("file"), F.lit(1).alias("one"))
+        rows = model.ordered_blocks(rows, "one", "one", prefix=8).join(sizes, "file", "left").crossJoin(F.broadcast(top))
+        return rows.select(
+            (F.col("nth") + F.col("top")).cast("int").alias("file_id"), "file_name", F.coalesce("word_count", F.lit(0)).cast("bigint").alias("word_count"),
+            F.current_timestamp().alias("import_timestamp"), "path", "digest",
+        )
 
     def history(self) -> DataFrame:
         """The manifest, latest import first."""
@@ -121,4 +213,4 @@ class Store:
 
     def words(self) -> DataFrame:
         """word, total, starts, ends."""
-        return self.table("words").select(F.col("word_value").alias("word"), F.col("total_occurrences").alias("total"), F.col("start_sentence_count").alias("starts"), F.col("end_sequence_count").alias("ends"))
+        return self.table("counts").toDF("word", "total", "starts", "ends")

@@ -6,15 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+GLOB = "*.[tT][xX][tT]"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, text) of all .txt files under path, in any letter case, whole and in the order of their paths; path may
-    be one file; a path that isn't there gives no rows."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], "file_name string, text string")
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]")
-    return df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")).orderBy("p").drop("p")
+    """(path, file_name, text) of all .txt files under path, in any letter case, whole; path may be one file; a path that isn't
+    there gives no rows."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "path string, file_name string, text string")
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=GLOB)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of the same files in the order of their paths; no text is read."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "path string, bytes long")
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(path)
+    return df.select("path", F.col("length").alias("bytes")).orderBy("path")
 
 
 def spread(docs: DataFrame) -> DataFrame:
