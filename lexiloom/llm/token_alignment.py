@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import ship, spread_join, staged, table, trim
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes that are given to a tokenizer at a time.
 CALL_BYTES = 1 << 15
 #: Segments whose alignment a worker keeps.
-KNOWN = 500_000
+KNOWN = 300_000
 #: The splitter of byte-level BPE. A fixed value.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SQL_GROUPS = """
