@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.model import best_second_words
+from lexiloom.sources.scratch import scratch_path, write_sorted
+
+
+def for_lookups(words: DataFrame, name: str = "dictionary") -> DataFrame:
+    """A dictionary, written so that `word_id`, `by_value` and `by_id` read a row group of it: ids follow the words' order,
+    so both are sorted. A store's words are kept that way."""
+    path = scratch_path(words.sparkSession, name)
+    write_sorted(words, path, "word_value")
+    return words.sparkSession.read.schema(words.schema).parquet(path)
 
 
 def word_id(words: DataFrame, value: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _lookup(spark, sf):
 
 
 def _lookup_one(spark, sf):
-    d = _dict(spark, sf)
+    d = lookups.for_lookups(_dict(spark, sf))
     hit = lookups.by_value(d, PROBE).select(F.lit("value").alias("by"), "word_id", "word_value")
     ident = lookups.by_id(d, 1).select(F.lit("id").alias("by"), "word_id", "word_value")
     none = lookups.word_id(d, "no such word").select(F.lit("missing").alias("by"), "word_id", F.lit("").alias("word_value"))
@@ -177,16 +177,19 @@ def _packed(sents, words):
     return p.select("preceding_word_id", "following_word_id", X.packed_key(F.col("preceding_word_id"), F.col("following_word_id")).alias("packed"))
 
 
-_STORES: dict[tuple[str, str], object] = {}
+_STORES: dict[tuple, object] = {}
 
 
 def _store(spark, sf):
-    """A store that got the even documents, then the odd ones, then the even ones once more; made once a session."""
+    """A store that got the even documents, then the odd ones, then the even ones once more; made anew when the application or
+    the table's files change."""
     from lexiloom.sources.scratch import scratch_path
     from lexiloom.sources.store import Store
     from lexiloom.sources.text_files import documents_as_files
 
-    key = (spark.sparkContext.applicationId, sf)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    state = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = (spark.sparkContext.applicationId, sf, state.getModificationTime(), state.getLen())
     if key not in _STORES:
         store = Store(spark, scratch_path(spark, "store"))
         store.build()
@@ -197,6 +200,22 @@ def _store(spark, sf):
     return _STORES[key]
 
 
+def _store_cleared(spark, sf):
+    """Of a store that got all benchmark texts, was cleared, and got those of even numbers: its report."""
+    from lexiloom.plans.generator import report
+    from lexiloom.sources.scratch import scratch_path
+    from lexiloom.sources.store import Store
+    from lexiloom.sources.text_files import documents_as_files
+
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    store = Store(spark, scratch_path(spark, "cleared"))
+    store.build()
+    store.import_files(documents_as_files(items), split=X.regex_sentence_tokens)
+    store.clear()
+    store.import_files(documents_as_files(items.filter("doc_id % 2 = 0")), split=X.regex_sentence_tokens)
+    return report(store)
+
+
 def _store_history(spark, sf):
     from pyspark.sql import Window
 
@@ -328,6 +347,7 @@ QUERIES = {
     "store_words": lambda s, d: _store(s, d).table("words"),
     "store_history": _store_history,
     "store_report": lambda s, d: __import__("lexiloom.plans.generator", fromlist=["report"]).report(_store(s, d)),
+    "store_cleared": _store_cleared,
     "weighted_second_word": lambda s, d: generate.weighted_second_words(_grams(s, d, 3), "7"),
     "generate_seeded_bi_greedy": _seeded("bi-greedy"),
     "generate_seeded_bi_weighted": _seeded("bi_weighted"),
@@ -470,6 +490,11 @@ def _by_ids_sql() -> str:
     return " union all ".join(out)
 
 
+def _report_sql(counted: str, files: str) -> str:
+    return f"""with {counted} select 'words' as "table", count(*)::bigint as "rows", coalesce(sum(total), 0)::bigint as total from w union all select 'bigrams', count(*), coalesce(sum(cnt), 0)::bigint from g2
+  union all select 'trigrams', count(*), coalesce(sum(cnt), 0)::bigint from g3 union all select 'source_file', (select count(*) from {files}), coalesce(sum(total), 0)::bigint from w"""
+
+
 _STORE_WORDS = """select (case when we.word is not null then row_number() over (partition by we.word is null order by w.word)
   else (select count(*) from we) + row_number() over (partition by we.word is null order by w.word) end)::int as word_id,
   w.word as word_value, w.total as total_occurrences, w.starts as start_sentence_count, w.ends as end_sequence_count from w left join we on w.word = we.word"""
@@ -539,7 +564,8 @@ from p left join sec on p.w1 = sec.w1 and p.w2 = sec.w2 left join best on p.w1 =
     "landing_files": "select 'item_' || item_id || '.TXT' as file_name, coalesce(text, '') as text from benchmark",
     "store_words": f"with {_W},{_part(_W, 0, 'e')} {_STORE_WORDS}",
     "store_history": f"with {_SENT}, m as (select 'doc_' || d.doc_id || '.txt' as file_name, d.doc_id % 2 as half, coalesce(c.n, 0)::bigint as word_count from documents d left join (select doc_id, count(*) as n from t group by 1) c on d.doc_id = c.doc_id) select file_name, word_count, row_number() over (order by half, file_name)::int as file_id, row_number() over (order by half desc, file_name)::bigint as nth from m",
-    "store_report": f"""with {_T} select 'words' as "table", count(*)::bigint as "rows", sum(total)::bigint as total from w union all select 'bigrams', count(*), sum(cnt)::bigint from g2 union all select 'trigrams', count(*), sum(cnt)::bigint from g3 union all select 'source_file', (select count(*) from documents), sum(total)::bigint from w""",
+    "store_report": _report_sql(_T, "documents"),
+    "store_cleared": _report_sql(_T.replace("doc_id", "item_id").replace("from documents where", "from benchmark where item_id % 2 = 0 and"), "benchmark where item_id % 2 = 0"),
     "weighted_second_word": f"with {_T}{_SECOND}{_WSEC.replace('{run}', '7')} select w1, w2 from wsec",
     "generate_seeded_bi_greedy": _seeded_sql(2, False),
     "generate_seeded_bi_weighted": _seeded_sql(2, True),

@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of a table for lookups.
+ROW_GROUP_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may go without: it gets a
@@ -48,6 +51,14 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
+def write_sorted(df: DataFrame, path: str, by: str) -> None:
+    """Writes df to path in ranges of `by`, each sorted and with a bloom filter, so that looking one value up reads the one row
+    group that may hold it, and mostly none if there is no such value."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(parts, by).sortWithinPartitions(by).write
+    out.option(f"parquet.bloom.filter.enabled#{by}", "true").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))

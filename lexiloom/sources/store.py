@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import jdk_sentence_tokens
 from lexiloom.operators import counts, lookups, model
 from lexiloom.schema import SOURCE_FILE
-from lexiloom.sources.scratch import staged
+from lexiloom.sources.scratch import staged, write_sorted
 
 #: Counts are stored by word, ids beside them; id-keyed tables are made from these on reading.
 SCHEMAS = {
@@ -30,6 +30,8 @@ SCHEMAS = {
 }
 #: What adds up, by its key; the other tables' rows are there once.
 KEYS = {"counts": ["word_value"], "bigrams": ["w1", "w2"], "trigrams": ["w1", "w2", "w3"], "words_only": ["path", "digest"]}
+#: Tables in which single words are looked up.
+SORTED = {"ids": "word_value", "counts": "word_value"}
 FAN = 8
 TRIES = 20
 #: Files up to which their names and digests are broadcast to find their texts.
@@ -104,7 +106,10 @@ class Store:
 
     def _write(self, df: DataFrame, name: str, level: int = 0) -> list:
         folder = f"data/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
+        if name in SORTED:
+            write_sorted(df, f"{self.path}/{folder}", SORTED[name])
+        else:
+            df.write.parquet(f"{self.path}/{folder}")
         return [folder, level]
 
     def _sum(self, name: str, deltas: list) -> DataFrame:

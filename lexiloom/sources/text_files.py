@@ -72,8 +72,3 @@ def upload(files: DataFrame, folder: str) -> DataFrame:
 
     one = files.groupBy("file_name").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     return one.mapInArrow(write, "file_name string, bytes long")
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A stored table of a relational database; give partitionColumn, lowerBound, upperBound, numPartitions to read it in parallel."""
-    return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
