@@ -14,7 +14,7 @@ out, and the few between, if nothing else joins them in their group, are verifie
 
 *How many passes.* The first number assumes links at the threshold in random directions. Then recall is measured: the
 links of QUERIES sampled vectors to all others, by brute force in blocks, against the components found. Passes are
-doubled until RECALL of these links lie within components (or MOST_PASSES are done, which is logged).
+doubled until RECALL of these links lie within components (short of it after MOST_PASSES, an error is raised, as counts would be wrong).
 
 Runs are hash groups of about GROUP vectors. Where a group is longer than LONG groups (vectors that hardly any hash parts),
 it is dealt at random, in each pass anew, to groups of that size; a dense crowd is connected by the passes together.
@@ -30,17 +30,18 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import logging
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import ship, staged, table
+from lexiloom.llm.common import ship, spread_join, staged, table
 from lexiloom.llm.graph import components
 
 THRESHOLD = 0.9
 WINDOW = 2048
+#: The query's, so that a few hundred vectors already go through several passes.
+QUERY_WINDOW = 256
 LEVELS = 40
 #: Vectors of a hash group, and how many times that it may be.
 GROUP, LONG = 2048, 4
@@ -335,8 +336,7 @@ def link_components(reps: DataFrame, kind: str, threshold: float, window: int, m
         if hit >= RECALL * total:
             return found
         if last >= MOST_PASSES:
-            logging.getLogger(__name__).warning("after %d passes %d of %d sampled links are found", last, hit, total)
-            return found
+            raise RuntimeError(f"after {last} passes {hit} of {total} sampled links are found, which is too few to return; give a larger window")
         edges, first, last = found.select(F.col("node").alias("a"), F.col("component").alias("b")), last, min(2 * last, MOST_PASSES)
 
 
@@ -401,13 +401,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     counts = tile_counts(staged(member, "vector-members"), kind, threshold)
     per_rep = reps.select("digest", "vec_id", "copies").join(found, reps.vec_id == found.node, "left").select("digest", "copies", F.coalesce("component", "vec_id").alias("component"))
     per_rep = per_rep.join(counts, "digest", "left").select("digest", F.col("component").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    done = good.select("vec_id", "digest").join(per_rep, "digest").select("vec_id", "n_links", "component_id")
+    # One vector may be a large share of all rows.
+    done = spread_join(good.select("vec_id", "digest"), per_rep, "digest", "vec_id").select("vec_id", "n_links", "component_id")
     rest = rows.filter("digest is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op5_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings"), window=QUERY_WINDOW)
 
 
 OP5_SQL = """

@@ -61,3 +61,21 @@ def test_long_groups_and_large_components(spark, monkeypatch):
     link = u @ u.T >= 0.9
     assert all(got[i][0][1] == 0 and got[i][0][0] == link[i].sum() for i in range(300))  # with the copy of the first
     assert len(got[499]) == 2 and sum(link[i].sum() - 1 == got[i][0][0] for i in range(300, 499)) >= 190
+
+
+def test_the_query_goes_through_several_passes(spark, sf, monkeypatch):
+    """Several passes at the size of the given tables, the rows of SQL, and an error where passes don't suffice."""
+    import duckdb
+    import pytest
+
+    from lexiloom.llm import embedding_dedup as E
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert E.run_bits(n, E.QUERY_WINDOW) > 0 and E.passes_for(n, window=E.QUERY_WINDOW) > 1
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    assert sorted(map(tuple, E.op5_sorted_projections(spark, sf).collect())) == sorted(con.sql(E.OP5_SQL).fetchall())
+    monkeypatch.setattr(E, "RECALL", float("inf"))
+    monkeypatch.setattr(E, "MOST_PASSES", 4)
+    with pytest.raises(RuntimeError):
+        E.op5_sorted_projections(spark, sf)
