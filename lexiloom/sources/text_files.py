@@ -46,7 +46,7 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
 def upload(files: DataFrame, folder: str) -> DataFrame:
     """Copies files (file_name, text) to a landing folder, replacing those of the same names; (file_name, bytes) as written.
     Each is written beside its place and moved there, so a reader never sees half a file. Of equal names the last text in
-    binary order stays. The folder must be one that executors reach by pyarrow's file systems."""
+    binary order stays; a name with a slash lies in a folder of its own. The folder must be one that executors reach by pyarrow's file systems."""
     from pyspark.sql import functions as F
 
     def write(batches):
@@ -59,7 +59,7 @@ def upload(files: DataFrame, folder: str) -> DataFrame:
         if "://" in folder and not folder.startswith("file:"):
             system, base = fs.FileSystem.from_uri(folder)
         else:
-            system, base = fs.LocalFileSystem(), unquote(urlparse(folder).path)
+            system, base = fs.LocalFileSystem(), unquote(urlparse(folder).path) if folder.startswith("file:") else folder
         system.create_dir(base, recursive=True)
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -67,6 +67,8 @@ def upload(files: DataFrame, folder: str) -> DataFrame:
                 tmp = f"{base}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(tmp, compression=None) as out:
                     out.write(text.encode("utf-8", "replace"))
+                if "/" in name:
+                    system.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
                 system.move(tmp, f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64())], names=["file_name", "bytes"])
 

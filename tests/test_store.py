@@ -10,7 +10,7 @@ from lexiloom import cli
 from lexiloom.operators import lookups
 from lexiloom.plans.generator import report
 from lexiloom.sources import store as S
-from lexiloom.sources.text_files import listed, text_files
+from lexiloom.sources.text_files import listed, text_files, upload
 
 
 @pytest.fixture
@@ -111,6 +111,13 @@ def test_deltas_are_merged(spark, store, monkeypatch):
     assert {r["rows"] for r in report(store).collect()} == {0} and store.import_files(spark.createDataFrame([("f0", "Same.")], "file_name string, text string")) == 1
 
 
+def test_uploads(spark, tmp_path):
+    folder = str(tmp_path / "a%25 b")  # a plain path is not a URI
+    files = spark.createDataFrame([("x.txt", "old"), ("x.txt", "older"), ("in/y.TXT", None)], "file_name string, text string")
+    assert sum(r.bytes for r in upload(files, folder).collect()) == 5
+    assert (tmp_path / "a%25 b/x.txt").read_text() == "older" and (tmp_path / "a%25 b/in/y.TXT").read_text() == ""
+
+
 def test_data_without_a_version(spark, tmp_path):
     (tmp_path / "s/data").mkdir(parents=True)
     with pytest.raises(ValueError):
