@@ -217,7 +217,8 @@ def dealt_rest(members: DataFrame, labels: DataFrame, chunks: int, tile: int) ->
     """members (node, key) of large families, labels (node, label, doc_id, digest): what is left in buckets of several labels.
     The commonest label of a bucket is its hub. Nodes meet by hub, once for all of their buckets: the hub's own nodes are
     tiles that needn't meet each other, and the others meet every tile."""
-    rows = members.select("node", "key").join(labels, "node")
+    # Joined a row a node, and only then a row a key.
+    rows = members.groupBy("node").agg(F.collect_list("key").alias("own_keys")).join(labels, "node").withColumn("key", F.explode("own_keys")).drop("own_keys")
     per = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("m.label").alias("hub"))
     at = rows.join(mixed, "key").groupBy("node", "hub").agg(*[F.first(c).alias(c) for c in ("label", "doc_id", "digest")], F.collect_list("key").alias("keys"))
