@@ -63,3 +63,23 @@ def test_small_tables_are_spread(spark, sf):
     assert spread(d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spread(d.repartition(9)).rdd.getNumPartitions() == 9
     assert registry.QUERIES["words_pairs_triplets"](spark, sf).filter("n = 3").count() == counts.ngram_counts(X.regex_sentence_tokens(d), 3).count()
+
+
+def test_sentences_are_cut_once_for_each_query(spark, sf):
+    """A filter on tokens, pushed below them, would cut every sentence twice."""
+    for name in ("trigram_counts", "word_counts_regex", "second_word_totals"):
+        assert registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_tokens_equal_stripped_pieces(spark):
+    import random
+    import re
+
+    import regex
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abZ9'.,!-_ \t\n\x0b\u00a0\u2028éßİΣ½٣\u0301😀") for _ in range(rnd.randrange(60))) for _ in range(2000)] + ["a." * 100_000 + "b"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", X.tokens(F.col("s")).alias("t")).collect()
+    strip = lambda t: regex.sub(r"^[^\p{L}\p{Nd}']+|[^\p{L}\p{Nd}']+$", "", t)
+    for r in got:
+        assert r.t == [w.lower() for p in re.split(r"[ \t\n\x0b\f\r]+", texts[r.i]) if (w := strip(p))], texts[r.i][:80]
