@@ -135,3 +135,17 @@ def test_stored_words_with_apostrophes(spark):
     store.clear()
     assert {(r.table, r.rows, r.total) for r in generator.report(store).collect()} == {(t, 0, 0) for t in ("source_file", "words", "bigrams", "trigrams")}
     assert store.import_files(files) == 1
+
+
+def test_few_walks_read_the_contexts_where_they_stand(spark, monkeypatch):
+    """No index of the whole model is made for few walks, and the other way gives the same."""
+    def whole(*args):
+        raise AssertionError("all contexts were bucketed")
+
+    pairs, seeds = frame(spark, grams(2)), spark.createDataFrame([(0, "w01"), (1, "w07"), (2, "none")], "seed_id int, w1 string")
+    said = lambda: {r.seed_id: r.words for r in generate.bi_weighted(seeds, pairs).collect()}
+    monkeypatch.setattr(generate, "FEW", -1)
+    many = said()
+    monkeypatch.setattr(generate, "FEW", 1000)
+    monkeypatch.setattr(generate, "bucketed", whole)
+    assert said() == many and len(many) == 3
