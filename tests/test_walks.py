@@ -149,3 +149,16 @@ def test_few_walks_read_the_contexts_where_they_stand(spark, monkeypatch):
     monkeypatch.setattr(generate, "FEW", 1000)
     monkeypatch.setattr(generate, "bucketed", whole)
     assert said() == many and len(many) == 3
+
+
+def test_lists_for_draws_are_exchanged_once(spark):
+    """Of a stored table of n-grams: no copy, one exchange for counting, order and buckets together; larger contexts lie in blocks."""
+    from lexiloom.sources.scratch import staged
+
+    counts = grams(3)
+    lists, tops, blocks = model.draw_index(staged(frame(spark, counts), "grams"), ["w1", "w2"], "w3", size=5, stored=True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lists.repartition(n, "w1", "w2")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    small = {k: len(v) for k, v in ranked(counts).items() if len(v) <= 5}
+    assert {(r.w1, r.w2): len(r.cands) for r in lists.collect()} == small and 0 < len(small) < len(ranked(counts))
+    assert blocks.agg(F.sum(F.size("cands"))).first()[0] == len(counts) - sum(small.values()) and tops.count() > 0
