@@ -27,8 +27,8 @@ from lexiloom.llm.common import filesystem, parts_for, scratch_path, ship, stage
 
 END_ID = 2
 BLOCK = 1 << 21
-#: Texts are cut into parts of so many bytes together at a time.
-BATCH_BYTES = 8 << 20
+#: Texts are cut into parts of so many bytes together at a time; a worker holds some thirty times that meanwhile.
+BATCH_BYTES = 4 << 20
 #: Words a worker keeps with their ids.
 KEPT_WORDS = 2_000_000
 #: Texts that go through the library at a time.
@@ -208,6 +208,18 @@ def tokenizer_for(path: str, by_words: bool) -> WordTokenizer:
     return _MODELS[path, by_words]
 
 
+def pieces(b):
+    """Slices of a batch (doc_id, text) of about BATCH_BYTES of text, for texts may be long."""
+    lo = 0
+    while lo < b.num_rows:
+        hi, size = lo, 0
+        while hi < b.num_rows and (hi == lo or size < BATCH_BYTES):
+            size += len(b.column(1)[hi].as_buffer() or b"") if b.column(1)[hi].is_valid else 0
+            hi += 1
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 class ShardWriter:
     """Appends documents to a shard; holds a block of ids and the index of a block."""
 
@@ -303,14 +315,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = END_ID, to: str | N
         fs, base = filesystem(to)
         writer, name, docs_in = None, "", 0
         for b in batches:
-            lo = 0
-            while lo < b.num_rows:  # by bytes, for texts may be long
-                hi, size = lo, 0
-                while hi < b.num_rows and (hi == lo or size < BATCH_BYTES):
-                    size += len(b.column(1)[hi].as_buffer() or b"") if b.column(1)[hi].is_valid else 0
-                    hi += 1
-                part = b.slice(lo, hi - lo)
-                lo = hi
+            for part in pieces(b):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     name = f"shard-{uuid.uuid4().hex}.lxt"

@@ -45,3 +45,21 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(textvec, "word_hashes", lambda data, s, e, alphabet: (e - s).astype(np.uint64) % np.uint64(3))
     ids, counts = model.encode(pa.array(texts), 2)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_what_a_worker_holds_while_it_cuts_texts():
+    """16 MB of text in one Arrow batch, as the pipeline's last stage gets them: a worker goes through it in pieces."""
+    import tracemalloc
+
+    model, text = token_files.WordTokenizer(token_files.default_tokenizer()), "a few words of some text " * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16_000), pa.int64()), pa.array([text] * 16_000)], names=["doc_id", "text"])
+    model.encode(batch.column(1).slice(0, 1), 2)
+    tracemalloc.start()
+    n = 0
+    for part in token_files.pieces(batch):
+        ids, counts = model.encode(part.column(1), 2)
+        n += len(counts)
+        del ids, counts
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 16_000 and peak < 200 << 20
