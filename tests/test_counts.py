@@ -83,3 +83,19 @@ def test_tokens_equal_stripped_pieces(spark):
     strip = lambda t: regex.sub(r"^[^\p{L}\p{Nd}']+|[^\p{L}\p{Nd}']+$", "", t)
     for r in got:
         assert r.t == [w.lower() for p in re.split(r"[ \t\n\x0b\f\r]+", texts[r.i]) if (w := strip(p))], texts[r.i][:80]
+
+
+def test_no_task_cuts_much_more_than_a_split(spark, sf, monkeypatch):
+    """One large file is one split, whose counts would outgrow a task's memory; few of its bytes go to each task."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.plans import registry
+    from lexiloom.sources import text_files
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cores, want = spark.sparkContext.defaultParallelism, registry._grams(spark, sf, 3).agg(F.count("*"), F.sum("cnt"), F.bit_xor(F.xxhash64("w1", "w2", "w3", "cnt", "ends"))).first()
+    monkeypatch.setattr(text_files, "SPLIT_BYTES", 10_000)
+    got = text_files.spread(docs.select("doc_id", "text"))
+    assert got.rdd.getNumPartitions() >= max(cores + 1, 290_257 // 10_000)
+    assert got.exceptAll(docs.select("doc_id", "text")).isEmpty() and got.count() == docs.count()
+    assert registry._grams(spark, sf, 3).agg(F.count("*"), F.sum("cnt"), F.bit_xor(F.xxhash64("w1", "w2", "w3", "cnt", "ends"))).first() == want
