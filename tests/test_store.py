@@ -146,3 +146,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert "12" in out and "house" in out
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+
+
+def test_texts_are_looked_up_only_where_some_are_known(spark, store, monkeypatch):
+    """Where all files are new their texts meet no join, however many they are; triplets are written once, as counts of suffixes."""
+    frame, met = type(spark.range(0)), []
+    monkeypatch.setattr(frame, "join", lambda self, other, *a, f=frame.join, **b: met.append("text" in self.columns) or f(self, other, *a, **b))
+    monkeypatch.setattr(S, "BROADCAST_FILES", 0)
+    rows = [("a", "One two three."), ("b", "One two three four.")]
+    assert store.import_files(spark.createDataFrame(rows, "file_name string, text string")) == 2 and not any(met)
+    assert store.import_files(spark.createDataFrame([*rows, ("c", "Two three four. End.")], "file_name string, text string")) == 1 and any(met)
+    assert {(r.w1, r.w2, r.w3): (r.cnt, r.ends) for r in store.table("trigrams").collect()} == {("one", "two", "three"): (2, 1), ("two", "three", "four"): (2, 2)}
+    assert store.table("trigrams").columns == ["w1", "w2", "w3", "cnt", "ends"] and totals(store)["end"] == 1
