@@ -22,7 +22,8 @@ how often triples of each small count occur in it, the sum of the logarithms tha
 it leaves by backing off. With the counts of counts of all parts the discounts are known, parts turn these into sums
 per text, and batches add them up. A frequent word's histories are dealt to several parts, and so are the followers of a
 frequent history; statistics of these are sums, and there are at most 4 P such histories. Everything a task holds is a
-batch or a part. A batch sends at most a row a part, none that is empty, so rows never exceed tokens.
+batch or a part. A batch sends at most a row a part, none that is empty, so rows never exceed tokens. Triples are most of
+what is exchanged: (3) goes over the batches PASSES times, each time for a share of the parts, so only that is on disk at once.
 
 *Stored model.* `learned` writes a folder of tables: words, pairs and triples, each a Parquet table partitioned by part,
 with counts and alpha, and the discounts. `scored` applies it to any corpus: its tables join the batches as one more
@@ -40,6 +41,7 @@ import json
 import logging
 import math
 import struct
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,8 @@ BATCH_BYTES = 9 << 20
 #: Tokens a part, at most (the number of parts is a power of two).
 TOKENS = 1_500_000
 ORDER = 3
+#: Times that the batches are gone through for the highest order, each time for as large a share of the parts.
+PASSES = 2
 #: The hash that stands for the end of a text.
 END = 0x5A17E0FD2B3C4D91
 #: The sender of what a stored model holds, and rows that are of a part, not of a batch.
@@ -306,14 +310,17 @@ def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cu
         part, batch = t.column("part")[0].as_py(), t.column("batch").to_pylist()
         got = {b: unpack(x) for b, x in zip(batch, t.column("data").to_pylist())}
         old = got.get(STORED, [np.zeros(0, np.uint64)])[0]
-        # Words of a stored model keep their numbers, their places in it; others follow.
-        fresh = np.unique(np.concatenate([g[0] for g in got.values()]))
-        words = np.concatenate([old, fresh[~np.isin(fresh, old)]])
-        order = np.argsort(words)
-        at = {b: order[np.searchsorted(words[order], g[0])] for b, g in got.items()}
-        total = np.zeros(len(words), np.int64)
-        for b, g in got.items():
-            total[at[b]] += g[1].astype(np.int64)
+        every = np.unique(np.concatenate([g[0] for g in got.values()]))
+        sums = np.zeros(len(every), np.int64)
+        for g in got.values():
+            sums[np.searchsorted(every, g[0])] += g[1].astype(np.int64)
+        # Words of a stored model keep their numbers, their places in it; others follow, frequent ones first: what is exchanged
+        # are lists of numbers, and small ones pack well.
+        fresh = np.flatnonzero(~np.isin(every, old))
+        order = np.concatenate([np.searchsorted(every, old), fresh[np.argsort(-sums[fresh], kind="stable")]]).astype(np.int64)
+        words, total, place = every[order], sums[order], np.empty(len(every), np.int64)
+        place[order] = np.arange(len(every))
+        at = {b: place[np.searchsorted(every, g[0])] for b, g in got.items()}
         stat = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, reach + 1), minlength=reach + 2)[1 : reach + 1]])
         rows = [(b, pack(slim(total[at[b]]), slim(at[b]))) for b in got if b != STORED]
         rows += [(STORED, pack(words, slim(total)))] if keep else []
@@ -555,9 +562,11 @@ def read_top(raw: bytes):
     return rising(v)[of_v], per(rising(uu)[ui]), rising(wu)[wi], cv.astype(np.int64)[of_v], alpha[of_v], more[of_v], per(ch.astype(np.int64)), cw.astype(np.int64)[wi], cvw.astype(np.int64), learned.astype(np.int64), times.astype(np.int64), docs
 
 
-def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts: int, split: int, n: int, v_count: int, unigram, d2: list[float], stored: DataFrame | None, cut: int, keep: bool) -> DataFrame:
+def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts: int, split: int, n: int, v_count: int, unigram, d2: list[float], stored: DataFrame | None, cut: int, keep: bool, share: tuple[int, int] | None = None) -> DataFrame:
     """The highest order. Rows (batch, part, data): what texts of a batch need of the part; of each part its statistics
-    (OF_PART) and, to keep, its table (STORED); and of part -1 what needs no history, per batch."""
+    (OF_PART) and, to keep, its table (STORED); and of part -1 what needs no history, per batch. share: the parts from the
+    first to before the second, all by default; part -1 goes with part 0."""
+    low, high = share or (0, parts)
     bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
 
     def send(rows):
@@ -566,10 +575,11 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
         for b in rows:
             for r in range(b.num_rows):
                 x = _Batch(b, r, slots, parts)
-                ids, null = (b.column(b.schema.get_field_index(c))[r].as_py() for c in ("doc_ids", "doc_null"))
-                log = np.log10((x.total + 1.0) / (n + v_count + 1.0))
-                known = np.add.reduceat((x.total > 0)[x.w].astype(np.int64), x.first)
-                yield _row("batch part data", x.batch, -1, pack(np.add.reduceat(log[x.w], x.first), known, x.sizes, x.held, unpack(ids)[0], unpack(null)[0]))
+                if low == 0:
+                    ids, null = (b.column(b.schema.get_field_index(c))[r].as_py() for c in ("doc_ids", "doc_null"))
+                    log = np.log10((x.total + 1.0) / (n + v_count + 1.0))
+                    known = np.add.reduceat((x.total > 0)[x.w].astype(np.int64), x.first)
+                    yield _row("batch part data", x.batch, -1, pack(np.add.reduceat(log[x.w], x.first), known, x.sizes, x.held, unpack(ids)[0], unpack(null)[0]))
                 size = len(x.number)
                 if pair_slots is None:
                     u, ch, cvw = np.zeros(len(x.w), np.int32), narrow(x.total)[x.v], np.zeros(len(x.w), np.int32)
@@ -588,23 +598,29 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
                     u[x.first], ch[x.first] = x.end, x.total[x.end]  # before a text stand two ends
                     u_number = x.number
                     del pv, of, part, count
+                by_u = dealt(u_number[u], x.total[x.v], split) if pair_slots is not None else np.zeros(len(u), np.int64)
+                to = part_of(x.number[x.v], bits, by_u, dealt(x.number[x.w], ch.astype(np.int64), split)).astype(np.int32)
+                own = np.flatnonzero((to >= low) & (to < high))
+                del by_u
+                if not len(own):
+                    continue
                 if size < 1 << 21:
-                    key = (x.v.astype(np.int64) * len(u_number) + u) * size + x.w
+                    key = (x.v[own].astype(np.int64) * len(u_number) + u[own]) * size + x.w[own]
                     order = np.argsort(key)
                     key = key[order]
                     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    order = own[order]
                     del key
                 else:  # a batch of a very long text
-                    order = np.lexsort((x.w, u, x.v))
+                    order = own[np.lexsort((x.w[own], u[own], x.v[own]))]
                     at = np.flatnonzero(np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (x.v, u, x.w)], axis=0)]))
                 one = order[at]
                 times = np.diff(np.append(at, len(order)))
                 docs = x.doc[order]
                 learned = np.add.reduceat(x.train[docs].astype(np.int32), at)
+                to = to[one]
                 v, w, u, ch, cvw = (c[one].astype(np.int64) for c in (x.v, x.w, u, ch, cvw))
-                x.v = x.w = x.doc = one = None
-                by_u = dealt(u_number[u], x.total[v], split) if pair_slots is not None else np.zeros(len(v), np.int64)
-                to = part_of(x.number[v], bits, by_u, dealt(x.number[w], ch, split))
+                x.v = x.w = x.doc = one = own = None
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -690,29 +706,42 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
     cols = ["batch", "held", "train", "n_tokens", "vocab", "tokens", "doc_ids", "doc_null"]
     asked = base.select(*cols, slots.of(F.col("batch")).alias("slot"), *([pair_slots.of(F.col("batch")).alias("pair_slot")] if pair_slots else []))
     sent = asked.mapInArrow(send, _KINDS)
-    sent = sent if stored is None else sent.unionByName(stored.select("batch", "part", "data"))
+    sent = sent if stored is None else sent.unionByName(stored.filter((F.col("part") >= low) & (F.col("part") < high)).select("batch", "part", "data"))
     # Rows of part -1 are per batch: they go by batch, so that no task gets all of them.
     turn = F.when(F.col("part") < 0, F.col("batch")).otherwise(F.lit(0))
     return staged(sent.withColumn("turn", turn).groupBy("part", "turn").applyInArrow(merge, _KINDS), "katz-parts")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps that are done, which it does once their plans are collected."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def _releasing(spark: SparkSession):
+    """While it lasts, Spark removes a step's shuffle files as soon as the step is done, not when its plan is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _discard(df: DataFrame) -> None:
     """Removes a scratch table that nothing reads any more."""
-    spark, files = df.sparkSession, df.inputFiles()
+    files = df.inputFiles()
     if files:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _fit(base: DataFrame, *how, keep: bool = False) -> dict:
+    with _releasing(base.sparkSession):
+        return _fitted(base, *how, keep)
 
 
-def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str | None, keep: bool = False) -> dict:
+def _fitted(base: DataFrame, order: int, cut: int, parts: int | None, model: str | None, keep: bool) -> dict:
     """Everything but the scores: the tables of a model of base's learned texts and of the stored model, and the discounts."""
     spark = base.sparkSession
     meta = json.loads(spark.read.text(f"{model}/meta").first()[0]) if model else {}
@@ -738,15 +767,20 @@ def _fit(base: DataFrame, order: int, cut: int, parts: int | None, model: str |
         pair_counts, wide = wide_stats(pairs, cut, split)
         d2 = discounts(pair_counts, cut, "pairs")
         pair_slots = _Slots(spark, "katz-pair-answers")
-        _release(spark)
         pair_slots.write(pair_answers(pairs, cut, split, wide, d2))
     if not keep:
         for done in (totals, pairs):
             if done is not None:
                 _discard(done)
-    _release(spark)
-    tops = top_parts(base, slots, pair_slots, parts, split, n, v, unigram, d2, stored("tops"), cut, keep)
-    _release(spark)
+    tops, times = None, min(PASSES, parts)
+    for k in range(times):
+        share = (k * parts // times, (k + 1) * parts // times)
+        got = top_parts(base, slots, pair_slots, parts, split, n, v, unigram, d2, stored("tops"), cut, keep, share)
+        tops = got if tops is None else tops.unionByName(got)
+    _discard(base)
+    for done in (slots, pair_slots):
+        if done is not None:
+            _delete(spark, done.path)
     top_counts, wide = wide_stats(tops, cut, split)
     d = discounts(top_counts, cut, "triples" if order == 3 else "pairs")
     return {"order": order, "cut": cut, "parts": parts, "split": split, "n": n, "v": v, "d1": d1, "d2": d2, "d": d, "unknown": unknown, "wide": wide, "words": totals, "pairs": pairs, "tops": tops}

@@ -154,3 +154,24 @@ def test_stored_model_scores_another_corpus(spark, tmp_path):
     for r in rows:
         per[r.u, r.v] += r.probability
     assert len(per) > 50 and all(0 < x < 1 for x in per.values()) and all(r.backoff > 0 for r in rows)
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_triples_go_out_a_share_of_the_parts_at_a_time(spark, monkeypatch, passes):
+    """So only that share is on disk at once; and what the batches were needed for goes before texts are summed up."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from lexiloom.sources.scratch import scratch_path
+
+    texts, learned = corpus()
+    docs = spark.createDataFrame([(i, on, False, t) for i, (t, on) in enumerate(zip(texts, learned))], "doc_id long, train boolean, held_out boolean, text string")
+    seen, top_parts = [], katz.top_parts
+    monkeypatch.setattr(katz, "PASSES", passes)
+    monkeypatch.setattr(katz, "top_parts", lambda *a: (got := top_parts(*a), seen.append({r.part for r in got.collect()} - {-1}))[0])
+    before = {p for p in Path(urlparse(scratch_path(spark, "x")).path).parent.glob("katz-*")}
+    df = katz.scored(docs, order=3, parts=8)
+    left = {p.name.rsplit("-", 1)[0] for p in Path(urlparse(scratch_path(spark, "x")).path).parent.glob("katz-*") if p not in before}
+    assert left == {"katz-parts"}
+    assert len(seen) == passes and sum(len(s) for s in seen) == len(set().union(*seen)) and all(len(s) <= -(-8 // passes) for s in seen)
+    assert [r.score for r in sorted(df.collect())] == pytest.approx(brute3(texts, learned)[0])
