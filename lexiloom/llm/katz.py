@@ -52,7 +52,7 @@ CUT = 5
 #: Counts of counts that the line is laid through.
 FIT = 20
 BATCH_BYTES = 9 << 20
-#: Tokens a part, at most (the number of parts is a power of two).
+#: Tokens a part.
 TOKENS = 1_500_000
 ORDER = 3
 #: Times that the batches are gone through for the highest order, each time for as large a share of the parts.
@@ -209,7 +209,14 @@ def listed(a):
     return u, i
 
 
-def part_of(first, bits: int, *salts):
+def scaled(h, parts: int):
+    """Which of so many equal ranges a 64-bit hash lies in."""
+    import numpy as np
+
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def part_of(first, parts: int, *salts):
     """The part of a word's number, and of numbers that deal a frequent word to several."""
     import numpy as np
 
@@ -218,7 +225,7 @@ def part_of(first, bits: int, *salts):
     x = first.astype(np.uint64)
     for s in salts:
         x = x + tv.mix(s.astype(np.uint64) + np.uint64(1)) * (s > 0)
-    return (tv.mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+    return scaled(tv.mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)), parts)
 
 
 def dealt(number, of, split: int):
@@ -288,7 +295,7 @@ _KINDS = "batch long, part int, data binary"
 def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cut: int = CUT, keep: bool = False) -> DataFrame:
     """Rows (batch, part, data): totals and numbers of a batch's words of the part, in the order of their hashes; for each
     part, to keep, its table of words (STORED), and N, V and the counts of counts 1 .. reach (OF_PART)."""
-    bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
+    reach = max(FIT, cut + 1)
 
     def send(rows):
         import numpy as np
@@ -298,8 +305,7 @@ def word_totals(base: DataFrame, parts: int, stored: DataFrame | None = None, cu
                 (vocab,), (learned,) = unpack(b.column(1)[r].as_py()), unpack(b.column(2)[r].as_py())
                 order = np.argsort(vocab)
                 vocab, learned = vocab[order], learned[order]
-                part = vocab >> np.uint64(64 - bits) if bits else np.zeros(len(vocab), np.uint64)
-                cut_at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+                cut_at = np.searchsorted(scaled(vocab, parts), np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cut_at)).tolist():
                     x, y = cut_at[p], cut_at[p + 1]
                     yield _row("batch part data", b.column(0)[r].as_py(), p, pack(vocab[x:y], slim(learned[x:y])))
@@ -378,14 +384,14 @@ class _Batch:
         self.v[1:] = self.w[:-1]
         self.v[self.first] = self.end
 
-    def pairs(self, bits: int, split: int):
+    def pairs(self, parts: int, split: int):
         """(v, w, of, part, order): distinct pairs by part, v and w; for each token its pair's place in that order."""
         import numpy as np
 
         u, of = np.unique(self.v.astype(np.int64) * len(self.number) + self.w, return_inverse=True)
         of = of.astype(np.int32)
         v, w = np.divmod(u, len(self.number))
-        part = part_of(self.number[v], bits, dealt(self.number[w], self.total[v], split))
+        part = part_of(self.number[v], parts, dealt(self.number[w], self.total[v], split))
         order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
@@ -395,7 +401,7 @@ class _Batch:
 def pair_parts(base: DataFrame, slots: _Slots, parts: int, split: int, unigram, stored: DataFrame | None, cut: int, keep: bool) -> DataFrame:
     """Rows (batch, part, data): of a batch, its first words of the part, which of them have pairs that were never learned,
     and the counts of its pairs; of each part its statistics (OF_PART) and, to keep, its table (STORED)."""
-    bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
+    reach = max(FIT, cut + 1)
 
     def send(rows):
         import numpy as np
@@ -403,7 +409,7 @@ def pair_parts(base: DataFrame, slots: _Slots, parts: int, split: int, unigram,
         for b in rows:
             for r in range(b.num_rows):
                 x = _Batch(b, r, slots, parts)
-                v, w, of, part = x.pairs(bits, split)
+                v, w, of, part = x.pairs(parts, split)
                 learned = np.bincount(of[x.train[x.doc]], minlength=len(v))
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -567,7 +573,7 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
     (OF_PART) and, to keep, its table (STORED); and of part -1 what needs no history, per batch. share: the parts from the
     first to before the second, all by default; part -1 goes with part 0."""
     low, high = share or (0, parts)
-    bits, reach = int(math.log2(parts)), max(FIT, cut + 1)
+    reach = max(FIT, cut + 1)
 
     def send(rows):
         import numpy as np
@@ -586,7 +592,7 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
                     alpha, more, u_number = np.ones(size), np.zeros(size, np.uint8), np.zeros(1, np.int64)
                 else:
                     got = pair_slots.read(x.batch, b.column(b.schema.get_field_index("pair_slot"))[r].as_py())
-                    pv, _, of, part = x.pairs(bits, split)
+                    pv, _, of, part = x.pairs(parts, split)
                     count = np.concatenate([g[0].astype(np.int64) for _, g in got])
                     alpha, more = np.ones(size), np.zeros(size, np.uint8)
                     for p, g in got:  # a part answers for its first words in their order
@@ -599,7 +605,7 @@ def top_parts(base: DataFrame, slots: _Slots, pair_slots: _Slots | None, parts:
                     u_number = x.number
                     del pv, of, part, count
                 by_u = dealt(u_number[u], x.total[x.v], split) if pair_slots is not None else np.zeros(len(u), np.int64)
-                to = part_of(x.number[x.v], bits, by_u, dealt(x.number[x.w], ch.astype(np.int64), split)).astype(np.int32)
+                to = part_of(x.number[x.v], parts, by_u, dealt(x.number[x.w], ch.astype(np.int64), split)).astype(np.int32)
                 own = np.flatnonzero((to >= low) & (to < high))
                 del by_u
                 if not len(own):
@@ -747,7 +753,7 @@ def _fitted(base: DataFrame, order: int, cut: int, parts: int | None, model: str
     meta = json.loads(spark.read.text(f"{model}/meta").first()[0]) if model else {}
     order = meta.get("order", order)
     tokens = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = meta.get("parts") or parts or 1 << max(2, math.ceil(math.log2(max(1, tokens / TOKENS))))
+    parts = meta.get("parts") or parts or max(4, math.ceil(tokens / TOKENS))
     stored = lambda name: spark.read.schema(_KINDS).parquet(f"{model}/{name}") if model else None
     totals = word_totals(base, parts, stored("words"), cut, keep)
     sums = [0] * (max(FIT, cut + 1) + 2)

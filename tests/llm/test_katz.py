@@ -175,3 +175,14 @@ def test_triples_go_out_a_share_of_the_parts_at_a_time(spark, monkeypatch, passe
     assert left == {"katz-parts"}
     assert len(seen) == passes and sum(len(s) for s in seen) == len(set().union(*seen)) and all(len(s) <= -(-8 // passes) for s in seen)
     assert [r.score for r in sorted(df.collect())] == pytest.approx(brute3(texts, learned)[0])
+
+
+def test_any_number_of_parts_shares_hashes_evenly(spark):
+    """So parts grow in number as the tokens do, and not in steps of two."""
+    import numpy as np
+
+    n = 90_000
+    assert (np.bincount(katz.part_of(np.arange(n), 9)) > 0.9 * n / 9).all() and len(set(katz.part_of(np.arange(n), 9).tolist())) == 9
+    texts, learned = corpus()
+    docs = spark.createDataFrame([(i, on, False, t) for i, (t, on) in enumerate(zip(texts, learned))], "doc_id long, train boolean, held_out boolean, text string")
+    assert [r.score for r in sorted(katz.scored(docs, order=3, parts=9).collect())] == pytest.approx(brute3(texts, learned)[0])
