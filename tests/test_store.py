@@ -158,3 +158,17 @@ def test_texts_are_looked_up_only_where_some_are_known(spark, store, monkeypatch
     assert store.import_files(spark.createDataFrame([*rows, ("c", "Two three four. End.")], "file_name string, text string")) == 1 and any(met)
     assert {(r.w1, r.w2, r.w3): (r.cnt, r.ends) for r in store.table("trigrams").collect()} == {("one", "two", "three"): (2, 1), ("two", "three", "four"): (2, 2)}
     assert store.table("trigrams").columns == ["w1", "w2", "w3", "cnt", "ends"] and totals(store)["end"] == 1
+
+
+def test_pairs_and_triplets_are_one_delta(spark, store):
+    """An import writes what pairs and triplets are sums of once; deltas of a store that kept both apart count too."""
+    files = lambda *rows: spark.createDataFrame(list(rows), "file_name string, text string")
+    assert store.import_files(files(("a", "One two three. One two. Two."), ("b", "One two three four."))) == 2
+    assert len({f.rsplit("-", 1)[0] for f in os.listdir(f"{store.path}/data")} & {"bigrams", "trigrams"}) == 0
+    number, named = store._now()
+    old = {"bigrams": spark.createDataFrame([("one", "two", 5, 1), ("x", "y", 1, 1)], S.SCHEMAS["bigrams"]), "trigrams": spark.createDataFrame([("one", "two", "three", 2, 1)], S.SCHEMAS["trigrams"])}
+    assert store._publish(number + 1, {t: named[t] + ([store._write(old[t], t)] if t in old else []) for t in S.SCHEMAS})
+    assert store.import_files(files(("c", "Two three."))) == 1
+    assert {(r.w1, r.w2): (r.cnt, r.ends) for r in store.table("bigrams").collect()} == {("one", "two"): (8, 2), ("two", "three"): (3, 2), ("three", "four"): (1, 1), ("x", "y"): (1, 1)}
+    assert {(r.w1, r.w2, r.w3): (r.cnt, r.ends) for r in store.table("trigrams").collect()} == {("one", "two", "three"): (4, 2), ("two", "three", "four"): (1, 1)}
+    assert {(r["table"], r["rows"], r["total"]) for r in report(store).collect()} >= {("bigrams", 4, 13), ("trigrams", 2, 5)}
