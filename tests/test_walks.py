@@ -162,3 +162,27 @@ def test_lists_for_draws_are_exchanged_once(spark):
     small = {k: len(v) for k, v in ranked(counts).items() if len(v) <= 5}
     assert {(r.w1, r.w2): len(r.cands) for r in lists.collect()} == small and 0 < len(small) < len(ranked(counts))
     assert blocks.agg(F.sum(F.size("cands"))).first()[0] == len(counts) - sum(small.values()) and tops.count() > 0
+
+
+def test_a_context_is_fetched_once(spark, monkeypatch):
+    """Few walks read the n-grams of a context when the first of them comes there, and not again."""
+    met = []
+    monkeypatch.setattr(generate, "written", lambda df, name, f=generate.written: (name == "contexts" and met.extend(r.w1 for r in df.select("w1").distinct().collect())) or f(df, name))
+    pairs = spark.createDataFrame([(a, b, 1, 0) for a, b in zip("abcd", "bcde")], "w1 string, w2 string, cnt long, ends long")
+    seeds = spark.createDataFrame([(0, "a"), (1, "b")], "seed_id int, w1 string")
+    assert {r.seed_id: "".join(r.words) for r in generate.bi_greedy(seeds, pairs).collect()} == {0: "abcde", 1: "bcde"}
+    assert sorted(met) == list("abcd")
+
+
+def test_what_many_walks_leave(spark, monkeypatch):
+    """Of each walk its last row stays, and of what was staged for the index nothing."""
+    import glob
+
+    monkeypatch.setattr(generate, "FEW", -1)
+    before = set(glob.glob(scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0] + "/*"))
+    seeds = spark.createDataFrame([(f"s{i}", f"w{i:02}") for i in range(12)], "seed_id string, w1 string")
+    said = {r.seed_id: r.words for r in generate.bi_weighted(seeds, frame(spark, grams(2)), stop="w03", block=3).collect()}
+    assert said == {f"s{i}": slow(f"s{i}", (f"w{i:02}",), ranked(grams(2)), True, 20, "w03") for i in range(12)}
+    left = set(glob.glob(scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0] + "/*")) - before
+    assert {f.rsplit("/", 1)[1].split("-")[0] for f in left} <= {"seeds", "walks", "lists", "tops", "blocks"}
+    assert sum(spark.read.parquet(f).count() for f in left if "/walks-" in f and glob.glob(f + "/done=*")) == 12
